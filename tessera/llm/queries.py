@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from tessera.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from tessera.llm.jaccard_join import op7_jaccard_join
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup}
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op7_jaccard_join": op7_jaccard_join,
+}
 ORACLES = {"op1_exact_dedup": OP1_SQL}
