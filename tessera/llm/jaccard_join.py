@@ -36,7 +36,7 @@ from tessera.session import written
 #: The threshold in hundredths, so that it is compared in integers.
 THRESHOLD = 75
 #: Bytes of text in one task's block; its documents share counts before the shuffle.
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 8_000_000
 #: Elements that one group of the document-frequency count is to hold on average.
 PART_ELEMENTS = 1_500_000
 #: Rounds in which each list links to one pivot before all remaining pairs are looked at.
