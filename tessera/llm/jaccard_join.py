@@ -19,6 +19,7 @@ one document only first, then: (1) rarest first; (2) by octave of rarity, hashed
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,14 +32,18 @@ from tessera.llm.shingles import mix, shingle_sets
 from tessera.llm.tables import table, text_blocks
 from tessera.operators.components import connected_components
 from tessera.operators.joins import left_join_unique
-from tessera.session import written
+from tessera.session import shared_dir, written
 
 #: The threshold in hundredths, so that it is compared in integers.
 THRESHOLD = 75
 #: Bytes of text in one task's block; its documents share counts before the shuffle.
 BLOCK_BYTES = 8_000_000
+#: Documents in one block, so that two bytes hold a place; one batch of rows may come on top.
+BLOCK_DOCS = 50_000
+#: In place of a document's place: several documents of the block have the element.
+SEVERAL = 0xFFFF
 #: Elements that one group of the document-frequency count is to hold on average.
-PART_ELEMENTS = 1_500_000
+PART_ELEMENTS = 750_000
 #: Rounds in which each list links to one pivot before all remaining pairs are looked at.
 PIVOT_ROUNDS = 2
 #: Pairs verified at a time.
@@ -53,15 +58,21 @@ def least_shared(n: np.ndarray | int, threshold: int = THRESHOLD) -> np.ndarray
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return b"".join([np.array([len(arrays), *map(len, arrays)], "<i8").tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
+    """Arrays of 8-byte values go byte plane by byte plane: sorted ones then compress well."""
+    planes = [np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8).T) if a.dtype.itemsize == 8 else np.ascontiguousarray(a) for a in arrays]
+    return b"".join([np.array([len(arrays), *map(len, arrays)], "<i8").tobytes(), *(a.tobytes() for a in planes)])
 
 
 def _unpack(data: bytes, *types: str) -> list[np.ndarray]:
     sizes = np.frombuffer(data, "<i8", 1 + len(types))[1:]
     out, at = [], 8 * (1 + len(types))
-    for size, kind in zip(sizes, types, strict=True):
-        out.append(np.frombuffer(data, kind, int(size), at))
-        at += int(size) * np.dtype(kind).itemsize
+    for size, kind in zip(sizes.tolist(), types, strict=True):
+        width = np.dtype(kind).itemsize
+        if width == 8:
+            out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * size, at).reshape(8, size).T).view(kind).ravel())
+        else:
+            out.append(np.frombuffer(data, kind, size, at))
+        at += size * width
     return out
 
 
@@ -77,14 +88,14 @@ def _shingle_blocks(parts: int):
         task = context.partitionId() if context else 0
         blocks = 0
         held: list[tuple[np.ndarray, list[np.ndarray]]] = []
-        size = 0
+        size = docs = 0
 
         def send(number: int) -> pa.RecordBatch:
             ids = np.concatenate([a for a, _ in held])
             sets = [s for _, some in held for s in some]
             n = np.array([len(s) for s in sets], np.int64)
             elements = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
-            places = np.repeat(np.arange(len(sets), dtype=np.uint32), n)
+            places = np.repeat(np.arange(len(sets), dtype=np.uint16), n)
             order = np.argsort(elements, kind="stable")
             elements, places = elements[order], places[order]
             first = np.flatnonzero(np.r_[True, elements[1:] != elements[:-1]]) if len(elements) else np.zeros(0, np.int64)
@@ -99,21 +110,22 @@ def _shingle_blocks(parts: int):
             rows = [(-1 - key % parts, key, _pack(plain, valid, n, sums, mixed, elements[several], places[several]))]
             at = (distinct >> np.uint64(32)).astype(np.int64) * parts >> 32
             edges = np.searchsorted(at, np.arange(parts + 1))
-            place = np.where(counts == 1, places[first], np.uint32(0xFFFFFFFF)).astype("<u4")
+            place = np.where(counts == 1, places[first], np.uint16(SEVERAL)).astype("<u2")
             for p in range(parts):
                 a, b = edges[p], edges[p + 1]
                 if b > a:
                     small = bool((counts[a:b] == 1).all())
-                    rows.append((p, key, _pack(distinct[a:b], place[a:b], np.zeros(0, "<u4") if small else counts[a:b].astype("<u4"))))
+                    rows.append((p, key, _pack(distinct[a:b], place[a:b], np.zeros(0, "<u2") if small else counts[a:b].astype("<u2"))))
             return pa.RecordBatch.from_arrays([pa.array([abs(r[0] + 1) if r[0] < 0 else r[0] for r in rows], pa.int32()), pa.array([-1 - r[1] if r[0] < 0 else r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["part", "key", "payload"])
 
         for batch in text_blocks(batches, "text", 1_000_000):
             ids = batch.column("doc_id")
             held.append((np.array(ids.to_pylist(), object if ids.null_count else np.int64), shingle_sets(batch.column("text"))))
             size += batch.column("text").nbytes
-            if size >= BLOCK_BYTES:
+            docs += batch.num_rows
+            if size >= BLOCK_BYTES or docs >= BLOCK_DOCS:
                 yield send(blocks)
-                held, size, blocks = [], 0, blocks + 1
+                held, size, docs, blocks = [], 0, 0, blocks + 1
         if held:
             yield send(blocks)
 
@@ -135,10 +147,10 @@ def _frequencies(key: tuple, rows: pa.Table) -> pa.Table:
             out_keys.append(-1 - k)
             out.append((True, data))
             continue
-        e, p, c = _unpack(data, "<u8", "<u4", "<u4")
+        e, p, c = _unpack(data, "<u8", "<u2", "<u2")
         elements.append(e)
         places.append(p)
-        counts.append(c if len(c) else np.ones(len(e), "<u4"))
+        counts.append(c if len(c) else np.ones(len(e), "<u2"))
         owners.append(np.full(len(e), i, np.int32))
     if elements:
         e, p, c, o = (np.concatenate(x) for x in (elements, places, counts, owners))
@@ -168,14 +180,14 @@ def _documents(threshold: int):
         for i, is_documents in enumerate(flags):
             data = payloads[i].as_buffer().to_pybytes()
             if is_documents:
-                ids, valid, n, sums, mixed, local, local_places = _unpack(data, "<i8", "?", "<i8", "<u8", "<u8", "<u8", "<u4")
+                ids, valid, n, sums, mixed, local, local_places = _unpack(data, "<i8", "?", "<i8", "<u8", "<u8", "<u8", "<u2")
             else:
-                parts.append(_unpack(data, "<u8", "<u4", "<i8"))
+                parts.append(_unpack(data, "<u8", "<u2", "<i8"))
         if parts:
             e, p, df = (np.concatenate(x) for x in zip(*parts, strict=True))
         else:
-            e, p, df = np.zeros(0, np.uint64), np.zeros(0, "<u4"), np.zeros(0, np.int64)
-        several = p == 0xFFFFFFFF
+            e, p, df = np.zeros(0, np.uint64), np.zeros(0, "<u2"), np.zeros(0, np.int64)
+        several = p == SEVERAL
         groups, group_df = e[several], df[several]
         order = np.argsort(groups)
         groups, group_df = groups[order], group_df[order]
@@ -189,9 +201,10 @@ def _documents(threshold: int):
         e, p, df = e[order], p[order], df[order]
         bounds = np.searchsorted(p, np.arange(len(ids) + 1))
         sets = [e[a:b].astype("<u8").tobytes() if ok else None for ok, a, b in zip(alive, bounds[:-1], bounds[1:], strict=True)]
-        dfs = [df[a:b].astype("<i8").tobytes() if ok else None for ok, a, b in zip(alive, bounds[:-1], bounds[1:], strict=True)]
+        octave = np.floor(np.log2(np.maximum(df, 1))).astype(np.uint8)
+        octaves = [octave[a:b].tobytes() if ok else None for ok, a, b in zip(alive, bounds[:-1], bounds[1:], strict=True)]
         signature = [f"{int(k):x}-{int(a):016x}{int(b):016x}" if ok else None for ok, k, a, b in zip(alive, n, sums, mixed, strict=True)]
-        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=~valid), "n": pa.array(n), "signature": pa.array(signature, pa.string()), "elements": pa.array(sets, pa.binary()), "dfs": pa.array(dfs, pa.binary())})
+        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=~valid), "n": pa.array(n), "signature": pa.array(signature, pa.string()), "elements": pa.array(sets, pa.binary()), "octaves": pa.array(octaves, pa.binary())})
 
     return run
 
@@ -221,12 +234,11 @@ def _prefix(e: np.ndarray, rank: np.ndarray, n: int, threshold: int) -> np.ndarr
 
 
 def _verify(threshold: int):
-    """Of rows (a, b, na, ea, da, nb, eb, db): the pairs (a, b) that are links, after the filters of orders 2 and 3."""
+    """Of rows (a, b, na, ea, oa, nb, eb, ob): the pairs (a, b) that are links, after the filters of orders 2 and 3."""
 
-    def orders(data: bytes, dfs: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        e, df = np.frombuffer(data, "<u8"), np.frombuffer(dfs, "<i8")
+    def orders(data: bytes, octaves: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        e, octave = np.frombuffer(data, "<u8"), np.frombuffer(octaves, np.uint8).astype(np.uint64)
         hashed = mix(e + np.uint64(3))
-        octave = np.floor(np.log2(df)).astype(np.uint64)
         second = (octave << np.uint64(58)) | (mix(e + np.uint64(2)) >> np.uint64(6))
         return np.sort(e), np.sort(_prefix(e, second, n, threshold)), np.sort(_prefix(e, hashed, n, threshold))
 
@@ -241,12 +253,12 @@ def _verify(threshold: int):
                 batch = whole.slice(at, VERIFY_ROWS)
                 known: dict[int, tuple] = {}
                 out = []
-                get = {c: batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "ea", "eb", "da", "db")}
+                get = {c: batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "ea", "eb", "oa", "ob")}
                 for k in range(batch.num_rows):
                     a, b, na, nb = (get[c][k] for c in ("a", "b", "na", "nb"))
                     for i, n, side in ((a, na, "a"), (b, nb, "b")):
                         if i not in known:
-                            known[i] = orders(get[f"e{side}"][k], get[f"d{side}"][k], n)
+                            known[i] = orders(get[f"e{side}"][k], get[f"o{side}"][k], n)
                     x, y = known[a], known[b]
                     if meet(x[1], y[1]) and meet(x[2], y[2]):
                         same = meet(x[0], y[0])
@@ -273,25 +285,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(volume / 6 / PART_ELEMENTS))
     blocks = base.mapInArrow(_shingle_blocks(parts), _ROWS)
     shared = blocks.groupBy("part").applyInArrow(_frequencies, "key long, documents boolean, payload binary")
-    documents = shared.groupBy("key").applyInArrow(_documents(threshold), "doc_id long, n long, signature string, elements binary, dfs binary")
+    documents = shared.groupBy("key").applyInArrow(_documents(threshold), "doc_id long, n long, signature string, elements binary, octaves binary")
     documents = written(documents, "shingled")
 
     alive = documents.where("signature IS NOT NULL")
     named = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))
-    reps = alive.groupBy("signature").agg(F.min(named).alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("elements").alias("elements"), F.first("dfs").alias("dfs"))
+    reps = alive.groupBy("signature").agg(F.min(named).alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("elements").alias("elements"), F.first("octaves").alias("octaves"))
     reps = written(reps.withColumn("id", F.xxhash64("signature")), "representatives")
     postings = written(reps.select("id", "n", "elements").mapInArrow(_prefix_rows(threshold), "element long, id long, n long"), "prefixes")
     lists = postings.groupBy("element").agg(F.count("*").alias("held")).where("held > 1").select("element")
     postings = written(postings.join(lists, "element", "left_semi"), "prefixes")
 
-    sets = reps.select("id", "n", "elements", "dfs")
-    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("elements").alias("ea"), F.col("dfs").alias("da"))
-    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("elements").alias("eb"), F.col("dfs").alias("db"))
+    # bucketed by id, so that no round of verification shuffles the sets themselves
+    name = f"tessera_sets_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sets = reps.select("id", "n", "elements", "octaves").repartition(buckets, "id")
+    sets.write.bucketBy(buckets, "id").sortBy("id").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    sets = spark.table(name)
+    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("elements").alias("ea"), F.col("octaves").alias("oa"))
+    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("elements").alias("eb"), F.col("octaves").alias("ob"))
     sized = (F.greatest("na", "nb") * threshold <= F.least("na", "nb") * 100) & (F.col("a") != F.col("b"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.distinct()
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ea", "da", "eb", "db").mapInArrow(_verify(threshold), "a long, b long")
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ea", "oa", "eb", "ob").mapInArrow(_verify(threshold), "a long, b long")
 
     components: DataFrame | None = None
     links: DataFrame | None = None
@@ -312,6 +329,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = written(verified(pairs), "links")
         links = found if links is None else links.union(found)
         components = written(connected_components(links, "a", "b"), "components")
+    spark.sql(f"DROP TABLE {name}")
 
     classes = reps.join(components, "id", "left").select("signature", "least", "copies", F.coalesce("component", "id").alias("c"))
     totals = classes.groupBy("c").agg(F.min("least").alias("component_id"), F.sum("copies").alias("size"))
