@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from tessera.llm.ann import op8_nearest
 from tessera.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from tessera.llm.jaccard_join import op7_jaccard_join
+from tessera.llm.langid import op10_language_id
+from tessera.llm.packing import op3_packing
+from tessera.llm.pii import op4_pii
+from tessera.llm.quality import op2_quality
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_quality": op2_quality,
+    "op3_packing": op3_packing,
+    "op4_pii": op4_pii,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_nearest": op8_nearest,
+    "op10_language_id": op10_language_id,
 }
 ORACLES = {"op1_exact_dedup": OP1_SQL}
