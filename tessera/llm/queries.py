@@ -8,15 +8,21 @@ from tessera.llm.jaccard_join import op7_jaccard_join
 from tessera.llm.langid import op10_language_id
 from tessera.llm.packing import op3_packing
 from tessera.llm.pii import op4_pii
+from tessera.llm.pieces import op9_pieces
 from tessera.llm.quality import op2_quality
+from tessera.llm.token_counts import op6_token_counts
+from tessera.llm.urls import op5_url_filter
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
     "op3_packing": op3_packing,
     "op4_pii": op4_pii,
+    "op5_url_filter": op5_url_filter,
+    "op6_token_counts": op6_token_counts,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_nearest": op8_nearest,
+    "op9_pieces": op9_pieces,
     "op10_language_id": op10_language_id,
 }
 ORACLES = {"op1_exact_dedup": OP1_SQL}
