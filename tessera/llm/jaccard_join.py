@@ -12,8 +12,9 @@ one document only first, then: (1) rarest first; (2) by octave of rarity, hashed
 3. Documents with equal sets become one representative.
 4. Representatives that share a prefix element of order 1 are candidates. First every element's list links to one pivot
    per round; verified links are joined into components. Then, with components known, all pairs across components are
-   candidates, except that the largest component of a list isn't paired with itself: no pair that could change the
-   result is left out, and a large group of copies costs rows in proportion to its size.
+   candidates. Their lists are gone through in blocks; of a pair, sizes and parity sketches bound the intersection, and
+   only pairs that the bound leaves open become rows. No pair that could change the result is left out, and none
+   within a component is looked at again.
 5. Candidates are verified: filters of orders 2 and 3, then the exact intersection.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.shingles import mix, shingle_sets
-from tessera.llm.tables import table, text_blocks
+from tessera.llm.tables import release_memory, table, text_blocks
 from tessera.operators.components import connected_components
 from tessera.operators.joins import left_join_unique
 from tessera.session import shared_dir, written
@@ -37,7 +38,7 @@ from tessera.session import shared_dir, written
 #: The threshold in hundredths, so that it is compared in integers.
 THRESHOLD = 75
 #: Bytes of text in one task's block; its documents share counts before the shuffle.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 #: Documents in one block, so that two bytes hold a place; one batch of rows may come on top.
 BLOCK_DOCS = 50_000
 #: In place of a document's place: several documents of the block have the element.
@@ -46,6 +47,10 @@ SEVERAL = 0xFFFF
 PART_ELEMENTS = 750_000
 #: Rounds in which each list links to one pivot before all remaining pairs are looked at.
 PIVOT_ROUNDS = 2
+#: Bits of a set's sketch.
+SKETCH_BITS = 2048
+#: Rows of prefix lists that one group holds (about 300 bytes each).
+LIST_ROWS = 8192
 #: Pairs verified at a time.
 VERIFY_ROWS = 512
 
@@ -126,6 +131,7 @@ def _shingle_blocks(parts: int):
             if size >= BLOCK_BYTES or docs >= BLOCK_DOCS:
                 yield send(blocks)
                 held, size, docs, blocks = [], 0, 0, blocks + 1
+                release_memory()
         if held:
             yield send(blocks)
 
@@ -139,6 +145,7 @@ def _frequencies(key: tuple, rows: pa.Table) -> pa.Table:
     """
     keys = rows.column("key").to_numpy()
     payloads = rows.column("payload")
+    release_memory()
     out_keys, out = [], []
     elements, places, counts, owners = [], [], [], []
     for i, k in enumerate(keys):
@@ -270,6 +277,73 @@ def _verify(threshold: int):
     return run
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, size, bits): the number of shared elements and the parity, bit by bit, of how many of them hash to it."""
+    for batch in batches:
+        sizes, bits = [], []
+        for data in batch.column("elements").to_pylist():
+            e = np.frombuffer(data, "<u8")
+            sizes.append(len(e))
+            hits = np.bincount((mix(e + np.uint64(5)) >> np.uint64(32)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS)
+            bits.append(np.packbits((hits & 1).astype(np.uint8)).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], ["id", "size", "bits"])
+
+
+def _across(threshold: int):
+    """Of lists' rows: pairs of different components that sizes and sketches leave open, inside each list.
+
+    Two sets whose parities differ in d bits differ in d elements at least, so they share (|a| + |b| - d) / 2 at most.
+    """
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        element, ids, n, c, main, size, role = (rows.column(x).to_numpy() for x in ("element", "id", "n", "c", "main", "size", "role"))
+        bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(ids), -1)
+        order = np.argsort(element, kind="stable")
+        edges = np.flatnonzero(np.r_[True, element[order][1:] != element[order][:-1], True])
+        out_a, out_b = [], []
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            some = order[x:y]
+            left, right = some[(role[some] != 1) & (c[some] != main[some])], some[role[some] != 0]
+            for at in range(0, len(left), 64):
+                i = left[at : at + 64, None]
+                both = n[i] + n[right]
+                ok = (c[i] != c[right]) & (np.maximum(n[i], n[right]) * threshold <= np.minimum(n[i], n[right]) * 100) & ((c[right] == main[right]) | (ids[i] < ids[right]))
+                u, v = np.nonzero(ok)
+                if len(u):
+                    j, k = i[u, 0], right[v]
+                    most = (size[j] + size[k] - np.bitwise_count(bits[j] ^ bits[k]).sum(1).astype(np.int64)) // 2
+                    open_ = (100 + threshold) * most >= threshold * both[u, v]
+                    out_a.append(ids[j[open_]])
+                    out_b.append(ids[k[open_]])
+        a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
+        b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
+        pairs = np.unique(np.c_[np.minimum(a, b), np.maximum(a, b)], axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    return run
+
+
+def _pairs_across(own: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): all candidates across components, from a written table (element, id, n, c).
+
+    Lists are dealt over groups of about LIST_ROWS rows; a longer list's rows are cut in chunks of that size, each chunk
+    of rows outside the list's largest component meeting each chunk of all rows.
+    """
+    largest = own.groupBy("element", "c").agg(F.count("*").alias("k")).groupBy("element").agg(F.count("*").alias("kinds"), F.sum("k").alias("held"), F.max(F.struct("k", "c")).alias("top"))
+    largest = largest.where("kinds > 1").select("element", "held", F.col("top.c").alias("main"), (F.col("held") - F.col("top.k")).alias("outside"))
+    sketches = reps.select("id", "elements").mapInArrow(_sketches, "id long, size long, bits binary")
+    mixed = written(own.join(largest, "element").join(sketches, "id"), "mixed")
+    groups = max(1, mixed.count() // LIST_ROWS)
+    short = mixed.where(F.col("held") <= LIST_ROWS).withColumns({"role": F.lit(2), "x": F.pmod(F.xxhash64("element"), F.lit(groups)).cast("int"), "y": F.lit(-1), "list": F.lit(0).cast("long")})
+    long_ = mixed.where(F.col("held") > LIST_ROWS)
+    chunks, own_chunks = F.ceil(F.col("held") / LIST_ROWS).cast("int"), F.ceil(F.col("outside") / LIST_ROWS).cast("int")
+    mine = lambda of: F.pmod(F.xxhash64("id"), of).cast("int")
+    outside = long_.where("c <> main").withColumns({"role": F.lit(0), "x": F.explode(F.sequence(F.lit(0), chunks - 1)), "y": mine(own_chunks), "list": F.col("element")})
+    every = long_.withColumns({"role": F.lit(1), "x": mine(chunks), "y": F.explode(F.sequence(F.lit(0), own_chunks - 1)), "list": F.col("element")})
+    rows = short.unionByName(outside).unionByName(every)
+    return rows.groupBy("list", "x", "y").applyInArrow(_across(threshold), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, linked (whether another row is in its component).
 
@@ -318,14 +392,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if r < PIVOT_ROUNDS:
             pivot = own.groupBy("element").agg(F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), "id", "n", "c")).alias("p"))
             pairs = own.join(pivot, "element").select(F.col("id").alias("a"), F.col("p.id").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb"), F.col("c").alias("ca"), F.col("p.c").alias("cb"))
+            pairs = pairs.where(sized & (F.col("ca") != F.col("cb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         else:
-            own = written(own, "labelled")
-            largest = own.groupBy("element", "c").agg(F.count("*").alias("k")).groupBy("element").agg(F.count("*").alias("held"), F.max(F.struct("k", "c"))["c"].alias("main")).where("held > 1").drop("held")
-            mixed = written(own.join(largest, "element"), "mixed")
-            some = mixed.where("c <> main").select("element", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-            every = mixed.select("element", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), (F.col("c") == F.col("main")).alias("is_main"))
-            pairs = some.join(every, "element").where("is_main OR a < b")
-        pairs = pairs.where(sized & (F.col("ca") != F.col("cb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            pairs = _pairs_across(written(own, "labelled"), reps, threshold)
         found = written(verified(pairs), "links")
         links = found if links is None else links.union(found)
         components = written(connected_components(links, "a", "b"), "components")

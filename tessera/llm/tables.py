@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
 
@@ -13,6 +14,13 @@ from pyspark.sql import functions as F
 BLOCK_CHARS = 4_000_000
 
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.mallopt(-3, 1 << 18)  # larger blocks always come straight from the system, and go back when freed
+except (OSError, AttributeError):  # another C library: nothing to tune
+    _LIBC = None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -26,6 +34,13 @@ def fold_of(doc_id: int, parts: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % parts
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system; workers are kept and would hold on to it between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = BLOCK_CHARS) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about `chars` bytes of text, so that memory depends on no batch's size."""
     for batch in batches:
