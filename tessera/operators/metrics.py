@@ -65,7 +65,7 @@ def pessimistic_ranks(scored: DataFrame, by: str = "query_id", score: str = "sco
 def normalize_answer(text: Column) -> Column:
     """Lower case without punctuation and articles, single spaces."""
     t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[!-/:-@\[-`{-~]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"\b(a|an|the)\b", " "), r"[ \t\n\r\f\x0B]+", " "))
+    return F.array_join(F.filter(F.split(t, r"[ \t\n\r\f\x0B]+"), lambda w: ~w.isin("a", "an", "the", "")), " ")
 
 
 def answer_scores(rows: DataFrame, key: str, predicted: str, gold: str) -> DataFrame:

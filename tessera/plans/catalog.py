@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import graphs, retrieval
+from tessera.plans import graphs, retrieval, texts
 
 FLAGSHIP = "bm25_topk"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**retrieval.QUERIES, **graphs.QUERIES}
-ORACLES: dict[str, str] = {**retrieval.ORACLES, **graphs.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**retrieval.QUERIES, **graphs.QUERIES, **texts.QUERIES}
+ORACLES: dict[str, str] = {**retrieval.ORACLES, **graphs.ORACLES, **texts.ORACLES}
