@@ -10,9 +10,9 @@ one document only first, then: (1) rarest first; (2) by octave of rarity, hashed
    shared has no partner (n long and the fact are kept; its set is dropped). For the others, shared elements suffice:
    intersections hold nothing else, and unions follow from the sizes.
 3. Documents with equal sets become one representative.
-4. Representatives that share a prefix element of order 1 are candidates. First every element's list links to one pivot
-   per round; verified links are joined into components. Then, with components known, all pairs across components are
-   candidates. Their lists are gone through in blocks; of a pair, sizes and parity sketches bound the intersection, and
+4. Representatives that share a prefix element of order 1 are candidates. First every element's list links to one
+   pivot; verified links are joined into components. Then, with components known, each document takes the likeliest one
+   of another component in each list; in the end all pairs across the components that are left are candidates. Their lists are gone through in blocks; of a pair, sizes and parity sketches bound the intersection, and
    only pairs that the bound leaves open become rows. No pair that could change the result is left out, and none
    within a component is looked at again.
 5. Candidates are verified: filters of orders 2 and 3, then the exact intersection.
@@ -45,8 +45,9 @@ BLOCK_DOCS = 50_000
 SEVERAL = 0xFFFF
 #: Elements that one group of the document-frequency count is to hold on average.
 PART_ELEMENTS = 750_000
-#: Rounds in which each list links to one pivot before all remaining pairs are looked at.
-PIVOT_ROUNDS = 2
+#: Rounds of candidates: each list's documents with one pivot; each document with the most promising one of another
+#: component in each list; all pairs across components that are then left.
+ROUNDS = ("pivot", "best", "all")
 #: Bits of a set's sketch.
 SKETCH_BITS = 2048
 #: Rows of prefix lists that one group holds (about 300 bytes each).
@@ -289,9 +290,11 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], ["id", "size", "bits"])
 
 
-def _across(threshold: int):
+def _across(threshold: int, only_best: bool):
     """Of lists' rows: pairs of different components that sizes and sketches leave open, inside each list.
 
+    only_best: of each left row's open pairs the one with the largest bounded similarity.
+
     Two sets whose parities differ in d bits differ in d elements at least, so they share (|a| + |b| - d) / 2 at most.
     """
 
@@ -313,6 +316,10 @@ def _across(threshold: int):
                     j, k = i[u, 0], right[v]
                     most = (size[j] + size[k] - np.bitwise_count(bits[j] ^ bits[k]).sum(1).astype(np.int64)) // 2
                     open_ = (100 + threshold) * most >= threshold * both[u, v]
+                    if only_best:
+                        likely = np.where(open_, most / both[u, v], -1.0)
+                        best = np.lexsort((v, -likely, u))
+                        open_[best[np.r_[False, u[best][1:] == u[best][:-1]]]] = False
                     out_a.append(ids[j[open_]])
                     out_b.append(ids[k[open_]])
         a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
@@ -323,7 +330,7 @@ def _across(threshold: int):
     return run
 
 
-def _pairs_across(own: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
+def _pairs_across(own: DataFrame, reps: DataFrame, threshold: int, only_best: bool) -> DataFrame:
     """(a, b): all candidates across components, from a written table (element, id, n, c).
 
     Lists are dealt over groups of about LIST_ROWS rows; a longer list's rows are cut in chunks of that size, each chunk
@@ -341,7 +348,7 @@ def _pairs_across(own: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
     outside = long_.where("c <> main").withColumns({"role": F.lit(0), "x": F.explode(F.sequence(F.lit(0), chunks - 1)), "y": mine(own_chunks), "list": F.col("element")})
     every = long_.withColumns({"role": F.lit(1), "x": mine(chunks), "y": F.explode(F.sequence(F.lit(0), own_chunks - 1)), "list": F.col("element")})
     rows = short.unionByName(outside).unionByName(every)
-    return rows.groupBy("list", "x", "y").applyInArrow(_across(threshold), "a long, b long")
+    return rows.groupBy("list", "x", "y").applyInArrow(_across(threshold, only_best), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
@@ -386,15 +393,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     components: DataFrame | None = None
     links: DataFrame | None = None
-    for r in range(PIVOT_ROUNDS + 1):
+    for r, kind in enumerate(ROUNDS):
         own = postings if components is None else postings.join(components, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
         own = own.withColumn("c", F.col("id")) if components is None else own
-        if r < PIVOT_ROUNDS:
+        if kind == "pivot":
             pivot = own.groupBy("element").agg(F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), "id", "n", "c")).alias("p"))
             pairs = own.join(pivot, "element").select(F.col("id").alias("a"), F.col("p.id").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb"), F.col("c").alias("ca"), F.col("p.c").alias("cb"))
             pairs = pairs.where(sized & (F.col("ca") != F.col("cb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         else:
-            pairs = _pairs_across(written(own, "labelled"), reps, threshold)
+            pairs = _pairs_across(written(own, "labelled"), reps, threshold, kind == "best")
         found = written(verified(pairs), "links")
         links = found if links is None else links.union(found)
         components = written(connected_components(links, "a", "b"), "components")
