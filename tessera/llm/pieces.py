@@ -21,11 +21,11 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.tables import table, text_blocks
+from tessera.llm.tables import kept, table, text_blocks
 
 MARK = "▁"
 #: Words whose ids a worker remembers, in each of two generations.
-MEMORY = 250_000
+MEMORY = 300_000
 #: Added to a byte's score, so that bytes are taken only where no piece is.
 BYTE_COST = -1e6
 _RUNS = regex.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -127,7 +127,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, with_ids: bool =
     path = model or public_tokenizers.path("piece_bpe_32k.model")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = PieceModel(path)
+        pieces = kept(PieceModel, path)
         is_byte = np.zeros(len(pieces.pieces), bool)
         is_byte[list(pieces.byte_of)] = True
         for batch in text_blocks(batches, chars=1_000_000):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +34,17 @@ def fold_of(doc_id: int, parts: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % parts
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(make: Callable[..., object], *args: object) -> object:
+    """make(*args), once per worker process: Spark keeps Python workers, and with them what they have learnt."""
+    key = (make, *args)
+    if key not in _KEPT:
+        _KEPT[key] = make(*args)
+    return _KEPT[key]
+
+
 def release_memory() -> None:
     """Gives freed memory back to the system; workers are kept and would hold on to it between tasks."""
     pa.default_memory_pool().release_unused()

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm.tables import table, text_blocks
+from tessera.llm.tables import kept, table, text_blocks
 
 #: Pre-tokens of one leaf.
 LEAF = 32
@@ -164,7 +164,7 @@ def count_edited(docs: DataFrame, edits: int = 3, tokenizer: str | None = None)
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path)
+        counter = kept(Counter, path)
         for batch in text_blocks(batches, chars=1_000_000):
             out = []
             texts = [t or "" for t in batch.column("text").to_pylist()]
