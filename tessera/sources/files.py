@@ -49,7 +49,7 @@ def read_json_any(spark: SparkSession, path: str, schema: StructType, key: str =
 
 def read_indexed_csv(spark: SparkSession, path: str, schema: StructType, keys: list[str]) -> DataFrame:
     """CSV without null parsing; the first of `keys` that is a column must be unique, and id counts rows in file order."""
-    df = spark.read.csv(path, header=True, schema=schema, multiLine=True, quote='"', escape='"', nullValue="\u0000", emptyValue="")
+    df = spark.read.csv(path, header=True, schema=schema, multiLine=True, quote='"', escape='"', nullValue="\u0000", emptyValue="").na.fill("")
     key = next((k for k in keys if k in df.columns), None)
     if key is None:
         raise ValueError(f"none of {keys} is a column of {path}")
