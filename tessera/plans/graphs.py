@@ -89,7 +89,7 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("score", F.round("score", 6))
 
 
-def hippo_propagation(spark: SparkSession, sf: str) -> DataFrame:
+def entity_propagation(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(graph.propagate_lite(starts(spark, sf), mentions(spark, sf)))
 
 
@@ -216,7 +216,7 @@ def reachability(spark: SparkSession, sf: str) -> DataFrame:
     return graph.hops(e, spark.createDataFrame([(0, 0), (1, 1)], "start long, id long"), 3).select("start", "id", "hops")
 
 
-QUERIES = {f.__name__: f for f in (graph_nodes, graph_edges, edges_with_inverse, invalid_edge_split, entity_ids, mention_map, hippo_propagation, ranker_simple, ranker_idf, ranker_topk, ranker_idf_topk, doc_best_entity, fact_scores, strict_negatives, relation_graph, relation_profile, degree_profile, components, segment_softmax, minmax_normalise, pna_aggregate, relational_spmm_add_mul, relational_spmm_min_mul, relational_spmm_max_add, message_passing, training_losses, logical_query, reachability)}
+QUERIES = {f.__name__: f for f in (graph_nodes, graph_edges, edges_with_inverse, invalid_edge_split, entity_ids, mention_map, entity_propagation, ranker_simple, ranker_idf, ranker_topk, ranker_idf_topk, doc_best_entity, fact_scores, strict_negatives, relation_graph, relation_profile, degree_profile, components, segment_softmax, minmax_normalise, pna_aggregate, relational_spmm_add_mul, relational_spmm_min_mul, relational_spmm_max_add, message_passing, training_losses, logical_query, reachability)}
 QUERIES["connected_components"] = QUERIES.pop("components")
 
 _SPMM = """x AS (SELECT vec_id AS u, unnest(embedding[1:8])::DOUBLE AS xv, generate_subscripts(embedding[1:8], 1) - 1 AS dim FROM embeddings),
@@ -235,7 +235,7 @@ ORACLES = {
         FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) c ON c_custkey = o_custkey""",
     "entity_ids": "SELECT s_name AS uid, row_number() OVER (ORDER BY s_name) - 1 AS id FROM supplier",
     "mention_map": f"WITH {_M} SELECT entity, count(DISTINCT chunk_id)::INT AS n, array_to_string(list_sort(list(DISTINCT chunk_id)), ',') AS chunks FROM m GROUP BY entity HAVING count(DISTINCT chunk_id) > 1",
-    "hippo_propagation": f"""WITH {_M}, c AS (SELECT sample, chunk_id, sum(st.w * m.w) AS w FROM st JOIN m USING (entity) GROUP BY ALL), f AS (SELECT sample, entity, sum(c.w * m.w) AS w FROM c JOIN m USING (chunk_id) GROUP BY ALL),
+    "entity_propagation": f"""WITH {_M}, c AS (SELECT sample, chunk_id, sum(st.w * m.w) AS w FROM st JOIN m USING (entity) GROUP BY ALL), f AS (SELECT sample, entity, sum(c.w * m.w) AS w FROM c JOIN m USING (chunk_id) GROUP BY ALL),
         g AS (SELECT sample, entity, 0.7::DOUBLE * w / greatest(sum(w) OVER (PARTITION BY sample), 1) AS w FROM f), e AS (SELECT sample, entity, sum(w) AS w FROM (SELECT * FROM st UNION ALL SELECT * FROM g) GROUP BY ALL)
         SELECT sample, chunk_id, round(sum(e.w * m.w), 6) AS score FROM e JOIN m USING (entity) GROUP BY ALL""",
     "ranker_simple": f"WITH {_M} {_RANK.format('st')}",
