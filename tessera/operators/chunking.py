@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import dot, sentences
+from tessera.operators.providers import HashingEncoder, encoded
 
 #: Sentences of a window and the step between windows; least and most sentences of a chunk (fixed values).
 WINDOW, STEP, LEAST, MOST = 32, 24, 3, 16
 DIMENSIONS = 32
+CHUNK = "doc_id long, chunk_no int, sentence_start int, sentence_end int, text string, vec array<double>"
 
 
 def sentence_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -23,12 +25,7 @@ def sentence_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def hashed_vectors(rows: DataFrame, text: str = "sentence", dimensions: int = DIMENSIONS) -> DataFrame:
     """Adds vec: the words' hashed counts at unit length; the deterministic encoder that stands in for a learnt one."""
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
-    at = F.transform(words, lambda w: F.pmod(F.crc32(w), F.lit(dimensions)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(at, lambda a: a == i)).cast("double"))
-    out = rows.withColumn("__c", counts)
-    norm = F.sqrt(F.aggregate("__c", F.lit(0.0), lambda s, x: s + x * x))
-    return out.withColumn("vec", F.transform("__c", lambda x: x / F.when(norm == 0, 1.0).otherwise(norm))).drop("__c")
+    return encoded(rows, text, HashingEncoder(dimensions))
 
 
 def neighbour_distances(rows: DataFrame) -> DataFrame:
@@ -52,56 +49,69 @@ def breakpoints(rows: DataFrame, percentile: float = 0.95) -> DataFrame:
     return held.join(limit, ["doc_id", "w"]).where("distance >= limit").select("doc_id", "ord").distinct()
 
 
+def _runs(cuts: list[bool], least: int, most: int) -> list[tuple[int, int]]:
+    """Bounds of chunks: a cut counts from `least` sentences on, `most` force one, a short tail joins the chunk before."""
+    bounds, start = [], 0
+    for i, cut in enumerate(cuts):
+        size = i - start + 1
+        if size >= most or (cut and size >= least):
+            bounds.append((start, i + 1))
+            start = i + 1
+    if start < len(cuts):
+        if bounds and len(cuts) - start < least:
+            bounds[-1] = (bounds[-1][0], len(cuts))
+        else:
+            bounds.append((start, len(cuts)))
+    return bounds
+
+
 def segments(rows: DataFrame, cuts: DataFrame, least: int = LEAST, most: int = MOST) -> DataFrame:
-    """(doc_id, chunk_no, sentence_start, sentence_end, text, vec): cut at breakpoints from `least` sentences on, and at
-    `most`; a tail shorter than `least` joins the chunk before.
+    """(doc_id, chunk_no, sentence_start, sentence_end, text, vec) of each run of sentences, see _runs; vec is their mean.
 
-    A document is one state machine; its rows are bounded by its length and go through Arrow once.
+    Rows of a document come together sorted, a partition of documents at a time; the state machine over a document is
+    the only step in Python, and a document's rows are bounded by its length.
     """
     joined = rows.join(cuts.withColumn("cut", F.lit(True)), ["doc_id", "ord"], "left").select("doc_id", "ord", "sentence", "vec", F.coalesce("cut", F.lit(False)).alias("cut"))
+    packed = joined.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "sentence", "vec", "cut"))).alias("s"))
+    lists = packed.select("doc_id", F.col("s.sentence").alias("sentence"), F.col("s.vec").alias("vec"), F.col("s.cut").alias("cut"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ord")
-        bounds, start = [], 0
-        for i, cut in enumerate(rows["cut"].tolist()):
-            size = i - start + 1
-            if size >= most or (cut and size >= least):
-                bounds.append((start, i + 1))
-                start = i + 1
-        if start < len(rows):
-            if bounds and len(rows) - start < least:
-                bounds[-1] = (bounds[-1][0], len(rows))
-            else:
-                bounds.append((start, len(rows)))
-        text, vec = rows["sentence"].tolist(), np.stack(rows["vec"].to_list())
-        out = []
-        for k, (a, b) in enumerate(bounds):
-            mean = vec[a:b].mean(0)
-            out.append((rows["doc_id"].iloc[0], k, a, b - 1, " ".join(text[a:b]), mean / (np.linalg.norm(mean) or 1.0)))
-        return pd.DataFrame(out, columns=["doc_id", "chunk_no", "sentence_start", "sentence_end", "text", "vec"])
-
-    return joined.groupBy("doc_id").applyInPandas(run, "doc_id long, chunk_no int, sentence_start int, sentence_end int, text string, vec array<double>")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                vec = np.stack(list(r.vec))
+                for k, (a, b) in enumerate(_runs(list(r.cut), least, most)):
+                    mean = vec[a:b].mean(0)
+                    out.append((r.doc_id, k, a, b - 1, " ".join(r.sentence[a:b]), mean / (np.linalg.norm(mean) or 1.0)))
+            yield pd.DataFrame(out, columns=["doc_id", "chunk_no", "sentence_start", "sentence_end", "text", "vec"])
+
+    return lists.mapInPandas(run, CHUNK)
 
 
 def merged(chunks: DataFrame, similarity: float = 0.85, most_sentences: int = 32, most_words: int = 1000) -> DataFrame:
     """Neighbouring chunks joined while the next one is this similar to the running normalised vector, within limits."""
+    fields = ["chunk_no", "sentence_start", "sentence_end", "text", "vec"]
+    packed = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("c")).select("doc_id", *(F.col(f"c.{f}").alias(f) for f in fields))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for r in rows.sort_values("chunk_no").itertuples(index=False):
-            vec = np.asarray(r.vec)
-            if out:
-                last = out[-1]
-                sentences_ = r.sentence_end - last[2] + 1
-                words = len(last[4].split()) + len(r.text.split())
-                if float(last[5] @ vec) >= similarity and sentences_ <= most_sentences and words <= most_words:
-                    mean = last[5] + vec
-                    last[3], last[4], last[5] = r.sentence_end, f"{last[4]} {r.text}", mean / (np.linalg.norm(mean) or 1.0)
-                    continue
-            out.append([r.doc_id, len(out), r.sentence_start, r.sentence_end, r.text, vec])
-        return pd.DataFrame(out, columns=["doc_id", "chunk_no", "sentence_start", "sentence_end", "text", "vec"])
-
-    return chunks.groupBy("doc_id").applyInPandas(run, chunks.schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                out: list[list] = []
+                for start, end, text, vec in zip(r.sentence_start, r.sentence_end, r.text, r.vec, strict=True):
+                    vec = np.asarray(vec)
+                    if out:
+                        last = out[-1]
+                        words = len(last[4].split()) + len(text.split())
+                        if float(last[5] @ vec) >= similarity and end - last[2] + 1 <= most_sentences and words <= most_words:
+                            mean = last[5] + vec
+                            last[3], last[4], last[5] = end, f"{last[4]} {text}", mean / (np.linalg.norm(mean) or 1.0)
+                            continue
+                    out.append([r.doc_id, len(out), start, end, text, vec])
+                rows += out
+            yield pd.DataFrame(rows, columns=["doc_id", *fields])
+
+    return packed.mapInPandas(run, CHUNK)
 
 
 def semantic_chunks(docs: DataFrame, encode=hashed_vectors) -> DataFrame:  # noqa: ANN001
