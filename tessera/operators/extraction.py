@@ -58,10 +58,15 @@ def canonical_relation(name: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), _WS, " "), r"(?U)[^\w\s_]", "")
     bare = F.when(bare.startswith("has_"), F.replace(bare, F.lit("_"), F.lit(" "))).otherwise(bare)
     table = F.create_map(*map(F.lit, chain.from_iterable(CANONICAL.items())))
-    joined = F.replace(bare, F.lit(" "), F.lit("_"))
-    fallback = F.when((F.length(joined) > LONGEST) | (joined == ""), "related_to").otherwise(joined)
-    by_part = reduce(lambda rest, rule: F.when(reduce(lambda a, b: a | b, (bare.contains(w) for w in rule[0])), rule[1]).otherwise(rest), reversed(CONTAINS), fallback)
-    return F.coalesce(table[bare], by_part)
+
+    def kept(b: Column) -> Column:
+        joined = F.replace(b, F.lit(" "), F.lit("_"))
+        fallback = F.when((F.length(joined) > LONGEST) | (joined == ""), "related_to").otherwise(joined)
+        by_part = reduce(lambda rest, rule: F.when(reduce(lambda x, y: x | y, (b.contains(w) for w in rule[0])), rule[1]).otherwise(rest), reversed(CONTAINS), fallback)
+        return F.coalesce(table[b], by_part)
+
+    # as a lambda's variable the cleaned name is computed once and not copied into every rule
+    return F.element_at(F.transform(F.array(bare), kept), 1)
 
 
 def squeezed(text: Column) -> Column:
