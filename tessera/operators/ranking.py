@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import written
+
 
 def keep_first(rows: DataFrame, key: Column, order: list[str]) -> DataFrame:
     """The first row of each key in `order`."""
@@ -27,6 +29,7 @@ def dense_ids(rows: DataFrame, order: str, out: str = "id") -> DataFrame:
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = rows.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
+    parts = written(parts, "ordered")  # range bounds are sampled: a second evaluation could deal rows otherwise
     counts = parts.groupBy("__p").agg(F.count("*").alias("n"), F.min("__i").alias("__base"))
     starts = counts.withColumn("__start", F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))).select("__p", "__base", F.coalesce("__start", F.lit(0)).alias("__start"))
     return parts.join(F.broadcast(starts), "__p").withColumn(out, F.col("__i") - F.col("__base") + F.col("__start")).drop("__p", "__i", "__base", "__start")
