@@ -9,14 +9,16 @@ paths to the root are updated. All else is neither split nor counted again.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from tessera.llm.tables import kept, table, text_blocks
 
@@ -25,28 +27,45 @@ LEAF = 32
 #: Pre-tokens whose counts a worker remembers.
 MEMORY = 300_000
 _SPLIT = regex.compile(public_tokenizers.PATTERN)
+#: The letter that byte-level vocabularies have for each byte; between words the zero byte's, as a word of its own.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LETTERS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_SPELT = _LETTERS | {0: f" {_LETTERS[0]} "}
 
 
 class Counter:
-    """Tokens of pre-tokens, remembered."""
+    """Tokens of pre-tokens, remembered. New ones go to the BPE model many at a time, in the tokenizer's byte letters."""
 
     def __init__(self, path: str, memory: int = MEMORY) -> None:
         self.tokenizer, self.memory, self.known = Tokenizer.from_file(path), memory, {}
         self.tokenizer.encode_special_tokens = True
-        self.encoded = 0
-
-    def learn(self, words: Iterable[str]) -> None:
-        new = [w for w in set(words) if w not in self.known]
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.mark = self.bare.encode(_LETTERS[0], add_special_tokens=False).ids
+        if len(self.mark) != 1:
+            raise ValueError("not a byte-level vocabulary")
+
+    def learn(self, words: set[str]) -> None:
+        """Counts the words that aren't known yet; the zero byte's letter stands between them."""
+        new = [w for w in words if w not in self.known]
         if len(self.known) > self.memory:
-            self.known = {}
-            new = list(set(words))
-        if new:
-            self.known.update(zip(new, (len(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+            self.known, new = {}, list(words)
+        odd = [w for w in new if "\0" in w]
+        new = [w for w in new if "\0" not in w] if odd else new
+        self.known.update({w: len(self.tokenizer.encode(w, add_special_tokens=False).ids) for w in odd})
+        for a in range(0, len(new), 20_000):
+            some = new[a : a + 20_000]
+            lines = ["\0".join([*some[k : k + 250], ""]).encode().decode("latin-1").translate(_SPELT) for k in range(0, len(some), 250)]
+            ids = np.fromiter(chain.from_iterable(e.ids for e in self.bare.encode_batch_fast(lines, add_special_tokens=False)), np.int64)
+            ends = np.flatnonzero(ids == self.mark[0])
+            if len(ends) != len(some):
+                raise RuntimeError("the tokenizer's marks were lost")
+            self.known.update(zip(some, (np.diff(ends, prepend=-1) - 1).tolist(), strict=True))
 
     def counts(self, words: list[str]) -> list[int]:
         found = list(map(self.known.get, words))
         if None in found:
-            self.learn(words)
+            self.learn(set(words))
             found = [self.known[w] for w in words]
         return found
 
