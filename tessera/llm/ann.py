@@ -2,7 +2,9 @@
 
 Each tree splits at the median along the difference of two random vectors of its node. A query walks all trees at once:
 a priority queue over all trees' unvisited branches, nearest splitting plane first, until it has visited a share of all
-leaves. Candidates meet their queries leaf by leaf and are reranked by exact inner products in double precision.
+leaves. Candidates meet their queries in blocks of leaves, each pair in one tree only, and are reranked by exact inner
+products in double precision; those below the (k + 1)-th best of the sampled vectors that the query meets can't be in
+its answer and end there.
 
 Equal vectors are one vector for the index, with its smallest ids (k + 1 suffice for any query's answer), so a vector
 with many copies costs no more than others, and its queries are searched once.
@@ -31,7 +33,7 @@ LEAF = 40
 #: Share of all leaves of all trees that a query visits. Vectors of 64 dimensions without structure need 0.1 to 0.15 for a recall of 0.9.
 VISITED = 0.15
 #: Vectors that one block of leaves is to hold; queries that are searched at a time in one.
-BLOCK_VECTORS, BLOCK_QUERIES = 4096, 20_000
+BLOCK_VECTORS, BLOCK_QUERIES = 16_384, 20_000
 
 
 @dataclass
@@ -154,52 +156,69 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         return empty
 
     sample = distinct.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vector").toArrow()
-    forest = grow_forest(_matrix(sample.column("vector").combine_chunks()), trees)
-    shared = spark.sparkContext.broadcast(forest)
+    known = _matrix(sample.column("vector").combine_chunks())
+    forest = grow_forest(known, trees)
+    starts = np.cumsum([0, *(t.leaves for t in forest)])
+    known_leaves = [t.assign(known) + start for t, start in zip(forest, starts[:-1], strict=True)]
+    shared = spark.sparkContext.broadcast((forest, known.astype(np.float32), known_leaves))
     per_leaf = n / max(t.leaves for t in forest)
     together = max(1, int(BLOCK_VECTORS / per_leaf))
     salts = max(1, int(np.ceil(per_leaf / BLOCK_VECTORS)))
     chunks = max(1, int(np.ceil(n_asked / BLOCK_QUERIES)))
 
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees_ = shared.value[0]
         for batch in batches:
             v = _matrix(batch.column("vector"))
             reps = batch.column("rep").to_numpy()
-            for i, tree in enumerate(shared.value):
-                leaf = tree.assign(v)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), i, np.int32)), pa.array(leaf // together, pa.int32()), pa.array((reps % salts).astype(np.int32)), pa.array(leaf), batch.column("rep"), batch.column("vector")], ["tree", "block", "salt", "leaf", "rep", "vector"])
+            leaves = np.stack([t.assign(v) for t in trees_])
+            every = pa.FixedSizeListArray.from_arrays(pa.array((leaves + starts[:-1, None]).T.ravel().astype(np.int32)), len(trees_)).cast(pa.list_(pa.int32()))
+            for i in range(len(trees_)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), i, np.int32)), pa.array(leaves[i] // together, pa.int32()), pa.array((reps % salts).astype(np.int32)), every, batch.column("rep"), batch.column("vector")], ["tree", "block", "salt", "leaves", "rep", "vector"])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees_, known, known_leaves = shared.value
         for whole in batches:
-            for a in range(0, whole.num_rows, 256):
-                batch = whole.slice(a, 256)
-                trees, blocks, rep, at, leaves = [], [], [], [], []
-                for i, found in enumerate(search_forest(shared.value, _matrix(batch.column("vector")), visited)):
-                    by: dict[tuple[int, int], list[int]] = {}
-                    for tree, leaf in found:
-                        by.setdefault((tree, leaf // together), []).append(leaf)
-                    for (tree, block), some in by.items():
-                        trees.append(tree)
+            for a in range(0, whole.num_rows, 128):
+                batch = whole.slice(a, 128)
+                q = _matrix(batch.column("vector"))
+                seen = np.zeros((len(q), starts[-1]), bool)
+                trees_at, blocks, at = [], [], []
+                for i, found in enumerate(search_forest(trees_, q, visited)):
+                    seen[i, [starts[tree] + leaf for tree, leaf in found]] = True
+                    for tree, block in sorted({(tree, leaf // together) for tree, leaf in found}):
+                        trees_at.append(tree)
                         blocks.append(block)
                         at.append(i)
-                        leaves.append(some)
-                rep = batch.column("rep").take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(trees, pa.int32()), pa.array(blocks, pa.int32()), pa.array(rep.to_numpy() % chunks, pa.int32()), rep, batch.column("vector").take(pa.array(at)), pa.array(leaves, pa.list_(pa.int64()))], ["tree", "block", "chunk", "rep", "vector", "leaves"])
+                floor = np.full(len(q), -np.inf)
+                if len(known) > k:  # of the sampled vectors that this query will meet the (k + 1)-th best bounds its answer
+                    met = np.zeros((len(q), len(known)), bool)
+                    for at_leaf in known_leaves:
+                        met |= seen[:, at_leaf]
+                    floor = np.partition(np.where(met, q @ known.T.astype(np.float64), -np.inf), len(known) - k - 1, axis=1)[:, len(known) - k - 1]
+                    floor = np.where(np.isfinite(floor), floor - 1e-9 * np.maximum(1.0, np.abs(floor)), -np.inf)
+                bits = pa.array([x.tobytes() for x in np.packbits(seen, axis=1)], pa.binary())
+                at = pa.array(at, pa.int64())
+                rep = batch.column("rep").take(at)
+                yield pa.RecordBatch.from_arrays([pa.array(trees_at, pa.int32()), pa.array(blocks, pa.int32()), pa.array(rep.to_numpy() % chunks, pa.int32()), rep, batch.column("vector").take(at), pa.array(floor).take(at), bits.take(at)], ["tree", "block", "chunk", "rep", "vector", "floor", "seen"])
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The block's best candidates of each query: visited in this tree and in none before it, and above the floor."""
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if left.num_rows and right.num_rows:
-            x, leaf, reps = _matrix(left.column("vector").combine_chunks()), left.column("leaf").to_numpy(), left.column("rep").to_numpy()
-            q, asking = _matrix(right.column("vector").combine_chunks()), right.column("rep").to_numpy()
-            names, slot = np.unique(leaf, return_inverse=True)
-            place = {leaf: i for i, leaf in enumerate(names.tolist())}
-            leaves = right.column("leaves").to_pylist()
+            x, reps, tree = _matrix(left.column("vector").combine_chunks()), left.column("rep").to_numpy(), left.column("tree")[0].as_py()
+            leaves = left.column("leaves").combine_chunks().flatten().to_numpy().reshape(len(x), -1)
+            q, asking, floor = _matrix(right.column("vector").combine_chunks()), right.column("rep").to_numpy(), right.column("floor").to_numpy()
+            seen = np.frombuffer(b"".join(right.column("seen").to_pylist()), np.uint8).reshape(len(q), -1)
             keep = min(k + 4, len(x))
-            for a in range(0, len(q), 256):
-                open_ = np.zeros((min(256, len(q) - a), len(names)), bool)
-                for i, some in enumerate(leaves[a : a + 256]):
-                    open_[i, [place[s] for s in some if s in place]] = True
-                score = np.where(open_[:, slot], q[a : a + 256] @ x.T, -np.inf)
+            for a in range(0, len(q), 64):
+                open_ = np.unpackbits(seen[a : a + 64], axis=1).astype(bool)
+                fresh = open_[:, leaves[:, tree]]
+                for before in range(tree):
+                    fresh &= ~open_[:, leaves[:, before]]
+                score = q[a : a + 64] @ x.T
+                score[~fresh | (score < floor[a : a + 64, None])] = -np.inf
                 best = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
                 row, col = np.nonzero(np.isfinite(np.take_along_axis(score, best, 1)))
                 picked = best[row, col]
@@ -207,16 +226,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         cols = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, np.float64))]
         return pa.table({"q": pa.array(cols[0], pa.int64()), "c": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
-    indexed = distinct.select("rep", "vector").mapInArrow(index, "tree int, block int, salt int, leaf long, rep long, vector array<float>")
+    indexed = distinct.select("rep", "vector").mapInArrow(index, "tree int, block int, salt int, leaves array<int>, rep long, vector array<float>")
     if chunks > 1:
         indexed = indexed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     else:
         indexed = indexed.withColumn("chunk", F.lit(0))
-    visits = wanted.select("rep", "vector").mapInArrow(visit, "tree int, block int, chunk int, rep long, vector array<float>, leaves array<long>")
+    visits = wanted.select("rep", "vector").mapInArrow(visit, "tree int, block int, chunk int, rep long, vector array<float>, floor double, seen binary")
     visits = visits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))) if salts > 1 else visits.withColumn("salt", F.lit(0))
     by = ("tree", "block", "salt", "chunk")
     found = indexed.groupBy(*by).cogroup(visits.groupBy(*by)).applyInArrow(rerank, "q long, c long, score double")
-    found = found.groupBy("q", "c").agg(F.max("score").alias("score"))
     order = Window.partitionBy("q").orderBy(F.desc("score"), "c")
     best = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).select("q", F.col("c").alias("rep"), "score")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
