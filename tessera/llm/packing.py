@@ -13,6 +13,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -23,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from tessera.llm.tables import table, text_blocks
+from tessera.llm.shingles import EXACT, buffers, hashed_words
+from tessera.llm.tables import kept, table, text_blocks
 
 LENGTH = 4096
 #: Segments of one sequence at most; attention masks are made of them.
@@ -34,13 +36,12 @@ LOSS_TOKENS = LENGTH
 END = 2
 #: Tokens that a task gathers before it packs them.
 GROUP_TOKENS = 1 << 20
-#: Words whose ids a worker remembers, in each of two generations.
-MEMORY = 250_000
-_ODD_SPACES = "\x1c\x1d\x1e\x1f"
+#: Words whose ids a worker remembers (about 50 bytes each); it begins anew when they are more.
+MEMORY = 1_000_000
 #: Words that lower-casing and composing treat letter by letter, so that Python's str.lower will do.
 _LATIN = re.compile("[!-~\xa1-\xac\xae-\xb4\xb6-\xff]+")
 #: How the tokenizer splits a word (its pattern, for words of the letters above).
-_PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+|\n")
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _HIDDEN = [b for b in range(256) if b not in _SHOWN]
 _LETTER = {b: chr(b) for b in _SHOWN} | {b: chr(256 + n) for n, b in enumerate(_HIDDEN)}
@@ -52,54 +53,106 @@ class WordEncoder:
     """Ids of texts by a tokenizer that splits at white space before all else, with words' ids remembered.
 
     For word_bpe_49k.json a text's ids are its words' ids, one after the other: normalising and splitting cross no
-    white space. A block's new words of Latin letters are normalised and split here and go to the BPE model in a few
-    calls; other words, and texts with what only Python takes for white space or with the strings of special tokens,
-    go to the tokenizer as they are.
+    white space. Words are hashed (64 bits) and looked up a block of texts at a time in an open-addressing table in
+    numpy; ids lie in one array. New words of Latin letters are split here and go to the BPE model in a few calls;
+    others, and those that may hold a special token, go to the tokenizer as they are.
     """
 
     def __init__(self, path: str, memory: int = MEMORY) -> None:
         self.tokenizer, self.memory = Tokenizer.from_file(path), memory
         self.bare = Tokenizer(self.tokenizer.model)
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.mark = self.bare.encode("\u010a", add_special_tokens=False).ids
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if _LATIN.fullmatch(w)] if len(self.mark) == 1 else []
-        for a in range(0, len(plain), 50_000):
-            some = plain[a : a + 50_000]
-            lines = ["".join([f"{' '.join(_PRE_TOKENS.findall(w.lower()))} \n " for w in some[k : k + 200]]).translate(_BYTE_LETTERS) for k in range(0, len(some), 200)]
-            ids = np.array([i for e in self.bare.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], "<u4")
-            ends = np.flatnonzero(ids == self.mark[0]).tolist()
-            if len(ends) != len(some):
-                raise RuntimeError("the tokenizer's marks were lost")
-            data = ids.tobytes()
-            self.young.update(zip(some, (data[4 * x : 4 * y] for x, y in zip([0, *(e + 1 for e in ends[:-1])], ends, strict=True)), strict=True))
+        self.mark = self.bare.encode(_BYTE_LETTERS[10], add_special_tokens=False).ids
+        self._forget()
+
+    def _forget(self) -> None:
+        self.size = 1 << (2 * max(self.memory, 8) - 1).bit_length()
+        self.keys, self.places = np.zeros(self.size, np.uint64), np.zeros(self.size, np.int32)
+        self.starts, self.lengths, self.words = np.zeros(1024, np.int64), np.zeros(1024, np.int32), 0
+        self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The word's number, or -1."""
+        out = np.full(len(hashes), -1, np.int32)
+        open_, at = np.arange(len(hashes)), (hashes & np.uint64(self.size - 1)).astype(np.int64)
+        while len(open_):
+            key = self.keys[at]
+            hit = key == hashes[open_]
+            out[open_[hit]] = self.places[at[hit]]
+            on = ~hit & (key != 0)
+            open_, at = open_[on], (at[on] + 1) & (self.size - 1)
+        return out
+
+    def _insert(self, hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Distinct new words."""
+        n = len(hashes)
+        while self.words + n > len(self.starts):
+            self.starts, self.lengths = np.r_[self.starts, np.zeros_like(self.starts)], np.r_[self.lengths, np.zeros_like(self.lengths)]
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.r_[self.ids, np.zeros_like(self.ids)]
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.lengths[self.words : self.words + n] = lengths
+        self.starts[self.words : self.words + n] = self.used + np.cumsum(lengths) - lengths
+        open_, at = np.arange(n), (hashes & np.uint64(self.size - 1)).astype(np.int64)
+        while len(open_):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = hashes[open_[free]]
+            won = free & (self.keys[at] == hashes[open_])
+            self.places[at[won]] = self.words + open_[won]
+            open_, at = open_[~won], (at[~won] + ~free[~won]) & (self.size - 1)
+        self.words += n
+        self.used += len(ids)
+
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Ids of the words, one after the other, their numbers of ids, and in which order the words come."""
+        plain = [k for k, w in enumerate(words) if ((w.isascii() and w.isprintable()) or _LATIN.fullmatch(w)) and "<|" not in w]
+        ids, lengths = [], []
+        for a in range(0, len(plain), 20_000):
+            some = [words[k] for k in plain[a : a + 20_000]]
+            # one pass over all words: their pre-tokens and the ends of words, blanks between, in the tokenizer's letters
+            split = " ".join(_PRE_TOKENS.findall("\n".join(some).lower())).translate(_BYTE_LETTERS) + f" {_BYTE_LETTERS[10]}"
+            lines, at = [], 0
+            while at < len(split):
+                cut = split.find(f"{_BYTE_LETTERS[10]} ", at + 2000)
+                lines.append(split[at : cut + 1] if cut >= 0 else split[at:])
+                at = cut + 2 if cut >= 0 else len(split)
+            got = np.fromiter(chain.from_iterable(e.ids for e in self.bare.encode_batch_fast(lines, add_special_tokens=False)), "<u4")
+            ends = np.flatnonzero(got == self.mark[0])
+            if len(self.mark) != 1 or len(ends) != len(some):
+                raise ValueError("this tokenizer doesn't keep words apart")
+            ids.append(got[got != self.mark[0]])
+            lengths.append(np.diff(ends, prepend=-1) - 1)
         known = set(plain)
-        others = [w for w in words if w not in known]
+        others = [k for k in range(len(words)) if k not in known]
         if others:
-            self.young.update(zip(others, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids, little-endian unsigned 32-bit."""
-        odd = [*_ODD_SPACES, *self.special]
-        whole = [any(s in t for s in odd) for t in texts]
-        split = [[] if w else t.split() for t, w in zip(texts, whole, strict=True)]
-        missing: set[str] = set()
-        for words in split:
-            missing.update(words)
-        missing.difference_update(self.young)
-        if missing:
-            if len(self.young) > self.memory:
-                self.old, self.young = self.young, {}
-                missing = {w for words in split for w in words}
-            again = missing & self.old.keys()
-            self.young.update({w: self.old[w] for w in again})
-            self._learn(sorted(missing - again))
-        get = self.young.__getitem__
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w else b"".join(map(get, words)) for t, w, words in zip(texts, whole, split, strict=True)]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([words[k] for k in others], add_special_tokens=False)]
+            ids.append(np.fromiter(chain.from_iterable(got), "<u4"))
+            lengths.append(np.array([len(x) for x in got], np.int64))
+        return np.concatenate(ids), np.concatenate(lengths), plain + others
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids, one after the other, and each text's bounds in them; nulls are empty."""
+        data, offsets = buffers(texts)
+        hashes, starts, ends = hashed_words(data, offsets, EXACT)
+        hashes[hashes == 0] = 1
+        found = self._find(hashes)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new, first = np.unique(hashes[missing], return_index=True)
+            if self.words + len(new) > self.memory:
+                self._forget()
+                new, first = np.unique(hashes, return_index=True)
+                missing = np.arange(len(hashes))
+                self.memory = max(self.memory, len(new))
+                self._forget()
+            raw, at = data.tobytes(), missing[first]
+            ids, lengths, order = self._learn([raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            self._insert(new[order], ids, lengths)
+            found[missing] = self._find(hashes[missing])
+        lengths = self.lengths[found].astype(np.int64)
+        upto = np.r_[0, np.cumsum(lengths)]
+        at = np.repeat(self.starts[found] - upto[:-1], lengths) + np.arange(upto[-1])
+        return self.ids[at], upto[np.searchsorted(starts, offsets)]
 
 
 @dataclass(frozen=True)
@@ -199,7 +252,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, limits: Limits
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = kept(WordEncoder, path)
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 32
         held: list[tuple[int | None, bytes, int]] = []
@@ -223,9 +276,10 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, limits: Limits
         end = np.array([END], "<u4").tobytes()
         for batch in text_blocks(batches, chars=1_000_000):
             skips = batch.column("skip").to_pylist()
-            encoded = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
-            for i, ids, skip in zip(batch.column("doc_id").to_pylist(), encoded, skips, strict=True):
-                ids += end
+            encoded, bounds = encoder.encode(batch.column("text"))
+            bounds = bounds.tolist()
+            for k, (i, skip) in enumerate(zip(batch.column("doc_id").to_pylist(), skips, strict=True)):
+                ids = encoded[bounds[k] : bounds[k + 1]].tobytes() + end
                 held.append((i, ids, max(0, skip or 0)))
                 size += len(ids) // 4
                 if size >= GROUP_TOKENS:

@@ -15,6 +15,8 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Every byte for itself.
+EXACT = np.arange(256, dtype=np.uint8)
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
 _VALUE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -51,11 +53,11 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word of every text, and each text's bounds among the words."""
+def hashed_words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of every word of every text, and where each begins and ends; `letters` says which bytes count as equal."""
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    low = _LOWER[data]
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low = letters[data]
     inside = ~_SEPARATOR[low]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
@@ -66,7 +68,12 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(_VALUE[low] * p[: len(data)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
+    return mix((sums[ends] - sums[starts]) * inv[starts] + (ends - starts).astype(np.uint64)), starts, ends
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word of every text, and each text's bounds among the words."""
+    hashes, starts, _ = hashed_words(data, offsets)
     return hashes, np.searchsorted(starts, offsets)
 
 

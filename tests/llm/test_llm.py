@@ -197,7 +197,8 @@ def test_packing_edges(spark):
     texts = ["it's the 3rd", "naïve CAFÉ e\u0301", "İstanbul ΣΑΣ", "a\x1cb", "x\u00a0y\u2003z", "don't!!", "ﬁ µ ª º ½", "<|endoftext|>", "日本語 テスト", "'s 't 'llama", ""]
     enc = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), memory=3)
     for _ in range(3):
-        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        ids, bounds = enc.encode(pa.array([*texts, None]))
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [*(tok.encode(t, add_special_tokens=False).ids for t in texts), []]
     assert packing.pack_documents(frame(spark, [])).count() == 0
     rows = packing.pack_documents(frame(spark, [(i, t) for i, t in EDGE if i not in (None, 4)])).collect()
     assert covered(rows, {i: len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in EDGE if i not in (None, 4)}) == 0
