@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -66,3 +67,9 @@ def ship(spark: SparkSession) -> None:
             out.write(source, source.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(archive))
     _shipped.add(app)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: Spark then removes the shuffle files of finished plans, which else stay long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
