@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import written
+from tessera.session import discard, written
 
 
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 64) -> DataFrame:
@@ -25,13 +25,14 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
         own = F.struct(F.xxhash64("u", F.lit(r)).alias("h"), F.col("u").alias("id"))
         step = written(nearest.select(F.col("u").alias("id"), F.least("m", own)["id"].alias("label")), "labels")
         if labels is None:
-            labels = step
+            labels, old = step, None
         else:
             to = step.select(F.col("id").alias("label"), F.col("label").alias("next"))
-            labels = written(labels.join(to, "label", "left").select("id", F.coalesce("next", "label").alias("label")), "labels")
+            old, labels = labels, written(labels.join(to, "label", "left").select("id", F.coalesce("next", "label").alias("label")), "labels")
         left = step.select(F.col("id").alias("u"), F.col("label").alias("lu"))
         right = step.select(F.col("id").alias("v"), F.col("label").alias("lv"))
-        live = written(live.join(left, "u").join(right, "v").where("lu <> lv").select(F.col("lu").alias("u"), F.col("lv").alias("v")).distinct(), "edges")
+        before, live = live, written(live.join(left, "u").join(right, "v").where("lu <> lv").select(F.col("lu").alias("u"), F.col("lv").alias("v")).distinct(), "edges")
+        discard(before, *([old, step] if old is not None else []))
     else:
         raise RuntimeError(f"no end after {max_rounds} rounds")
     if labels is None:
