@@ -1,9 +1,10 @@
 """URL verdicts: rules first, else link-graph propagation of trust and distrust.
 
-Edges join the hosts of pages to the hosts of absolute links in their HTML, and a host to its parent domain and back
-(host names nest, so a site's parts vouch for each other). Trust is a personalised PageRank along edges from hosts of
-which rules allow most pages; distrust is one against the edges from hosts of which rules block most pages. A host is blocked
-where distrust outweighs trust; without either it is allowed.
+Edges join the hosts of pages to the hosts of absolute links in their HTML, and each host to its parent domain and back,
+up to the name of two labels, whether or not the parents have pages (host names nest, so a site's parts vouch for each
+other). Trust is a personalised PageRank along edges from all hosts with pages that rules allow, weighed by their number;
+distrust is one against the edges from all hosts with pages that rules block. A host is blocked where distrust outweighs
+trust; without either it is allowed.
 """
 
 from __future__ import annotations
@@ -32,8 +33,6 @@ class Rule:
 RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
 DAMPING = 0.85
 ROUNDS = 8
-#: A host is a seed if rules give more than this share of its pages the same action; it weighs as many pages as they do.
-SEED_SHARE = 0.5
 #: A host is blocked where distrust exceeds this many times its trust.
 RATIO = 1.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,11 +58,13 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Colu
 def host_graph(pages: DataFrame) -> DataFrame:
     """(src, dst, w): weighted host edges without loops, from (host, html); links count, containment counts as one."""
     links = pages.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"""(?i)href\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>]+)"""), F.lit(1))).alias("url"))
-    links = links.select("src", host_of(F.col("url")).alias("dst"), F.lit(1.0).alias("w"))
-    hosts = pages.select("host").distinct()
+    links = written(links.select("src", host_of(F.col("url")).alias("dst")).groupBy("src", "dst").agg(F.count("*").cast("double").alias("w")), "host-links")
+    hosts = pages.select("host").union(links.select("dst")).distinct()
     parts = F.split("host", r"\.")
-    parents = hosts.select("host", F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), ".").alias("parent")).where(F.size(parts) > 2)
-    nested = parents.select(F.col("host").alias("src"), F.col("parent").alias("dst"), F.lit(1.0).alias("w"))
+    name = lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")
+    steps = F.transform(F.sequence(F.lit(1), F.size(parts) - 2), lambda i: F.struct(name(i).alias("src"), name(i + 1).alias("dst")))
+    parents = hosts.where(F.size(parts) > 2).select(F.inline(steps)).distinct()
+    nested = parents.withColumn("w", F.lit(1.0))
     nested = nested.union(nested.select("dst", "src", "w"))
     return links.union(nested).where("src <> dst AND src <> '' AND dst <> ''").groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
@@ -100,8 +101,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, ratio: float = RATI
     action = F.create_map(*(F.lit(x) for r in rules for x in (r.name, r.action)))
     named = parsed.select("page_id", "host", "path", rule_of(F.col("host"), F.col("path"), rules).alias("rule"))
     counted = named.where("host <> ''").groupBy("host").agg(F.count("*").alias("pages"), F.count_if(action[F.col("rule")] == "allow").alias("trusted"), F.count_if(action[F.col("rule")] == "block").alias("blocked"))
-    most = lambda c: F.when(F.col(c) > F.col("pages") * SEED_SHARE, F.col(c)).otherwise(0)
-    hosts = written(counted.withColumns({"trusted": most("trusted"), "blocked": most("blocked")}), "hosts")
+    hosts = written(counted, "hosts")
     ranks = propagate(host_graph(parsed.select("host", "html")), hosts)
     judged = written(hosts.join(ranks, "host", "left").select("host", "pages", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")), "judged")
     out = left_join_unique(named, judged, "host", "pages", ["trust", "distrust"])

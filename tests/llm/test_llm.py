@@ -281,6 +281,20 @@ def test_urls(spark, sf):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_verdicts_without_a_rule_follow_the_hosts_nearby(spark):
+    rows = [(1, "http://m.x.example.com/de/", None)]
+    rows += [(k, f"http://m.x.example.com/en/{k}", None) for k in range(2, 6)]  # one page in five is enough for a seed
+    rows += [(10, "http://a.b.c.example.com/", None), (20, "http://p.q.example.org/fr/", '<a href="http://deep.w.site.info/">')]
+    rows += [(21, "http://r.example.org/x", None), (22, "http://t.site.info/", None), (30, "http://alone.info/", None)]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i for i, r in got.items() if r.verdict == "block"} == {1, 2, 3, 4, 5, 10} and got[10].rule is None
+    assert got[10].distrust > 0 and got[21].trust > 0  # by parents that have no pages
+    assert got[22].trust > 0  # by the parent of a host that only a link names
+    assert (got[30].trust, got[30].distrust) == (0, 0)
+    edges = {(r.src, r.dst) for r in urls.host_graph(spark.createDataFrame([("a.b.c.d", None)], "host string, html string")).collect()}
+    assert edges == {("a.b.c.d", "b.c.d"), ("b.c.d", "a.b.c.d"), ("b.c.d", "c.d"), ("c.d", "b.c.d")}
+
+
 def test_trust_propagation_matches_dense_iteration(spark):
     edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("b", "a", 3.0), ("d", "c", 1.0)], "src string, dst string, w double")
     seeds = spark.createDataFrame([("a", 2, 0), ("c", 0, 5)], "host string, trusted long, blocked long")
