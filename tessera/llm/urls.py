@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.tables import table
 from tessera.operators.joins import left_join_unique
-from tessera.session import written
+from tessera.session import discard, written
 
 
 @dataclass(frozen=True)
@@ -32,7 +32,10 @@ class Rule:
 
 RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
 DAMPING = 0.85
+#: Rounds between two tests of convergence.
 ROUNDS = 8
+#: Propagation goes on until ROUNDS more change the scores by less than this in sum, counted in seed pages.
+TOLERANCE = 1e-3
 #: A host is blocked where distrust exceeds this many times its trust.
 RATIO = 1.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -69,10 +72,12 @@ def host_graph(pages: DataFrame) -> DataFrame:
     return links.union(nested).where("src <> dst AND src <> '' AND dst <> ''").groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust) by personalised PageRank from (host, trusted, blocked), both scaled to sum to one.
 
-    Mass at hosts without outgoing edges is lost. Sums are rounded to 12 digits, so order doesn't show.
+    Mass at hosts without outgoing edges is lost. Without a number of rounds it goes on until ROUNDS more reach no new host
+    and change each score's sum over all hosts by less than tolerance seed pages (the rest is then below 0.4 of that);
+    damping must be below one. Scores are rounded at the end, to 9 significant digits, so order doesn't show.
     """
     both = edges.select(F.lit("trust").alias("way"), "src", "dst", "w").union(edges.select(F.lit("distrust"), "dst", "src", "w"))
     out = both.groupBy("way", "src").agg(F.sum("w").alias("total"))
@@ -80,14 +85,23 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     totals = seeds.agg(F.sum("trusted").alias("t"), F.sum("blocked").alias("b")).first()
     start = seeds.select("host", F.explode(F.create_map(F.lit("trust"), F.col("trusted") / F.lit(float(totals.t or 1) or 1.0), F.lit("distrust"), F.col("blocked") / F.lit(float(totals.b or 1) or 1.0))).alias("way", "seed"))
     start = written(start.where("seed > 0"), "seeds")
-    rank = start.select("way", "host", F.col("seed").alias("r"))
-    for k in range(rounds):
-        moved = rank.join(both.withColumnRenamed("src", "host"), ["way", "host"]).select("way", F.col("dst").alias("host"), (F.col("r") * F.col("p") * damping).alias("r"))
-        kept = start.select("way", "host", (F.col("seed") * (1 - damping)).alias("r"))
-        rank = moved.union(kept).groupBy("way", "host").agg(F.round(F.sum("r"), 12).alias("r"))
-        if k % 2:
-            rank = written(rank, "ranks")
-    return rank.groupBy("host").agg(F.sum(F.when(F.col("way") == "trust", F.col("r")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("way") == "distrust", F.col("r")).otherwise(0.0)).alias("distrust"))
+    rank, done = start.select("way", "host", F.col("seed").alias("r")), 0
+    pages = {"trust": float(totals.t or 1) or 1.0, "distrust": float(totals.b or 1) or 1.0}
+    kept = start.select("way", "host", (F.col("seed") * (1 - damping)).alias("r"), F.lit(0.0).alias("before"))
+    while done != rounds:
+        block, now = rank, ROUNDS if rounds is None else min(ROUNDS, rounds - done)
+        for k in range(now):
+            moved = block.join(both.withColumnRenamed("src", "host"), ["way", "host"]).select("way", F.col("dst").alias("host"), (F.col("r") * F.col("p") * damping).alias("r"), F.lit(0.0).alias("before"))
+            ends = rank.select("way", "host", F.lit(0.0), "r") if k == now - 1 else rank.limit(0).select("way", "host", "r", "r")
+            block = moved.union(kept).union(ends).groupBy("way", "host").agg(F.sum("r").alias("r"), F.sum("before").alias("before"))
+        block = written(block, "ranks")
+        moves = block.groupBy("way").agg(F.sum(F.abs(F.col("r") - F.col("before"))).alias("change"), F.count_if((F.col("before") == 0) & (F.col("r") > 0)).alias("fresh")).collect()
+        discard(rank)
+        rank, done = block, done + now
+        if rounds is None and all(m.change * pages[m.way] < tolerance and not m.fresh for m in moves):
+            break
+    score = lambda way: F.format_string("%.8e", F.sum(F.when(F.col("way") == way, F.col("r")).otherwise(0.0))).cast("double").alias(way)
+    return rank.groupBy("host").agg(score("trust"), score("distrust"))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, ratio: float = RATIO) -> DataFrame:

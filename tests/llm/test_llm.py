@@ -316,6 +316,26 @@ def test_trust_propagation_matches_dense_iteration(spark):
         assert np.allclose(got.get(n, (0, 0)), (trust[i], distrust[i]), atol=1e-9)
 
 
+def test_trust_reaches_far_hosts_and_does_not_depend_on_the_size_of_the_input(spark):
+    chain = [f"c{k}" for k in range(13)]  # 12 edges, beyond one block of rounds
+    star = [f"s{k}" for k in range(100)]
+    links = [*zip(chain[:-1], chain[1:], strict=True), ("big", "twin"), ("twin", "big"), ("hub", "big")]
+    links += [("one", x) for x in star] + [("s0", f"t{k}") for k in range(100)]
+    seeds = {"c0": 1, "one": 1, "big": 3_000_000}
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in links], "src string, dst string, w double")
+    rank = urls.propagate(edges, spark.createDataFrame([(h, n, 0) for h, n in seeds.items()], "host string, trusted long, blocked long"))
+    got = {r.host: r.trust for r in rank.collect()}
+    names = sorted({x for link in links for x in link})
+    m, seed = np.zeros((len(names), len(names))), np.array([seeds.get(n, 0) for n in names]) / sum(seeds.values())
+    for a, b in links:
+        m[names.index(a), names.index(b)] = 1
+    p = np.divide(m, m.sum(1, keepdims=True), out=np.zeros_like(m), where=m.sum(1, keepdims=True) > 0)
+    exact = np.linalg.solve(np.eye(len(names)) - 0.85 * p.T, 0.15 * seed)
+    assert min(exact[names.index(n)] for n in ("c12", "t99")) > 0
+    for n, x in zip(names, exact, strict=True):
+        assert np.isclose(got.get(n, 0.0), x, rtol=1e-6, atol=0)
+
+
 def test_edited_counts_match_full_recounts(spark, texts):
     counter = token_counts.Counter(public_tokenizers.path("byte_bpe_50k.json"))
     tok = counter.tokenizer
