@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.quotient_filter import CountingQuotientFilter
@@ -118,12 +118,28 @@ FROM documents
 """
 
 
+def digest_of(text: str = "text") -> Column:
+    """The SHA-256 of a text's bytes, in hex; null counts as empty."""
+    return F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256)
+
+
+def one_of_each(rows: DataFrame, columns: list[str], *keys: Column) -> DataFrame:
+    """Of the rows with equal keys the least one, by columns, which are the result's. Tasks send one row a key."""
+    return rows.groupBy(*(k.alias(f"__k{i}") for i, k in enumerate(keys))).agg(F.min(F.struct(*columns)).alias("__row")).select("__row.*")
+
+
 def stage_exact_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs that exact_dedup keeps, all columns; rows that repeat id and text stay once.
+    """Of the rows of docs that exact_dedup keeps, all columns, one for each id and text; of equal texts without ids one.
 
-    The decisions are joined to docs by id and digest, so rows of one id with different texts are judged apart.
+    The decisions are joined to docs by id and digest, so rows of one id with different texts are judged apart. Where
+    rows repeat id and text but not other columns, the least one by all columns stays.
     """
-    kept = exact_dedup(docs).where("kept").select("doc_id", "text_sha256").distinct()
-    own = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__id")) & (own == F.col("__sha")), "left_semi")
+    kept = exact_dedup(docs).where("kept").groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.count("*").alias("__rows"))
+    kept = written(kept, "kept")
+    own = digest_of()
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (own == F.col("__sha"))
+    out = docs.join(kept.where("__rows = 1"), same, "left_semi")
+    repeated = kept.where("__rows > 1")
+    if repeated.isEmpty():
+        return out
+    return out.union(one_of_each(docs.join(repeated, same, "left_semi"), docs.columns, F.col("doc_id"), own))

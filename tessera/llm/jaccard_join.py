@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.exact_dedup import digest_of, one_of_each
 from tessera.llm.shingles import mix, shingle_sets
 from tessera.llm.tables import release_memory, table, text_blocks
 from tessera.operators.components import connected_components
@@ -419,6 +420,22 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs of which none of the same component has a smaller id; all columns. A null id's row stays."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    """The rows of docs of which none of the same component has a smaller id; all columns.
+
+    Of linked rows without ids one stays, if no row of their component has an id; for that, each of their texts gets a
+    number from 2**63 - 2 downwards, which no id of docs may reach. Rows of one id stay or go together.
+    """
+    unnamed = docs.where("doc_id IS NULL").select(digest_of().alias("__sha")).distinct()
+    unnamed = written(unnamed.withColumn("__own", F.lit(2**63 - 2) - F.monotonically_increasing_id()), "unnamed")
+    moved = F.col("doc_id") != F.col("component_id")
+    if unnamed.isEmpty():
+        gone = near_duplicates(docs).where(moved).select(F.col("doc_id").alias("__id")).distinct()
+        return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    named = docs.where("doc_id IS NOT NULL")
+    rest = docs.where("doc_id IS NULL").join(unnamed, digest_of() == F.col("__sha"))
+    both = named.select(F.col("doc_id").cast("long").alias("doc_id"), "text").union(rest.select("__own", "text"))
+    near = written(near_duplicates(both).select(F.col("doc_id").alias("__id"), "linked", moved.alias("moved")).distinct(), "near")
+    rest = rest.join(near.where("NOT moved"), F.col("__own") == F.col("__id"))
+    alone = F.lit(-1) - F.monotonically_increasing_id()  # rows that link with nothing, as empty texts do, all stay
+    rest = one_of_each(rest.withColumn("__group", F.when(F.col("linked"), F.col("__own")).otherwise(alone)), docs.columns, F.col("__group"))
+    return named.join(near.where("moved"), F.col("doc_id") == F.col("__id"), "left_anti").union(rest)

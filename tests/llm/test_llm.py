@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import ann, exact_dedup, jaccard_join, langid, packing, pieces, pii, quality, queries, token_counts, urls
@@ -70,6 +71,28 @@ def test_exact_dedup_edges(spark):
     assert stage.columns == frame(spark, []).columns and sorted((r.doc_id, r.text) for r in stage.select("doc_id", "text").collect() if r.text == "a") == [(5, "a")]
 
 
+def test_one_row_of_each_repeated_document_stays(spark):
+    rows = [(4, "a"), (5, "a"), (5, "a"), (None, "a"), (5, "b"), (6, "b"), (6, "b"), (6, "b"), (7, "c"), (5, "d"), (None, "n"), (None, "n"), (None, "m"), (8, None), (8, "")]
+    docs = frame(spark, rows)
+    docs = docs.withColumn("source", F.concat(F.lit("s"), F.monotonically_increasing_id().cast("string")))  # rows differ elsewhere
+    stage = exact_dedup.stage_exact_dedup(docs)
+    got = sorted((r.doc_id or 0, r.text or "") for r in stage.collect())
+    assert got == sorted([(5, "a"), (6, "b"), (7, "c"), (5, "d"), (0, "n"), (0, "m"), (8, "")]) and stage.columns == docs.columns
+
+
+def test_rows_without_ids_give_way_to_one_near_duplicate(spark):
+    words = [f"w{k}" for k in range(40)]
+    near = lambda tag, k: " ".join([f"{tag}{w}" for w in words] + [f"end{k}"])
+    rows = [(None, near("a", 1)), (9, near("a", 2)), (8, near("a", 3)), (None, near("b", 1)), (None, near("b", 2)), (None, near("b", 2)), (None, near("b", 3))]
+    rows += [(None, near("c", 1)), (7, "other words"), (None, None), (None, ""), (3, None)]
+    stage = jaccard_join.stage_near_duplicates(frame(spark, rows))
+    out = [(r.doc_id, r.text) for r in stage.collect()]
+    assert [i for i, t in out if t and t.startswith("aw")] == [8] and [i for i, t in out if t and t.startswith("bw")] == [None]
+    assert len(out) == 1 + 1 + 1 + 1 + 3 and stage.columns == frame(spark, []).columns
+    clean = jaccard_join.stage_near_duplicates(exact_dedup.stage_exact_dedup(frame(spark, [*rows, *rows]))).collect()
+    assert len(clean) == 5 and len([r for r in clean if not r.text]) == 1
+
+
 def brute_sets(texts):
     sets = {}
     for i, t in texts.items():
