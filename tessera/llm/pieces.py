@@ -1,6 +1,8 @@
-"""Encoding by a SentencePiece vocabulary: an Aho-Corasick automaton drives a single-pass Viterbi.
+"""Encoding by a SentencePiece vocabulary, with the ids that its own encoder gives.
 
-The automaton of all pieces reads a word once; at each position its output links list every piece that ends there, each
+The scores of a BPE vocabulary are ranks of merges, so the path with the largest sum is not its encoding: such texts are
+encoded by merges, in SentencePiece itself. For other (unigram) vocabularies an Aho-Corasick automaton drives a
+single-pass Viterbi: the automaton of all pieces reads a word once; at each position its output links list every piece that ends there, each
 of which relaxes the best score at that position. The best path has the largest sum of piece scores. A character that
 no piece covers is taken as its UTF-8 bytes' pieces (byte fallback). Spaces become the vocabulary's mark, and one is put
 before the text; no piece holds a mark after another character, so a text's best path is its words' best paths.
@@ -20,6 +22,7 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from sentencepiece import sentencepiece_model_pb2
 
 from tessera.llm.tables import kept, table, text_blocks
 
@@ -46,6 +49,9 @@ class PieceModel:
         self.automaton.make_automaton()
         if any(MARK in self.pieces[i].lstrip(MARK) for i in plain):
             raise ValueError("a piece holds the mark after another character; words can't be encoded apart")
+        proto = sentencepiece_model_pb2.ModelProto.FromString(model.serialized_model_proto())
+        self.merges = proto.trainer_spec.model_type == sentencepiece_model_pb2.TrainerSpec.BPE
+        self.model = model
         self.memory, self.young, self.old = memory, {}, {}
 
     def best_path(self, word: str) -> list[int]:
@@ -87,6 +93,8 @@ class PieceModel:
         """The ids of a text; of an empty one none."""
         if not text:
             return np.zeros(0, "<u4")
+        if self.merges:
+            return np.array(self.model.encode(text), "<u4")
         words = _RUNS.findall(MARK + text.replace(" ", MARK))
         found = list(map(self.young.get, words))
         if None in found:

@@ -448,6 +448,17 @@ def test_pieces(spark, texts):
     assert pieces.encode_documents(frame(spark, [])).count() == 0
 
 
+def test_pieces_are_those_of_the_vocabularys_own_encoder(spark, texts):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, model = sentencepiece.SentencePieceProcessor(model_file=path), pieces.PieceModel(path)
+    assert model.merges and sp.encode("des Elle", out_type=str) == ["▁des", "▁Elle"]
+    some = [(k, t) for k, t in enumerate([*list(texts.values())[:50], "des Elle", " a  b ", "", "日本 💥\n"])]
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in pieces.encode_documents(frame(spark, some)).collect()}
+    assert got == {k: sp.encode(t) for k, t in some}
+
+
 def test_language(spark, sf):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = queries.QUERIES["op10_language_id"](spark, sf).collect()
