@@ -36,14 +36,16 @@ def resolve(terms: DataFrame, entities: DataFrame, least: int = 3) -> DataFrame:
     return whole.select("id", "uid").union(rest.join(words, "norm").select("id", "uid")).distinct()
 
 
-def synonyms(phrases: DataFrame, queries: DataFrame, threshold: float = 0.8, most: int = 100) -> DataFrame:
+def synonyms(phrases: DataFrame, queries: DataFrame, threshold: float = 0.8, most: int = 100, max_queries: int = 10_000) -> DataFrame:
     """(source, target, score): each query phrase's nearest others, by the share of the best score, no self.
 
     phrases and queries: (id, name, vec); phrases of three letters or digits at least. queries is a stated set in one
-    block; run it block by block over all phrases.
+    block; more than max_queries of three letters or digits are refused: run it block by block over all phrases.
     """
     ok = F.length(F.regexp_replace("name", "[^A-Za-z0-9]", "")) > 2
-    scored = phrases.where(ok).select(F.col("id").alias("doc_id"), F.col("vec").alias("v")).crossJoin(F.broadcast(queries.where(ok).limit(10_000).select(F.col("id").alias("query_id"), F.col("vec").alias("q")))).select("query_id", "doc_id", dot(F.col("q"), F.col("v")).alias("score"))
+    if queries.where(ok).limit(max_queries + 1).count() > max_queries:
+        raise ValueError(f"more than {max_queries} query phrases in one block")
+    scored = phrases.where(ok).select(F.col("id").alias("doc_id"), F.col("vec").alias("v")).crossJoin(F.broadcast(queries.where(ok).select(F.col("id").alias("query_id"), F.col("vec").alias("q")))).select("query_id", "doc_id", dot(F.col("q"), F.col("v")).alias("score"))
     best = top_k(scored, most + 1)
     share = F.col("score") / F.max("score").over(Window.partitionBy("query_id"))
     return best.withColumn("score", share).where((F.col("score") >= threshold) & (F.col("query_id") != F.col("doc_id"))).select(F.col("query_id").alias("source"), F.col("doc_id").alias("target"), "score")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import extraction, filings, linking, providers
@@ -98,3 +99,13 @@ def test_providers(spark):
     assert providers.with_retries(flaky)("p") == "ok"
     answer, docs = providers.reason("q", lambda q: [("a", 1.0 if q == "q" else 2.0), (q, 0.5)], lambda q, d: "So the answer is: 1" if "t" in d else "t", steps=3)
     assert answer.endswith("1") and docs[0] == ("a", 2.0)
+
+
+def test_synonyms_refuse_more_queries_than_a_block_holds(spark):
+    phrases = spark.createDataFrame([(k, f"phrase {k}", [1.0, 0.0]) for k in range(4)] + [(9, "a", [1.0, 0.0])], "id long, name string, vec array<double>")
+    assert {r.source for r in linking.synonyms(phrases, phrases, max_queries=4).collect()} == {0, 1, 2, 3}
+    with pytest.raises(ValueError, match="more than 3"):
+        linking.synonyms(phrases, phrases, max_queries=3)
+    many = spark.range(10_001).select("id", F.lit("phrase").alias("name"), F.array(F.lit(1.0)).alias("vec"))
+    with pytest.raises(ValueError, match="more than 10000"):
+        linking.synonyms(phrases, many)
