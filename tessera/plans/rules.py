@@ -31,7 +31,7 @@ def whitelisted_edges(spark: SparkSession, sf: str) -> DataFrame:
 def grounded_triples(spark: SparkSession, sf: str) -> DataFrame:
     """Documents' first words as triples: (first, second, third word), with the first word as the only entity."""
     w = F.filter(F.split(clean_text(F.col("text")), " "), lambda x: x != "")
-    rows = docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), F.substring(clean_text(F.col("text")), 1, 60).alias("passage"), F.array(F.element_at(w, 1)).alias("entities"), F.array(F.slice(w, 1, 3), F.slice(w, 2, 3), F.array(F.element_at(w, 1), F.lit("is"), F.lit("zzz"))).alias("triples"))
+    rows = docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), clean_text(F.col("text")).alias("passage"), F.array(F.element_at(w, 1)).alias("entities"), F.array(F.slice(w, 1, 3), F.slice(w, 2, 3), F.array(F.element_at(w, 1), F.lit("is"), F.lit("zzz"))).alias("triples"))
     clean, noisy = extraction.grounded(rows)
     return clean.select(F.lit("clean").alias("reason"), "chunk_id").union(noisy.select("reason", "chunk_id")).groupBy("reason").agg(F.count("*").alias("n"))
 

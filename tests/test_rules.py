@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import extraction, filings, linking, providers
+from tessera.plans import rules
 
 
 def one(spark, column):
@@ -109,3 +110,10 @@ def test_synonyms_refuse_more_queries_than_a_block_holds(spark):
     many = spark.range(10_001).select("id", F.lit("phrase").alias("name"), F.array(F.lit(1.0)).alias("vec"))
     with pytest.raises(ValueError, match="more than 10000"):
         linking.synonyms(phrases, many)
+
+
+def test_grounded_triples_see_whole_passages(spark, tmp_path):
+    text = " ".join(c * 40 for c in "abc")  # the second and third word end beyond 60 characters
+    spark.createDataFrame([(1, text, "en", "s", 122)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    n = {r.reason: r.n for r in rules.grounded_triples(spark, str(tmp_path)).collect()}
+    assert n["clean"] == 1 and n["entity_not_grounded_in_passage"] == 1
