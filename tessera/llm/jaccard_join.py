@@ -40,7 +40,7 @@ from tessera.session import shared_dir, written
 THRESHOLD = 75
 #: Bytes of text in one task's block; its documents share counts before the shuffle.
 BLOCK_BYTES = 4_000_000
-#: Documents in one block, so that two bytes hold a place; one batch of rows may come on top.
+#: Documents in one block, so that two bytes hold a place.
 BLOCK_DOCS = 50_000
 #: In place of a document's place: several documents of the block have the element.
 SEVERAL = 0xFFFF
@@ -94,12 +94,13 @@ def _shingle_blocks(parts: int):
         context = TaskContext.get()
         task = context.partitionId() if context else 0
         blocks = 0
-        held: list[tuple[np.ndarray, list[np.ndarray]]] = []
+        held: list[tuple[np.ndarray, list[np.ndarray], list[int]]] = []
         size = docs = 0
 
         def send(number: int) -> pa.RecordBatch:
-            ids = np.concatenate([a for a, _ in held])
-            sets = [s for _, some in held for s in some]
+            ids = np.concatenate([h[0] for h in held])
+            sets = [s for h in held for s in h[1]]
+            seconds = np.array([s for h in held for s in h[2]], np.uint64)
             n = np.array([len(s) for s in sets], np.int64)
             elements = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
             places = np.repeat(np.arange(len(sets), dtype=np.uint16), n)
@@ -114,7 +115,7 @@ def _shingle_blocks(parts: int):
             key = (task << 24) | number
             valid = ~np.isnan(ids.astype(float)) if ids.dtype == object else np.ones(len(ids), bool)
             plain = np.array([0 if x is None else x for x in ids], np.int64) if ids.dtype == object else ids
-            rows = [(-1 - key % parts, key, _pack(plain, valid, n, sums, mixed, elements[several], places[several]))]
+            rows = [(-1 - key % parts, key, _pack(plain, valid, n, sums, mixed, seconds, elements[several], places[several]))]
             at = (distinct >> np.uint64(32)).astype(np.int64) * parts >> 32
             edges = np.searchsorted(at, np.arange(parts + 1))
             place = np.where(counts == 1, places[first], np.uint16(SEVERAL)).astype("<u2")
@@ -125,15 +126,15 @@ def _shingle_blocks(parts: int):
                     rows.append((p, key, _pack(distinct[a:b], place[a:b], np.zeros(0, "<u2") if small else counts[a:b].astype("<u2"))))
             return pa.RecordBatch.from_arrays([pa.array([abs(r[0] + 1) if r[0] < 0 else r[0] for r in rows], pa.int32()), pa.array([-1 - r[1] if r[0] < 0 else r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["part", "key", "payload"])
 
-        for batch in text_blocks(batches, "text", 1_000_000):
-            ids = batch.column("doc_id")
-            held.append((np.array(ids.to_pylist(), object if ids.null_count else np.int64), shingle_sets(batch.column("text"))))
-            size += batch.column("text").nbytes
-            docs += batch.num_rows
-            if size >= BLOCK_BYTES or docs >= BLOCK_DOCS:
+        for batch in text_blocks(batches, "text", 1_000_000, BLOCK_DOCS):
+            if held and (size >= BLOCK_BYTES or docs + batch.num_rows > BLOCK_DOCS):
                 yield send(blocks)
                 held, size, docs, blocks = [], 0, 0, blocks + 1
                 release_memory()
+            ids = batch.column("doc_id")
+            held.append((np.array(ids.to_pylist(), object if ids.null_count else np.int64), *shingle_sets(batch.column("text"))))
+            size += batch.column("text").nbytes
+            docs += batch.num_rows
         if held:
             yield send(blocks)
 
@@ -189,7 +190,7 @@ def _documents(threshold: int):
         for i, is_documents in enumerate(flags):
             data = payloads[i].as_buffer().to_pybytes()
             if is_documents:
-                ids, valid, n, sums, mixed, local, local_places = _unpack(data, "<i8", "?", "<i8", "<u8", "<u8", "<u8", "<u2")
+                ids, valid, n, sums, mixed, seconds, local, local_places = _unpack(data, "<i8", "?", "<i8", "<u8", "<u8", "<u8", "<u8", "<u2")
             else:
                 parts.append(_unpack(data, "<u8", "<u2", "<i8"))
         if parts:
@@ -212,7 +213,7 @@ def _documents(threshold: int):
         sets = [e[a:b].astype("<u8").tobytes() if ok else None for ok, a, b in zip(alive, bounds[:-1], bounds[1:], strict=True)]
         octave = np.floor(np.log2(np.maximum(df, 1))).astype(np.uint8)
         octaves = [octave[a:b].tobytes() if ok else None for ok, a, b in zip(alive, bounds[:-1], bounds[1:], strict=True)]
-        signature = [f"{int(k):x}-{int(a):016x}{int(b):016x}" if ok else None for ok, k, a, b in zip(alive, n, sums, mixed, strict=True)]
+        signature = [f"{int(k):x}-{int(a):016x}{int(b):016x}{int(c):x}" if ok else None for ok, k, a, b, c in zip(alive, n, sums, mixed, seconds, strict=True)]
         return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=~valid), "n": pa.array(n), "signature": pa.array(signature, pa.string()), "elements": pa.array(sets, pa.binary()), "octaves": pa.array(octaves, pa.binary())})
 
     return run
@@ -271,6 +272,7 @@ def _verify(threshold: int):
                     x, y = known[a], known[b]
                     if meet(x[1], y[1]) and meet(x[2], y[2]):
                         same = meet(x[0], y[0])
+                        same -= same == na == nb  # equal sets are one representative: these differ, but for a hash
                         if 100 * same >= threshold * (na + nb - same):
                             out.append((a, b))
                 if out:
@@ -373,7 +375,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alive = documents.where("signature IS NOT NULL")
     named = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))
     reps = alive.groupBy("signature").agg(F.min(named).alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("elements").alias("elements"), F.first("octaves").alias("octaves"))
-    reps = written(reps.withColumn("id", F.xxhash64("signature")), "representatives")
+    reps = written(reps.withColumn("id", F.monotonically_increasing_id()), "representatives")
     postings = written(reps.select("id", "n", "elements").mapInArrow(_prefix_rows(threshold), "element long, id long, n long"), "prefixes")
     lists = postings.groupBy("element").agg(F.count("*").alias("held")).where("held > 1").select("element")
     postings = written(postings.join(lists, "element", "left_semi"), "prefixes")
@@ -382,31 +384,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     name = f"tessera_sets_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sets = reps.select("id", "n", "elements", "octaves").repartition(buckets, "id")
-    sets.write.bucketBy(buckets, "id").sortBy("id").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    sets = spark.table(name)
-    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("elements").alias("ea"), F.col("octaves").alias("oa"))
-    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("elements").alias("eb"), F.col("octaves").alias("ob"))
     sized = (F.greatest("na", "nb") * threshold <= F.least("na", "nb") * 100) & (F.col("a") != F.col("b"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.distinct()
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ea", "oa", "eb", "ob").mapInArrow(_verify(threshold), "a long, b long")
-
-    components: DataFrame | None = None
-    links: DataFrame | None = None
-    for r, kind in enumerate(ROUNDS):
-        own = postings if components is None else postings.join(components, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        own = own.withColumn("c", F.col("id")) if components is None else own
-        if kind == "pivot":
-            pivot = own.groupBy("element").agg(F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), "id", "n", "c")).alias("p"))
-            pairs = own.join(pivot, "element").select(F.col("id").alias("a"), F.col("p.id").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb"), F.col("c").alias("ca"), F.col("p.c").alias("cb"))
-            pairs = pairs.where(sized & (F.col("ca") != F.col("cb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        else:
-            pairs = _pairs_across(written(own, "labelled"), reps, threshold, kind == "best")
-        found = written(verified(pairs), "links")
-        links = found if links is None else links.union(found)
-        components = written(connected_components(links, "a", "b"), "components")
-    spark.sql(f"DROP TABLE {name}")
+    try:
+        sets.write.bucketBy(buckets, "id").sortBy("id").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+        sets = spark.table(name)
+        left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("elements").alias("ea"), F.col("octaves").alias("oa"))
+        right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("elements").alias("eb"), F.col("octaves").alias("ob"))
+
+        def verified(pairs: DataFrame) -> DataFrame:
+            pairs = pairs.distinct()
+            return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ea", "oa", "eb", "ob").mapInArrow(_verify(threshold), "a long, b long")
+
+        components: DataFrame | None = None
+        links: DataFrame | None = None
+        for r, kind in enumerate(ROUNDS):
+            own = postings if components is None else postings.join(components, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+            own = own.withColumn("c", F.col("id")) if components is None else own
+            if kind == "pivot":
+                pivot = own.groupBy("element").agg(F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), "id", "n", "c")).alias("p"))
+                pairs = own.join(pivot, "element").select(F.col("id").alias("a"), F.col("p.id").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb"), F.col("c").alias("ca"), F.col("p.c").alias("cb"))
+                pairs = pairs.where(sized & (F.col("ca") != F.col("cb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            else:
+                pairs = _pairs_across(written(own, "labelled"), reps, threshold, kind == "best")
+            found = written(verified(pairs), "links")
+            links = found if links is None else links.union(found)
+            components = written(connected_components(links, "a", "b"), "components")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
     classes = reps.join(components, "id", "left").select("signature", "least", "copies", F.coalesce("component", "id").alias("c"))
     totals = classes.groupBy("c").agg(F.min("least").alias("component_id"), F.sum("copies").alias("size"))

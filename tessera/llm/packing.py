@@ -49,11 +49,18 @@ _LETTER = {b: chr(b) for b in _SHOWN} | {b: chr(256 + n) for n, b in enumerate(_
 _BYTE_LETTERS = {c: "".join(_LETTER[b] for b in chr(c).encode()) for c in range(256) if c != 32}
 
 
+def _firsts(hashes: np.ndarray) -> np.ndarray:
+    """Where each distinct pair of hashes comes first."""
+    order = np.lexsort(hashes[::-1])
+    some = hashes[:, order]
+    return order[np.r_[True, (some[:, 1:] != some[:, :-1]).any(0)]] if len(order) else order
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that splits at white space before all else, with words' ids remembered.
 
     For word_bpe_49k.json a text's ids are its words' ids, one after the other: normalising and splitting cross no
-    white space. Words are hashed (64 bits) and looked up a block of texts at a time in an open-addressing table in
+    white space. Words are looked up by a 128-bit hash, a block of texts at a time, in an open-addressing table in
     numpy; ids lie in one array. New words of Latin letters are split here and go to the BPE model in a few calls;
     others, and those that may hold a special token, go to the tokenizer as they are.
     """
@@ -67,17 +74,17 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.size = 1 << (2 * max(self.memory, 8) - 1).bit_length()
-        self.keys, self.places = np.zeros(self.size, np.uint64), np.zeros(self.size, np.int32)
+        self.keys, self.places = np.zeros((2, self.size), np.uint64), np.zeros(self.size, np.int32)
         self.starts, self.lengths, self.words = np.zeros(1024, np.int64), np.zeros(1024, np.int32), 0
         self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
-        """The word's number, or -1."""
-        out = np.full(len(hashes), -1, np.int32)
-        open_, at = np.arange(len(hashes)), (hashes & np.uint64(self.size - 1)).astype(np.int64)
+        """The number of the word with each pair of hashes, or -1."""
+        out = np.full(hashes.shape[1], -1, np.int32)
+        open_, at = np.arange(len(out)), (hashes[0] & np.uint64(self.size - 1)).astype(np.int64)
         while len(open_):
-            key = self.keys[at]
-            hit = key == hashes[open_]
+            key = self.keys[0, at]
+            hit = (key == hashes[0, open_]) & (self.keys[1, at] == hashes[1, open_])
             out[open_[hit]] = self.places[at[hit]]
             on = ~hit & (key != 0)
             open_, at = open_[on], (at[on] + 1) & (self.size - 1)
@@ -85,7 +92,7 @@ class WordEncoder:
 
     def _insert(self, hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
         """Distinct new words."""
-        n = len(hashes)
+        n = hashes.shape[1]
         while self.words + n > len(self.starts):
             self.starts, self.lengths = np.r_[self.starts, np.zeros_like(self.starts)], np.r_[self.lengths, np.zeros_like(self.lengths)]
         while self.used + len(ids) > len(self.ids):
@@ -93,13 +100,15 @@ class WordEncoder:
         self.ids[self.used : self.used + len(ids)] = ids
         self.lengths[self.words : self.words + n] = lengths
         self.starts[self.words : self.words + n] = self.used + np.cumsum(lengths) - lengths
-        open_, at = np.arange(n), (hashes & np.uint64(self.size - 1)).astype(np.int64)
+        open_, at = np.arange(n), (hashes[0] & np.uint64(self.size - 1)).astype(np.int64)
         while len(open_):
-            free = self.keys[at] == 0
-            self.keys[at[free]] = hashes[open_[free]]
-            won = free & (self.keys[at] == hashes[open_])
-            self.places[at[won]] = self.words + open_[won]
-            open_, at = open_[~won], (at[~won] + ~free[~won]) & (self.size - 1)
+            free = np.flatnonzero(self.keys[0, at] == 0)
+            free = free[np.unique(at[free], return_index=True)[1]]  # of words that want one place the first gets it
+            won = np.zeros(len(open_), bool)
+            won[free] = True
+            self.keys[:, at[free]] = hashes[:, open_[free]]
+            self.places[at[free]] = self.words + open_[free]
+            open_, at = open_[~won], (at[~won] + 1) & (self.size - 1)
         self.words += n
         self.used += len(ids)
 
@@ -133,22 +142,20 @@ class WordEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, one after the other, and each text's bounds in them; nulls are empty."""
         data, offsets = buffers(texts)
-        hashes, starts, ends = hashed_words(data, offsets, EXACT)
-        hashes[hashes == 0] = 1
+        hashes, starts, ends = hashed_words(data, offsets, EXACT, hashes=2)
+        hashes[0, hashes[0] == 0] = 1
         found = self._find(hashes)
         missing = np.flatnonzero(found < 0)
         if len(missing):
-            new, first = np.unique(hashes[missing], return_index=True)
-            if self.words + len(new) > self.memory:
-                self._forget()
-                new, first = np.unique(hashes, return_index=True)
-                missing = np.arange(len(hashes))
-                self.memory = max(self.memory, len(new))
+            first = missing[_firsts(hashes[:, missing])]
+            if self.words + len(first) > self.memory:
+                missing, first = np.arange(hashes.shape[1]), _firsts(hashes)
+                self.memory = max(self.memory, len(first))
                 self._forget()
-            raw, at = data.tobytes(), missing[first]
-            ids, lengths, order = self._learn([raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            self._insert(new[order], ids, lengths)
-            found[missing] = self._find(hashes[missing])
+            raw = data.tobytes()
+            ids, lengths, order = self._learn([raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+            self._insert(hashes[:, first[order]], ids, lengths)
+            found[missing] = self._find(hashes[:, missing])
         lengths = self.lengths[found].astype(np.int64)
         upto = np.r_[0, np.cumsum(lengths)]
         at = np.repeat(self.starts[found] - upto[:-1], lengths) + np.arange(upto[-1])

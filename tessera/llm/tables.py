@@ -52,8 +52,8 @@ def release_memory() -> None:
         _LIBC.malloc_trim(0)
 
 
-def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = BLOCK_CHARS) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about `chars` bytes of text, so that memory depends on no batch's size."""
+def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = BLOCK_CHARS, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about `chars` bytes of text and `rows` rows at most: memory depends on no batch's size."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -62,7 +62,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", chars:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i, size in enumerate(sizes):
-            if held and held + size > chars:
+            if (held and held + size > chars) or i - start == rows:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += int(size)

@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 from tessera.llm import ann, exact_dedup, jaccard_join, langid, packing, pieces, pii, quality, queries, token_counts, urls
 from tessera.llm.quotient_filter import CountingQuotientFilter
-from tessera.llm.shingles import shingle_sets
+from tessera.llm.shingles import buffers, hashed_words, shingle_sets
 from tessera.llm.tables import fold_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, score double, a string, t string, key string"
@@ -122,7 +122,7 @@ def brute_components(texts):
 
 def test_shingles_match_brute_force(texts):
     some = [*list(texts.values())[:40], None, "", " ", "A b", "a  B\x0bc d", "ab cd ef gh ij", "AB cd ef gh ij kl", "x " * 9]
-    ours = shingle_sets(pa.array(some))
+    ours = shingle_sets(pa.array(some))[0]
     theirs = brute_sets(dict(enumerate(some)))
     assert [len(s) for s in ours] == [len(theirs[i]) for i in range(len(some))]
     for i in range(len(some)):
@@ -130,6 +130,26 @@ def test_shingles_match_brute_force(texts):
             assert len(np.intersect1d(ours[i], ours[j])) == len(theirs[i] & theirs[j])
 
 
+def thue_morse(n):
+    return "".join("ab"[k.bit_count() % 2] for k in range(n))
+
+
+HARD_WORDS = [w for n in (8, 16, 1024, 2048) for w in (thue_morse(n), thue_morse(n).translate({97: "b", 98: "a"}))] + ["a" * 8, "a" * 16, "a" * 9, "ab" * 8 + "c", "c" + "ab" * 8]
+
+
+def test_words_that_collide_under_polynomial_hashes_are_told_apart(spark):
+    hashes = hashed_words(*buffers(pa.array(HARD_WORDS)), hashes=2)[0]
+    assert all(len(set(h.tolist())) == len(HARD_WORDS) for h in hashes)
+    random_words = ["".join(random.Random(k).choices("ab", k=1 + k % 40)) for k in range(20_000)]
+    hashes = hashed_words(*buffers(pa.array(random_words)), hashes=2)[0]
+    assert len(np.unique(hashes[0])) == len(np.unique(hashes[1])) == len(set(random_words))
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids, bounds = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json")).encode(pa.array(HARD_WORDS))
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [tok.encode(w, add_special_tokens=False).ids for w in HARD_WORDS]
+    rows = jaccard_join.near_duplicates(frame(spark, list(enumerate(HARD_WORDS)))).collect()
+    assert all(r.component_id == r.doc_id and r.n_shingles == 1 for r in rows)
+
+
 def test_near_duplicates(spark, sf, texts):
     out = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.QUERIES["op7_jaccard_join"](spark, sf).collect()}
     assert out == brute_components(texts)
@@ -154,6 +174,18 @@ def test_near_duplicates_of_a_chain_and_edges(spark):
     assert jaccard_join.stage_near_duplicates(frame(spark, [(1, "a b c"), (2, "a b c"), (3, None)])).count() == 2
 
 
+def test_near_duplicates_do_not_depend_on_the_size_of_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.range(70_000).selectExpr("id AS doc_id", "concat_ws(' ', 'x', cast(id % 35000 AS string), 'y') AS text").coalesce(1)
+    before = spark.conf.get(key)
+    spark.conf.set(key, "80000")
+    try:
+        wrong = jaccard_join.near_duplicates(docs).where("component_id <> doc_id % 35000 OR n_shingles <> 1 OR NOT linked")
+        assert wrong.count() == 0
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_quality(spark, sf):
     scored = {r.doc_id: r for r in queries.QUERIES["op2_quality"](spark, sf).collect()}
     labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
