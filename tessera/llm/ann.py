@@ -1,10 +1,14 @@
 """Approximate nearest neighbours by inner product: a forest of random-projection trees, searched through one queue.
 
-Each tree splits at the median along the difference of two random vectors of its node. A query walks all trees at once:
-a priority queue over all trees' unvisited branches, nearest splitting plane first, until it has visited a share of all
-leaves. Candidates meet their queries in blocks of leaves, each pair in one tree only, and are reranked by exact inner
-products in double precision; those below the (k + 1)-th best of the sampled vectors that the query meets can't be in
-its answer and end there.
+Each tree splits at the median along the difference of two random vectors of its node. A query walks all trees at once
+through one priority queue over all trees' open branches, likeliest first: of a branch's planes, each adds the negative
+logarithm of the chance that a neighbour lies on that side, a logistic function of the query's distance to the plane
+whose slope is fitted on the sample. It goes on until the visited leaves hold VISITED * n ** GROWTH vectors (LEAST at
+least), a share that falls as n, the number of distinct vectors, grows.
+
+Candidates meet their queries leaf by leaf, within blocks of leaves. Those below the (k + 1)-th best of the sampled
+vectors that the query meets can't be in its answer and end there; so do all but the best of a block. The rest are
+reranked by their inner products in double precision, summed without rounding errors, so that ties are ties.
 
 Equal vectors are one vector for the index, with its smallest ids (k + 1 suffice for any query's answer), so a vector
 with many copies costs no more than others, and its queries are searched once.
@@ -13,6 +17,7 @@ with many copies costs no more than others, and its queries are searched once.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,15 +30,18 @@ from tessera.llm.tables import table
 from tessera.operators.joins import left_join_unique
 from tessera.session import written
 
-TREES = 8
-#: Vectors that the trees are fitted on, at most: those with the smallest hashes of their ids. All vectors are indexed.
-SAMPLE = 20_000
+TREES = 16
+#: Vectors that the trees are fitted on, at most: those with the smallest hashes of their ids, as many as have this many
+#: bytes as floats. All vectors are indexed.
+SAMPLE, SAMPLE_BYTES = 60_000, 16_000_000
 #: Sampled vectors in a leaf, at most.
-LEAF = 40
-#: Share of all leaves of all trees that a query visits. Vectors of 64 dimensions without structure need 0.1 to 0.15 for a recall of 0.9.
-VISITED = 0.15
+LEAF = 32
+#: Vectors in the leaves that a query visits, counted in each tree: VISITED * n ** GROWTH, or LEAST if that is more.
+VISITED, GROWTH, LEAST = 7.0, 0.72, 8000
 #: Vectors that one block of leaves is to hold; queries that are searched at a time in one.
 BLOCK_VECTORS, BLOCK_QUERIES = 16_384, 20_000
+#: Pairs that a block scores at a time, and gathers before it puts aside all that can't be in an answer.
+PAIRS = 2_000_000
 
 
 @dataclass
@@ -59,12 +67,17 @@ class Tree:
             else:
                 i, j = rng.choice(rows, 2, replace=False)
                 normal = vectors[i] - vectors[j]
-                normal /= np.linalg.norm(normal) or 1.0
-                along = vectors[rows] @ normal
-                middle = np.median(along)
-                right = along > middle
-                if right.all() or not right.any():  # equal along this direction: cut by rank, all go left when assigned
-                    right = np.arange(len(rows)) >= len(rows) // 2
+                normal = (normal / (np.linalg.norm(normal) or 1.0)).astype(np.float32)
+                along = vectors[rows] @ normal.astype(float)
+                # cut midway between two different values, those nearest to the median: rounding moves no vector across
+                ranked = np.sort(along)
+                cuts = np.flatnonzero(np.diff(ranked) > 1e-12 * np.abs(ranked).max())
+                if len(cuts):
+                    at = cuts[np.abs(cuts + 1 - len(rows) // 2).argmin()]
+                    middle = (ranked[at] + ranked[at + 1]) / 2
+                    right = along > middle
+                else:  # equal along this direction: cut by rank, all go left when assigned
+                    middle, right = ranked[-1] + 1e-9 * abs(ranked[-1]) + 1e-300, np.arange(len(rows)) >= len(rows) // 2
                 me = len(normals)
                 normals.append(normal)
                 offsets.append(middle)
@@ -75,7 +88,7 @@ class Tree:
             else:
                 kids[parent][side] = me
         width = vectors.shape[1] if vectors.ndim == 2 else 0
-        return cls(np.array(normals).reshape(-1, width), np.array(offsets), [tuple(k) for k in kids], root, leaves)
+        return cls(np.array(normals, np.float32).reshape(-1, width), np.array(offsets), [tuple(k) for k in kids], root, leaves)
 
     def assign(self, vectors: np.ndarray) -> np.ndarray:
         out = np.zeros(len(vectors), np.int64)
@@ -85,7 +98,7 @@ class Tree:
             if node < 0:
                 out[rows] = -node - 1
             elif len(rows):
-                right = vectors[rows] @ self.normals[node] > self.offsets[node]
+                right = vectors[rows] @ self.normals[node].astype(float) > self.offsets[node]
                 todo += [(self.kids[node][0], rows[~right]), (self.kids[node][1], rows[right])]
         return out
 
@@ -95,23 +108,54 @@ def grow_forest(vectors: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed:
     return [Tree.grow(np.asarray(vectors, float), leaf, rng) for _ in range(trees)]
 
 
-def search_forest(forest: list[Tree], queries: np.ndarray, visited: float) -> list[list[tuple[int, int]]]:
-    """The (tree, leaf) pairs that each query visits, nearest first; its own leaf of every tree comes first."""
-    limit = max(len(forest), int(np.ceil(visited * sum(t.leaves for t in forest))))
-    margins = [(queries @ t.normals.T - t.offsets).tolist() if len(t.offsets) else [[]] * len(queries) for t in forest]
+def slope(forest: list[Tree], vectors: np.ndarray, k: int, asked: int = 256) -> float:
+    """By how much the log odds that a neighbour lies on its query's side of a plane grow with the query's distance to it.
+
+    Fitted on the planes of the trees' first nodes and the k nearest of the first `asked` vectors among all.
+    """
+    normals = [t.normals[:31] for t in forest if len(t.offsets)]
+    if not normals or len(vectors) < 2:
+        return 1.0
+    planes, offsets = np.concatenate(normals), np.concatenate([t.offsets[:31] for t in forest if len(t.offsets)])
+    q = vectors[:asked]
+    score = q @ vectors.T
+    score[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    near = np.argpartition(-score, min(k, len(vectors) - 1) - 1, axis=1)[:, : min(k, len(vectors) - 1)]
+    side = vectors @ planes.T - offsets
+    margin = np.abs(side[: len(q)])
+    same = ((side[near] > 0) == (side[: len(q), None] > 0)).mean(1)
+    scale = float(margin.mean()) or 1.0
+    grid = np.geomspace(0.05, 200, 60) / scale
+    loss = [(same * np.logaddexp(0, -g * margin) + (1 - same) * np.logaddexp(0, g * margin)).mean() for g in grid]
+    return float(grid[int(np.argmin(loss))])
+
+
+def search_forest(forest: list[Tree], queries: np.ndarray, vectors: float, sizes: list[np.ndarray], rise: float) -> list[list[tuple[int, int]]]:
+    """The (tree, leaf) pairs that each query visits, likeliest first, until they hold so many vectors; one at least.
+
+    sizes: the vectors of each tree's leaves; rise: see slope().
+    """
+    sides = [queries @ t.normals.T - t.offsets if len(t.offsets) else np.zeros((len(queries), 0)) for t in forest]
+    near = [np.logaddexp(0, -rise * np.abs(m)).tolist() for m in sides]
+    far = [np.logaddexp(0, rise * np.abs(m)).tolist() for m in sides]
+    right = [(m > 0).tolist() for m in sides]
+    held = [x.tolist() for x in sizes]
     out = []
     for q in range(len(queries)):
-        queue = [(-1.0, i, t.root) for i, t in enumerate(forest)]
+        queue = [(0.0, i, t.root) for i, t in enumerate(forest)]
         found: list[tuple[int, int]] = []
-        while queue and len(found) < limit:
-            nearness, i, node = heapq.heappop(queue)
-            kids, margin = forest[i].kids, margins[i][q]
-            while node >= 0:
-                m = margin[node]
-                near, far = (kids[node][1], kids[node][0]) if m > 0 else kids[node]
-                heapq.heappush(queue, (max(nearness, abs(m)), i, far))
-                node = near
-            found.append((i, -node - 1))
+        seen = 0.0
+        while queue and (seen < vectors or not found):
+            cost, i, node = heapq.heappop(queue)
+            kids, stay, cross, up = forest[i].kids, near[i][q], far[i][q], right[i][q]
+            while node >= 0 and not (queue and queue[0][0] < cost):
+                heapq.heappush(queue, (cost + cross[node], i, kids[node][not up[node]]))
+                cost, node = cost + stay[node], kids[node][up[node]]
+            if node >= 0:
+                heapq.heappush(queue, (cost, i, node))
+            else:
+                found.append((i, -node - 1))
+                seen += held[i][-node - 1]
         out.append(found)
     return out
 
@@ -121,17 +165,51 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", visited: float = VISITED, trees: int = TREES) -> DataFrame:
+def _first_places(group: np.ndarray, order: np.ndarray, n: int) -> np.ndarray:
+    """Of `order`, which sorts rows by group, those that are among the first n of their group."""
+    some = group[order]
+    starts = np.flatnonzero(np.r_[True, some[1:] != some[:-1]]) if len(some) else np.zeros(0, np.int64)
+    place = np.arange(len(some)) - np.repeat(starts, np.diff(np.r_[starts, len(some)]))
+    return order[place < n]
+
+
+def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row inner products in double precision; the products are added without rounding errors."""
+    return np.fromiter(map(math.fsum, (a * b).tolist()), float, len(a))
+
+
+def _contenders(asking: np.ndarray, score: np.ndarray, wide: np.ndarray, k: int) -> np.ndarray:
+    """Where the pairs are that rounding leaves open to be among their query's k best."""
+    last = _first_places(asking, np.lexsort((-score, asking)), k)
+    least = np.full(len(wide), np.inf)
+    np.minimum.at(least, asking[last], score[last])
+    full = np.bincount(asking[last], minlength=len(wide)) == k
+    return np.flatnonzero(~full[asking] | (score >= (least - wide)[asking]))
+
+
+def _best_rows(asking: np.ndarray, at: np.ndarray, score: np.ndarray, q: np.ndarray, x: np.ndarray, reps: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, row of x, exact score) of each query's k best pairs; ties go to the smaller rep. score: as rounded."""
+    near = _contenders(asking, score, np.abs(q).sum(1) * np.abs(x).max(initial=0.0) * 1e-12, k)
+    asking, at = asking[near], at[near]
+    exact = exact_products(q[asking], x[at])
+    chosen = _first_places(asking, np.lexsort((reps[at], -exact, asking)), k)
+    return asking[chosen], at[chosen], exact[chosen]
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", least: int = LEAST, trees: int = TREES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row of queries its k nearest rows of vectors but itself.
 
     Nearness is the inner product; ties go to the smaller id. queries is a subset of the rows of vectors. Rows without an
     id, and vectors that are null, empty, zero, hold null or non-finite components or differ in length from most, take
-    no part. Rows that repeat id and vector are candidates each. Fewer candidates than k give fewer rows; empty tables
-    give an empty result. Other columns are not looked at.
+    no part. Rows that repeat id and vector are one row; another vector under a query's id is a row like others. Fewer
+    candidates than k give fewer rows; empty tables give an empty result. Other columns are not looked at. Queries visit
+    leaves with `least` vectors at least; trees * n make the search exact.
     """
     spark = vectors.sparkSession
-    spark_vector = F.col(vector_col).cast("array<float>")
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    spark_vector = F.col(vector_col).cast(kind)
     fit = f"{id_col} IS NOT NULL AND {vector_col} IS NOT NULL AND size({vector_col}) > 0 AND forall({vector_col}, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists({vector_col}, x -> x <> 0)"
+    key = F.md5(F.array_join(F.transform("vector", lambda x: x.cast("string")), ","))
 
     def keyed(df: DataFrame) -> DataFrame:
         return df.where(fit).select(F.col(id_col).cast("long").alias("id"), spark_vector.alias("vector"))
@@ -142,107 +220,115 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     if not sizes:
         return empty
     width = sizes[0].n
-    key = F.md5(F.array_join(F.transform("vector", lambda x: x.cast("string")), ","))
     rows = rows.where(F.size("vector") == width).withColumn("key", key)
+    rows = rows.groupBy("id", "key").agg(F.first("vector").alias("vector"))
     own = Window.partitionBy("key").orderBy("id")
     members = rows.withColumn("place", F.row_number().over(own)).where(F.col("place") <= k + 1)
     members = written(members.withColumn("rep", F.min("id").over(Window.partitionBy("key"))), "members")
     distinct = members.where("place = 1").select("rep", "key", "vector")
-    asked = keyed(queries).where(F.size("vector") == width).withColumn("key", key).select("id", "key")
+    asked = keyed(queries).where(F.size("vector") == width).withColumn("key", key).select("id", "key").distinct()
     weights = asked.groupBy("key").agg(F.count("*").alias("asked"))
     wanted = written(distinct.join(weights, "key"), "wanted")
     n, n_asked = distinct.count(), wanted.count()
     if not n_asked:
         return empty
 
-    sample = distinct.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vector").toArrow()
+    sample = distinct.orderBy(F.xxhash64("key"), "key").limit(max(2, min(SAMPLE, SAMPLE_BYTES // (4 * width)))).select("vector").toArrow()
     known = _matrix(sample.column("vector").combine_chunks())
     forest = grow_forest(known, trees)
-    starts = np.cumsum([0, *(t.leaves for t in forest)])
-    known_leaves = [t.assign(known) + start for t, start in zip(forest, starts[:-1], strict=True)]
-    shared = spark.sparkContext.broadcast((forest, known.astype(np.float32), known_leaves))
+    rise = slope(forest, known, k)
+    known_leaves = [t.assign(known).astype(np.int32) for t in forest]
+    held = [np.bincount(at, minlength=t.leaves) * (n / len(known)) for at, t in zip(known_leaves, forest, strict=True)]
+    shared = spark.sparkContext.broadcast((forest, known.astype(np.float32), known_leaves, held))
+    to_visit = max(float(least), VISITED * n**GROWTH)
     per_leaf = n / max(t.leaves for t in forest)
     together = max(1, int(BLOCK_VECTORS / per_leaf))
     salts = max(1, int(np.ceil(per_leaf / BLOCK_VECTORS)))
-    chunks = max(1, int(np.ceil(n_asked / BLOCK_QUERIES)))
-
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees_ = shared.value[0]
         for batch in batches:
             v = _matrix(batch.column("vector"))
-            reps = batch.column("rep").to_numpy()
-            leaves = np.stack([t.assign(v) for t in trees_])
-            every = pa.FixedSizeListArray.from_arrays(pa.array((leaves + starts[:-1, None]).T.ravel().astype(np.int32)), len(trees_)).cast(pa.list_(pa.int32()))
-            for i in range(len(trees_)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), i, np.int32)), pa.array(leaves[i] // together, pa.int32()), pa.array((reps % salts).astype(np.int32)), every, batch.column("rep"), batch.column("vector")], ["tree", "block", "salt", "leaves", "rep", "vector"])
+            salt = pa.array((np.arange(len(v)) % salts).astype(np.int32))
+            for i, t in enumerate(trees_):
+                leaf = t.assign(v)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), i, np.int32)), pa.array(leaf // together, pa.int32()), salt, pa.array(leaf, pa.int32()), batch.column("rep"), batch.column("key"), batch.column("vector")], ["tree", "block", "salt", "leaf", "rep", "key", "vector"])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees_, known, known_leaves = shared.value
+        trees_, known, known_leaves, held = shared.value
         for whole in batches:
-            for a in range(0, whole.num_rows, 128):
-                batch = whole.slice(a, 128)
+            for a in range(0, whole.num_rows, 64):
+                batch = whole.slice(a, 64)
                 q = _matrix(batch.column("vector"))
-                seen = np.zeros((len(q), starts[-1]), bool)
-                trees_at, blocks, at = [], [], []
-                for i, found in enumerate(search_forest(trees_, q, visited)):
-                    seen[i, [starts[tree] + leaf for tree, leaf in found]] = True
-                    for tree, block in sorted({(tree, leaf // together) for tree, leaf in found}):
-                        trees_at.append(tree)
-                        blocks.append(block)
-                        at.append(i)
-                floor = np.full(len(q), -np.inf)
-                if len(known) > k:  # of the sampled vectors that this query will meet the (k + 1)-th best bounds its answer
-                    met = np.zeros((len(q), len(known)), bool)
-                    for at_leaf in known_leaves:
-                        met |= seen[:, at_leaf]
-                    floor = np.partition(np.where(met, q @ known.T.astype(np.float64), -np.inf), len(known) - k - 1, axis=1)[:, len(known) - k - 1]
-                    floor = np.where(np.isfinite(floor), floor - 1e-9 * np.maximum(1.0, np.abs(floor)), -np.inf)
-                bits = pa.array([x.tobytes() for x in np.packbits(seen, axis=1)], pa.binary())
-                at = pa.array(at, pa.int64())
-                rep = batch.column("rep").take(at)
-                yield pa.RecordBatch.from_arrays([pa.array(trees_at, pa.int32()), pa.array(blocks, pa.int32()), pa.array(rep.to_numpy() % chunks, pa.int32()), rep, batch.column("vector").take(at), pa.array(floor).take(at), bits.take(at)], ["tree", "block", "chunk", "rep", "vector", "floor", "seen"])
+                rows, floor = [], np.full(len(q), -np.inf)
+                for i, found in enumerate(search_forest(trees_, q, to_visit, held, rise)):
+                    met = np.zeros(len(known), bool)
+                    by: dict[tuple[int, int], list[int]] = {}
+                    open_ = [np.zeros(t.leaves, bool) for t in trees_]
+                    for tree, leaf in found:
+                        by.setdefault((tree, leaf // together), []).append(leaf)
+                        open_[tree][leaf] = True
+                    rows += [(tree, block, i, leaves) for (tree, block), leaves in by.items()]
+                    for leaves, mine in zip(open_, known_leaves, strict=True):
+                        met |= leaves[mine]
+                    if met.sum() > k:  # of the sampled vectors that this query will meet the (k + 1)-th best bounds its answer
+                        score = known[met] @ q[i]
+                        floor[i] = np.partition(score, len(score) - k - 1)[len(score) - k - 1]
+                floor -= 1e-6 * np.maximum(1e-30, np.abs(q).sum(1) * np.abs(known).max(initial=0.0))
+                at = pa.array([r[2] for r in rows], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), *(batch.column(c).take(at) for c in ("rep", "key", "vector")), pa.array(floor).take(at), pa.array([r[3] for r in rows], pa.list_(pa.int32()))], ["tree", "block", "rep", "key", "vector", "floor", "leaves"])
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The block's best candidates of each query: visited in this tree and in none before it, and above the floor."""
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        """The block's best candidates of each query, from the leaves that it visits."""
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        open_pairs = 0
         if left.num_rows and right.num_rows:
-            x, reps, tree = _matrix(left.column("vector").combine_chunks()), left.column("rep").to_numpy(), left.column("tree")[0].as_py()
-            leaves = left.column("leaves").combine_chunks().flatten().to_numpy().reshape(len(x), -1)
-            q, asking, floor = _matrix(right.column("vector").combine_chunks()), right.column("rep").to_numpy(), right.column("floor").to_numpy()
-            seen = np.frombuffer(b"".join(right.column("seen").to_pylist()), np.uint8).reshape(len(q), -1)
-            keep = min(k + 4, len(x))
-            for a in range(0, len(q), 64):
-                open_ = np.unpackbits(seen[a : a + 64], axis=1).astype(bool)
-                fresh = open_[:, leaves[:, tree]]
-                for before in range(tree):
-                    fresh &= ~open_[:, leaves[:, before]]
-                score = q[a : a + 64] @ x.T
-                score[~fresh | (score < floor[a : a + 64, None])] = -np.inf
-                best = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
-                row, col = np.nonzero(np.isfinite(np.take_along_axis(score, best, 1)))
-                picked = best[row, col]
-                out.append((asking[a + row], reps[picked], (q[a + row] * x[picked]).sum(1)))
-        cols = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, np.float64))]
-        return pa.table({"q": pa.array(cols[0], pa.int64()), "c": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
-
-    indexed = distinct.select("rep", "vector").mapInArrow(index, "tree int, block int, salt int, leaves array<int>, rep long, vector array<float>")
-    if chunks > 1:
-        indexed = indexed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    else:
-        indexed = indexed.withColumn("chunk", F.lit(0))
-    visits = wanted.select("rep", "vector").mapInArrow(visit, "tree int, block int, chunk int, rep long, vector array<float>, floor double, seen binary")
-    visits = visits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))) if salts > 1 else visits.withColumn("salt", F.lit(0))
+            order = np.argsort(left.column("leaf").to_numpy(), kind="stable")
+            x, leaf, reps, keys = _matrix(left.column("vector").combine_chunks())[order], left.column("leaf").to_numpy()[order], left.column("rep").to_numpy()[order], left.column("key").combine_chunks().take(pa.array(order))
+            q, floor, leaves = _matrix(right.column("vector").combine_chunks()), right.column("floor").to_numpy(), right.column("leaves").combine_chunks()
+            wide = np.abs(q).sum(1) * np.abs(x).max(initial=0.0) * 1e-12
+            asking = np.repeat(np.arange(len(q)), np.diff(leaves.offsets.to_numpy()))
+            wanted = leaves.flatten().to_numpy()
+            by = np.argsort(wanted, kind="stable")
+            asking, wanted = asking[by], wanted[by]
+            edges = np.flatnonzero(np.r_[True, wanted[1:] != wanted[:-1], True]) if len(wanted) else [0]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                first, last = np.searchsorted(leaf, wanted[a]), np.searchsorted(leaf, wanted[a], "right")
+                step = max(1, PAIRS // max(1, last - first))
+                for c in range(a, b, step):
+                    who = asking[c : min(b, c + step)]
+                    score = q[who] @ x[first:last].T
+                    i, j = np.nonzero(score >= floor[who, None])
+                    found.append((who[i], first + j, score[i, j]))
+                    open_pairs += len(i)
+                    if open_pairs > PAIRS:
+                        who, at, score = (np.concatenate(f) for f in zip(*found, strict=True))
+                        near = _contenders(who, score, wide, k + 1)
+                        found, open_pairs = [(who[near], at[near], score[near])], 0
+        if not found:
+            return pa.table({"q": pa.array([], pa.string()), "c": pa.array([], pa.string()), "rep": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        asking, at, score = (np.concatenate(f) for f in zip(*found, strict=True))
+        asking, at, score = _best_rows(asking, at, score, q, x, reps, k + 1)
+        return pa.table({"q": right.column("key").combine_chunks().take(pa.array(asking)), "c": keys.take(pa.array(at)), "rep": pa.array(reps[at]), "score": pa.array(score)})
+
+    spread = f"tree int, block int, salt int, leaf int, rep long, key string, vector {kind}"
+    indexed = distinct.mapInArrow(index, spread)
+    visits = written(wanted.select("rep", "key", "vector").mapInArrow(visit, f"tree int, block int, rep long, key string, vector {kind}, floor double, leaves array<int>"), "visits")
+    chunks = visits.groupBy("tree", "block").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("chunks"))
+    indexed = indexed.join(chunks, ["tree", "block"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    visits = visits.join(chunks, ["tree", "block"]).withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")).drop("chunks")
+    visits = visits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     by = ("tree", "block", "salt", "chunk")
-    found = indexed.groupBy(*by).cogroup(visits.groupBy(*by)).applyInArrow(rerank, "q long, c long, score double")
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "c")
-    best = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).select("q", F.col("c").alias("rep"), "score")
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    ranked = best.join(members.select("rep", "id"), "rep").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
-    lists = ranked.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("r", "id", "score"))).alias("list"))
-    lists = written(wanted.select("key", F.col("rep").alias("q"), "asked").join(lists, "q").select("key", "asked", "list"), "lists")
+    found = indexed.groupBy(*by).cogroup(visits.groupBy(*by)).applyInArrow(rerank, "q string, c string, rep long, score double")
+    found = found.repartition("q").groupBy("q", "c", "rep").agg(F.max("score").alias("score"))  # a pair may meet in several trees
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "rep", "c")
+    best = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).select("q", "c", "score")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "id", "c")
+    ranked = best.join(members.select(F.col("key").alias("c"), "id"), "c").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
+    lists = ranked.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("r", "id", "score", (F.col("q") == F.col("c")).alias("same")))).alias("list"))
+    lists = written(wanted.select("key", "asked").join(lists, F.col("key") == F.col("q")).select("key", "asked", "list"), "lists")
     answered = left_join_unique(asked, lists, "key", "asked", ["list"])
-    near = F.slice(F.filter("list", lambda x: x["id"] != F.col("id")), 1, k)
+    near = F.slice(F.filter("list", lambda x: ~(x["same"] & (x["id"] == F.col("id")))), 1, k)
     out = answered.select(F.col("id").alias("query_id"), F.posexplode(near).alias("at", "x"))
     return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"))
 
@@ -250,3 +336,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+#: The exact answer, which the query gives where its leaves hold all vectors (up to LEAST / TREES of them); products of
+#: floats are exact in doubles and are added here as integers, scaled by 2**100.
+OP8_SQL = """
+WITH v AS (SELECT DISTINCT vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_count(embedding) = len(embedding)
+           AND len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, d.vec_id, unnest(q.embedding)::DOUBLE * unnest(d.embedding)::DOUBLE AS x FROM v q, v d WHERE q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id),
+s AS (SELECT query_id, vec_id, sum((x * pow(2.0, 100))::HUGEINT)::DOUBLE / pow(2.0, 100) AS score FROM p GROUP BY ALL),
+r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 20
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm.ann import op8_nearest
+from tessera.llm.ann import OP8_SQL, op8_nearest
 from tessera.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from tessera.llm.jaccard_join import op7_jaccard_join
 from tessera.llm.langid import op10_language_id
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_pieces": op9_pieces,
     "op10_language_id": op10_language_id,
 }
-ORACLES = {"op1_exact_dedup": OP1_SQL}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op8_nearest": OP8_SQL}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -435,7 +436,7 @@ def test_nearest(spark, sf):
 def test_nearest_edges(spark):
     rows = [(i, [1.0, 0.0]) for i in range(60)] + [(100, [0.0, 1.0]), (101, [0.5, 0.5]), (102, None), (103, []), (104, [0.0, 0.0]), (105, [float("nan"), 1.0]), (106, [None, 1.0]), (107, [1.0]), (None, [1.0, 1.0])]
     df = vectors(spark, rows)
-    out = ann.nearest(df, df.where("vec_id % 20 = 0 OR vec_id IS NULL"), visited=1.0).orderBy("query_id", "rank").collect()
+    out = ann.nearest(df, df.where("vec_id % 20 = 0 OR vec_id IS NULL")).orderBy("query_id", "rank").collect()
     by = defaultdict(list)
     for r in out:
         by[r.query_id].append(r.vec_id)
@@ -446,14 +447,76 @@ def test_nearest_edges(spark):
     assert [(r.query_id, r.vec_id) for r in ann.nearest(two, two.where("vec_id = 0")).collect()] == [(0, 1)]
 
 
+def brute_nearest(rows, asked, k=20):
+    """{id: [(id, score)]} from rows (id, vector), each id once."""
+    out = {}
+    for i in asked:
+        v = next(v for j, v in rows if j == i)
+        found = sorted((-math.fsum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in rows if j != i)
+        out[i] = [(j, -s) for s, j in found[:k]]
+    return out
+
+
+def answers(frame_):
+    by = defaultdict(list)
+    for r in frame_.orderBy("query_id", "rank").collect():
+        assert r.rank == len(by[r.query_id]) + 1
+        by[r.query_id].append((r.vec_id, r.score))
+    return dict(by)
+
+
+def test_nearest_breaks_ties_by_id_and_keeps_doubles(spark):
+    rng = np.random.default_rng(5)
+    tied = [(i, [1.0, *rng.permutation([0.5] + [0.0] * 30).tolist()]) for i in range(1, 400)]
+    rows = [(0, [1.0] + [0.0] * 31), *({i: v for i, v in tied}.items())]
+    got = answers(ann.nearest(vectors(spark, rows), vectors(spark, rows[:1])))
+    assert got == {0: [(i, 1.0) for i in range(1, 21)]}
+    many = [(i, rng.normal(size=24).tolist()) for i in range(600)]
+    df = spark.createDataFrame(many, "vec_id long, embedding array<double>")
+    assert answers(ann.nearest(df, df.where("vec_id % 20 = 0"), least=10**9)) == brute_nearest(many, range(0, 600, 20))
+
+
+def test_nearest_of_repeated_rows(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(40)]
+    df = vectors(spark, [*rows, *([rows[0]] * 25), *([rows[7]] * 30)])
+    got = answers(ann.nearest(df, df.where("vec_id = 0")))
+    assert got == brute_nearest(rows, [0])
+    twice = vectors(spark, [*rows, (0, rows[1][1])])  # another vector under the query's id is a row like others
+    near = ann.nearest(twice, twice.where("vec_id = 0"), k=41).collect()
+    assert len(near) == 2 * 40 and sum(r.vec_id == 0 for r in near) == 2
+
+
 def test_forest_visiting_all_is_exact():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 8))
     forest = ann.grow_forest(x, trees=3, leaf=10)
-    for found in ann.search_forest(forest, x[:5], 1.0):
+    sizes = [np.bincount(t.assign(x), minlength=t.leaves) for t in forest]
+    assert all(s.sum() == 300 and s.max() <= 10 for s in sizes)
+    for found in ann.search_forest(forest, x[:5], 900, sizes, 1.0):
         assert len(set(found)) == sum(t.leaves for t in forest)
-    for found, row in zip(ann.search_forest(forest, x[:20], 0.1), range(20), strict=True):
-        assert {(i, int(t.assign(x[row : row + 1])[0])) for i, t in enumerate(forest)} <= set(found)
+    for found, row in zip(ann.search_forest(forest, x[:20], 90, sizes, 3.0), range(20), strict=True):
+        assert 90 <= sum(sizes[i][leaf] for i, leaf in found) < 100 and len(set(found)) == len(found)
+        assert any(leaf == forest[i].assign(x[row : row + 1])[0] for i, leaf in found)
+
+
+@pytest.mark.parametrize("clusters", [0, 200])
+def test_recall_of_a_share_of_the_leaves(clusters):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(12_000, 32)) + (0 if not clusters else 4 * rng.normal(size=(clusters, 32))[rng.integers(0, clusters, 12_000)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    forest = ann.grow_forest(x, trees=16, leaf=32)
+    leaves = [t.assign(x) for t in forest]
+    sizes = [np.bincount(at, minlength=t.leaves) for at, t in zip(leaves, forest, strict=True)]
+    visits = ann.VISITED * len(x) ** ann.GROWTH
+    hits = met = 0
+    for q, found in enumerate(ann.search_forest(forest, x[:60], visits, sizes, ann.slope(forest, x, 20))):
+        seen = np.zeros(len(x), bool)
+        for i, leaf in found:
+            seen |= leaves[i] == leaf
+        hits += seen[np.argsort(-(x @ x[q]))[1:21]].sum()
+        met += seen.mean()
+    assert hits / (60 * 20) >= 0.95 and met / 60 < 0.35
 
 
 def test_pieces(spark, texts):
