@@ -10,23 +10,27 @@ one document only first, then: (1) rarest first; (2) by octave of rarity, hashed
    shared has no partner (n long and the fact are kept; its set is dropped). For the others, shared elements suffice:
    intersections hold nothing else, and unions follow from the sizes.
 3. Documents with equal sets become one representative.
-4. Representatives that share a prefix element of order 1 are candidates. First every element's list links to one
-   pivot; verified links are joined into components. Then, with components known, each document takes the likeliest one
-   of another component in each list; in the end all pairs across the components that are left are candidates. Their lists are gone through in blocks; of a pair, sizes and parity sketches bound the intersection, and
+4. Representatives that share a prefix element of order 1 are candidates. First each list (an element's representatives)
+   is cut into chunks of about CHUNK, whose members link to one pivot; pivots are linked likewise, level by level, so
+   that nobody meets many. Verified links are joined into components. Then, with components known, each document takes
+   the likeliest one of another component in each list; in the end all pairs across the components that are left are
+   candidates. Their lists are gone through in blocks; of a pair, sizes and parity sketches bound the intersection, and
    only pairs that the bound leaves open become rows. No pair that could change the result is left out, and none
    within a component is looked at again.
-5. Candidates are verified: filters of orders 2 and 3, then the exact intersection.
+5. Candidates must pass the filters of orders 2 and 3 and the bound of their sketches as well; all three come from a small
+   row for each representative, so whole sets are joined only to what is left, and compared exactly.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.exact_dedup import digest_of, one_of_each
@@ -34,7 +38,7 @@ from tessera.llm.shingles import mix, shingle_sets
 from tessera.llm.tables import release_memory, table, text_blocks
 from tessera.operators.components import connected_components
 from tessera.operators.joins import left_join_unique
-from tessera.session import shared_dir, written
+from tessera.session import remove, shared_dir, written
 
 #: The threshold in hundredths, so that it is compared in integers.
 THRESHOLD = 75
@@ -46,9 +50,11 @@ BLOCK_DOCS = 50_000
 SEVERAL = 0xFFFF
 #: Elements that one group of the document-frequency count is to hold on average.
 PART_ELEMENTS = 750_000
-#: Rounds of candidates: each list's documents with one pivot; each document with the most promising one of another
+#: Rounds of candidates: the members of each list's chunks with a pivot; each document with the most promising one of another
 #: component in each list; all pairs across components that are then left.
 ROUNDS = ("pivot", "best", "all")
+#: Members of a list that meet one pivot, on average at most.
+CHUNK = 32
 #: Bits of a set's sketch.
 SKETCH_BITS = 2048
 #: Rows of prefix lists that one group holds (about 300 bytes each).
@@ -243,62 +249,87 @@ def _prefix(e: np.ndarray, rank: np.ndarray, n: int, threshold: int) -> np.ndarr
     return e if rest >= len(e) else e[np.argpartition(rank, rest - 1)[:rest]] if rest else e[:0]
 
 
-def _verify(threshold: int):
-    """Of rows (a, b, na, ea, oa, nb, eb, ob): the pairs (a, b) that are links, after the filters of orders 2 and 3."""
+def _meet(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements two arrays of distinct elements share."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+_GATE = "id long, n long, size long, bits binary, second binary, third binary"
 
-    def orders(data: bytes, octaves: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        e, octave = np.frombuffer(data, "<u8"), np.frombuffer(octaves, np.uint8).astype(np.uint64)
-        hashed = mix(e + np.uint64(3))
-        second = (octave << np.uint64(58)) | (mix(e + np.uint64(2)) >> np.uint64(6))
-        return np.sort(e), np.sort(_prefix(e, second, n, threshold)), np.sort(_prefix(e, hashed, n, threshold))
 
-    def meet(a: np.ndarray, b: np.ndarray) -> int:
-        both = np.concatenate([a, b])
-        both.sort(kind="stable")
-        return int((both[1:] == both[:-1]).sum())
+def _gates(threshold: int):
+    """(id, n, size, bits, second, third) of each representative: the number of shared elements; the parity, bit by bit, of
+    how many of them hash to it; the prefixes under orders 2 and 3, four bytes an element."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, bits, second, third = [], [], [], []
+            for n, data, octaves in zip(batch.column("n").to_pylist(), batch.column("elements").to_pylist(), batch.column("octaves").to_pylist(), strict=True):
+                e, octave = np.frombuffer(data, "<u8"), np.frombuffer(octaves, np.uint8).astype(np.uint64)
+                sizes.append(len(e))
+                hits = np.bincount((mix(e + np.uint64(5)) >> np.uint64(32)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS)
+                bits.append(np.packbits((hits & 1).astype(np.uint8)).tobytes())
+                for out, rank in ((second, (octave << np.uint64(58)) | (mix(e + np.uint64(2)) >> np.uint64(6))), (third, mix(e + np.uint64(3)))):
+                    out.append(np.unique(_prefix(e, rank, n, threshold).astype("<u4")).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (bits, second, third))], ["id", "n", "size", "bits", "second", "third"])
+
+    return run
+
+
+_PAIR = "a long, b long"
+
+
+def _pairs(a: list[int], b: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _filter(threshold: int):
+    """Of pairs with both gates (columns that end in a or b): those that orders 2 and 3 and the sketches leave open.
+
+    Two sets whose parities differ in d bits differ in d elements at least, so they share (|a| + |b| - d) / 2 at most.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, VERIFY_ROWS):
                 batch = whole.slice(at, VERIFY_ROWS)
-                known: dict[int, tuple] = {}
-                out = []
-                get = {c: batch.column(c).to_pylist() for c in ("a", "b", "na", "nb", "ea", "eb", "oa", "ob")}
-                for k in range(batch.num_rows):
-                    a, b, na, nb = (get[c][k] for c in ("a", "b", "na", "nb"))
-                    for i, n, side in ((a, na, "a"), (b, nb, "b")):
-                        if i not in known:
-                            known[i] = orders(get[f"e{side}"][k], get[f"o{side}"][k], n)
-                    x, y = known[a], known[b]
-                    if meet(x[1], y[1]) and meet(x[2], y[2]):
-                        same = meet(x[0], y[0])
-                        same -= same == na == nb  # equal sets are one representative: these differ, but for a hash
-                        if 100 * same >= threshold * (na + nb - same):
-                            out.append((a, b))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+                na, nb, sa, sb = (batch.column(c).to_numpy() for c in ("na", "nb", "sizea", "sizeb"))
+                bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(na), -1) for c in ("bitsa", "bitsb")]
+                most = (sa + sb - np.bitwise_count(bits[0] ^ bits[1]).sum(1).astype(np.int64)) // 2
+                open_ = (100 + threshold) * most >= threshold * (na + nb)
+                prefixes = [batch.column(c).to_pylist() for c in ("seconda", "secondb", "thirda", "thirdb")]
+                kept = [k for k in np.flatnonzero(open_).tolist() if all(_meet(np.frombuffer(prefixes[i][k], "<u4"), np.frombuffer(prefixes[i + 1][k], "<u4")) for i in (0, 2))]
+                if kept:
+                    yield _pairs(batch.column("a").take(pa.array(kept)), batch.column("b").take(pa.array(kept)))
 
     return run
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, size, bits): the number of shared elements and the parity, bit by bit, of how many of them hash to it."""
-    for batch in batches:
-        sizes, bits = [], []
-        for data in batch.column("elements").to_pylist():
-            e = np.frombuffer(data, "<u8")
-            sizes.append(len(e))
-            hits = np.bincount((mix(e + np.uint64(5)) >> np.uint64(32)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS)
-            bits.append(np.packbits((hits & 1).astype(np.uint8)).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], ["id", "size", "bits"])
+def _verify(threshold: int):
+    """Of rows (a, b, na, nb, ea, eb): the pairs (a, b) that are links, by the exact intersection."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, VERIFY_ROWS):
+                get = {c: whole.column(c).slice(at, VERIFY_ROWS).to_pylist() for c in ("a", "b", "na", "nb", "ea", "eb")}
+                out = []
+                for a, b, na, nb, ea, eb in zip(*get.values(), strict=True):
+                    same = _meet(np.frombuffer(ea, "<u8"), np.frombuffer(eb, "<u8"))
+                    same -= same == na == nb  # equal sets are one representative: these differ, but for a hash
+                    if 100 * same >= threshold * (na + nb - same):
+                        out.append((a, b))
+                if out:
+                    yield _pairs([x[0] for x in out], [x[1] for x in out])
+
+    return run
 
 
 def _across(threshold: int, only_best: bool):
     """Of lists' rows: pairs of different components that sizes and sketches leave open, inside each list.
 
-    only_best: of each left row's open pairs the one with the largest bounded similarity.
-
-    Two sets whose parities differ in d bits differ in d elements at least, so they share (|a| + |b| - d) / 2 at most.
+    only_best: of each left row's open pairs the one with the largest bounded similarity. See _filter for the bound.
     """
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
@@ -333,15 +364,41 @@ def _across(threshold: int, only_best: bool):
     return run
 
 
-def _pairs_across(own: DataFrame, reps: DataFrame, threshold: int, only_best: bool) -> DataFrame:
-    """(a, b): all candidates across components, from a written table (element, id, n, c).
+def _pairs_to_pivots(postings: DataFrame, threshold: int, longest: int) -> DataFrame:
+    """(a, b): each member of a list with its chunk's pivot, and the pivots with theirs, up to one for the whole list.
+
+    postings: (element, id, n, held); longest: the most that held is. A list's members are dealt over powers of CHUNK by
+    a hash of their ids, so lists of like sizes have like chunks and their pairs are mostly the same.
+    """
+    depth = sum(((F.col("held") > CHUNK**k).cast("int") for k in range(1, 13)), F.lit(0))
+    members = postings.select("element", "id", "n", depth.alias("depth")).withColumn("chunk", F.pmod(F.xxhash64("id"), F.pow(F.lit(CHUNK), F.col("depth")).cast("long")))
+    out, level = None, 0
+    while True:
+        pivots = members.groupBy("element", "chunk").agg(F.min(F.struct(F.xxhash64("id", F.lit(0)).alias("h"), "id", "n")).alias("p"), F.first("depth").alias("depth"))
+        deeper = CHUNK ** (level + 1) < longest
+        if deeper:
+            pivots = written(pivots, "pivots")
+        met = members.join(pivots.select("element", "chunk", "p"), ["element", "chunk"]).select(F.col("id").alias("a"), F.col("p.id").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb"))
+        met = met.where(_sized(threshold)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        out = met if out is None else out.union(met)
+        if not deeper:
+            return out
+        level += 1
+        members = pivots.where(F.col("depth") >= level).select("element", "p.id", "p.n", "depth", F.floor(F.col("chunk") / CHUNK).cast("long").alias("chunk"))
+
+
+def _sized(threshold: int) -> Column:
+    return (F.greatest("na", "nb") * threshold <= F.least("na", "nb") * 100) & (F.col("a") != F.col("b"))
+
+
+def _pairs_across(own: DataFrame, sketches: DataFrame, threshold: int, only_best: bool) -> DataFrame:
+    """(a, b): all candidates across components, from written tables (element, id, n, c) and (id, size, bits).
 
     Lists are dealt over groups of about LIST_ROWS rows; a longer list's rows are cut in chunks of that size, each chunk
     of rows outside the list's largest component meeting each chunk of all rows.
     """
     largest = own.groupBy("element", "c").agg(F.count("*").alias("k")).groupBy("element").agg(F.count("*").alias("kinds"), F.sum("k").alias("held"), F.max(F.struct("k", "c")).alias("top"))
     largest = largest.where("kinds > 1").select("element", "held", F.col("top.c").alias("main"), (F.col("held") - F.col("top.k")).alias("outside"))
-    sketches = reps.select("id", "elements").mapInArrow(_sketches, "id long, size long, bits binary")
     mixed = written(own.join(largest, "element").join(sketches, "id"), "mixed")
     groups = max(1, mixed.count() // LIST_ROWS)
     short = mixed.where(F.col("held") <= LIST_ROWS).withColumns({"role": F.lit(2), "x": F.pmod(F.xxhash64("element"), F.lit(groups)).cast("int"), "y": F.lit(-1), "list": F.lit(0).cast("long")})
@@ -354,6 +411,20 @@ def _pairs_across(own: DataFrame, reps: DataFrame, threshold: int, only_best: bo
     return rows.groupBy("list", "x", "y").applyInArrow(_across(threshold, only_best), "a long, b long")
 
 
+@contextmanager
+def _bucketed(rows: DataFrame) -> Iterator[DataFrame]:
+    """rows, written as a table bucketed by id; it goes at the end, also of a run that fails."""
+    spark = rows.sparkSession
+    name = f"tessera_{uuid.uuid4().hex}"
+    path, buckets = f"{shared_dir(spark)}/{name}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        rows.repartition(buckets, "id").write.bucketBy(buckets, "id").sortBy("id").option("path", path).saveAsTable(name)
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, path)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, linked (whether another row is in its component).
 
@@ -377,40 +448,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = alive.groupBy("signature").agg(F.min(named).alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("elements").alias("elements"), F.first("octaves").alias("octaves"))
     reps = written(reps.withColumn("id", F.monotonically_increasing_id()), "representatives")
     postings = written(reps.select("id", "n", "elements").mapInArrow(_prefix_rows(threshold), "element long, id long, n long"), "prefixes")
-    lists = postings.groupBy("element").agg(F.count("*").alias("held")).where("held > 1").select("element")
-    postings = written(postings.join(lists, "element", "left_semi"), "prefixes")
-
-    # bucketed by id, so that no round of verification shuffles the sets themselves
-    name = f"tessera_sets_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sets = reps.select("id", "n", "elements", "octaves").repartition(buckets, "id")
-    sized = (F.greatest("na", "nb") * threshold <= F.least("na", "nb") * 100) & (F.col("a") != F.col("b"))
-    try:
-        sets.write.bucketBy(buckets, "id").sortBy("id").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-        sets = spark.table(name)
-        left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("elements").alias("ea"), F.col("octaves").alias("oa"))
-        right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("elements").alias("eb"), F.col("octaves").alias("ob"))
+    lists = written(postings.groupBy("element").agg(F.count("*").alias("held")).where("held > 1"), "lists")
+    longest = lists.agg(F.max("held")).first()[0] or 0
+    postings = written(postings.join(lists, "element"), "prefixes")
+
+    # bucketed by id, so that no round of verification shuffles the tables themselves
+    with _bucketed(reps.select("id", "n", "elements", "octaves").mapInArrow(_gates(threshold), _GATE)) as gates, _bucketed(reps.select("id", "n", "elements")) as sets:
+
+        def both_sides(pairs: DataFrame, of: DataFrame, **named: str) -> DataFrame:
+            for side in "ab":
+                pairs = pairs.join(of.select(F.col("id").alias(side), *(F.col(c).alias(f"{to}{side}") for c, to in named.items())), side)
+            return pairs
 
         def verified(pairs: DataFrame) -> DataFrame:
-            pairs = pairs.distinct()
-            return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ea", "oa", "eb", "ob").mapInArrow(_verify(threshold), "a long, b long")
+            open_ = both_sides(pairs.distinct(), gates, n="n", size="size", bits="bits", second="second", third="third").mapInArrow(_filter(threshold), _PAIR)
+            return both_sides(open_, sets, n="n", elements="e").mapInArrow(_verify(threshold), _PAIR)
 
         components: DataFrame | None = None
         links: DataFrame | None = None
-        for r, kind in enumerate(ROUNDS):
-            own = postings if components is None else postings.join(components, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-            own = own.withColumn("c", F.col("id")) if components is None else own
-            if kind == "pivot":
-                pivot = own.groupBy("element").agg(F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), "id", "n", "c")).alias("p"))
-                pairs = own.join(pivot, "element").select(F.col("id").alias("a"), F.col("p.id").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb"), F.col("c").alias("ca"), F.col("p.c").alias("cb"))
-                pairs = pairs.where(sized & (F.col("ca") != F.col("cb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        for kind in ROUNDS:
+            if components is None:
+                pairs = _pairs_to_pivots(postings, threshold, longest)
             else:
-                pairs = _pairs_across(written(own, "labelled"), reps, threshold, kind == "best")
+                own = postings.join(components, "id", "left").select("element", "id", "n", F.coalesce("component", "id").alias("c"))
+                pairs = _pairs_across(written(own, "labelled"), gates.select("id", "size", "bits"), threshold, kind == "best")
             found = written(verified(pairs), "links")
             links = found if links is None else links.union(found)
             components = written(connected_components(links, "a", "b"), "components")
-    finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
     classes = reps.join(components, "id", "left").select("signature", "least", "copies", F.coalesce("component", "id").alias("c"))
     totals = classes.groupBy("c").agg(F.min("least").alias("component_id"), F.sum("copies").alias("size"))

@@ -175,6 +175,18 @@ def test_near_duplicates_of_a_chain_and_edges(spark):
     assert jaccard_join.stage_near_duplicates(frame(spark, [(1, "a b c"), (2, "a b c"), (3, None)])).count() == 2
 
 
+def test_long_lists_are_linked_level_by_level(spark):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(30)]
+    texts = {k: " ".join([*base, f"end{k}"]) for k in range(1500)}  # all share all shingles but one
+    out = jaccard_join.near_duplicates(frame(spark, list(texts.items()))).groupBy("component_id", "n_shingles").count().collect()
+    assert [tuple(r) for r in out] == [(0, 27, 1500)]
+    postings = spark.range(40_000).selectExpr("7L AS element", "id", "10L AS n", "40000L AS held")
+    pairs = jaccard_join._pairs_to_pivots(postings, 75, 40_000)
+    most = pairs.selectExpr("explode(array(a, b)) AS x").groupBy("x").count().agg(F.max("count")).first()[0]
+    assert pairs.count() == 39_999 and most < 250  # a tree over all members, in which nobody meets many
+
+
 def test_near_duplicates_do_not_depend_on_the_size_of_batches(spark):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     docs = spark.range(70_000).selectExpr("id AS doc_id", "concat_ws(' ', 'x', cast(id % 35000 AS string), 'y') AS text").coalesce(1)
