@@ -117,13 +117,17 @@ def slope(forest: list[Tree], vectors: np.ndarray, k: int, asked: int = 256) ->
     if not normals or len(vectors) < 2:
         return 1.0
     planes, offsets = np.concatenate(normals), np.concatenate([t.offsets[:31] for t in forest if len(t.offsets)])
-    q = vectors[:asked]
-    score = q @ vectors.T
-    score[np.arange(len(q)), np.arange(len(q))] = -np.inf
-    near = np.argpartition(-score, min(k, len(vectors) - 1) - 1, axis=1)[:, : min(k, len(vectors) - 1)]
-    side = vectors @ planes.T - offsets
-    margin = np.abs(side[: len(q)])
-    same = ((side[near] > 0) == (side[: len(q), None] > 0)).mean(1)
+    q, n = vectors[:asked], min(k, len(vectors) - 1)
+    margin, same = [], []
+    for a in range(0, len(q), 16):
+        score = q[a : a + 16] @ vectors.T
+        score[np.arange(len(score)), a + np.arange(len(score))] = -np.inf
+        near = np.argpartition(-score, n - 1, axis=1)[:, :n]
+        side = q[a : a + 16] @ planes.T - offsets
+        there = vectors[near.ravel()] @ planes.T - offsets
+        margin.append(np.abs(side))
+        same.append(((there > 0).reshape(len(side), n, -1) == (side > 0)[:, None]).mean(1))
+    margin, same = np.concatenate(margin), np.concatenate(same)
     scale = float(margin.mean()) or 1.0
     grid = np.geomspace(0.05, 200, 60) / scale
     loss = [(same * np.logaddexp(0, -g * margin) + (1 - same) * np.logaddexp(0, g * margin)).mean() for g in grid]
