@@ -4,7 +4,7 @@ The field labels white-space words with B-/I- tags of four kinds or O. Its featu
 beside a word; its weights are trained here from a small labelled table (sentences made from templates), by gradient
 descent on the regularised likelihood; it is decoded by Viterbi in numpy, all windows of a block at a time. A word
 without a digit or @ can only be O, so words further than two from any such word cannot change a label and are left out
-of the windows. Spans that it adds never overlap base spans, and must pass their kind's arithmetic (digit counts, parts,
+of the windows; a window is as long as its words stand together, and is never cut. Spans that it adds never overlap base spans, and must pass their kind's arithmetic (digit counts, parts,
 the check digit).
 """
 
@@ -14,6 +14,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -78,17 +79,14 @@ CUES = {
 }
 _SHAPE = re.compile(r"([0-9]+)|([A-Za-z]+)|([^\W\d_]+)|(.)", re.S)
 TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
+#: Words that are decoded side by side, and how many of a window's words are scored at a time: they bound memory only.
+TOGETHER, STEP = 1 << 17, 1024
 _STRIP = "()[]{}<>\"'`.,;:!?*#$%&|=_"
 
 
 def shape(word: str) -> str:
-    """Runs of digits as their length (up to 9, then 9+), of letters as a, other characters as they are; 24 signs at most."""
-    out = []
-    for m in _SHAPE.finditer(word[:200]):
-        out.append((str(len(m[1])) if len(m[1]) < 10 else "9+") if m[1] else "a" if m[2] or m[3] else m[4])
-        if len(out) == 24:
-            break
-    return "".join(out)
+    """Runs of digits as their length (up to 9, then 9+), of letters as a, other characters as they are."""
+    return "".join((str(len(m[1])) if len(m[1]) < 10 else "9+") if m[1] else "a" if m[2] or m[3] else m[4] for m in _SHAPE.finditer(word))
 
 
 def features(words: list[str]) -> list[list[str]]:
@@ -240,27 +238,38 @@ class ChainField:
         at = 0
         while at < len(order):
             length = len(windows[order[at]])
-            group = [i for i in order[at : at + 4096] if len(windows[i]) <= max(length, 8) + 8]
+            group = [i for i in order[at : at + max(1, TOGETHER // max(length, 8))] if len(windows[i]) <= max(length, 8) + 8]
             at += len(group)
             self._viterbi(windows, group, out)
         return out
 
-    def _viterbi(self, windows: list[list[str]], group: list[int], out: list[list[str]]) -> None:
-        length, k = max(len(windows[i]) for i in group), len(TAGS)
-        node = np.zeros((len(group), length, k))
+    def _scores(self, windows: list[list[str]], group: list[int], start: int, end: int) -> np.ndarray:
+        """The tag scores of the group's words from start to end."""
+        node = np.zeros((len(group), end - start, len(TAGS)))
         node[..., 1:] = -1e4
+        before = max(0, start - 2)  # features look at two words before and one after
         for row, i in enumerate(group):
-            for t, word in enumerate(features(windows[i])):
+            for t, word in enumerate(features(windows[i][before : end + 1])[start - before : end - before]):
                 if word:
                     node[row, t] = self.weights[[self.index[f] for f in word if f in self.index]].sum(0)
-        best, back = self.first + node[:, 0], np.zeros((len(group), length, k), np.int8)
+        return node
+
+    def _viterbi(self, windows: list[list[str]], group: list[int], out: list[list[str]]) -> None:
+        length, k = max(len(windows[i]) for i in group), len(TAGS)
+        back = np.zeros((len(group), length, k), np.int8)
         ends = np.array([len(windows[i]) for i in group])
-        for t in range(1, length):
-            score = best[:, :, None] + self.steps
-            back[:, t] = score.argmax(1)
-            best = np.where((t < ends)[:, None], score.max(1) + node[:, t], best)
+        best = self.first
+        for start in range(0, length, STEP):
+            node = self._scores(windows, group, start, min(length, start + STEP))
+            for t in range(start, min(length, start + STEP)):
+                if t == 0:
+                    best = self.first + node[:, 0]
+                    continue
+                score = best[:, :, None] + self.steps
+                back[:, t] = score.argmax(1)
+                best = np.where((t < ends)[:, None], score.max(1) + node[:, t - start], best)
         tag = best.argmax(1)
-        tags = np.zeros((len(group), length), int)
+        tags = np.zeros((len(group), length), np.int8)
         rows = np.arange(len(group))
         for t in range(length - 1, -1, -1):
             inside = t < ends
@@ -276,12 +285,18 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
 
 
-#: Words of one window at most; longer runs of words with digits are cut there.
-WINDOW = 64
+def _word_before(text: str, at: int, least: int) -> tuple[int, int] | None:
+    """Bounds of the last word before `at` that begins at `least` or later."""
+    while at > least and text[at - 1].isspace():
+        at -= 1
+    start = at
+    while start > least and not text[start - 1].isspace():
+        start -= 1
+    return (start, at) if start < at else None
 
 
 def windows_of(text: str) -> list[list[tuple[int, int]]]:
-    """Bounds of the words of each window: words with a digit or @, and two words on either side."""
+    """Bounds of the words of each window: words with a digit or @, and two words before and one after each."""
     found: list[tuple[int, int]] = []
     at = 0
     while m := _SIGN.search(text, at):
@@ -293,23 +308,18 @@ def windows_of(text: str) -> list[list[tuple[int, int]]]:
         at = end
     out: list[list[tuple[int, int]]] = []
     for start, end in found:
+        last = out[-1][-1][1] if out else 0
         before, reach = [], start
-        for _ in range(2):
-            tail = text[max(0, reach - 80) : reach].split()
-            if not tail or (out and reach <= out[-1][-1][1]):
-                break
-            a = text.rfind(tail[-1], max(0, reach - 80), reach)
-            if out and a < out[-1][-1][1]:
-                break
-            before.append((a, a + len(tail[-1])))
-            reach = a
-        if out and len(out[-1]) < WINDOW and not text[out[-1][-1][1] : (before[-1] if before else (start, end))[0]].strip():
+        while len(before) < 2 and (word := _word_before(text, reach, last)):
+            before.append(word)
+            reach = word[0]
+        if out and not text[last:reach].strip():
             out[-1] += [*reversed(before), (start, end)]
         else:
             out.append([*reversed(before), (start, end)])
     for window in out:
-        after = _WORD.search(text, window[-1][1], window[-1][1] + 80)
-        if after and not _SIGN.search(after[0]):
+        after = _WORD.search(text, window[-1][1])
+        if after:
             window.append(after.span())
     return out
 
@@ -359,26 +369,32 @@ def find_all(texts: list[str], field: ChainField) -> list[tuple[list[tuple[int,
     return out
 
 
+@cache
+def trained() -> ChainField:
+    """The field that the queries use, fitted once a session on its table of sentences."""
+    return ChainField.fit(labelled_table())
+
+
 def listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
 def find_pii(docs: DataFrame, field: ChainField | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added.
+    """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_spans, n_added.
 
     Null and empty texts have no spans (base_sha256 is that of the empty string). An empty table gives an empty result;
     other columns are not looked at.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(field or ChainField.fit(labelled_table()))
+    shared = docs.sparkSession.sparkContext.broadcast(field or trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_blocks(batches, chars=2_000_000):
             found = find_all([t or "" for t in batch.column("text").to_pylist()], shared.value)
             counts = [[sum(s[1] == k for s in base) for base, _ in found] for k in range(4)]
-            columns = [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array([hashlib.sha256(listed(b).encode()).hexdigest() for b, _ in found], pa.string()), pa.array([listed(s) for _, s in found], pa.string()), pa.array([len(s) - len(b) for b, s in found], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+            columns = [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array([hashlib.sha256(listed(b).encode()).hexdigest() for b, _ in found], pa.string()), pa.array([listed(s) for _, s in found], pa.string()), pa.array([len(s) for _, s in found], pa.int64()), pa.array([len(s) - len(b) for b, s in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "n_added"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, n_added long")
 
 
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -397,7 +413,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_pii(docs: DataFrame) -> DataFrame:
     """All rows and columns of docs, with all spans of personal data replaced in text; n_chars follows if it is there."""
-    shared = docs.sparkSession.sparkContext.broadcast(ChainField.fit(labelled_table()))
+    shared = docs.sparkSession.sparkContext.broadcast(trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_blocks(batches, chars=2_000_000):
