@@ -20,12 +20,11 @@ from pyspark.sql import functions as F
 from tessera.llm.shingles import buffers
 from tessera.llm.tables import fold, table, text_blocks
 
-#: Training rows, at most: those with the smallest hashes of their ids.
-MAX_TRAINING = 3000
-#: Training texts are cut into pieces of about this many bytes, so that short texts are learnt too; all pieces count.
+#: Training rows, at most: those with the smallest hashes of their ids; and bytes of their texts, at most. A row whose
+#: text would go beyond is left out as a whole; texts are never cut short.
+MAX_TRAINING, MAX_BYTES = 3000, 8_000_000
+#: Training texts are learnt in pieces of this many bytes, so that short texts are learnt too; all pieces count.
 PIECE = 400
-#: Pieces at most; they are dealt over all training rows.
-MAX_PIECES = 24_000
 BUCKETS = 1 << 15
 WIDTH = 16
 EPOCHS = 4
@@ -73,7 +72,7 @@ class LanguageModel:
             for a in range(0, max(1, len(raw)), PIECE):
                 pieces.append(raw[a : a + PIECE])
                 owner.append(i)
-        chosen = rng.permutation(len(pieces))[:MAX_PIECES]
+        chosen = rng.permutation(len(pieces))
         kept_out = np.array([owner[i] % 5 == 0 for i in chosen], bool)
         embedding = rng.normal(0, 0.1, (2 * BUCKETS, WIDTH)).astype(np.float32)
         softmax = np.zeros((WIDTH, max(len(names), 1)), np.float32)
@@ -144,25 +143,28 @@ def has_letter(texts: pa.Array) -> np.ndarray:
     return found
 
 
-def fit(docs: DataFrame, folds: int | None = FOLDS, held_out: int = HELD_OUT, max_training: int = MAX_TRAINING) -> LanguageModel:
-    """Learns from rows with text and lang that are not in the held-out fold (folds=None: from all), a bounded sample."""
+def fit(docs: DataFrame, folds: int | None = FOLDS, held_out: int = HELD_OUT, max_training: int = MAX_TRAINING, max_bytes: int = MAX_BYTES) -> LanguageModel:
+    """Learns from rows with text and lang that are not in the held-out fold (folds=None: from all), a bounded sample.
+
+    Rows that repeat id and text are one, with the least lang. The sample goes by hashes of the ids, up to max_training
+    rows, of which those are left out that would make their texts more than max_bytes.
+    """
     pool = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND lang <> '' AND text IS NOT NULL AND text <> ''")
     if folds is not None:
         pool = pool.where(fold("doc_id", folds) != held_out)
-    ids = pool.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_training)
-    rows = pool.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # of a text longer than its share, pieces from all over it
-            texts = []
-            for text in batch.column("text").to_pylist():
-                pieces = -(-len(text) // PIECE)
-                step = max(1, pieces // 64)
-                texts.append(text if step == 1 else "".join(text[a * PIECE : (a + 1) * PIECE] for a in range(0, pieces, step)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(texts, pa.string())], ["doc_id", "lang", "text"])
-
-    found = rows.mapInArrow(cut, "doc_id long, lang string, text string").orderBy("doc_id", "text").limit(2 * max_training).collect()
-    return LanguageModel.fit([r.text for r in found], [r.lang for r in found])
+    named = pool.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "lang", "text")
+    rows = named.groupBy("doc_id", "h").agg(F.min("lang").alias("lang"), F.max(F.octet_length("text")).alias("size"))
+    chosen, size = [], 0
+    for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(max_training).collect():
+        if size + r["size"] <= max_bytes:
+            chosen.append((r.doc_id, r.h, r.lang))
+            size += r["size"]
+    if not chosen:
+        return LanguageModel.fit([], [])
+    picked = docs.sparkSession.createDataFrame(chosen, "doc_id long, h long, known string")
+    found = named.join(F.broadcast(picked), ["doc_id", "h"]).groupBy("doc_id", "h", "known").agg(F.min("text").alias("text"))
+    found = sorted(found.collect(), key=lambda r: (r.doc_id, r.h))
+    return LanguageModel.fit([r.text for r in found], [r.known for r in found])
 
 
 def identify(docs: DataFrame, model: LanguageModel, reject: float = REJECT) -> DataFrame:
