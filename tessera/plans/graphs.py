@@ -21,18 +21,22 @@ def triples(spark: SparkSession, sf: str) -> DataFrame:
 _TRIPLES = """t0 AS (SELECT o_orderkey AS chunk_id, 'Customer ' || o_custkey AS s, lower(regexp_replace(o_orderpriority, '[^A-Za-z]+', '_', 'g')) AS r, 'Status ' || o_orderstatus AS o, o_orderkey AS ord FROM orders),
 trip AS (SELECT * FROM t0 UNION ALL SELECT chunk_id, s, r, 'Yes', ord FROM t0 WHERE chunk_id % 7 = 0 UNION ALL SELECT chunk_id, s, r, upper(s), ord FROM t0 WHERE chunk_id % 11 = 0),
 good AS (SELECT * FROM trip WHERE lower(s) <> lower(o) AND lower(o) NOT IN ('yes', 'no', 'true', 'false')),
-named AS (SELECT chunk_id, s AS entity, ord FROM good UNION ALL SELECT chunk_id, o, ord FROM good)"""
+named AS (SELECT chunk_id, s AS entity, ord FROM good UNION ALL SELECT chunk_id, o, ord FROM good UNION ALL SELECT o_orderkey, 'Segment ' || c_mktsegment, o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey)"""
 _EID = "'entity:' || left(md5(lower({0})), 12)"
 
 
+def clerks(spark: SparkSession, sf: str) -> DataFrame:
+    """Mentions of each order's customer segment and of its priority, as entities that no triple may name."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    return table(spark, sf, "orders").join(c, "o_custkey").select(F.col("o_orderkey").alias("chunk_id"), F.concat(F.lit("Segment "), "c_mktsegment").alias("entity"), F.col("o_orderkey").alias("ord"))
+
+
 def graph_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    t = triples(spark, sf)
-    return graph.assemble(t.select("chunk_id", F.col("s").alias("entity"), "ord").limit(0), t)[0]
+    return graph.assemble(clerks(spark, sf), triples(spark, sf))[0]
 
 
 def graph_edges(spark: SparkSession, sf: str) -> DataFrame:
-    t = triples(spark, sf)
-    return graph.assemble(t.select("chunk_id", F.col("s").alias("entity"), "ord").limit(0), t)[1]
+    return graph.assemble(clerks(spark, sf), triples(spark, sf))[1]
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -115,7 +119,7 @@ def doc_best_entity(spark: SparkSession, sf: str) -> DataFrame:
 
 def fact_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Facts (supplier, part) with a score: each end gets score / degree, entities the mean, chunks (nations) the sum."""
-    f = edges(spark, sf).where("r = 1").select("u", "v", (F.col("w") / 50).alias("s"))
+    f = edges(spark, sf).select("u", "v", (F.col("w") / 50).alias("s"))
     ends = f.select(F.col("u").alias("entity"), "s").union(f.select("v", "s"))
     per = ends.groupBy("entity").agg(F.sum("s").alias("t"), F.count("*").alias("n")).select("entity", (F.col("t") / F.col("n") / F.col("n")).alias("w"))
     owner = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("entity"), F.col("s_nationkey").alias("chunk_id"))
@@ -141,8 +145,8 @@ def degree_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def components(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers and clerks' orders as a sparse graph: orders of one customer on one day are linked in a chain."""
-    o = table(spark, sf, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", "o_custkey")
+    """Orders and their customers."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     e = o.select(F.col("o_orderkey").alias("u"), (F.col("o_custkey") + 100_000_000).alias("v"))
     return connected_components(e)
 
@@ -165,11 +169,12 @@ def pna_aggregate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _spmm(spark: SparkSession, sf: str, add: str, mul: str) -> DataFrame:
-    v = table(spark, sf, "embeddings")
-    x = v.select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 8).cast("array<double>").alias("vec"))
-    rel = v.where("vec_id < 7").select((F.col("vec_id") + 1).cast("int").alias("id"), F.slice("embedding", 9, 8).cast("array<double>").alias("vec"))
-    e = edges(spark, sf).select((F.col("u") % 500).alias("u"), "v", "r", "w")
-    return graph.relational_spmm(e, x, rel, add, mul).withColumn("y", F.round("y", 5))
+    """Over all edges; a supplier's vector is that of its number's place among the vectors, a relation's that of its number."""
+    v = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    n = v.count()
+    x = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % n).alias("vec_id")).join(v, "vec_id").select("id", "vec")
+    rel = edges(spark, sf).select(F.col("r").alias("id")).distinct().join(v, F.col("id") == F.col("vec_id")).select("id", "vec")
+    return graph.relational_spmm(edges(spark, sf), x, rel, add, mul).withColumn("y", F.round("y", 5))
 
 
 def relational_spmm_add_mul(spark: SparkSession, sf: str) -> DataFrame:
@@ -219,13 +224,14 @@ def reachability(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (graph_nodes, graph_edges, edges_with_inverse, invalid_edge_split, entity_ids, mention_map, entity_propagation, ranker_simple, ranker_idf, ranker_topk, ranker_idf_topk, doc_best_entity, fact_scores, strict_negatives, relation_graph, relation_profile, degree_profile, components, segment_softmax, minmax_normalise, pna_aggregate, relational_spmm_add_mul, relational_spmm_min_mul, relational_spmm_max_add, message_passing, training_losses, logical_query, reachability)}
 QUERIES["connected_components"] = QUERIES.pop("components")
 
-_SPMM = """x AS (SELECT vec_id AS u, unnest(embedding[1:8])::DOUBLE AS xv, generate_subscripts(embedding[1:8], 1) - 1 AS dim FROM embeddings),
-rl AS (SELECT vec_id + 1 AS r, unnest(embedding[9:16])::DOUBLE AS rv, generate_subscripts(embedding[9:16], 1) - 1 AS dim FROM embeddings WHERE vec_id < 7)
-SELECT v, dim::INT AS dim, round({0}, 5) AS y FROM (SELECT u % 500 AS u, v, r, w FROM edges) JOIN x USING (u) JOIN rl USING (r, dim) GROUP BY ALL"""
+_SPMM = """n AS (SELECT count(*) AS n FROM embeddings), y AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings),
+x AS (SELECT s_suppkey AS u, dim, v AS xv FROM supplier CROSS JOIN n JOIN y ON vec_id = s_suppkey % n),
+rl AS (SELECT r, dim, v AS rv FROM (SELECT DISTINCT r FROM edges) JOIN y ON vec_id = r)
+SELECT v, dim::INT AS dim, round({0}, 5) AS y FROM edges JOIN x USING (u) JOIN rl USING (r, dim) GROUP BY ALL"""
 _RANK = "SELECT sample, chunk_id, round(sum(s.w * m.w), 6) AS score FROM {0} s JOIN m USING (entity) GROUP BY ALL"
 _TOP5 = "top5 AS (SELECT sample, entity, 1.0::DOUBLE AS w FROM st QUALIFY row_number() OVER (PARTITION BY sample ORDER BY w DESC, entity) <= 5)"
 _IDF = "idf AS (SELECT entity, 1 / sum(w) AS idf FROM m GROUP BY entity)"
-_DS = "ds AS (SELECT q.vec_id AS row, list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) AS t, (q.label = d.label)::INT::DOUBLE AS y FROM embeddings q, embeddings d WHERE q.vec_id < 20), z AS (SELECT *, 1 / (1 + exp(-4 * t)) AS p FROM ds)"
+_DS = "ds AS (SELECT q.vec_id AS row, list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) AS t, (q.label = d.label)::INT::DOUBLE AS y FROM embeddings q, embeddings d WHERE q.vec_id % 100 = 0), z AS (SELECT *, 1 / (1 + exp(-4 * t)) AS p FROM ds)"
 ORACLES = {
     "graph_nodes": f"""WITH {_TRIPLES} SELECT {_EID.format('entity')} AS uid, arg_max(entity, (ord, entity)) AS name, 'entity' AS type FROM named GROUP BY 1 UNION ALL SELECT DISTINCT 'chunk:' || chunk_id, chunk_id::VARCHAR, 'chunk' FROM named""",
     "graph_edges": f"""WITH {_TRIPLES}, e AS (SELECT 'chunk:' || chunk_id AS source, 'mentions' AS relation, {_EID.format('entity')} AS target, chunk_id, ord FROM named UNION ALL SELECT {_EID.format('s')}, r, {_EID.format('o')}, chunk_id, ord FROM good)
@@ -243,7 +249,7 @@ ORACLES = {
     "ranker_topk": f"WITH {_M}, {_TOP5} {_RANK.format('top5')}",
     "ranker_idf_topk": f"WITH {_M}, {_IDF}, {_TOP5}, s2 AS (SELECT sample, entity, w * idf AS w FROM top5 JOIN idf USING (entity)) {_RANK.format('s2')}",
     "doc_best_entity": f"WITH {_M} SELECT sample, chunk_id, max(st.w) AS score, arg_min(entity, (-st.w, entity)) AS entity FROM st JOIN m USING (entity) GROUP BY ALL",
-    "fact_scores": f"""WITH {_EDGES}, f AS (SELECT u, v, w / 50 AS s FROM edges WHERE r = 1), e AS (SELECT u AS entity, s FROM f UNION ALL SELECT v, s FROM f), p AS (SELECT entity, sum(s) / count(*) / count(*) AS w FROM e GROUP BY entity)
+    "fact_scores": f"""WITH {_EDGES}, f AS (SELECT u, v, w / 50 AS s FROM edges), e AS (SELECT u AS entity, s FROM f UNION ALL SELECT v, s FROM f), p AS (SELECT entity, sum(s) / count(*) / count(*) AS w FROM e GROUP BY entity)
         SELECT s_nationkey AS chunk_id, round(sum(w), 6) AS score FROM p JOIN supplier ON s_suppkey = entity GROUP BY 1""",
     "strict_negatives": "SELECT n.u, count(*) AS negatives, sum(s_suppkey)::BIGINT AS sum_v FROM (SELECT DISTINCT s_nationkey AS u FROM supplier) n JOIN supplier s ON s.s_nationkey <> n.u GROUP BY n.u",
     "relation_graph": f"""WITH {_EDGES}, i AS (SELECT u, v, r FROM edges UNION ALL SELECT v, u, r + 7 FROM edges), h AS (SELECT DISTINCT u AS node, r FROM i), t AS (SELECT DISTINCT v AS node, r FROM i)
@@ -252,7 +258,7 @@ ORACLES = {
     "relation_profile": f"WITH {_EDGES} SELECT r, count(*) AS edges, count(DISTINCT u) AS heads, count(DISTINCT v) AS tails FROM edges GROUP BY r",
     "degree_profile": f"""WITH {_EDGES}, d AS (SELECT id, count(*) AS d FROM (SELECT u AS id FROM edges UNION ALL SELECT v FROM edges) GROUP BY id), a AS (SELECT coalesce(d, 0) AS d FROM nodes LEFT JOIN d USING (id))
         SELECT count(*) AS nodes, count(*) FILTER (d = 0) AS zeros, max(d) AS max_degree, round(avg(d), 6) AS mean_degree, quantile_cont(d, 0.5)::DOUBLE AS median_degree FROM a""",
-    "connected_components": """WITH e AS (SELECT o_orderkey AS u, o_custkey + 100000000 AS v FROM orders WHERE o_orderkey % 3 = 0), c AS (SELECT v, min(u) AS component FROM e GROUP BY v)
+    "connected_components": """WITH e AS (SELECT o_orderkey AS u, o_custkey + 100000000 AS v FROM orders), c AS (SELECT v, min(u) AS component FROM e GROUP BY v)
         SELECT u AS id, component FROM e JOIN c USING (v) UNION SELECT v, component FROM c""",
     "segment_softmax": "WITH e AS (SELECT event_id, user_id, exp(value - max(value) OVER (PARTITION BY user_id)) AS x FROM events) SELECT event_id, round(x / sum(x) OVER (PARTITION BY user_id), 8) AS softmax FROM e",
     "minmax_normalise": "SELECT event_id, round(CASE WHEN max(value) OVER w = min(value) OVER w THEN 1 ELSE (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) END, 8) AS norm FROM events WINDOW w AS (PARTITION BY user_id)",

@@ -37,7 +37,7 @@ def grounded_triples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def table_quality(spark: SparkSession, sf: str) -> DataFrame:
-    return docs(spark, sf).select("doc_id", filings.meaningful_table(F.col("text")).alias("meaningful"), extraction.mostly_numeric(F.substring("text", 1, 12)).alias("numeric"))
+    return docs(spark, sf).select("doc_id", filings.meaningful_table(F.col("text")).alias("meaningful"), extraction.mostly_numeric(F.col("text")).alias("numeric"))
 
 
 def image_filter(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,8 +55,8 @@ def entity_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def start_entities(spark: SparkSession, sf: str) -> DataFrame:
-    terms = table(spark, sf, "part").where("p_partkey <= 40").select(F.col("p_partkey").alias("id"), F.element_at(F.split("p_name", " "), 1).alias("term"))
-    ents = table(spark, sf, "part").where("p_partkey <= 400").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("uid"), F.col("p_name").alias("name"))
+    terms = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.element_at(F.split("p_name", " "), 1).alias("term"))
+    ents = table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("uid"), F.col("p_name").alias("name"))
     return linking.resolve(terms, ents).groupBy("id").agg(F.count("*").alias("n"))
 
 
@@ -81,10 +81,10 @@ def boosted_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def late_interaction(spark: SparkSession, sf: str) -> DataFrame:
-    """MaxSim between bags of four vectors."""
-    v = table(spark, sf, "embeddings").where("vec_id < 200").select((F.col("vec_id") / 4).cast("int").alias("bag"), "vec_id", "embedding")
+    """MaxSim between bags of four vectors; every hundredth bag asks."""
+    v = table(spark, sf, "embeddings").select((F.col("vec_id") / 4).cast("int").alias("bag"), "vec_id", "embedding")
     bags = v.groupBy("bag").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("e"))
-    q = bags.where("bag < 5").select(F.col("bag").alias("query_id"), F.col("e").alias("q"))
+    q = bags.where("bag % 100 = 0").select(F.col("bag").alias("query_id"), F.col("e").alias("q"))
     return bags.crossJoin(F.broadcast(q)).select("query_id", F.col("bag").alias("doc_id"), F.round(vector.max_sim(F.col("q"), F.col("e")), 5).alias("score"))
 
 
@@ -108,10 +108,10 @@ ORACLES = {
     "canonical_relations": f"WITH {_CANON} SELECT * FROM c",
     "whitelisted_edges": f"WITH {_CANON} SELECT relation, count(*) AS n FROM c WHERE relation IN ({', '.join(map(_Q, extraction.WHITELIST))}) GROUP BY relation",
     "table_quality": """SELECT doc_id, len(regexp_extract_all(text, '[0-9]')) >= 20 AND len(list_filter(string_split_regex(trim(text), '[ \\t\\n\\r\\f\\x0B]+'), lambda w: w <> '')) >= 20 AS meaningful,
-        length(regexp_replace(left(text, 12), '[ \\t\\n\\r\\f\\x0B,.$()%:-]', '', 'g')) > 0 AND length(regexp_replace(left(text, 12), '[^0-9]', '', 'g')) >= 0.6 * length(regexp_replace(left(text, 12), '[ \\t\\n\\r\\f\\x0B,.$()%:-]', '', 'g')) AS numeric FROM documents""",
+        length(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B,.$()%:-]', '', 'g')) > 0 AND length(regexp_replace(text, '[^0-9]', '', 'g')) >= 0.6 * length(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B,.$()%:-]', '', 'g')) AS numeric FROM documents""",
     "image_filter": "SELECT p_partkey, p_size * 17 >= 200 AND p_partkey % 700 >= 120 AND p_size * 17 * (p_partkey % 700) >= 100000 AS big, p_size * 17 >= 80 AND p_partkey % 700 >= 60 AND p_size * 17 * (p_partkey % 700) >= 8000 AS scanned FROM part",
     "entity_links": "SELECT CASE WHEN n_nationkey % 3 = 0 THEN n_name ELSE lower(n_name) END AS surface, 'n' || n_nationkey AS uid, CASE WHEN n_nationkey % 3 = 0 OR lower(n_name) = n_name THEN 'exact' ELSE 'lower' END AS how FROM nation WHERE n_nationkey % 3 < 2",
-    "start_entities": """WITH t AS (SELECT p_partkey AS id, lower(split_part(p_name, ' ', 1)) AS term FROM part WHERE p_partkey <= 40), e AS (SELECT p_partkey, lower(p_name) AS name FROM part WHERE p_partkey <= 400),
+    "start_entities": """WITH t AS (SELECT p_partkey AS id, lower(split_part(p_name, ' ', 1)) AS term FROM part), e AS (SELECT p_partkey, lower(p_name) AS name FROM part),
         w AS (SELECT DISTINCT p_partkey, unnest(string_split(name, ' ')) AS w FROM e), x AS (SELECT DISTINCT id, p_partkey FROM t JOIN e ON e.name = t.term),
         y AS (SELECT DISTINCT id, p_partkey FROM t JOIN w ON w.w = t.term WHERE length(term) >= 3 AND term NOT IN (SELECT name FROM e)) SELECT id, count(*) AS n FROM (SELECT * FROM x UNION SELECT * FROM y) GROUP BY id""",
     "node_texts": """SELECT s_suppkey, CASE WHEN s_suppkey % 4 <> 0 THEN 'region: r' || s_nationkey ELSE 'Node: ' || s_name END AS fields, 'name: ' || s_name || chr(10) || 'key: ' || s_suppkey || CASE WHEN s_suppkey % 4 <> 0 THEN chr(10) || 'region: r' || s_nationkey ELSE '' END AS lines, 'entity' AS kind FROM supplier""",
@@ -119,7 +119,7 @@ ORACLES = {
         db AS (SELECT doc_id, lang, {_NORM} AS dn, {_TOK} AS dt FROM documents) SELECT query_id, doc_id, round(CASE WHEN contains(dn, qn) THEN 20 ELSE 0 END + CASE WHEN contains(dn, an) THEN 8 ELSE 0 END + 10 * (len(list_intersect(qt, dt)) / len(qt)) + CASE WHEN lang = want_lang THEN 2 ELSE 0 END, 5) AS score
         FROM run JOIN qb USING (query_id) JOIN ab USING (query_id) JOIN want USING (query_id) JOIN db USING (doc_id)""",
     "boosted_topk": f"WITH {_BM25}, {_WANT}, s AS (SELECT query_id, doc_id, round(score + 0.03::DOUBLE * ((d.source = want_source)::INT + (d.lang = want_lang)::INT), 6) AS score FROM bms JOIN documents d USING (doc_id) JOIN want USING (query_id)) SELECT query_id, {_TOP} AS rank, doc_id, score FROM s QUALIFY {_TOP} <= 10",
-    "late_interaction": """WITH v AS (SELECT vec_id // 4 AS bag, vec_id, embedding FROM embeddings WHERE vec_id < 200), p AS (SELECT q.bag AS query_id, d.bag AS doc_id, q.vec_id, max(list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))) AS s FROM v q, v d WHERE q.bag < 5 GROUP BY ALL)
+    "late_interaction": """WITH v AS (SELECT vec_id // 4 AS bag, vec_id, embedding FROM embeddings), p AS (SELECT q.bag AS query_id, d.bag AS doc_id, q.vec_id, max(list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))) AS s FROM v q, v d WHERE q.bag % 100 = 0 GROUP BY ALL)
         SELECT query_id::INT AS query_id, doc_id::INT AS doc_id, round(sum(s), 5) AS score FROM p GROUP BY ALL""",
     "best_paths": f"""WITH {_EDGES}, e AS (SELECT u, v, sum(w) AS w FROM edges GROUP BY ALL), b AS (SELECT v, w FROM e WHERE u = 1), s AS (SELECT e.u AS id, max(b.w + e.w) AS score FROM b JOIN e ON e.v = b.v WHERE e.u <> 1 GROUP BY e.u) SELECT * FROM s""",
 }

@@ -46,11 +46,11 @@ def sentence_breakpoints(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dedupe_keep_first(spark: SparkSession, sf: str) -> DataFrame:
-    return ranking.keep_first(docs(spark, sf), F.lower(F.substring("text", 1, 40)), ["doc_id"]).select("doc_id", "lang")
+    return ranking.keep_first(docs(spark, sf), F.lower("text"), ["doc_id"]).select("doc_id", "lang")
 
 
 def dedupe_keep_last(spark: SparkSession, sf: str) -> DataFrame:
-    return ranking.keep_last(docs(spark, sf).select("doc_id", "lang", "text"), F.lower(F.substring("text", 1, 40)), ["doc_id"]).select("doc_id", "lang")
+    return ranking.keep_last(docs(spark, sf).select("doc_id", "lang", "text"), F.lower("text"), ["doc_id"]).select("doc_id", "lang")
 
 
 def round_robin_sample(spark: SparkSession, sf: str) -> DataFrame:
@@ -111,7 +111,7 @@ def json_attribute_parse(spark: SparkSession, sf: str) -> DataFrame:
 
 def qa_em_f1(spark: SparkSession, sf: str) -> DataFrame:
     """Each conversation's turns against the turn before."""
-    c = table(spark, sf, "conversations").select("conv_id", "turn", F.substring("text", 1, 200).alias("text"))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
     p = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
     rows = c.join(p, ["conv_id", "turn"]).select(F.concat_ws(":", "conv_id", "turn").alias("key"), "text", "before")
     out = metrics.answer_scores(rows, "key", "text", "before")
@@ -189,8 +189,8 @@ ORACLES = {
     "sentence_breakpoints": f"""WITH {_SENT}, d AS (SELECT doc_id, ord, count(*) OVER (PARTITION BY doc_id) AS n, abs(lead(length(sentence)) OVER (PARTITION BY doc_id ORDER BY ord) - length(sentence))::DOUBLE AS distance FROM sent),
         w AS (SELECT doc_id, ord, distance, unnest(range(0, greatest(ceil((n - 32) / 24), 0)::BIGINT + 1)) AS w FROM d WHERE distance IS NOT NULL), h AS (SELECT * FROM w WHERE ord >= w * 24 AND ord + 1 < w * 24 + 32),
         l AS (SELECT doc_id, w, quantile_cont(distance, 0.95) AS lim FROM h GROUP BY ALL HAVING count(*) >= 2) SELECT DISTINCT doc_id, ord::INT AS ord FROM h JOIN l USING (doc_id, w) WHERE distance >= lim""",
-    "dedupe_keep_first": "SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lower(left(text, 40)) ORDER BY doc_id) = 1",
-    "dedupe_keep_last": "SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lower(left(text, 40)) ORDER BY doc_id DESC) = 1",
+    "dedupe_keep_first": "SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lower(text) ORDER BY doc_id) = 1",
+    "dedupe_keep_last": "SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lower(text) ORDER BY doc_id DESC) = 1",
     "round_robin_sample": "WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS round, min(doc_id) OVER (PARTITION BY source) AS f FROM documents) SELECT doc_id, source, round FROM r ORDER BY round, f LIMIT 50",
     "positional_split": "SELECT doc_id, CASE WHEN (row_number() OVER (ORDER BY doc_id) - 1) % 5 = 0 THEN 'dev' ELSE 'test' END AS split FROM documents",
     "regex_role_and_type": """SELECT doc_id, CASE WHEN regexp_matches(text, '[*$%&#!]{3}') THEN 'junk' WHEN contains(text, ' | ') THEN 'table' WHEN regexp_matches(text, '(?i)licen[sc]e') THEN 'licence' WHEN length(text) <= 200 THEN 'short' ELSE 'prose' END AS role,
@@ -205,7 +205,7 @@ ORACLES = {
         SELECT source, CASE WHEN m > 0.1 OR c < 0.8 THEN 'FAIL' WHEN c < 0.95 OR e > 0.3 OR o > 0 THEN 'WARN' ELSE 'PASS' END AS status FROM a""",
     "html_fields": """SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang, len(regexp_extract_all(html, 'href="([^"]*)"'))::INT AS links, len(regexp_extract_all(html, '<p>'))::INT AS paragraphs FROM pages""",
     "json_attribute_parse": "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'raw' ELSE coalesce(array_to_string(list_sort(json_keys(props)), ','), '') END AS keys, CASE WHEN event_id % 5 = 0 THEN 'plain' ELSE '' END AS raw FROM events",
-    "qa_em_f1": f"""WITH c AS (SELECT conv_id, turn, left(text, 200) AS text FROM conversations), j AS (SELECT c.conv_id || ':' || c.turn AS key, {_ANS.format('c.text')} AS p, {_ANS.format('b.text')} AS g FROM c JOIN c b ON b.conv_id = c.conv_id AND b.turn + 1 = c.turn),
+    "qa_em_f1": f"""WITH c AS (SELECT conv_id, turn, text FROM conversations), j AS (SELECT c.conv_id || ':' || c.turn AS key, {_ANS.format('c.text')} AS p, {_ANS.format('b.text')} AS g FROM c JOIN c b ON b.conv_id = c.conv_id AND b.turn + 1 = c.turn),
         k AS (SELECT key, p, g, list_filter(string_split(p, ' '), lambda x: x <> '') AS pt, list_filter(string_split(g, ' '), lambda x: x <> '') AS gt FROM j),
         n AS (SELECT *, CASE WHEN p <> g AND (p IN ('yes', 'no', 'noanswer') OR g IN ('yes', 'no', 'noanswer')) THEN 0 ELSE coalesce(list_sum(list_transform(list_distinct(pt), lambda x: least(len(list_filter(pt, lambda y: y = x)), len(list_filter(gt, lambda y: y = x))))), 0) END AS n FROM k)
         SELECT key, (p = g)::INT AS em, round(CASE WHEN n = 0 THEN 0 ELSE 2 * (n / len(pt)) * (n / len(gt)) / (n / len(pt) + n / len(gt)) END, 6) AS f1, round(CASE WHEN n = 0 THEN 0 ELSE n / len(pt) END, 6) AS precision, round(CASE WHEN n = 0 THEN 0 ELSE n / len(gt) END, 6) AS recall FROM n""",
