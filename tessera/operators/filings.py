@@ -40,6 +40,8 @@ RISKS = {
     "cybersecurity risk": r"\bcybersecurity\b|\bcyber security\b", "legal risk": r"\blegal proceedings?\b|\blitigation\b",
 }
 BAD_TABLE = ("table of contents", "commission file", "exact name of registrant", "large accelerated filer", "securities registered pursuant", "state or other jurisdiction", "telephone number")
+#: What tells front matter on the first three pages (fixed values).
+FIRST_PAGES = ("table of contents", "commission file", "registrant")
 GOOD_TABLE = ("net sales", "revenue", "gross margin", "operating", "income", "cash", "assets", "liabilities", "share", "tax", "expense", "balance sheet", "statements of operations", "cash flow")
 #: Weights of the tag score's overlaps (fixed values): query field, chunk field, weight.
 WEIGHTS = [("financial_metrics", "financial_metrics", 0.28), ("business_topics", "business_topics", 0.18), ("risk_topics", "risk_topics", 0.15), ("expected_sections", "section_tags", 0.18), ("retrieval_keywords", "retrieval_keywords", 0.12)]
@@ -128,10 +130,17 @@ def tag_score(query: str, chunk: str) -> Column:
     return F.when(role.isin(*METADATA_ROLES), 0.0).otherwise(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)))
 
 
-def good_table(summary: Column, modality: Column) -> Column:
+def bad_table(summary: Column, page: Column | None = None) -> Column:
+    """Front matter: one of the phrases anywhere, or one of those of the first three pages there."""
     low = F.lower(clean_text(F.coalesce(summary, F.lit(""))))
     has = lambda words: reduce(lambda a, b: a | b, (low.contains(w) for w in words))
-    return (modality == "table") & ~has(BAD_TABLE) & has(GOOD_TABLE)
+    early = F.lit(False) if page is None else F.coalesce(page.isin(1, 2, 3), F.lit(False))
+    return (early & has(FIRST_PAGES)) | has(BAD_TABLE)
+
+
+def good_table(summary: Column, modality: Column, page: Column | None = None) -> Column:
+    low = F.lower(clean_text(F.coalesce(summary, F.lit(""))))
+    return (modality == "table") & ~bad_table(summary, page) & reduce(lambda a, b: a | b, (low.contains(w) for w in GOOD_TABLE))
 
 
 def meaningful_table(text: Column) -> Column:
@@ -220,7 +229,7 @@ def table_values(rows: DataFrame, key: str = "page_id") -> DataFrame:
     The header is a table's first row without numbers in all but its first cell.
     """
     number = r"^[-(]?\$?\s*[0-9][0-9,]*(\.[0-9]+)?%?\)?$"
-    numeric = F.filter(F.slice("cells", 2, 1000), lambda c: c.rlike(number))
+    numeric = F.filter(F.slice("cells", 2, F.greatest(F.size("cells"), F.lit(1))), lambda c: c.rlike(number))
     marked = rows.withColumn("numbers", numeric)
     header = marked.where("size(numbers) = 0 AND size(cells) > 0").groupBy(key, "table_index").agg(F.min_by("cells", "row_index").alias("header"))
     body = marked.where("size(numbers) > 0").join(header, [key, "table_index"], "left")

@@ -50,3 +50,37 @@ def merge_rounds(rounds: list[DataFrame], k: int) -> DataFrame:
 
     every = reduce(DataFrame.unionByName, [r.select("query_id", "doc_id", "score") for r in rounds])
     return top_k(every.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), k)
+
+
+#: How many times the results asked for a dense search fetches before it filters and adds bonuses (fixed value).
+OVERFETCH = 30
+
+
+def tag_aware(rows: DataFrame, k: int, mode: str, overlap: str = "overlap", useful: str = "query_has_tags", weight: float = 0.03) -> DataFrame:
+    """The k best of rows (query_id, doc_id, score, overlap, query_has_tags) by one of three modes.
+
+    none: as they are; boost: weight for each overlap; filter: without overlap a row goes, if its query has tags at all.
+    """
+    from tessera.operators.lexical import top_k
+
+    if mode == "filter":
+        rows = tag_filter(rows, overlap, F.col(useful))
+    if mode == "boost":
+        rows = rows.withColumn("score", boosted(F.col("score"), F.col(overlap), weight))
+    return top_k(rows, k)
+
+
+def fetched(scores: DataFrame, k: int, candidates: int, mode: str) -> DataFrame:
+    """What a lexical search fetches: `candidates` where tags decide afterwards, else k."""
+    from tessera.operators.lexical import top_k
+
+    return top_k(scores, k if mode == "none" else candidates).drop("rank")
+
+
+def overfetched(scores: DataFrame, k: int, keep: Column | None = None, bonus: Column | None = None) -> DataFrame:
+    """The OVERFETCH * k best of each query, those that pass `keep`, with the bonus added."""
+    from tessera.operators.lexical import top_k
+
+    rows = top_k(scores, OVERFETCH * k).drop("rank")
+    rows = rows if keep is None else rows.where(keep)
+    return rows if bonus is None else rows.withColumn("score", F.col("score") + bonus)

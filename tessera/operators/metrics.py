@@ -32,10 +32,57 @@ METRICS = ["hit", "precision", "recall", "mrr", "ndcg"]
 
 
 def metrics_rollup(metrics: DataFrame, group: str) -> DataFrame:
-    """Means by (k, group) and over all groups (group 'all'); nulls don't count."""
-    out = metrics.groupBy("k", group).agg(*(F.avg(m).alias(m) for m in METRICS), F.count("*").alias("n"))
-    total = metrics.groupBy("k").agg(*(F.avg(m).alias(m) for m in METRICS), F.count("*").alias("n")).withColumn(group, F.lit("all"))
-    return out.unionByName(total)
+    """Means by (k, group) and over all groups (group 'all'), in one pass over the metrics; nulls don't count."""
+    sets = metrics.groupingSets([["k", group], ["k"]], "k", group)
+    out = sets.agg(*(F.avg(m).alias(m) for m in METRICS), F.count("*").alias("n"), F.grouping(group).alias("__all"))
+    return out.withColumn(group, F.when(F.col("__all") == 1, F.lit("all")).otherwise(F.col(group))).drop("__all")
+
+
+def page_and_evidence_recall(run: DataFrame, docs: DataFrame, wanted: DataFrame, evidence: DataFrame, ks: list[int]) -> DataFrame:
+    """(query_id, k, page_recall, evidence_recall): whether one of the k first lies on the evidence's page of its source, and
+    whether one is evidence itself.
+
+    run: (query_id, doc_id, rank); docs: (doc_id, source, page_start, page_end); wanted: (query_id, source or null, page);
+    evidence: (query_id, doc_id). All of wanted have a row for each k.
+    """
+    found = run.join(docs.withColumnRenamed("source", "__s"), "doc_id").join(wanted, "query_id")
+    page = (F.col("source").isNull() | (F.col("source") == F.col("__s"))) & F.col("page").between(F.col("page_start"), F.coalesce("page_end", "page_start"))
+    told = evidence.select("query_id", "doc_id").distinct().withColumn("__e", F.lit(True))
+    found = found.join(told, ["query_id", "doc_id"], "left").groupBy("query_id").agg(F.min(F.when(page, F.col("rank"))).alias("__p"), F.min(F.when(F.col("__e"), F.col("rank"))).alias("__q"))
+    rows = wanted.select("query_id").distinct().withColumn("k", F.explode(F.array(*map(F.lit, sorted(set(ks)))))).join(found, "query_id", "left")
+    hit = lambda c: F.coalesce((F.col(c) <= F.col("k")).cast("double"), F.lit(0.0))
+    return rows.select("query_id", "k", hit("__p").alias("page_recall"), hit("__q").alias("evidence_recall"))
+
+
+def document_recall(found: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 2, 5, 10)) -> DataFrame:
+    """(k, recall): the mean share of a query's gold documents among the k best of all types together.
+
+    found: (query_id, type, doc_id, score), ranked by score, then type and id; a document may come once a type. gold:
+    (query_id, doc_id); queries without gold don't count.
+    """
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "type", "doc_id")
+    ranked = found.withColumn("rank", F.row_number().over(order))
+    rels = gold.select("query_id", "doc_id").distinct()
+    first = ranked.join(rels, ["query_id", "doc_id"], "left_semi").groupBy("query_id", "doc_id").agg(F.min("rank").alias("rank"))
+    counts = rels.groupBy("query_id").agg(F.count("*").alias("n")).withColumn("k", F.explode(F.array(*map(F.lit, ks))))
+    hits = counts.join(first, "query_id", "left").groupBy("query_id", "k").agg((F.count_if(F.col("rank") <= F.col("k")) / F.first("n")).alias("recall"))
+    return hits.groupBy("k").agg(F.avg("recall").alias("recall"))
+
+
+def hard_ranks(scored: DataFrame, by: str = "query_id", score: str = "score", tie: str = "doc_id") -> DataFrame:
+    """(by, tie, rank) of the rows whose booleans positive and hard hold: among the rows that aren't positive."""
+    ranks = filtered_ranks(scored, by, score, tie)
+    return ranks.join(scored.where("positive AND hard").select(by, tie), [by, tie], "left_semi").select(by, tie, F.col("filtered").alias("rank"))
+
+
+def type_means(rows: DataFrame, value: str) -> DataFrame:
+    """(name, value): the mean of each query type, of all types, of those without negation (EPFO) and of those with it.
+
+    rows: (type, value), a row a query; a type with an n in its name has a negation.
+    """
+    types = rows.groupBy("type").agg(F.avg(value).alias("value"))
+    names = F.array(F.concat(F.lit("["), F.col("type"), F.lit("]")), F.lit("all"), F.when(F.col("type").contains("n"), "[negation]").otherwise("[EPFO]"))
+    return types.select(F.explode(names).alias("name"), "value").groupBy("name").agg(F.avg("value").alias("value"))
 
 
 def filtered_ranks(scored: DataFrame, by: str = "query_id", score: str = "score", tie: str = "doc_id") -> DataFrame:

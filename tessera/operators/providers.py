@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 
 class Generator(Protocol):
@@ -108,3 +109,43 @@ def reason(question: str, retrieve: Callable[[str], list[tuple[str, float]]], th
             break
         query = thought
     return " ".join(thoughts), sorted(found.items(), key=lambda x: (-x[1], x[0]))[:k]
+
+
+class PairScorer(Protocol):
+    """A cross-encoder: one score for each pair of texts."""
+
+    def predict(self, pairs: list[tuple[str, str]]) -> list[float]: ...
+
+
+def reranked(rows: DataFrame, k: int, query: str, text: str, fallback: Column, scorer: PairScorer | None = None, weight: float = 1.0) -> DataFrame:
+    """The k best of rows (query_id, doc_id, score, and both texts) after the scorer's scores, or without one the fallback,
+    are added `weight` times."""
+    from tessera.operators.lexical import top_k
+
+    if scorer is None:
+        return top_k(rows.withColumn("score", F.col("score") + weight * fallback), k)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["score"] += weight * pd.Series(scorer.predict(list(zip(batch[query], batch[text], strict=True))), index=batch.index, dtype=float)
+            yield batch
+
+    return top_k(rows.withColumn("score", F.col("score").cast("double")).mapInPandas(run, rows.withColumn("score", F.col("score").cast("double")).schema), k)
+
+
+def picked(candidates: DataFrame, picks: DataFrame, most: int) -> DataFrame:
+    """Of ranked candidates (query_id, doc_id, score, rank) those that a model picked by their ranks, in its order, `most` at
+    most; where it picked none that exists, the first `most`. picks: (query_id, picks array<int> or null)."""
+    told = picks.select("query_id", F.posexplode("picks").alias("place", "rank"))
+    chosen = candidates.join(told, ["query_id", "rank"])
+    rest = candidates.join(chosen.select("query_id").distinct(), "query_id", "left_anti").withColumn("place", F.col("rank") - 1)
+    both = chosen.select("query_id", "doc_id", "score", "place").unionByName(rest.select("query_id", "doc_id", "score", "place"))
+    order = Window.partitionBy("query_id").orderBy("place", "doc_id")
+    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("place")
+
+
+def repaired(generated: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(query_id, text, doc_id): for each text that a model wrote, its query's candidate (query_id, doc_id, name) with the
+    fewest letters to change (ties: the smaller id)."""
+    pairs = generated.join(candidates, "query_id").select("query_id", "text", F.struct(F.levenshtein(F.lower("text"), F.lower("name")).alias("d"), "doc_id").alias("x"))
+    return pairs.groupBy("query_id", "text").agg(F.min("x").alias("x")).select("query_id", "text", F.col("x.doc_id").alias("doc_id"))

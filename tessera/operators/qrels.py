@@ -16,10 +16,7 @@ def page_overlaps(page: Column, start: Column, end: Column) -> Column:
 
 
 def candidates(queries: DataFrame, docs: DataFrame, least: int) -> DataFrame:
-    """(query_id, doc_id, shared): pairs that share at least `least` distinct tokens, by a join of distinct tokens.
-
-    Tokens that more than a tenth of the documents have don't join unless a query has no other.
-    """
+    """(query_id, doc_id, shared): pairs that share at least `least` distinct tokens, by a join of distinct tokens."""
     q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
     d = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).join(q.select("token").distinct(), "token", "left_semi")
     return q.join(d, "token").groupBy("query_id", "doc_id").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
@@ -70,3 +67,8 @@ def evidence_score(evidence: Column, answer: Column, text: Column, same_type: Co
         F.when(hay.contains(normalize_evidence(evidence)), 20.0).otherwise(0.0) + F.when(hay.contains(normalize_evidence(answer)), 8.0).otherwise(0.0)
         + 10 * token_recall(tokens(evidence), tokens(text)) + F.when(same_type, 2.0).otherwise(0.0)
     )
+
+
+def gated(score: Column, same_source: Column, on_page: Column) -> Column:
+    """An evidence score, 0 for another source or page than the query names; null conditions, where it names none, pass."""
+    return F.when(F.coalesce(same_source, F.lit(True)) & F.coalesce(on_page, F.lit(True)), score).otherwise(0.0)

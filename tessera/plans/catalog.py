@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import graphs, retrieval, rules, texts
+from tessera.plans import graphs, retrieval, rules, search, texts
 
 FLAGSHIP = "bm25_topk"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**retrieval.QUERIES, **graphs.QUERIES, **texts.QUERIES, **rules.QUERIES}
-ORACLES: dict[str, str] = {**retrieval.ORACLES, **graphs.ORACLES, **texts.ORACLES, **rules.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**retrieval.QUERIES, **graphs.QUERIES, **texts.QUERIES, **rules.QUERIES, **search.QUERIES}
+ORACLES: dict[str, str] = {**retrieval.ORACLES, **graphs.ORACLES, **texts.ORACLES, **rules.ORACLES, **search.ORACLES}
