@@ -3,10 +3,12 @@
 1. Each task builds counting quotient filters of its texts' 64-bit fingerprints, cut into blocks by their top bits.
 2. A block's filters from all tasks are merged by sorted remainders; a copy group is one entry a task however large.
 3. Texts whose fingerprint is counted more than once are grouped by their bytes (with partial aggregation, so each
-   task sends a text once). Texts are compared, not digests.
+   task sends a text once). Texts are compared, not digests. A bitmap of the repeated fingerprints, of fixed size, is
+   broadcast first, so that few other texts are moved; those that pass are joined to the whole fingerprints.
 4. Documents meet their group by digest; the heaviest groups are broadcast, see left_join_unique.
 
-The text of a document whose fingerprint is unique is never shuffled, up to a filter's false positives.
+The text of a document whose fingerprint is unique is never shuffled, up to the bitmap's false positives; those are never
+grouped.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.quotient_filter import CountingQuotientFilter
+from tessera.llm.sieve import bitmap, split
 from tessera.llm.tables import table
 from tessera.operators.joins import left_join_unique
 from tessera.session import written
@@ -27,8 +30,6 @@ from tessera.session import written
 BLOCK_PRINTS = 1 << 20
 #: Fingerprints that a task gathers before it sends its filters.
 TASK_PRINTS = 1 << 20
-#: Bits of the fingerprints' prefix by which texts are sieved before they are grouped; 2 ** bits rows at most are broadcast.
-SIEVE_BITS = 20
 
 
 def repeated_fingerprints(docs: DataFrame, fingerprint: str = "fp", rows: int | None = None) -> DataFrame:
@@ -83,6 +84,12 @@ def repeated_fingerprints(docs: DataFrame, fingerprint: str = "fp", rows: int |
     return filters.groupBy("block").applyInArrow(merge, "fp long, n long")
 
 
+def copies(base: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The rows of base (doc_id, t) whose text's fingerprint is one of repeated (fp, n), a written table."""
+    passed, _ = split(base, F.xxhash64("t"), bitmap(repeated, "fp"))
+    return left_join_unique(passed.withColumn("fp", F.xxhash64("t")), repeated, "fp", "n", ["n"]).where("n IS NOT NULL").select("doc_id", "t")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -94,9 +101,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"))
     repeated = written(repeated_fingerprints(base.select(F.xxhash64("t").alias("fp")), rows=docs.count()), "repeated")
-    sieve = repeated.select(F.shiftrightunsigned("fp", 64 - SIEVE_BITS).alias("__q")).distinct()
-    candidates = base.withColumn("__q", F.shiftrightunsigned(F.xxhash64("t"), 64 - SIEVE_BITS)).join(F.broadcast(sieve), "__q", "left_semi")
-    groups = candidates.groupBy("t").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    groups = copies(base, repeated).groupBy("t").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
     groups = written(groups.select(F.sha2(F.encode("t", "UTF-8"), 256).alias("text_sha256"), "keep_id", "group_size"), "groups")
     rows = base.select("doc_id", F.sha2(F.encode("t", "UTF-8"), 256).alias("text_sha256"))
     out = left_join_unique(rows, groups, "text_sha256", "group_size", ["keep_id", "group_size"])
@@ -131,15 +136,19 @@ def one_of_each(rows: DataFrame, columns: list[str], *keys: Column) -> DataFrame
 def stage_exact_dedup(docs: DataFrame) -> DataFrame:
     """Of the rows of docs that exact_dedup keeps, all columns, one for each id and text; of equal texts without ids one.
 
-    The decisions are joined to docs by id and digest, so rows of one id with different texts are judged apart. Where
-    rows repeat id and text but not other columns, the least one by all columns stays.
+    Rows whose text's fingerprint is unique stay where they are. To the others the decisions are joined by id and digest,
+    so rows of one id with different texts are judged apart. Where rows repeat id and text but not other columns, the
+    least one by all columns stays.
     """
-    kept = exact_dedup(docs).where("kept").groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.count("*").alias("__rows"))
+    text = F.coalesce("text", F.lit(""))
+    repeated = written(repeated_fingerprints(docs.select(F.xxhash64(text).alias("fp"))), "repeated")
+    rest, alone = split(docs, F.xxhash64(text), bitmap(repeated, "fp"))
+    kept = exact_dedup(rest).where("kept").groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.count("*").alias("__rows"))
     kept = written(kept, "kept")
     own = digest_of()
-    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (own == F.col("__sha"))
-    out = docs.join(kept.where("__rows = 1"), same, "left_semi")
-    repeated = kept.where("__rows > 1")
-    if repeated.isEmpty():
+    same = rest["doc_id"].eqNullSafe(F.col("__id")) & (own == F.col("__sha"))
+    out = alone.union(rest.join(kept.where("__rows = 1"), same, "left_semi"))
+    again = kept.where("__rows > 1")
+    if again.isEmpty():
         return out
-    return out.union(one_of_each(docs.join(repeated, same, "left_semi"), docs.columns, F.col("doc_id"), own))
+    return out.union(one_of_each(rest.join(again, same, "left_semi"), docs.columns, F.col("doc_id"), own))
