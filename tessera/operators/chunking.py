@@ -118,12 +118,3 @@ def semantic_chunks(docs: DataFrame, encode=hashed_vectors) -> DataFrame:  # noq
     """Sentences, windowed breakpoints, segments and merging in one."""
     rows = neighbour_distances(encode(sentence_rows(docs)))
     return merged(segments(rows, breakpoints(rows)))
-
-
-def providers_map(rows: DataFrame, schema: str, call) -> DataFrame:  # noqa: ANN001
-    """Any provider (a language or vision model, a recogniser) over batches of rows: call(pandas frame) -> pandas frame."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from map(call, batches)
-
-    return rows.mapInPandas(run, schema)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import edge_id, entity_id, entity_key
+from tessera.operators.vector import query_blocks
 from tessera.session import written
 
 
@@ -168,10 +171,12 @@ def message_passing(edges: DataFrame, x: DataFrame, rel: DataFrame, layers: int,
 
 
 def distmult_scores(heads: DataFrame, rel: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(u, r, v, score): sum of h * r * t of each stated (u, r) against all nodes (id, vec)."""
+    """(u, r, v, score): sum of h * r * t of each stated (u, r) against all nodes (id, vec), in blocks of (u, r)."""
     hr = heads.join(nodes.select(F.col("id").alias("u"), F.col("vec").alias("h")), "u").join(rel.select(F.col("id").alias("r"), F.col("vec").alias("w")), "r")
     hr = hr.select("u", "r", F.zip_with("h", "w", lambda a, b: a * b).alias("q"))
-    return nodes.select(F.col("id").alias("v"), F.col("vec").alias("t")).crossJoin(F.broadcast(hr)).select("u", "r", "v", F.aggregate(F.zip_with("q", "t", lambda a, b: a * b), F.lit(0.0), lambda s, z: s + z).alias("score"))
+    score = F.aggregate(F.zip_with("q", "t", lambda a, b: a * b), F.lit(0.0), lambda s, z: s + z)
+    tails = nodes.select(F.col("id").alias("v"), F.col("vec").alias("t"))
+    return reduce(DataFrame.union, [tails.crossJoin(F.broadcast(block)).select("u", "r", "v", score.alias("score")) for block in query_blocks(hr, ["u", "r"], "q")])
 
 
 def hops(edges: DataFrame, starts: DataFrame, most: int, beam: int | None = None) -> DataFrame:

@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
+from tessera.operators.joins import left_join_unique
+from tessera.session import written
+
+#: Queries of one token that are packed in one row (about 20 bytes each).
+ASKS = 1000
 
 
 @dataclass(frozen=True)
@@ -33,6 +38,30 @@ def corpus_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return per_token.crossJoin(F.broadcast(n)).select("token", "df", "cf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
+def meet(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows (token, ...) with df, and query_id and qtf of each query that has the token; rows of other tokens go.
+
+    wanted: (query_id, token, qtf), each pair once; df: the rows of the token. A token's queries are packed in pieces of
+    ASKS, and the heaviest pieces are broadcast (a fixed number, of a fixed size), so no task gets all rows of a common
+    word. rows are read twice; pass a written table.
+    """
+    df = rows.groupBy("token").agg(F.count("*").alias("df"))
+    asks = F.collect_list(F.struct("query_id", "qtf")).alias("asks")
+    most = wanted.groupBy("token").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= ASKS:
+        packed = written(df.join(wanted.groupBy("token").agg(asks), "token"), "asks")
+        met = left_join_unique(rows, packed, "token", "df", ["df", "asks"])
+    else:
+        pieces = written(wanted.groupBy("token").agg(F.ceil(F.count("*") / ASKS).cast("int").alias("pieces")).join(df, "token"), "pieces")
+        place = F.pmod(F.xxhash64("query_id"), F.col("pieces"))
+        cut = wanted.join(pieces, "token").groupBy(F.concat_ws(" ", "token", place.cast("string")).alias("key"), "df").agg(asks)
+        spread = left_join_unique(rows, pieces, "token", F.col("df"), ["pieces", "df"]).where("pieces IS NOT NULL")
+        spread = spread.withColumn("key", F.explode(F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda i: F.concat_ws(" ", F.col("token"), i.cast("string")))))
+        met = left_join_unique(spread, written(cut, "asks"), "key", "df", ["asks"]).drop("key", "pieces")
+    own = [c for c in rows.columns]
+    return met.select(*own, "df", F.inline("asks"))
+
+
 def bm25_scores(docs: DataFrame, queries: DataFrame, model: Bm25 = Bm25(), doc_id: str = "doc_id", query_id: str = "query_id", text_col: str = "text") -> DataFrame:
     """(query_id, doc_id, score) of each pair that shares a token; repeated query tokens count repeatedly.
 
@@ -42,12 +71,11 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, model: Bm25 = Bm25(), doc_i
     wanted = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(text_col))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
     vocabulary = wanted.select("token").distinct()
     tf = doc_tokens(docs, doc_id, text_col).join(vocabulary, "token", "left_semi").groupBy("id", "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    weighted = tf.join(df, "token").crossJoin(F.broadcast(totals))
+    met = meet(written(tf, "occurrences"), wanted).crossJoin(F.broadcast(totals))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     length = 1 - model.b + model.b * F.col("dl") / F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
-    weighted = weighted.select("token", F.col("id").alias("doc_id"), (idf * F.col("tf") * (model.k1 + 1) / (F.col("tf") + model.k1 * length)).alias("w"))
-    return wanted.join(weighted, "token").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qtf")).alias("score")).where("score > 0")
+    weight = idf * F.col("tf") * (model.k1 + 1) / (F.col("tf") + model.k1 * length)
+    return met.groupBy("query_id", F.col("id").alias("doc_id")).agg(F.sum(weight * F.col("qtf")).alias("score")).where("score > 0")
 
 
 def top_k(scores: DataFrame, k: int, by: str | list[str] = "query_id", score: str = "score", tie: str = "doc_id", digits: int = 6) -> DataFrame:

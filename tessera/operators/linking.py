@@ -7,20 +7,21 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import dot, entity_key, jaccard
 from tessera.operators.lexical import top_k
+from tessera.operators.vector import inner_products
 
 
 def link(surfaces: DataFrame, entities: DataFrame, threshold: float = 0.82) -> DataFrame:
     """(surface, uid, how): exact name, else the first name equal in lower case, else the most similar vector.
 
     surfaces: (surface, vec or null); entities: (uid, name, ord, vec). Only what has no equal name is compared by
-    vectors; that set of surfaces is the stated side of an exact search.
+    vectors; that set of surfaces is the stated side of an exact search, in blocks.
     """
     exact = surfaces.join(entities.select(F.col("name").alias("surface"), "uid"), "surface").select("surface", "uid", F.lit("exact").alias("how"))
     rest = surfaces.join(exact.select("surface").distinct(), "surface", "left_anti")
     first = entities.groupBy(F.lower("name").alias("low")).agg(F.min_by("uid", "ord").alias("uid"))
     lower = rest.join(first, F.lower("surface") == F.col("low")).select("surface", "uid", F.lit("lower").alias("how"))
     rest = rest.join(lower.select("surface").distinct(), "surface", "left_anti").where("vec IS NOT NULL")
-    scored = entities.select("uid", F.col("vec").alias("ev")).crossJoin(rest.select("surface", "vec")).select(F.col("surface").alias("query_id"), F.col("uid").alias("doc_id"), dot(F.col("vec"), F.col("ev")).alias("score"))
+    scored = inner_products(entities.select(F.col("uid").alias("vec_id"), F.col("vec").alias("embedding")), rest.select(F.col("surface").alias("vec_id"), F.col("vec").alias("embedding")))
     similar = top_k(scored, 1, digits=12).where(F.col("score") >= threshold).select(F.col("query_id").alias("surface"), F.col("doc_id").alias("uid"), F.lit("vector").alias("how"))
     return exact.union(lower).union(similar)
 

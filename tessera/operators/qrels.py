@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import normalize_evidence, token_recall, tokens
+from tessera.operators.lexical import meet
+from tessera.session import written
 
 
 def page_overlaps(page: Column, start: Column, end: Column) -> Column:
@@ -19,35 +21,40 @@ def candidates(queries: DataFrame, docs: DataFrame, least: int) -> DataFrame:
     """(query_id, doc_id, shared): pairs that share at least `least` distinct tokens, by a join of distinct tokens."""
     q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
     d = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).join(q.select("token").distinct(), "token", "left_semi")
-    return q.join(d, "token").groupBy("query_id", "doc_id").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    met = meet(written(d, "words"), q.withColumn("qtf", F.lit(1)))
+    return met.groupBy("query_id", "doc_id").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
-def rarest_token(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, token): each query's token with the smallest document frequency (ties: the smaller token).
+def inner_words(queries: DataFrame) -> DataFrame:
+    """(query_id, token): the distinct words of each query's normalised text but its first and last.
 
-    Only tokens with a space or an end of text on either side in the query's normalised text, so that a document that
-    holds the text holds the token as one of its own words.
+    They have a space on either side, so a document that holds the text holds them as words of its own.
     """
-    inner = F.slice(F.split(F.col("norm"), " "), 2, F.greatest(F.size(F.split(F.col("norm"), " ")) - 2, F.lit(0)))
-    q = queries.select("query_id", F.explode(F.array_distinct(inner)).alias("token"))
-    d = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.col("norm"), " "))).alias("token"))
-    df = d.join(q.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
-    return q.join(df, "token", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))["token"].alias("token"))
+    words = F.split(F.col("norm"), " ")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    return queries.select("query_id", F.explode(F.array_distinct(inner)).alias("token"))
 
 
-def exact_matches(queries: DataFrame, docs: DataFrame) -> DataFrame:
+def exact_matches(queries: DataFrame, docs: DataFrame, max_short: int = 1000) -> DataFrame:
     """(query_id, doc_id): documents whose normalised text holds the query's, found through its rarest inner word.
 
-    Queries of fewer than three words are looked for in all documents.
+    Queries of fewer than three words are looked for in all documents, as a stated set; more than max_short are refused.
+    Documents are normalised once for their words, and again for those that share the word.
     """
-    q = queries.select("query_id", normalize_evidence(F.col("text")).alias("norm"))
+    q = written(queries.select("query_id", normalize_evidence(F.col("text")).alias("norm")), "queries")
     d = docs.select("doc_id", normalize_evidence(F.col("text")).alias("norm"))
-    keyed = q.join(rarest_token(q, d), "query_id").select("query_id", F.col("norm").alias("qn"), "token")
-    words = d.select("doc_id", F.explode(F.array_distinct(F.split(F.col("norm"), " "))).alias("token")).join(keyed.select("token").distinct(), "token", "left_semi")
+    inner = inner_words(q)
+    words = written(d.select("doc_id", F.explode(F.array_distinct(F.split(F.col("norm"), " "))).alias("token")).join(inner.select("token").distinct(), "token", "left_semi"), "words")
+    df = words.groupBy("token").agg(F.count("*").alias("df"))
+    rarest = inner.join(df, "token", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))["token"].alias("token"))
+    keyed = rarest.join(q, "query_id").select("query_id", F.col("norm").alias("qn"), "token")
     pairs = words.join(keyed, "token").select("query_id", "doc_id", "qn")
     found = pairs.join(d, "doc_id").where(F.col("norm").contains(F.col("qn"))).select("query_id", "doc_id")
     short = q.where(F.size(F.split("norm", " ")) < 3).select("query_id", F.col("norm").alias("qn"))
-    return found.unionByName(d.join(short, F.col("norm").contains(F.col("qn"))).select("query_id", "doc_id"))
+    n = short.limit(max_short + 1).count()
+    if n > max_short:
+        raise ValueError(f"more than {max_short} queries of fewer than three words")
+    return found.unionByName(d.join(F.broadcast(short), F.col("norm").contains(F.col("qn"))).select("query_id", "doc_id")) if n else found
 
 
 def cascade(queries: DataFrame, docs: DataFrame, exact: DataFrame, gate: float = 0.6, most: int = 5) -> DataFrame:

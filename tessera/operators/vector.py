@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,15 +11,23 @@ from tessera.functions.text import dot
 from tessera.operators.lexical import top_k
 
 
-def inner_products(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: str = "embedding", max_queries: int = 100_000) -> DataFrame:
-    """(query_id, doc_id, score): every query against every vector; the stated query set is broadcast in one block.
+#: Bytes of query vectors that are broadcast at a time.
+BLOCK_BYTES = 64_000_000
+
+
+def query_blocks(asked: DataFrame, key: list[str], vector: str, most: int | None = None) -> list[DataFrame]:
+    """A stated query set in blocks of about `most` bytes (BLOCK_BYTES) of vectors, each small enough to be broadcast."""
+    size = asked.agg(F.sum(8 * F.size(vector) + 64).alias("b")).first().b or 0
+    n = -(-size // (most or BLOCK_BYTES)) or 1
+    return [asked] if n == 1 else [asked.where(F.pmod(F.xxhash64(*key), F.lit(n)) == k) for k in range(n)]
+
 
-    More than max_queries queries are refused: call it block by block, or use an index.
-    """
+def inner_products(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, doc_id, score): every query against every vector; the stated query set is broadcast block by block."""
     asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector).alias("__q"))
-    if asked.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"more than {max_queries} queries in one block")
-    return vectors.select(F.col(id_col).alias("doc_id"), F.col(vector).alias("__v")).crossJoin(F.broadcast(asked)).select("query_id", "doc_id", dot(F.col("__q"), F.col("__v")).alias("score"))
+    every = vectors.select(F.col(id_col).alias("doc_id"), F.col(vector).alias("__v"))
+    parts = [every.crossJoin(F.broadcast(block)).select("query_id", "doc_id", dot(F.col("__q"), F.col("__v")).alias("score")) for block in query_blocks(asked, ["query_id"], "__q")]
+    return reduce(DataFrame.union, parts)
 
 
 def overfetch_then_filter(scores: DataFrame, k: int, factor: int, keep: Column) -> DataFrame:

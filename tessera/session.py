@@ -31,12 +31,17 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "8g"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests), a temporary one is made and set."""
+    """The folder in spark.checkpoint.dir; only where that is unset in a local session (tests), a temporary one is made.
+
+    On a cluster executors can't read a folder of the driver's machine: without the setting this fails.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
     return sc.getCheckpointDir().rstrip("/")
 

@@ -95,3 +95,25 @@ def test_document_recall_over_types(spark):
     found = spark.createDataFrame([(1, "a", 10, 0.9), (1, "b", 11, 0.8), (1, "b", 10, 0.7), (1, "a", 12, 0.1), (2, "a", 5, 1.0)], "query_id int, type string, doc_id int, score double")
     gold = spark.createDataFrame([(1, 11), (1, 12), (1, 12), (3, 1)], "query_id int, doc_id int")
     assert {r.k: r.recall for r in metrics.document_recall(found, gold).collect()} == {1: 0.0, 2: 0.25, 5: 0.5, 10: 0.5}
+
+
+def test_tokens_meet_queries_in_pieces(spark, monkeypatch):
+    from tessera.operators import lexical
+
+    docs = spark.createDataFrame([(k, "the " * (k % 3) + f"w{k % 5} rare{k}") for k in range(60)], "doc_id long, text string")
+    queries = spark.createDataFrame([(q, f"the w{q % 5} the rare{q} nowhere") for q in range(40)], "query_id long, text string")
+    whole = {(r.query_id, r.doc_id): round(r.score, 9) for r in lexical.bm25_scores(docs, queries).collect()}
+    monkeypatch.setattr(lexical, "ASKS", 3)
+    assert {(r.query_id, r.doc_id): round(r.score, 9) for r in lexical.bm25_scores(docs, queries).collect()} == whole and len(whole) > 1600
+    assert lexical.bm25_scores(docs.limit(0), queries).count() == 0 and lexical.bm25_scores(docs, queries.limit(0)).count() == 0
+
+
+def test_large_query_sets_go_block_by_block(spark, monkeypatch):
+    from tessera.operators import vector
+
+    rows = spark.createDataFrame([(k, [float(k % 7), float(k % 3)]) for k in range(50)], "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, vector.inner_products(rows, rows).collect()))
+    monkeypatch.setattr(vector, "BLOCK_BYTES", 1000)
+    assert len(vector.query_blocks(rows, ["vec_id"], "embedding")) == 4
+    assert sorted(map(tuple, vector.inner_products(rows, rows).collect())) == whole and len(whole) == 2500
+    assert vector.inner_products(rows, rows.limit(0)).count() == 0
