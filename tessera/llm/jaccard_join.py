@@ -35,10 +35,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.exact_dedup import digest_of, one_of_each
 from tessera.llm.shingles import mix, shingle_sets
+from tessera.llm.sieve import bitmap, split
 from tessera.llm.tables import release_memory, table, text_blocks
 from tessera.operators.components import connected_components
 from tessera.operators.joins import left_join_unique
-from tessera.session import remove, shared_dir, written
+from tessera.session import discard, free_shuffles, remove, shared_dir, written
 
 #: The threshold in hundredths, so that it is compared in integers.
 THRESHOLD = 75
@@ -391,15 +392,20 @@ def _sized(threshold: int) -> Column:
     return (F.greatest("na", "nb") * threshold <= F.least("na", "nb") * 100) & (F.col("a") != F.col("b"))
 
 
-def _pairs_across(own: DataFrame, sketches: DataFrame, threshold: int, only_best: bool) -> DataFrame:
-    """(a, b): all candidates across components, from written tables (element, id, n, c) and (id, size, bits).
+def _mixed_lists(own: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The rows (element, id, n, c) of lists with several components, with each list's size and largest component, and the
+    sketches (id, size, bits); written."""
+    largest = own.groupBy("element", "c").agg(F.count("*").alias("k")).groupBy("element").agg(F.count("*").alias("kinds"), F.sum("k").alias("held"), F.max(F.struct("k", "c")).alias("top"))
+    largest = largest.where("kinds > 1").select("element", "held", F.col("top.c").alias("main"), (F.col("held") - F.col("top.k")).alias("outside"))
+    return written(own.join(largest, "element").join(sketches, "id"), "mixed")
+
+
+def _pairs_across(mixed: DataFrame, threshold: int, only_best: bool) -> DataFrame:
+    """(a, b): all candidates across components, from _mixed_lists.
 
     Lists are dealt over groups of about LIST_ROWS rows; a longer list's rows are cut in chunks of that size, each chunk
     of rows outside the list's largest component meeting each chunk of all rows.
     """
-    largest = own.groupBy("element", "c").agg(F.count("*").alias("k")).groupBy("element").agg(F.count("*").alias("kinds"), F.sum("k").alias("held"), F.max(F.struct("k", "c")).alias("top"))
-    largest = largest.where("kinds > 1").select("element", "held", F.col("top.c").alias("main"), (F.col("held") - F.col("top.k")).alias("outside"))
-    mixed = written(own.join(largest, "element").join(sketches, "id"), "mixed")
     groups = max(1, mixed.count() // LIST_ROWS)
     short = mixed.where(F.col("held") <= LIST_ROWS).withColumns({"role": F.lit(2), "x": F.pmod(F.xxhash64("element"), F.lit(groups)).cast("int"), "y": F.lit(-1), "list": F.lit(0).cast("long")})
     long_ = mixed.where(F.col("held") > LIST_ROWS)
@@ -439,18 +445,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     volume = base.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(volume / 6 / PART_ELEMENTS))
     blocks = base.mapInArrow(_shingle_blocks(parts), _ROWS)
-    shared = blocks.groupBy("part").applyInArrow(_frequencies, "key long, documents boolean, payload binary")
+    shared = written(blocks.groupBy("part").applyInArrow(_frequencies, "key long, documents boolean, payload binary"), "shared")
+    del blocks
+    free_shuffles(spark)  # every element of every block was in it
     documents = shared.groupBy("key").applyInArrow(_documents(threshold), "doc_id long, n long, signature string, elements binary, octaves binary")
-    documents = written(documents, "shingled")
+    shingled = written(documents, "shingled")
+    discard(shared)
+    del documents
+    free_shuffles(spark)
 
-    alive = documents.where("signature IS NOT NULL")
+    alive = shingled.where("signature IS NOT NULL")
     named = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))
     reps = alive.groupBy("signature").agg(F.min(named).alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("elements").alias("elements"), F.first("octaves").alias("octaves"))
     reps = written(reps.withColumn("id", F.monotonically_increasing_id()), "representatives")
-    postings = written(reps.select("id", "n", "elements").mapInArrow(_prefix_rows(threshold), "element long, id long, n long"), "prefixes")
-    lists = written(postings.groupBy("element").agg(F.count("*").alias("held")).where("held > 1"), "lists")
+    documents = written(shingled.select("doc_id", "n", "signature"), "documents")
+    discard(shingled)
+    every = written(reps.select("id", "n", "elements").mapInArrow(_prefix_rows(threshold), "element long, id long, n long"), "prefixes")
+    lists = written(every.groupBy("element").agg(F.count("*").alias("held")).where("held > 1"), "lists")
     longest = lists.agg(F.max("held")).first()[0] or 0
-    postings = written(postings.join(lists, "element"), "prefixes")
+    postings = written(every.join(lists, "element"), "prefixes")
+    discard(every, lists)
 
     # bucketed by id, so that no round of verification shuffles the tables themselves
     with _bucketed(reps.select("id", "n", "elements", "octaves").mapInArrow(_gates(threshold), _GATE)) as gates, _bucketed(reps.select("id", "n", "elements")) as sets:
@@ -470,12 +484,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if components is None:
                 pairs = _pairs_to_pivots(postings, threshold, longest)
             else:
-                own = postings.join(components, "id", "left").select("element", "id", "n", F.coalesce("component", "id").alias("c"))
-                pairs = _pairs_across(written(own, "labelled"), gates.select("id", "size", "bits"), threshold, kind == "best")
+                own = written(postings.join(components, "id", "left").select("element", "id", "n", F.coalesce("component", "id").alias("c")), "labelled")
+                mixed = _mixed_lists(own, gates.select("id", "size", "bits"))
+                pairs = _pairs_across(mixed, threshold, kind == "best")
             found = written(verified(pairs), "links")
+            if components is not None:
+                discard(own, mixed, components)
             links = found if links is None else links.union(found)
             components = written(connected_components(links, "a", "b"), "components")
+            free_shuffles(spark)
 
+    discard(postings)
     classes = reps.join(components, "id", "left").select("signature", "least", "copies", F.coalesce("component", "id").alias("c"))
     totals = classes.groupBy("c").agg(F.min("least").alias("component_id"), F.sum("copies").alias("size"))
     classes = written(classes.join(totals, "c").where("size > 1").select("signature", F.when(F.col("component_id") < 2**63 - 1, F.col("component_id")).alias("component_id"), "copies", F.lit(True).alias("linked")), "classes")
@@ -487,6 +506,14 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose id isn't one of gone (__id); few others of them are shuffled."""
+    gone = written(gone.distinct(), "gone")
+    hashed = F.xxhash64(F.col("doc_id").cast("long"))
+    maybe, clear = split(docs, hashed, bitmap(gone.select(F.xxhash64("__id").alias("h")), "h"))
+    return clear.union(maybe.join(gone, F.col("doc_id") == F.col("__id"), "left_anti"))
+
+
 def stage_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs of which none of the same component has a smaller id; all columns.
 
@@ -497,8 +524,7 @@ def stage_near_duplicates(docs: DataFrame) -> DataFrame:
     unnamed = written(unnamed.withColumn("__own", F.lit(2**63 - 2) - F.monotonically_increasing_id()), "unnamed")
     moved = F.col("doc_id") != F.col("component_id")
     if unnamed.isEmpty():
-        gone = near_duplicates(docs).where(moved).select(F.col("doc_id").alias("__id")).distinct()
-        return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+        return _without(docs, near_duplicates(docs).where(moved).select(F.col("doc_id").alias("__id")))
     named = docs.where("doc_id IS NOT NULL")
     rest = docs.where("doc_id IS NULL").join(unnamed, digest_of() == F.col("__sha"))
     both = named.select(F.col("doc_id").cast("long").alias("doc_id"), "text").union(rest.select("__own", "text"))
@@ -506,4 +532,4 @@ def stage_near_duplicates(docs: DataFrame) -> DataFrame:
     rest = rest.join(near.where("NOT moved"), F.col("__own") == F.col("__id"))
     alone = F.lit(-1) - F.monotonically_increasing_id()  # rows that link with nothing, as empty texts do, all stay
     rest = one_of_each(rest.withColumn("__group", F.when(F.col("linked"), F.col("__own")).otherwise(alone)), docs.columns, F.col("__group"))
-    return named.join(near.where("moved"), F.col("doc_id") == F.col("__id"), "left_anti").union(rest)
+    return _without(named, near.where("moved").select("__id")).union(rest)

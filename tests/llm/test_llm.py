@@ -7,7 +7,7 @@ import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -16,9 +16,9 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import ann, exact_dedup, jaccard_join, langid, packing, pieces, pii, quality, queries, token_counts, urls
+from tessera.llm import ann, exact_dedup, jaccard_join, langid, packing, pieces, pii, quality, queries, sieve, token_counts, urls
 from tessera.llm.quotient_filter import CountingQuotientFilter
-from tessera.llm.shingles import buffers, hashed_words, shingle_sets
+from tessera.llm.shingles import buffers, hashed_words, mix, shingle_sets
 from tessera.llm.tables import fold_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, score double, a string, t string, key string"
@@ -72,6 +72,22 @@ def test_exact_dedup_edges(spark):
     assert stage.columns == frame(spark, []).columns and sorted((r.doc_id, r.text) for r in stage.select("doc_id", "text").collect() if r.text == "a") == [(5, "a")]
 
 
+def test_only_copies_are_grouped_however_many_fingerprints_repeat(spark, monkeypatch):
+    monkeypatch.setattr(sieve, "ROW_BITS", 3)  # 512 bits, far fewer than the 3,000 repeated fingerprints
+    base = spark.range(20_000).selectExpr("id AS doc_id", "concat('text ', CASE WHEN id < 6000 THEN id % 3000 ELSE id END) AS t")
+    repeated = exact_dedup.written(exact_dedup.repeated_fingerprints(base.select(F.xxhash64("t").alias("fp"))), "repeated")
+    assert exact_dedup.copies(base, repeated).count() == 6000
+    out = exact_dedup.exact_dedup(base, text_col="t").where("NOT kept")
+    assert out.count() == 3000 and out.where("keep_id <> doc_id + 3000").count() == 0
+
+
+def test_split_moves_no_row_of_the_set(spark):
+    rows = spark.range(5000).selectExpr("id", "CASE WHEN id % 7 = 0 THEN NULL ELSE xxhash64(id) END AS h", "id AS `a.b`")
+    some, rest = sieve.split(rows, F.col("h"), sieve.bitmap(rows.where("id % 10 = 3 AND h IS NOT NULL"), "h"))
+    assert some.columns == rest.columns == rows.columns and some.count() + rest.count() == 5000
+    assert some.where("id % 10 = 3").count() == rows.where("id % 10 = 3 AND h IS NOT NULL").count() and some.count() < 600
+
+
 def test_one_row_of_each_repeated_document_stays(spark):
     rows = [(4, "a"), (5, "a"), (5, "a"), (None, "a"), (5, "b"), (6, "b"), (6, "b"), (6, "b"), (7, "c"), (5, "d"), (None, "n"), (None, "n"), (None, "m"), (8, None), (8, "")]
     docs = frame(spark, rows)
@@ -220,6 +236,61 @@ def test_quality_edges(spark, sf):
     assert quality.stage_quality(frame(spark, []), labels).columns == docs.columns
 
 
+def brute_terms(text):
+    """{term: weight} of a text by counting one at a time."""
+    raw = text.encode()
+    if not raw:
+        return {}
+    classes = [int(quality._CLASS[b]) for b in raw]
+    shape = Counter((a * quality._CLASSES + b) * quality._CLASSES + c for a, b, c in zip(classes, classes[1:], classes[2:]))
+    words = [w.translate({k: k + 32 for k in range(65, 91)}) for w in re.findall("[^ \t-\r]+", text)]
+    prints = [int(hashed_words(*buffers(pa.array([w])))[0][0, 0]) for w in words]
+    said = Counter(quality._SHAPE + (p >> 52) for p in prints)
+    for a, b in zip(prints, prints[1:]):
+        said[quality._SHAPE + (int(mix(np.array([(a * 0x9E3779B97F4A7C15 + b) % 2**64], np.uint64))[0]) >> 52)] += 1
+    out = {}
+    for counts in (shape, said):
+        length = math.sqrt(sum(math.log1p(c) ** 2 for c in counts.values()))
+        out |= {t: math.log1p(c) / length for t, c in counts.items()}
+    lines = text.split("\n")
+    variety = [len(set(words)) / len(words) if words else 1.0, len(set(lines)) / len(lines), sum(a != b for a, b in zip(words, words[1:])) / (len(words) - 1) if len(words) > 1 else 1.0]
+    for k, v in enumerate(variety):
+        for at, share in zip(*quality._spread(v, quality._TRIGRAMS + k * len(quality._KNOTS)), strict=True):
+            out[at] = share * quality._VARIETY
+    return out
+
+
+def test_quality_of_whole_tables_matches_brute_force(spark, sf, texts):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    vectors_ = {}
+    for i, t in texts.items():
+        v = np.zeros(model.projection.shape[1])
+        for term, w in brute_terms(t).items():
+            if model.slot[term] >= 0:
+                v += w * model.projection[model.slot[term]].astype(float)
+        a, b = v[: model.split], v[model.split :]
+        v = np.r_[a / (np.linalg.norm(a) or 1) * quality.SHARES[1] ** 0.5, b / (np.linalg.norm(b) or 1) * quality.SHARES[0] ** 0.5]
+        vectors_[i] = v / (np.linalg.norm(v) or 1)
+    votes = {r.doc_id: r.quality for r in labels.collect() if fold_of(r.doc_id, 5) and r.doc_id in texts}
+    learnt = sorted(votes)
+    assert len(learnt) == len(model.vectors) and np.allclose(model.vectors, [vectors_[i] for i in learnt], atol=1e-4)
+    known = np.array([vectors_[i] for i in learnt])
+    for r in queries.QUERIES["op2_quality"](spark, sf).collect():
+        cosine = known @ vectors_[r.doc_id]
+        top = np.argsort(-cosine)[: quality.NEIGHBOURS]
+        w = np.clip(cosine[top], 0, None) ** quality.SHARPNESS
+        expected = (w * [votes[learnt[k]] for k in top]).sum() / w.sum() if w.sum() > 1e-9 else model.prior
+        assert abs(r.score - expected) < 2e-3 and r.predicted == (r.score >= 0.3) and r.held_out == (fold_of(r.doc_id, 5) == 0)
+
+
+def test_quality_hears_words(texts):
+    a, b = "the cat sat on the mat and ran", "tho cot sit an tho met ond rin"  # of one shape
+    model = quality.NeighbourModel.fit(quality.terms(pa.array([*list(texts.values())[:50], *[a, b] * 3])), np.ones(56))
+    x, y = model.embed(quality.terms(pa.array([a, b])))
+    assert np.allclose(x[: model.split], y[: model.split], atol=1e-5) and not np.allclose(x, y, atol=0.01)
+
+
 def test_neighbour_votes_match_brute_force(texts):
     rows = quality.terms(pa.array(list(texts.values())[:60]))
     votes = np.arange(60) % 3 == 0
@@ -335,6 +406,36 @@ def test_pii(spark):
     assert clean[21] == "mail [EMAIL], or [IP]" and clean[22] == rows[2][1]
 
 
+def test_windows_decode_as_one_uncut_sentence(texts):
+    field = pii.trained()
+    numbers = " ".join(str(100 + k) for k in range(300))
+    long_word = "x" * 500 + "7"
+    cases = [f"{numbers[: 4 * n]} (706) 555-3138 now" for n in range(55, 75)] + [f"tel {'y' * 300} (706) 555-3138", f"card {long_word} 4111111111111111", numbers * 5]
+    for text in [*cases, *list(texts.values())[:40]]:
+        words = [m.span() for m in re.finditer(r"\S+", text)]
+        whole = dict(zip(words, field.decode([[text[a:b] for a, b in words]])[0] if words else [], strict=True))
+        spots = pii.windows_of(text)
+        tags = field.decode([[text[a:b] for a, b in w] for w in spots])
+        cut = {span: t for w, some in zip(spots, tags, strict=True) for span, t in zip(w, some, strict=True)}
+        assert all(whole[span] == cut.get(span, "O") for span in words)
+    for n in (62, 63, 64, 200):
+        text = f"{' '.join(['12'] * n)} call (706) 555-3138 now"
+        assert any(k == 3 for _, k, _ in pii.find_all([text], field)[0][1])
+
+
+def test_pii_of_whole_tables_matches_brute_force(spark, sf, texts):
+    field = pii.trained()
+    for r in queries.QUERIES["op4_pii"](spark, sf).collect():
+        base = brute_spans(texts[r.doc_id])
+        words = [m.span() for m in re.finditer(r"\S+", texts[r.doc_id])]
+        spans = list(base)
+        for s in pii._added(texts[r.doc_id], words, field.decode([[texts[r.doc_id][a:b] for a, b in words]])[0] if words else []):
+            if all(s[2] <= a or s[0] >= b for a, _, b in spans):
+                spans.append(s)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for _, k, _ in base) for i in range(4)]
+        assert r.spans == pii.listed(sorted(spans)) and r.n_spans == len(spans) and r.base_sha256 == hashlib.sha256(pii.listed(base).encode()).hexdigest()
+
+
 def test_urls(spark, sf):
     pages = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     more = {-1: None, -2: "no scheme", -3: "HTTP://A.Example.NET", -4: "x://EXAMPLE.net/en/?q", -5: "x://notexample.net/en/", -6: "://org/fr/#a://b", -7: "http://example.com/de/"}
@@ -349,6 +450,48 @@ def test_urls(spark, sf):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_verdicts_of_whole_tables_match_dense_page_rank(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    got = {r.page_id: r for r in queries.QUERIES["op5_url_filter"](spark, sf).collect()}
+    weights, seeds = Counter(), {"allow": Counter(), "block": Counter()}
+    hosts = {r.page_id: got[r.page_id].host for r in pages}
+    action = {r.name: r.action for r in urls.RULES}
+    for r in pages:
+        for url in re.findall(r"""(?i)href\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>]+)""", r.html or ""):
+            weights[hosts[r.page_id], re.match(r"[^:]*://([^/?#]*)", url)[1].lower()] += 1
+        if got[r.page_id].rule:
+            seeds[action[got[r.page_id].rule]][hosts[r.page_id]] += 1
+    for h in {x for pair in weights for x in pair} | set(hosts.values()):
+        while h.count(".") > 1:
+            up = h.split(".", 1)[1]
+            weights[h, up] = max(weights[h, up], 1) if (h, up) in weights and weights[h, up] > 1 else 1
+            weights[up, h] = weights[h, up]
+            h = up
+    names = sorted({x for pair in weights for x in pair} | set(hosts.values()))
+    at = {n: k for k, n in enumerate(names)}
+    m = np.zeros((len(names), len(names)))
+    for (a, b), w in weights.items():
+        if a != b and a and b:
+            m[at[a], at[b]] = w
+
+    def rank(matrix, counts):
+        p = np.divide(matrix, matrix.sum(1, keepdims=True), out=np.zeros_like(matrix), where=matrix.sum(1, keepdims=True) > 0)
+        seed = np.array([counts.get(n, 0) for n in names]) / max(1, sum(counts.values()))
+        return np.linalg.solve(np.eye(len(names)) - 0.85 * p.T, 0.15 * seed)
+
+    trust, distrust = rank(m, seeds["allow"]), rank(m.T, seeds["block"])
+    open_ = 0
+    for i, r in got.items():
+        t, d = trust[at[r.host]], distrust[at[r.host]]
+        assert np.isclose(r.trust, t, rtol=1e-3, atol=1e-9) and np.isclose(r.distrust, d, rtol=1e-3, atol=1e-9)
+        if r.rule is None and abs(t - d) > 1e-6:
+            assert r.verdict == ("block" if d > t else "allow")
+            open_ += 1
+        elif r.rule:
+            assert r.verdict == action[r.rule]
+    assert open_ > 10
+
+
 def test_verdicts_without_a_rule_follow_the_hosts_nearby(spark):
     rows = [(1, "http://m.x.example.com/de/", None)]
     rows += [(k, f"http://m.x.example.com/en/{k}", None) for k in range(2, 6)]  # one page in five is enough for a seed
@@ -384,6 +527,15 @@ def test_trust_propagation_matches_dense_iteration(spark):
         assert np.allclose(got.get(n, (0, 0)), (trust[i], distrust[i]), atol=1e-9)
 
 
+def test_hubs_are_dealt_without_changing_scores(spark, monkeypatch):
+    links = [("hub", f"h{k}", 1.0 + k % 3) for k in range(40)] + [(f"h{k}", "hub", 1.0) for k in range(0, 40, 2)] + [("h1", "h2", 2.0)]
+    edges = spark.createDataFrame(links, "src string, dst string, w double")
+    seeds = spark.createDataFrame([("hub", 1, 0), ("h1", 2, 1), ("h3", 0, 4)], "host string, trusted long, blocked long")
+    whole = sorted(map(tuple, urls.propagate(edges, seeds).collect()))
+    monkeypatch.setattr(urls, "HUB", 3)
+    assert sorted(map(tuple, urls.propagate(edges, seeds).collect())) == whole and len(whole) == 41
+
+
 def test_trust_reaches_far_hosts_and_does_not_depend_on_the_size_of_the_input(spark):
     chain = [f"c{k}" for k in range(13)]  # 12 edges, beyond one block of rounds
     star = [f"s{k}" for k in range(100)]
@@ -423,6 +575,17 @@ def test_edited_counts_match_full_recounts(spark, texts):
     assert token_counts.count_edited(frame(spark, [])).count() == 0
 
 
+def test_token_counts_of_whole_tables_match_full_recounts(spark, sf, texts):
+    tok = token_counts.Counter(public_tokenizers.path("byte_bpe_50k.json")).tokenizer
+    for r in queries.QUERIES["op6_token_counts"](spark, sf).collect():
+        now = texts[r.doc_id]
+        assert r.tokens_before == len(tok.encode(now, add_special_tokens=False).ids)
+        for k in range(3):
+            a, b, new = token_counts.edits_of(r.doc_id, len(now), 3)[k]
+            now = now[:a] + new + now[b:]
+        assert r.tokens_after == len(tok.encode(now, add_special_tokens=False).ids) and r.chars_after == len(now)
+
+
 def vectors(spark, rows):
     return spark.createDataFrame([(i, v, "q") for i, v in rows], "vec_id long, embedding array<float>, rep string")
 
@@ -517,7 +680,7 @@ def test_recall_of_a_share_of_the_leaves(clusters):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(12_000, 32)) + (0 if not clusters else 4 * rng.normal(size=(clusters, 32))[rng.integers(0, clusters, 12_000)])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    forest = ann.grow_forest(x, trees=16, leaf=32)
+    forest = ann.grow_forest(x)
     leaves = [t.assign(x) for t in forest]
     sizes = [np.bincount(at, minlength=t.leaves) for at, t in zip(leaves, forest, strict=True)]
     visits = ann.VISITED * len(x) ** ann.GROWTH
@@ -528,7 +691,7 @@ def test_recall_of_a_share_of_the_leaves(clusters):
             seen |= leaves[i] == leaf
         hits += seen[np.argsort(-(x @ x[q]))[1:21]].sum()
         met += seen.mean()
-    assert hits / (60 * 20) >= 0.95 and met / 60 < 0.35
+    assert hits / (60 * 20) >= 0.95 and met / 60 < 0.45
 
 
 def test_pieces(spark, texts):
@@ -561,9 +724,18 @@ def test_pieces_are_those_of_the_vocabularys_own_encoder(spark, texts):
     path = public_tokenizers.path("piece_bpe_32k.model")
     sp, model = sentencepiece.SentencePieceProcessor(model_file=path), pieces.PieceModel(path)
     assert model.merges and sp.encode("des Elle", out_type=str) == ["▁des", "▁Elle"]
-    some = [(k, t) for k, t in enumerate([*list(texts.values())[:50], "des Elle", " a  b ", "", "日本 💥\n"])]
-    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in pieces.encode_documents(frame(spark, some)).collect()}
-    assert got == {k: sp.encode(t) for k, t in some}
+    some = [(k, t) for k, t in enumerate([*texts.values(), "des Elle", " a  b ", "", "日本 💥\n", "a▁b", "▁", LONG[:5000]])]
+    rows = {r.doc_id: r for r in pieces.encode_documents(frame(spark, some)).collect()}
+    for k, t in some:
+        ids = np.frombuffer(rows[k].ids, "<u4").tolist()
+        assert ids == sp.encode(t) and rows[k].n_pieces == len(ids) and rows[k].n_bytes == sum(map(sp.is_byte, ids))
+        assert rows[k].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes()) and rows[k].round_trip == ("▁" not in t)
+        assert model.decode(np.array(ids, "<u4")) == sp.decode(ids) == t.replace("▁", " ")
+    rng = random.Random(1)
+    plain = [p.replace("▁", " ") for p in model.pieces[300:]]
+    for k in range(6000):
+        letters = [rng.choice("abcdeéßñ日 -'.,0123ABC\n") for _ in range(rng.randrange(1, 25))] if k % 2 else [rng.choice(plain) for _ in range(rng.randrange(1, 6))]
+        assert model.encode("".join(letters)).tolist() == sp.encode("".join(letters))
 
 
 def test_language(spark, sf):
@@ -574,6 +746,38 @@ def test_language(spark, sf):
     assert sum(truth[r.doc_id] == r.lang_pred for r in held) / len(held) > 0.95
 
 
+def test_language_of_whole_tables_matches_brute_force(spark, sf, texts):
+    model = langid.fit(spark.read.parquet(f"{sf}/documents.parquet"))
+    tables, bias = model.tables.astype(float), model.bias.astype(float)
+    for r in queries.QUERIES["op10_language_id"](spark, sf).collect():
+        text = texts[r.doc_id]
+        code = [b if b >= 128 else b | 32 if chr(b).isalpha() else 0 for b in text.encode()] + [0, 0, 0]
+        total = np.zeros(len(bias))
+        for k in range(len(code) - 3):
+            three = code[k] << 16 | code[k + 1] << 8 | code[k + 2]
+            four = (three << 8 | code[k + 3]) % 2**32
+            total += tables[three * 2654435761 % 2**32 >> 17] + tables[langid.BUCKETS + ((four ^ four >> 15) * 2246822519 % 2**32 >> 17)]
+        z = (total / max(1, 2 * (len(code) - 3)) + bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        if not any(map(str.isalpha, text)):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        else:
+            assert r.lang_pred == model.languages[int(p.argmax())] and abs(r.score - p.max()) < 1e-5
+
+
+def test_language_learns_whole_texts_and_repeated_ids(spark):
+    rows = [(k, f"{'ab' * 600}x{k}", "l1") for k in range(5)] + [(k, f"{'cd' * 600}x{k}", "l2") for k in range(5)] + [(1, f"{'ab' * 600}x1", "l1")] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    keep, langid.LanguageModel.fit = langid.LanguageModel.fit, lambda t, y: seen.append((t, y))
+    try:
+        langid.fit(docs, folds=None)
+        langid.fit(docs, folds=None, max_bytes=5000)
+    finally:
+        langid.LanguageModel.fit = keep
+    assert sorted(zip(*seen[0], strict=True)) == sorted({(t, y) for _, t, y in rows}) and len(seen[1][0]) == 4
+
+
 def test_language_edges(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = langid.fit(docs)
