@@ -57,7 +57,10 @@ def with_inverse(edges: DataFrame, relations: int | Column) -> DataFrame:
 
 
 def mention_map(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entity, chunks) and (chunk_id, entities), sorted and distinct."""
+    """(entity, chunks) and (chunk_id, entities), sorted and distinct.
+
+    A row holds all chunks of its entity: an array of up to 2**31 ids. Operators here work on the pairs instead.
+    """
     pairs = mentions.select("entity", "chunk_id").distinct()
     return pairs.groupBy("entity").agg(F.array_sort(F.collect_list("chunk_id")).alias("chunks")), pairs.groupBy("chunk_id").agg(F.array_sort(F.collect_list("entity")).alias("entities"))
 
@@ -170,6 +173,21 @@ def message_passing(edges: DataFrame, x: DataFrame, rel: DataFrame, layers: int,
     return state
 
 
+def node_update(states: DataFrame, messages: DataFrame, weights: list[list[float]], bias: list[float], epsilon: float = 1e-5) -> DataFrame:
+    """(id, vec): relu of the normalised linear map of each node's state and message, put together; no message counts as zeros.
+
+    states and messages: (id, vec); weights: a row for each output. The map is part of the plan, so it runs where the rows lie.
+    """
+    both = states.join(messages.select("id", F.col("vec").alias("__m")), "id", "left")
+    joined = F.concat("vec", F.coalesce("__m", F.transform("vec", lambda x: F.lit(0.0))))
+    rows = F.array(*(F.array(*map(F.lit, row), F.lit(b)) for row, b in zip(weights, bias, strict=True)))
+    dots = F.transform(rows, lambda w: F.aggregate(F.zip_with(w, F.concat(joined, F.array(F.lit(1.0))), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
+    n = len(weights)
+    out = both.select("id", dots.alias("y")).withColumn("mean", F.aggregate("y", F.lit(0.0), lambda s, x: s + x) / n)
+    out = out.withColumn("std", F.sqrt(F.aggregate("y", F.lit(0.0), lambda s, x: s + (x - F.col("mean")) * (x - F.col("mean"))) / n + epsilon))
+    return out.select("id", F.transform("y", lambda x: F.greatest((x - F.col("mean")) / F.col("std"), F.lit(0.0))).alias("vec"))
+
+
 def distmult_scores(heads: DataFrame, rel: DataFrame, nodes: DataFrame) -> DataFrame:
     """(u, r, v, score): sum of h * r * t of each stated (u, r) against all nodes (id, vec), in blocks of (u, r)."""
     hr = heads.join(nodes.select(F.col("id").alias("u"), F.col("vec").alias("h")), "u").join(rel.select(F.col("id").alias("r"), F.col("vec").alias("w")), "r")

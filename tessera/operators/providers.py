@@ -149,3 +149,87 @@ def repaired(generated: DataFrame, candidates: DataFrame) -> DataFrame:
     fewest letters to change (ties: the smaller id)."""
     pairs = generated.join(candidates, "query_id").select("query_id", "text", F.struct(F.levenshtein(F.lower("text"), F.lower("name")).alias("d"), "doc_id").alias("x"))
     return pairs.groupBy("query_id", "text").agg(F.min("x").alias("x")).select("query_id", "text", F.col("x.doc_id").alias("doc_id"))
+
+
+class Evaluator(Protocol):
+    """Figures by name of a table of results."""
+
+    def __call__(self, results: DataFrame) -> dict[str, float]: ...
+
+
+class MeanOf:
+    """The means of columns, nulls left out: the evaluator used where none is given."""
+
+    def __init__(self, *columns: str) -> None:
+        self.columns = columns
+
+    def __call__(self, results: DataFrame) -> dict[str, float]:
+        return results.agg(*(F.avg(c).alias(c) for c in self.columns)).first().asDict()
+
+
+class GraphBuilder(Protocol):
+    """Makes (nodes, edges) of a table of chunks (chunk_id, passage)."""
+
+    def build(self, chunks: DataFrame) -> tuple[DataFrame, DataFrame]: ...
+
+
+class RuleGraph:
+    """Entities by a recogniser, triples by words of change, assembled: the builder used where none is given."""
+
+    def __init__(self, recogniser: Recogniser | None = None) -> None:
+        self.recogniser = recogniser
+
+    def build(self, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+        from tessera.operators.extraction import change_triples
+        from tessera.operators.graph import assemble
+
+        rows = recognised(chunks.select("chunk_id", "passage"), "passage", self.recogniser)
+        mentions = rows.select("chunk_id", F.posexplode("entities").alias("ord", "entity"))
+        return assemble(mentions.select("chunk_id", "entity", "ord"), change_triples(rows))
+
+
+class Tagger(Protocol):
+    """The tags of a text, by field."""
+
+    def __call__(self, text: str) -> dict[str, list[str]]: ...
+
+
+def tagged(rows: DataFrame, text: str, tagger: Tagger, out: str = "tags") -> DataFrame:
+    """Adds a map of each row's tags; a tagger that fails gives an empty one."""
+
+    def one(t: str | None) -> dict[str, list[str]]:
+        try:
+            return tagger(t or "")
+        except Exception:  # a model's failure costs its row's tags, nothing else
+            return {}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch[out] = [one(t) for t in batch[text]]
+            yield batch
+
+    return rows.mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"{out} map<string,array<string>>"]))
+
+
+def qa_prompt(question: Column, passages: Column, most_chars: int = 12_000) -> Column:
+    """A prompt of numbered passages, cut to most_chars, and the question after them."""
+    body = F.array_join(F.transform(passages, lambda p, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), p)), "\n")
+    return F.concat(F.substring(body, 1, most_chars), F.lit("\n\nQuestion: "), question, F.lit("\nAnswer:"))
+
+
+def answered(rows: DataFrame, prompt: str, generator: Generator, tries: int = 3, out: str = "answer") -> DataFrame:
+    """Adds the model's answer to each row's prompt, asked again after an error, and null if that fails too."""
+    ask = with_retries(generator.generate, tries)
+
+    def one(p: str) -> str | None:
+        try:
+            return ask(p)
+        except Exception:  # the last try's error: the row has no answer
+            return None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch[out] = [one(p) for p in batch[prompt]]
+            yield batch
+
+    return rows.mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"{out} string"]))

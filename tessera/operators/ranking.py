@@ -58,3 +58,26 @@ def softmax(rows: DataFrame, by: str, value: str, out: str = "softmax") -> DataF
 def worst_cases(metrics: DataFrame, key: str, n: int) -> DataFrame:
     """The n keys with the lowest hit, mrr and recall (a report)."""
     return metrics.orderBy("hit", "mrr", F.asc_nulls_first("recall"), key).limit(n)
+
+
+def variadic(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
+    """Adds, within each group: place (0, 1 ... by `order`, unique there), sorted (its place by value, largest first), sum, mean.
+
+    Sums are aggregated before they meet the rows; a group's places need its rows together, sorted, in one task.
+    """
+    w = Window.partitionBy(by)
+    totals = rows.groupBy(by).agg(F.sum(value).alias("sum"), F.avg(value).alias("mean"))
+    placed = rows.withColumn("place", F.row_number().over(w.orderBy(order)) - 1).withColumn("sorted", F.row_number().over(w.orderBy(F.desc(value), order)) - 1)
+    return placed.join(totals, by)
+
+
+def extend(left: DataFrame, right: DataFrame, by: str, order: str) -> DataFrame:
+    """Both lists (by, order, ...) of each group, one after the other: adds `part` (0 or 1) and place (0, 1 ...)."""
+    both = left.withColumn("part", F.lit(0)).unionByName(right.withColumn("part", F.lit(1)))
+    return both.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("part", order)) - 1)
+
+
+def slices(rows: DataFrame, by: str, place: str, spans: DataFrame) -> DataFrame:
+    """The rows whose place lies in one of their group's spans (by, start, end), end exclusive; each row once."""
+    spans = spans.select(F.col(by).alias("__by"), "start", "end")
+    return rows.join(spans, (F.col(by) == F.col("__by")) & (F.col(place) >= F.col("start")) & (F.col(place) < F.col("end")), "left_semi")

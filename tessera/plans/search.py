@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import dot, tokens
-from tessera.operators import filings, fusion, graph_search, metrics, providers, qrels, records, vector
+from tessera.operators import filings, fusion, graph, graph_search, metrics, providers, qrels, ranking, records, vector
 from tessera.operators.lexical import top_k
 from tessera.plans.graphs import _EDGES, _TRIPLES, edges, triples
 from tessera.plans.retrieval import _BM25, _DENSE, _EXACT, _NORM, _RECALL, _TOK, _TOP, _WANT, bm25_topk, dense_scores, docs, exact, home, items, labelled_dense, recall_run, scores, table, vectors
@@ -306,7 +306,42 @@ def cleaned_question_tags(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", *(F.array_join(f"t.{f}", ",").alias(f) for f in ("industries", "domains", "sectors", "named_entities")))
 
 
-QUERIES = {f.__name__: f for f in (fact_search, fact_entities, linked_names, fact_texts, entity_edges, typed_topk, tail_predictions, matched_edges, easy_edges, negatives_as_tails, type_codes, query_init, resolved_uids, sample_masks, hard_ranks, type_means, overridden, company_fallback, by_alias, source_chunks, name_index, numbered_queries, group_sizes, tag_presence, candidate_scores, gated_evidence, table_rules, page_recall, document_recall, overfetch_bonus, tag_aware_bm25, reranked, picked_facts, repaired_names, keywords, captions, cleaned_question_tags)}
+def variadic_ops(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders' lines: their places by part, by price, and the order's sum and mean."""
+    rows = table(spark, sf, "lineitem").select("l_orderkey", F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").cast("string"), F.col("l_shipdate").cast("date").cast("string")).alias("line"), "l_quantity")
+    out = ranking.variadic(rows.groupBy("l_orderkey", "line").agg(F.sum("l_quantity").alias("l_quantity")), "l_orderkey", "line", "l_quantity")
+    return out.select("l_orderkey", F.md5("line").alias("line"), F.col("place").cast("long").alias("place"), F.col("sorted").cast("long").alias("sorted"), F.round("sum", 4).alias("sum"), F.round("mean", 6).alias("mean"))
+
+
+def extended_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers' finished orders and then their open ones, of which the second to fourth are cut out."""
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    both = ranking.extend(o.where("o_orderstatus = 'F'").drop("o_orderstatus"), o.where("o_orderstatus = 'O'").drop("o_orderstatus"), "o_custkey", "o_orderkey")
+    spans = both.select("o_custkey").distinct().select("o_custkey", F.lit(1).alias("start"), F.lit(4).alias("end"))
+    return ranking.slices(both, "o_custkey", "place", spans).select("o_custkey", "o_orderkey", "part", F.col("place").cast("long").alias("place"))
+
+
+def node_update(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers' states and messages (of every second one) under a map to four numbers."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.array((F.col("s_acctbal") / 1000), F.col("s_nationkey").cast("double")).alias("vec"))
+    m = s.where("id % 2 = 0").select("id", F.transform("vec", lambda x: x * 0.5).alias("vec"))
+    out = graph.node_update(s, m, [[1.0, 0.0, 0.5, 0.0], [0.0, 1.0, 0.0, -1.0], [0.25, 0.25, 0.25, 0.25], [-1.0, 0.5, 0.0, 2.0]], [0.0, 1.0, -1.0, 0.5])
+    return out.select("id", F.posexplode("vec").alias("dim", "x")).withColumn("x", F.round("x", 6))
+
+
+def decoded_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """The five best documents of each passage with their source, pages and the first 500 characters."""
+    hits = bm25_topk(spark, sf).where("rank <= 5").join(table(spark, sf, "documents").select("doc_id", "source", F.lit(1).alias("page_start"), (F.col("n_chars") / 300).cast("int").alias("page_end"), F.md5(F.substring("text", 1, 500)).alias("preview")), "doc_id")
+    return hits.select("query_id", "rank", "doc_id", "source", "page_start", "page_end", "preview")
+
+
+def prompts(spark: SparkSession, sf: str) -> DataFrame:
+    top = bm25_topk(spark, sf).where("rank <= 3").join(docs(spark, sf).select("doc_id", "text"), "doc_id")
+    passages = top.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("p"))
+    return passages.join(items(spark, sf), "query_id").select("query_id", F.md5(providers.qa_prompt(F.col("text"), F.col("p"), 1000)).alias("prompt"))
+
+
+QUERIES = {f.__name__: f for f in (variadic_ops, extended_lists, node_update, decoded_hits, prompts, fact_search, fact_entities, linked_names, fact_texts, entity_edges, typed_topk, tail_predictions, matched_edges, easy_edges, negatives_as_tails, type_codes, query_init, resolved_uids, sample_masks, hard_ranks, type_means, overridden, company_fallback, by_alias, source_chunks, name_index, numbered_queries, group_sizes, tag_presence, candidate_scores, gated_evidence, table_rules, page_recall, document_recall, overfetch_bonus, tag_aware_bm25, reranked, picked_facts, repaired_names, keywords, captions, cleaned_question_tags)}
 
 _MM = "CASE WHEN max({0}) OVER {1} = min({0}) OVER {1} THEN 1.0 ELSE ({0} - min({0}) OVER {1}) / (max({0}) OVER {1} - min({0}) OVER {1}) END"
 _HARD = f"""{_DENSE}, ld AS (SELECT query_id, doc_id, score, label = qlabel AS positive, doc_id % 2 = 1 AS hard FROM ds), ra AS (SELECT *, {_TOP} AS ra FROM ld),
@@ -316,6 +351,15 @@ ent AS (SELECT query_id, entity, avg(score / coalesce(n, 1)) AS score FROM ends
 _CLEAN = "trim(regexp_replace({0}, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))"
 _CHUNKS3 = "(['Net Sales and total assets of ', 'the purchases of property, plant and equipment, ', 'cash flow; CASH FLOW '])[doc_id % 3 + 1] || text"
 ORACLES = {
+    "variadic_ops": """WITH r AS (SELECT l_orderkey, concat_ws('-', l_linenumber, l_partkey, l_suppkey, l_extendedprice::VARCHAR, l_shipdate::DATE::VARCHAR) AS line, sum(l_quantity) AS q FROM lineitem GROUP BY ALL)
+        SELECT l_orderkey, md5(line) AS line, row_number() OVER (w ORDER BY line) - 1 AS place, row_number() OVER (w ORDER BY q DESC, line) - 1 AS sorted, round(sum(q) OVER w, 4) AS sum, round(avg(q) OVER w, 6) AS mean FROM r WINDOW w AS (PARTITION BY l_orderkey)""",
+    "extended_lists": "WITH b AS (SELECT o_custkey, o_orderkey, (o_orderstatus = 'O')::INT AS part, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus, o_orderkey) - 1 AS place FROM orders WHERE o_orderstatus IN ('F', 'O')) SELECT * FROM b WHERE place BETWEEN 1 AND 3",
+    "node_update": """WITH s AS (SELECT s_suppkey AS id, s_acctbal / 1000 AS a, s_nationkey::DOUBLE AS b, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal / 1000 * 0.5::DOUBLE ELSE 0 END AS c, CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey * 0.5::DOUBLE ELSE 0 END AS d FROM supplier),
+        y AS (SELECT id, [a + 0.5::DOUBLE * c, b - d + 1, (a + b + c + d) / 4 - 1, 0.5::DOUBLE * b - a + 2 * d + 0.5::DOUBLE] AS y FROM s), m AS (SELECT id, y, list_avg(y) AS m FROM y), v AS (SELECT id, y, m, sqrt(list_avg(list_transform(y, lambda x: (x - m) * (x - m))) + 1e-5::DOUBLE) AS sd FROM m)
+        SELECT id, (generate_subscripts(y, 1) - 1)::INT AS dim, round(greatest((unnest(y) - m) / sd, 0), 6) AS x FROM v""",
+    "decoded_hits": f"WITH {_BM25}, run AS (SELECT *, {_TOP} AS rank FROM bms QUALIFY {_TOP} <= 5) SELECT query_id, rank, doc_id, d.source, 1 AS page_start, (n_chars // 300)::INT AS page_end, md5(left(text, 500)) AS preview FROM run JOIN documents d USING (doc_id)",
+    "prompts": f"""WITH {_BM25}, run AS (SELECT *, {_TOP} AS rank FROM bms QUALIFY {_TOP} <= 3), p AS (SELECT query_id, string_agg('[' || rank || '] ' || d.text, chr(10) ORDER BY rank) AS p FROM run JOIN documents d USING (doc_id) GROUP BY query_id)
+        SELECT query_id, md5(left(p, 1000) || chr(10) || chr(10) || 'Question: ' || text || chr(10) || 'Answer:') AS prompt FROM p JOIN benchmark ON item_id = query_id""",
     "fact_search": f"""WITH {_FACTS}, {_ENTS}, c AS (SELECT query_id, chunk_id, score FROM ent JOIN men USING (entity) UNION ALL SELECT query_id, chunk_id, score * 0.05::DOUBLE FROM dc),
         t AS (SELECT query_id, chunk_id AS doc_id, round(sum(score), 6) AS score FROM c GROUP BY ALL) SELECT query_id, {_TOP} AS rank, doc_id, score FROM t QUALIFY {_TOP} <= 10""",
     "fact_entities": f"WITH {_FACTS}, {_ENTS} SELECT query_id, entity, round(score, 8) AS score FROM ent",

@@ -23,10 +23,14 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str | None =
 def read_jsonl_safe(spark: SparkSession, path: str, schema: StructType, raw_chars: int = 300) -> tuple[DataFrame, DataFrame]:
     """(rows, errors): rows that parse as objects, and for others (file, line, raw preview).
 
-    Lines are numbered within a file by a window over that file's lines.
+    A line's number is its place in its block of the file after the lines of the blocks before; only the blocks' counts are
+    gathered, so a large file is numbered by many tasks.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    lines = lines.withColumn("line", F.row_number().over(Window.partitionBy("file").orderBy("block", "at")))
+    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select("file", "block", (before - F.col("first") + 1).alias("shift"))
+    lines = lines.join(starts, ["file", "block"]).select("value", "file", (F.col("at") + F.col("shift")).alias("line"))
     lines = lines.withColumn("value", F.regexp_replace("value", "^﻿", "")).where(F.trim("value") != "")
     wide = StructType([*schema.fields, StructField(CORRUPT, StringType())])
     parsed = lines.withColumn("j", F.from_json("value", wide, {"columnNameOfCorruptRecord": CORRUPT}))
@@ -161,8 +165,9 @@ def flatten_runs(rows: DataFrame, method: str) -> DataFrame:
 
 
 def markdown_table(rows: DataFrame, limit: int = 1000) -> str:
-    """A small report table as Markdown, numbers with four decimals."""
+    """A report table as Markdown, numbers with four decimals; of more than `limit` rows the first ones, and a line that says so."""
     head = rows.columns
     show = lambda x: f"{x:.4f}" if isinstance(x, float) else "" if x is None else str(x)
-    lines = ["| " + " | ".join(head) + " |", "|" + " --- |" * len(head)]
-    return "\n".join([*lines, *("| " + " | ".join(map(show, r)) + " |" for r in rows.limit(limit).collect())])
+    found = rows.limit(limit + 1).collect()
+    lines = ["| " + " | ".join(head) + " |", "|" + " --- |" * len(head), *("| " + " | ".join(map(show, r)) + " |" for r in found[:limit])]
+    return "\n".join([*lines, *([f"\nThe first {limit} of {rows.count()} rows."] if len(found) > limit else [])])

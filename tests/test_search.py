@@ -117,3 +117,46 @@ def test_large_query_sets_go_block_by_block(spark, monkeypatch):
     assert len(vector.query_blocks(rows, ["vec_id"], "embedding")) == 4
     assert sorted(map(tuple, vector.inner_products(rows, rows).collect())) == whole and len(whole) == 2500
     assert vector.inner_products(rows, rows.limit(0)).count() == 0
+
+
+def test_lines_of_a_file_are_numbered_by_blocks(spark, tmp_path):
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    from tessera.sources import files
+
+    rows = ["\ufeff" + '{"a": 0}', "", *(f'{{"a": {k}}}' if k % 50 else "broken" for k in range(1, 3000))]
+    (tmp_path / "x.jsonl").write_text("\n".join(rows))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        good, bad = files.read_jsonl_safe(spark, str(tmp_path / "x.jsonl"), StructType([StructField("a", LongType())]))
+        assert {(r.line, r.a) for r in good.collect()} == {(1, 0), *((k + 2, k) for k in range(1, 3000) if k % 50)}
+        assert {r.line for r in bad.collect()} == {k + 2 for k in range(50, 3000, 50)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    shown = files.markdown_table(spark.range(5), 3)
+    assert shown.count("|\n") == 5 and shown.endswith("The first 3 of 5 rows.") and "first" not in files.markdown_table(spark.range(3), 3)
+
+
+def test_more_model_hooks(spark):
+    rows = spark.createDataFrame([(1, "Acme Corp sales increased. Nothing else."), (2, None)], "chunk_id long, passage string")
+    nodes, edges = providers.RuleGraph().build(rows)
+    assert "Acme Corp" in {r.name for r in nodes.collect()} and edges.where("relation <> 'mentions'").count() == 1
+
+    def picky(text):
+        if not text:
+            raise ValueError("no text")
+        return {"organizations": text.split()[:1]}
+
+    got = {r.chunk_id: r.tags for r in providers.tagged(rows, "passage", picky).collect()}
+    assert got == {1: {"organizations": ["Acme"]}, 2: {}}
+
+    class Echo:
+        def generate(self, prompt):
+            if "fail" in prompt:
+                raise RuntimeError
+            return prompt[-3:]
+
+    asked = spark.createDataFrame([(1, "abcdef"), (2, "fail")], "k long, prompt string")
+    assert {r.k: r.answer for r in providers.answered(asked, "prompt", Echo()).collect()} == {1: "def", 2: None}
+    assert providers.MeanOf("k")(asked) == {"k": 1.5}
