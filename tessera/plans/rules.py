@@ -105,6 +105,10 @@ _RULES = reduce(lambda rest, rule: f"CASE WHEN {' OR '.join(f'contains(b, {_Q(w)
 _CANON = f"""a AS (SELECT o_orderkey, lower(({_LIST})[o_orderkey % {len(_TRIED)} + 1]) AS n FROM orders), b AS (SELECT o_orderkey, CASE WHEN starts_with(n, 'has_') THEN replace(n, '_', ' ') ELSE n END AS b FROM a),
 c AS (SELECT o_orderkey, coalesce(({_MAP})[b], {_RULES}) AS relation FROM b)"""
 ORACLES = {
+    "grounded_triples": """WITH p AS (SELECT doc_id, lower(trim(regexp_replace(translate(text, chr(160) || '−—', ' --'), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))) AS low FROM documents), w AS (SELECT *, list_filter(string_split(low, ' '), lambda x: x <> '') AS w, contains(low, 'zzz') OR contains(regexp_replace(low, '[^\\pL\\pN\\pM_\\s]', '', 'g'), 'zzz') AS z FROM p),
+        t AS (SELECT unnest([CASE WHEN len(w) < 3 THEN 'invalid_triple_shape' ELSE 'clean' END,
+            CASE WHEN len(w) < 4 THEN 'invalid_triple_shape' WHEN w[2] <> w[1] AND w[4] <> w[1] THEN 'neither_subject_nor_object_in_ner_entities' WHEN w[2] = w[1] AND w[3] = w[1] AND w[4] = w[1] THEN NULL ELSE 'clean' END,
+            CASE WHEN len(w) = 0 THEN NULL WHEN z THEN 'clean' ELSE 'entity_not_grounded_in_passage' END]) AS reason FROM w) SELECT reason, count(*) AS n FROM t WHERE reason IS NOT NULL GROUP BY reason""",
     "canonical_relations": f"WITH {_CANON} SELECT * FROM c",
     "whitelisted_edges": f"WITH {_CANON} SELECT relation, count(*) AS n FROM c WHERE relation IN ({', '.join(map(_Q, extraction.WHITELIST))}) GROUP BY relation",
     "table_quality": """SELECT doc_id, len(regexp_extract_all(text, '[0-9]')) >= 20 AND len(list_filter(string_split_regex(trim(text), '[ \\t\\n\\r\\f\\x0B]+'), lambda w: w <> '')) >= 20 AS meaningful,
