@@ -35,9 +35,9 @@ TREES = 16
 #: bytes as floats. All vectors are indexed.
 SAMPLE, SAMPLE_BYTES = 60_000, 16_000_000
 #: Sampled vectors in a leaf, at most.
-LEAF = 32
+LEAF = 128
 #: Vectors in the leaves that a query visits, counted in each tree: VISITED * n ** GROWTH, or LEAST if that is more.
-VISITED, GROWTH, LEAST = 7.0, 0.72, 8000
+VISITED, GROWTH, LEAST = 8.0, 0.72, 8000
 #: Vectors that one block of leaves is to hold; queries that are searched at a time in one.
 BLOCK_VECTORS, BLOCK_QUERIES = 16_384, 20_000
 #: Pairs that a block scores at a time, and gathers before it puts aside all that can't be in an answer.
