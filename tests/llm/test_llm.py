@@ -284,6 +284,13 @@ def test_quality_of_whole_tables_matches_brute_force(spark, sf, texts):
         assert abs(r.score - expected) < 2e-3 and r.predicted == (r.score >= 0.3) and r.held_out == (fold_of(r.doc_id, 5) == 0)
 
 
+def test_quality_learns_one_text_of_each_id(spark):
+    rows = [(k % 7, f"text {k % 7} of {k}") for k in range(400)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(7)] * 2, "doc_id long, quality int, toxic int")
+    model = quality.fit(frame(spark, rows), labels, max_labelled=5, folds=None)
+    assert len(model.vectors) == 5 and len(quality.fit(frame(spark, rows), labels, folds=None).vectors) == 7
+
+
 def test_quality_hears_words(texts):
     a, b = "the cat sat on the mat and ran", "tho cot sit an tho met ond rin"  # of one shape
     model = quality.NeighbourModel.fit(quality.terms(pa.array([*list(texts.values())[:50], *[a, b] * 3])), np.ones(56))
@@ -360,6 +367,30 @@ def test_pack_keeps_all_limits(seed):
     assert all((u <= [limits.tokens, limits.segments, limits.loss]).all() for u in used.values())
 
 
+def test_conversations_are_packed_under_a_loss_limit_that_binds(spark, sf):
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    turns = defaultdict(list)
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        turns[r.conv_id].append(r.text or "")
+    rows = []
+    for i, some in turns.items():  # of each conversation the last turn is the answer
+        prompt = " ".join(some[:-1])
+        rows.append((i, f"{prompt} {some[-1]}", len(tok.encode(prompt, add_special_tokens=False).ids)))
+    docs = spark.createDataFrame([*rows, (-1, "no prompt at all", None), (-2, "beyond", 99)], "doc_id long, text string, prompt long")
+    limits = packing.Limits(512, 6, 160)
+    pieces_ = packing.pack_documents(docs, limits=limits, loss_from="prompt").collect()
+    prompts = {i: p or 0 for i, _, p in rows} | {-1: 0, -2: 99}
+    used, at = defaultdict(lambda: np.zeros(3, int)), defaultdict(int)
+    for r in sorted(pieces_, key=lambda r: (r.doc_id, r.start)):
+        assert r.start == at[r.doc_id]
+        at[r.doc_id] += r.length
+        used[r.sequence_id] += [r.length, 1, max(0, r.start + r.length - max(r.start, min(prompts[r.doc_id], r.doc_tokens)))]
+    assert all(at[i] == len(tok.encode(t, add_special_tokens=False).ids) + 1 for i, t, _ in rows)
+    assert all((u <= [limits.tokens, limits.segments, limits.loss]).all() for u in used.values())
+    bound = [sum(u[k] == m for u in used.values()) for k, m in enumerate((limits.tokens, limits.segments, limits.loss))]
+    assert bound[2] > 5 and bound[0] > 5  # sequences end by either limit
+
+
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
 
