@@ -217,6 +217,22 @@ def hops(edges: DataFrame, starts: DataFrame, most: int, beam: int | None = None
     return seen
 
 
+def partitioned(edges: DataFrame, nodes: int, parts: int) -> DataFrame:
+    """edges (u, v, ...) with part: the owner of the target v, of ids 0 .. nodes - 1 in `parts` contiguous ranges."""
+    return edges.withColumn("part", F.floor(F.col("v") * parts / nodes).cast("int"))
+
+
+def part_nodes(edges: DataFrame, ids: DataFrame, nodes: int, parts: int) -> DataFrame:
+    """(part, id, owned, local): each part's nodes and then the sources that its edges need from others, numbered from 0.
+
+    edges: as partitioned() gives them; ids: (id). A part is what one worker holds, so its nodes are numbered in one task.
+    """
+    own = ids.select(F.floor(F.col("id") * parts / nodes).cast("int").alias("part"), "id", F.lit(True).alias("owned"))
+    boundary = edges.select("part", F.col("u").alias("id")).distinct().where(F.floor(F.col("id") * parts / nodes) != F.col("part")).withColumn("owned", F.lit(False))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("owned"), "id")) - 1
+    return own.unionByName(boundary).withColumn("local", place)
+
+
 class Query:
     """Complex logical queries as DataFrames of one column id: projection, intersection, union, negation."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import dot, entity_key, jaccard
+from tessera.functions.text import dot, entity_key, first_text, jaccard
 from tessera.operators.lexical import top_k
 from tessera.operators.vector import inner_products
 
@@ -91,3 +91,8 @@ def map_text(attributes: Column, name: Column) -> Column:
 def node_type(uid: Column) -> Column:
     """The node type by an id's prefix (fixed prefixes)."""
     return F.when(uid.startswith("chunk:"), "chunk").when(uid.startswith("entity:"), "entity").when(uid.startswith("doc:") | uid.startswith("document:"), "document").otherwise("unknown")
+
+
+def preview_text(most: int = 512) -> Column:
+    """A node's text for baselines and teachers: the first of its preview, chunk id, summary and name, cut to `most`."""
+    return F.substring(first_text("text_preview", "chunk_id", "summary", "name"), 1, most)

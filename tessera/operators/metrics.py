@@ -100,13 +100,14 @@ def filtered_rank_metrics(scored: DataFrame, ks: tuple[int, ...] = (1, 10), by:
     return per.agg(*(F.avg(c).alias(c) for c in names), F.count("*").alias("queries"))
 
 
-def pessimistic_ranks(scored: DataFrame, by: str = "query_id", score: str = "score", tie: str = "doc_id") -> DataFrame:
-    """(by, tie, rank): for each positive 1 + the negatives that score as high or higher.
+def pessimistic_ranks(scored: DataFrame, by: str | list[str] = "query_id", score: str = "score", tie: str = "doc_id") -> DataFrame:
+    """(by, tie, rank): for each positive 1 + the negatives that score as high or higher, of the same type if `by` names it.
 
     One window by score instead of a join of positives with negatives.
     """
-    w = Window.partitionBy(by).orderBy(F.desc(score)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return scored.withColumn("rank", 1 + F.sum(F.when(F.col("positive"), 0).otherwise(1)).over(w)).where("positive").select(by, tie, "rank")
+    keys = [by] if isinstance(by, str) else by
+    w = Window.partitionBy(*keys).orderBy(F.desc(score)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return scored.withColumn("rank", 1 + F.sum(F.when(F.col("positive"), 0).otherwise(1)).over(w)).where("positive").select(*keys, tie, "rank")
 
 
 def normalize_answer(text: Column) -> Column:

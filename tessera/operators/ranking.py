@@ -81,3 +81,9 @@ def slices(rows: DataFrame, by: str, place: str, spans: DataFrame) -> DataFrame:
     """The rows whose place lies in one of their group's spans (by, start, end), end exclusive; each row once."""
     spans = spans.select(F.col(by).alias("__by"), "start", "end")
     return rows.join(spans, (F.col(by) == F.col("__by")) & (F.col(place) >= F.col("start")) & (F.col(place) < F.col("end")), "left_semi")
+
+
+def padded(ranked: DataFrame, by: str, k: int) -> DataFrame:
+    """ranked (by, rank, ...) with k rows for each group: where it has fewer, all other columns are null."""
+    places = ranked.select(by).distinct().withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(k)).cast("array<bigint>")))
+    return places.join(ranked.where(F.col("rank") <= k), [by, "rank"], "left")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import dot, tokens
-from tessera.operators import filings, fusion, graph, graph_search, metrics, providers, qrels, ranking, records, vector
+from tessera.operators import filings, fusion, graph, graph_search, linking, metrics, providers, qrels, ranking, records, vector
 from tessera.operators.lexical import top_k
 from tessera.plans.graphs import _EDGES, _TRIPLES, edges, triples
 from tessera.plans.retrieval import _BM25, _DENSE, _EXACT, _NORM, _RECALL, _TOK, _TOP, _WANT, bm25_topk, dense_scores, docs, exact, home, items, labelled_dense, recall_run, scores, table, vectors
@@ -341,7 +341,30 @@ def prompts(spark: SparkSession, sf: str) -> DataFrame:
     return passages.join(items(spark, sf), "query_id").select("query_id", F.md5(providers.qa_prompt(F.col("text"), F.col("p"), 1000)).alias("prompt"))
 
 
-QUERIES = {f.__name__: f for f in (variadic_ops, extended_lists, node_update, decoded_hits, prompts, fact_search, fact_entities, linked_names, fact_texts, entity_edges, typed_topk, tail_predictions, matched_edges, easy_edges, negatives_as_tails, type_codes, query_init, resolved_uids, sample_masks, hard_ranks, type_means, overridden, company_fallback, by_alias, source_chunks, name_index, numbered_queries, group_sizes, tag_presence, candidate_scores, gated_evidence, table_rules, page_recall, document_recall, overfetch_bonus, tag_aware_bm25, reranked, picked_facts, repaired_names, keywords, captions, cleaned_question_tags)}
+def graph_partitions(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines as edges from orders to parts (by their places), in eight parts: nodes and boundaries, and their numbers."""
+    n = table(spark, sf, "part").count()
+    e = table(spark, sf, "lineitem").select(F.pmod(F.col("l_suppkey") * 17 + F.col("l_partkey"), F.lit(n)).alias("u"), F.col("l_partkey").alias("v"))
+    parts = graph.part_nodes(graph.partitioned(e, n, 8), table(spark, sf, "part").select(F.col("p_partkey").alias("id")), n, 8)
+    return parts.select("part", "id", "owned", F.col("local").cast("long").alias("local"))
+
+
+def typed_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    """Pessimistic ranks among candidates of the answer's own type (its number modulo 3)."""
+    return metrics.pessimistic_ranks(labelled_dense(spark, sf).withColumn("type", F.col("doc_id") % 3), ["query_id", "type"])
+
+
+def padded_topk(spark: SparkSession, sf: str) -> DataFrame:
+    few = bm25_topk(spark, sf).where(F.col("rank") <= F.col("query_id") % 7 + 1)
+    return ranking.padded(few, "query_id", 5).select("query_id", "rank", "doc_id")
+
+
+def preview_texts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = docs(spark, sf).select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("text")).alias("text_preview"), F.when(F.col("doc_id") % 3 == 1, F.col("doc_id").cast("string")).otherwise("").alias("chunk_id"), F.lit(None).cast("string").alias("summary"), F.col("source").alias("name"))
+    return rows.select("doc_id", F.md5(linking.preview_text()).alias("text"))
+
+
+QUERIES = {f.__name__: f for f in (graph_partitions, typed_ranks, padded_topk, preview_texts, variadic_ops, extended_lists, node_update, decoded_hits, prompts, fact_search, fact_entities, linked_names, fact_texts, entity_edges, typed_topk, tail_predictions, matched_edges, easy_edges, negatives_as_tails, type_codes, query_init, resolved_uids, sample_masks, hard_ranks, type_means, overridden, company_fallback, by_alias, source_chunks, name_index, numbered_queries, group_sizes, tag_presence, candidate_scores, gated_evidence, table_rules, page_recall, document_recall, overfetch_bonus, tag_aware_bm25, reranked, picked_facts, repaired_names, keywords, captions, cleaned_question_tags)}
 
 _MM = "CASE WHEN max({0}) OVER {1} = min({0}) OVER {1} THEN 1.0 ELSE ({0} - min({0}) OVER {1}) / (max({0}) OVER {1} - min({0}) OVER {1}) END"
 _HARD = f"""{_DENSE}, ld AS (SELECT query_id, doc_id, score, label = qlabel AS positive, doc_id % 2 = 1 AS hard FROM ds), ra AS (SELECT *, {_TOP} AS ra FROM ld),
@@ -351,6 +374,11 @@ ent AS (SELECT query_id, entity, avg(score / coalesce(n, 1)) AS score FROM ends
 _CLEAN = "trim(regexp_replace({0}, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))"
 _CHUNKS3 = "(['Net Sales and total assets of ', 'the purchases of property, plant and equipment, ', 'cash flow; CASH FLOW '])[doc_id % 3 + 1] || text"
 ORACLES = {
+    "graph_partitions": """WITH n AS (SELECT count(*) AS n FROM part), e AS (SELECT (l_suppkey * 17 + l_partkey) % n AS u, floor(l_partkey * 8 / n)::INT AS part FROM lineitem, n), a AS (SELECT floor(p_partkey * 8 / n)::INT AS part, p_partkey AS id, true AS owned FROM part, n UNION ALL SELECT DISTINCT e.part, u, false FROM e, n WHERE floor(u * 8 / n) <> e.part)
+        SELECT part, id, owned, row_number() OVER (PARTITION BY part ORDER BY owned DESC, id) - 1 AS local FROM a""",
+    "typed_ranks": f"WITH {_DENSE}, ld AS (SELECT query_id, doc_id, doc_id % 3 AS type, score, label = qlabel AS positive FROM ds) SELECT p.query_id, p.type, p.doc_id, 1 + count(n.doc_id) AS rank FROM ld p LEFT JOIN ld n ON n.query_id = p.query_id AND n.type = p.type AND NOT n.positive AND n.score >= p.score WHERE p.positive GROUP BY ALL",
+    "padded_topk": f"WITH {_BM25}, run AS (SELECT *, {_TOP} AS rank FROM bms QUALIFY {_TOP} <= 10), f AS (SELECT * FROM run WHERE rank <= query_id % 7 + 1), p AS (SELECT q.query_id, k AS rank FROM (SELECT DISTINCT query_id FROM f) q, (SELECT unnest(range(1, 6)) AS k)) SELECT p.query_id, p.rank, doc_id FROM p LEFT JOIN f USING (query_id, rank)",
+    "preview_texts": "SELECT doc_id, md5(left(CASE doc_id % 3 WHEN 0 THEN coalesce(nullif(text, ''), source) WHEN 1 THEN doc_id::VARCHAR ELSE source END, 512)) AS text FROM documents",
     "variadic_ops": """WITH r AS (SELECT l_orderkey, concat_ws('-', l_linenumber, l_partkey, l_suppkey, l_extendedprice::VARCHAR, l_shipdate::DATE::VARCHAR) AS line, sum(l_quantity) AS q FROM lineitem GROUP BY ALL)
         SELECT l_orderkey, md5(line) AS line, row_number() OVER (w ORDER BY line) - 1 AS place, row_number() OVER (w ORDER BY q DESC, line) - 1 AS sorted, round(sum(q) OVER w, 4) AS sum, round(avg(q) OVER w, 6) AS mean FROM r WINDOW w AS (PARTITION BY l_orderkey)""",
     "extended_lists": "WITH b AS (SELECT o_custkey, o_orderkey, (o_orderstatus = 'O')::INT AS part, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus, o_orderkey) - 1 AS place FROM orders WHERE o_orderstatus IN ('F', 'O')) SELECT * FROM b WHERE place BETWEEN 1 AND 3",

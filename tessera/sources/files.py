@@ -164,6 +164,33 @@ def flatten_runs(rows: DataFrame, method: str) -> DataFrame:
     return flat.select(F.lit(method).alias("method"), "query_id", (F.col("at") + 1).alias("rank"), F.col("c.chunk_id").alias("chunk_id"), F.col("c.score").alias("score"))
 
 
+#: What a file's sampled records are worth (fixed values): a text, a question, tags, all tag fields, tags named as a query's;
+#: and what its path adds or takes.
+SOURCE_WEIGHTS = {"text": 3, "question": 20, "tags": 5, "schema": 5, "query_tags": 15}
+PATH_BONUS, PATH_MALUS = 100, -100
+
+
+def discover(spark: SparkSession, root: str, fields: list[str], sample: int = 50) -> DataFrame:
+    """(path, records, score), best first: which JSON lines files under root look like tagged questions.
+
+    The first `sample` lines of each file are looked at; files without questions or tags are left out.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(root).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    order = Window.partitionBy("path").orderBy("at")
+    first = lines.where("block = 0 AND trim(value) <> ''").withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample)
+    row = F.from_json("value", "map<string,string>")
+    has = lambda *names: F.coalesce(F.greatest(*(F.coalesce(F.length(row[n]) > 0, F.lit(False)) for n in names), F.lit(False)), F.lit(False))
+    tags = F.from_json(F.coalesce(row["query_semantic_tags"], row["semantic_tags"], row["tags"]), "map<string,string>")
+    exact = F.coalesce(F.array_sort(F.map_keys(tags)) == F.array(*map(F.lit, sorted(fields))), F.lit(False))
+    w = SOURCE_WEIGHTS
+    parts = [(has("question", "query", "text"), w["text"]), (has("question", "query"), w["question"]), (tags.isNotNull(), w["tags"]), (exact, w["schema"]), (row["query_semantic_tags"].isNotNull(), w["query_tags"])]
+    worth = sum((F.coalesce(c.cast("int"), F.lit(0)) * x for c, x in parts), F.lit(0))
+    found = first.select("path", worth.alias("worth"), parts[0][0].alias("asked"), tags.isNotNull().alias("tagged")).groupBy("path").agg(F.count("*").alias("records"), F.sum("worth").alias("score"), F.bool_or("asked").alias("asked"), F.bool_or("tagged").alias("tagged"))
+    low = F.lower("path")
+    bonus = F.when(low.contains("/qa/") | low.contains("queries") | low.contains("questions"), PATH_BONUS).otherwise(0) + F.when(low.contains("/data/chunks/"), PATH_MALUS).otherwise(0)
+    return found.where("asked AND tagged").select("path", "records", (F.col("score") + bonus).alias("score")).orderBy(F.desc("score"), "path")
+
+
 def markdown_table(rows: DataFrame, limit: int = 1000) -> str:
     """A report table as Markdown, numbers with four decimals; of more than `limit` rows the first ones, and a line that says so."""
     head = rows.columns

@@ -160,3 +160,18 @@ def test_more_model_hooks(spark):
     asked = spark.createDataFrame([(1, "abcdef"), (2, "fail")], "k long, prompt string")
     assert {r.k: r.answer for r in providers.answered(asked, "prompt", Echo()).collect()} == {1: "def", 2: None}
     assert providers.MeanOf("k")(asked) == {"k": 1.5}
+
+
+def test_discovery_of_tagged_questions(spark, tmp_path):
+    import json
+
+    from tessera.sources import files
+
+    (tmp_path / "qa").mkdir()
+    (tmp_path / "data").mkdir()
+    write = lambda path, rows: path.write_text("\n".join(map(json.dumps, rows)))
+    write(tmp_path / "qa" / "a.jsonl", [{"question": "x?", "query_semantic_tags": {"a": [], "b": []}}] * 60)
+    write(tmp_path / "data" / "b.jsonl", [{"text": "y", "tags": {"a": []}}] * 2)
+    write(tmp_path / "data" / "c.jsonl", [{"text": "no tags"}])
+    got = [(r.path.rsplit("/", 1)[1], r.records, r.score) for r in files.discover(spark, str(tmp_path), ["b", "a"]).collect()]
+    assert got == [("a.jsonl", 50, 50 * (3 + 20 + 5 + 5 + 15) + 100), ("b.jsonl", 2, 2 * (3 + 5))]
