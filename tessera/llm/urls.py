@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.tables import table
 from tessera.operators.joins import left_join_unique
-from tessera.session import discard, written
+from tessera.session import discard, free_shuffles, written
 
 
 @dataclass(frozen=True)
@@ -38,6 +38,8 @@ ROUNDS = 8
 TOLERANCE = 1e-3
 #: A host is blocked where distrust exceeds this many times its trust.
 RATIO = 1.0
+#: Outgoing edges of a host that one task takes at a time; a host with more has its edges dealt, and its score repeated.
+HUB = 10_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -77,11 +79,25 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
 
     Mass at hosts without outgoing edges is lost. Without a number of rounds it goes on until ROUNDS more reach no new host
     and change each score's sum over all hosts by less than tolerance seed pages (the rest is then below 0.4 of that);
-    damping must be below one. Scores are rounded at the end, to 9 significant digits, so order doesn't show.
+    damping must be below one. Scores are rounded at the end, to 9 significant digits, so order doesn't show. A hub's edges
+    are dealt over parts of HUB edges, which its score meets in as many tasks.
     """
+    spark = edges.sparkSession
     both = edges.select(F.lit("trust").alias("way"), "src", "dst", "w").union(edges.select(F.lit("distrust"), "dst", "src", "w"))
-    out = both.groupBy("way", "src").agg(F.sum("w").alias("total"))
-    both = written(both.join(out, ["way", "src"]).select("way", "src", "dst", (F.col("w") / F.col("total")).alias("p")), "host-edges")
+    both = both.withColumn("key", F.concat_ws(" ", "way", "src"))
+    out = written(both.groupBy("key", "way", "src").agg(F.sum("w").alias("total"), F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / HUB).cast("int")), "host-degrees")
+    shares = left_join_unique(both, out, "key", "n", ["total", "parts"])
+    both = written(shares.select("way", "src", "dst", (F.col("w") / F.col("total")).alias("p"), F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int").alias("part")), "host-edges")
+    hubs = out.where("parts > 1").select("way", F.col("src").alias("host"), "parts")
+    dealt = not hubs.isEmpty()
+
+    def spread(rank: DataFrame) -> DataFrame:
+        """(way, host, r, part): a row for each part of the host's edges."""
+        if not dealt:
+            return rank.select("way", "host", "r", F.lit(0).alias("part"))
+        parts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+        return rank.join(hubs, ["way", "host"], "left").select("way", "host", "r", parts.alias("part"))
+
     totals = seeds.agg(F.sum("trusted").alias("t"), F.sum("blocked").alias("b")).first()
     start = seeds.select("host", F.explode(F.create_map(F.lit("trust"), F.col("trusted") / F.lit(float(totals.t or 1) or 1.0), F.lit("distrust"), F.col("blocked") / F.lit(float(totals.b or 1) or 1.0))).alias("way", "seed"))
     start = written(start.where("seed > 0"), "seeds")
@@ -91,13 +107,15 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     while done != rounds:
         block, now = rank, ROUNDS if rounds is None else min(ROUNDS, rounds - done)
         for k in range(now):
-            moved = block.join(both.withColumnRenamed("src", "host"), ["way", "host"]).select("way", F.col("dst").alias("host"), (F.col("r") * F.col("p") * damping).alias("r"), F.lit(0.0).alias("before"))
-            ends = rank.select("way", "host", F.lit(0.0), "r") if k == now - 1 else rank.limit(0).select("way", "host", "r", "r")
-            block = moved.union(kept).union(ends).groupBy("way", "host").agg(F.sum("r").alias("r"), F.sum("before").alias("before"))
+            moved = spread(block).join(both.withColumnRenamed("src", "host"), ["way", "host", "part"]).select("way", F.col("dst").alias("host"), (F.col("r") * F.col("p") * damping).alias("r"), F.lit(0.0).alias("before"))
+            every = moved.union(kept)
+            every = every.union(rank.select("way", "host", F.lit(0.0), "r")) if k == now - 1 else every
+            block = every.groupBy("way", "host").agg(F.sum("r").alias("r"), F.sum("before").alias("before"))
         block = written(block, "ranks")
         moves = block.groupBy("way").agg(F.sum(F.abs(F.col("r") - F.col("before"))).alias("change"), F.count_if((F.col("before") == 0) & (F.col("r") > 0)).alias("fresh")).collect()
         discard(rank)
         rank, done = block, done + now
+        free_shuffles(spark)  # and what the driver held for the joins' broadcasts
         if rounds is None and all(m.change * pages[m.way] < tolerance and not m.fresh for m in moves):
             break
     score = lambda way: F.format_string("%.8e", F.sum(F.when(F.col("way") == way, F.col("r")).otherwise(0.0))).cast("double").alias(way)
@@ -124,4 +142,25 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, ratio: float = RATI
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages"))
+    return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+#: The rules, the graph, and 150 rounds of both ranks (0.85 ** 150 of the mass is then still under way).
+OP5_SQL = """
+WITH RECURSIVE u AS (SELECT page_id, coalesce(url, '') AS url, html FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, html FROM u),
+f AS (SELECT page_id, host, path, html, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/' WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+      WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM h),
+a AS (SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS act FROM f),
+li AS (SELECT host AS src, translate(regexp_extract(unnest(regexp_extract_all(coalesce(html, ''), '(?i)href\\s*=\\s*["'']?([a-z][a-z0-9+.-]*://[^"''\\s>]+)', 1)), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM h),
+lw AS (SELECT src, dst, count(*)::DOUBLE AS w FROM li GROUP BY ALL),
+hs AS (SELECT DISTINCT host FROM (SELECT host FROM h UNION ALL SELECT dst FROM lw)),
+ch AS (SELECT host AS src, regexp_replace(host, '^[^.]*\\.', '') AS dst FROM hs WHERE len(string_split(host, '.')) > 2 UNION SELECT dst, regexp_replace(dst, '^[^.]*\\.', '') FROM ch WHERE len(string_split(dst, '.')) > 2),
+ed AS (SELECT src, dst, sum(w) AS w FROM (SELECT * FROM lw UNION ALL SELECT src, dst, 1.0::DOUBLE FROM ch UNION ALL SELECT dst, src, 1.0::DOUBLE FROM ch) WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY ALL),
+bo AS (SELECT 'allow' AS way, src, dst, w FROM ed UNION ALL SELECT 'block', dst, src, w FROM ed),
+pr AS (SELECT way, src, dst, w / sum(w) OVER (PARTITION BY way, src) AS p FROM bo),
+sc AS (SELECT act AS way, host, count(*) AS c FROM a WHERE act IS NOT NULL AND host <> '' GROUP BY act, host), se AS (SELECT way, host, c / sum(c) OVER (PARTITION BY way) AS s FROM sc),
+rk AS (SELECT 0 AS k, way, host, s AS r FROM se UNION ALL SELECT k, way, host, sum(r) AS r FROM (SELECT rk.k + 1 AS k, rk.way, pr.dst AS host, rk.r * pr.p * 0.85::DOUBLE AS r FROM rk JOIN pr ON pr.way = rk.way AND pr.src = rk.host WHERE rk.k < 150 UNION ALL SELECT DISTINCT rk.k + 1, se.way, se.host, se.s * 0.15::DOUBLE FROM rk CROSS JOIN se WHERE rk.k < 150) GROUP BY ALL),
+fi AS (SELECT host, coalesce(sum(r) FILTER (way = 'allow'), 0) AS t, coalesce(sum(r) FILTER (way = 'block'), 0) AS b FROM rk WHERE k = 150 GROUP BY host)
+SELECT page_id, a.host, path, rule, coalesce(act, CASE WHEN coalesce(b, 0) > coalesce(t, 0) * (1 + 1e-9) THEN 'block' ELSE 'allow' END) AS verdict FROM a LEFT JOIN fi ON fi.host = a.host
+"""
