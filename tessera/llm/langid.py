@@ -149,7 +149,7 @@ def fit(docs: DataFrame, folds: int | None = FOLDS, held_out: int = HELD_OUT, ma
     Rows that repeat id and text are one, with the least lang. The sample goes by hashes of the ids, up to max_training
     rows, of which those are left out that would make their texts more than max_bytes.
     """
-    pool = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND lang <> '' AND text IS NOT NULL AND text <> ''")
+    pool = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
     if folds is not None:
         pool = pool.where(fold("doc_id", folds) != held_out)
     named = pool.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "lang", "text")
