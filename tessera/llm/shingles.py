@@ -65,8 +65,13 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = _L
     `letters` says which bytes count as equal; it keeps separators as they are.
     """
     starts, ends = word_bounds(data, offsets)
+    return hashed_spans(data, starts, ends, letters, hashes), starts, ends
+
+
+def hashed_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, letters: np.ndarray = EXACT, hashes: int = 1) -> np.ndarray:
+    """The hashes of the bytes from each start to its end, none of them empty; a row for each of one or two hashes."""
     if not len(starts):
-        return np.zeros((hashes, 0), np.uint64), starts, ends
+        return np.zeros((hashes, 0), np.uint64)
     padded = np.zeros(len(data) + 8, np.uint8)
     padded[: len(data)] = letters[data]
     at_byte = np.ndarray(len(data), "<u8", padded, strides=(1,))  # the eight bytes from each byte on
@@ -86,7 +91,7 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = _L
         if len(long_):
             sums[long_] += np.add.reduceat(mix(mix(rest + key) + place.astype(np.uint64) * step), firsts)
         out[k] = mix(sums + lengths.astype(np.uint64) * step)
-    return out, starts, ends
+    return out
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
