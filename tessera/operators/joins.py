@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 HOT_KEYS = 1024
 
 
+def free_prefix(*columns: str) -> str:
+    """The shortest run of two or more underscores that none of the columns begins with: names after it are free."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def left_join_unique(left: DataFrame, right: DataFrame, key: str, weight: str | Column, payload: list[str], hot_keys: int = HOT_KEYS) -> DataFrame:
     """left ⟕ right on `key`, where right has each key once and `weight` says how many left rows it meets.
 
@@ -18,11 +26,12 @@ def left_join_unique(left: DataFrame, right: DataFrame, key: str, weight: str |
     Columns of the result: those of left, then `payload` (null where nothing matches).
     """
     weight = F.col(weight) if isinstance(weight, str) else weight
-    right = right.where(F.col(key).isNotNull()).select(F.col(key).alias("__k"), weight.alias("__w"), F.struct(*payload).alias("__p"))
-    hot = right.orderBy(F.desc("__w"), F.asc("__k")).limit(hot_keys).select(F.col("__k").alias("__hk"), F.col("__p").alias("__hp"))
-    step = left.join(F.broadcast(hot), F.col(key) == F.col("__hk"), "left")
+    p = free_prefix(*left.columns)
+    right = right.where(F.col(key).isNotNull()).select(F.col(key).alias(f"{p}k"), weight.alias(f"{p}w"), F.struct(*payload).alias(f"{p}p"))
+    hot = right.orderBy(F.desc(f"{p}w"), F.asc(f"{p}k")).limit(hot_keys).select(F.col(f"{p}k").alias(f"{p}hk"), F.col(f"{p}p").alias(f"{p}hp"))
+    step = left.join(F.broadcast(hot), F.col(key) == F.col(f"{p}hk"), "left")
     own = F.concat(F.lit("\x00own"), F.monotonically_increasing_id().cast("string"))
-    step = step.withColumn("__key", F.when(F.col("__hk").isNull() & F.col(key).isNotNull(), F.col(key).cast("string")).otherwise(own))
-    cold = right.join(F.broadcast(hot), F.col("__k") == F.col("__hk"), "left_anti").select(F.col("__k").cast("string").alias("__key"), "__p")
-    out = step.join(cold, "__key", "left")
-    return out.select(*left.columns, *(F.coalesce(F.col("__hp"), F.col("__p"))[c].alias(c) for c in payload))
+    step = step.withColumn(f"{p}key", F.when(F.col(f"{p}hk").isNull() & F.col(key).isNotNull(), F.col(key).cast("string")).otherwise(own))
+    cold = right.join(F.broadcast(hot), F.col(f"{p}k") == F.col(f"{p}hk"), "left_anti").select(F.col(f"{p}k").cast("string").alias(f"{p}key"), f"{p}p")
+    out = step.join(cold, f"{p}key", "left")
+    return out.select(*(F.col(f"`{c}`") for c in left.columns), *(F.coalesce(F.col(f"{p}hp"), F.col(f"{p}p"))[c].alias(c) for c in payload))
