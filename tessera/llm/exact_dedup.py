@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tessera.llm.quotient_filter import CountingQuotientFilter
 from tessera.llm.sieve import bitmap, split
 from tessera.llm.tables import table
-from tessera.operators.joins import left_join_unique
+from tessera.operators.joins import free_prefix, left_join_unique
 from tessera.session import written
 
 #: Distinct fingerprints that a merged block is to hold on average (8 to 16 bytes each).
@@ -130,7 +130,9 @@ def digest_of(text: str = "text") -> Column:
 
 def one_of_each(rows: DataFrame, columns: list[str], *keys: Column) -> DataFrame:
     """Of the rows with equal keys the least one, by columns, which are the result's. Tasks send one row a key."""
-    return rows.groupBy(*(k.alias(f"__k{i}") for i, k in enumerate(keys))).agg(F.min(F.struct(*columns)).alias("__row")).select("__row.*")
+    p = free_prefix(*rows.columns)
+    least = F.min(F.struct(*(F.col(f"`{c}`") for c in columns)))
+    return rows.groupBy(*(k.alias(f"{p}k{i}") for i, k in enumerate(keys))).agg(least.alias(f"{p}row")).select(f"{p}row.*")
 
 
 def stage_exact_dedup(docs: DataFrame) -> DataFrame:
@@ -138,17 +140,18 @@ def stage_exact_dedup(docs: DataFrame) -> DataFrame:
 
     Rows whose text's fingerprint is unique stay where they are. To the others the decisions are joined by id and digest,
     so rows of one id with different texts are judged apart. Where rows repeat id and text but not other columns, the
-    least one by all columns stays.
+    least one by all columns stays. Further columns may have any names.
     """
+    p = free_prefix(*docs.columns)
     text = F.coalesce("text", F.lit(""))
     repeated = written(repeated_fingerprints(docs.select(F.xxhash64(text).alias("fp"))), "repeated")
     rest, alone = split(docs, F.xxhash64(text), bitmap(repeated, "fp"))
-    kept = exact_dedup(rest).where("kept").groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.count("*").alias("__rows"))
+    kept = exact_dedup(rest).where("kept").groupBy(F.col("doc_id").alias(f"{p}id"), F.col("text_sha256").alias(f"{p}sha")).agg(F.count("*").alias(f"{p}rows"))
     kept = written(kept, "kept")
     own = digest_of()
-    same = rest["doc_id"].eqNullSafe(F.col("__id")) & (own == F.col("__sha"))
-    out = alone.union(rest.join(kept.where("__rows = 1"), same, "left_semi"))
-    again = kept.where("__rows > 1")
+    same = rest["doc_id"].eqNullSafe(F.col(f"{p}id")) & (own == F.col(f"{p}sha"))
+    out = alone.union(rest.join(kept.where(f"{p}rows = 1"), same, "left_semi"))
+    again = kept.where(f"{p}rows > 1")
     if again.isEmpty():
         return out
     return out.union(one_of_each(rest.join(again, same, "left_semi"), docs.columns, F.col("doc_id"), own))

@@ -38,7 +38,7 @@ from tessera.llm.shingles import mix, shingle_sets
 from tessera.llm.sieve import bitmap, split
 from tessera.llm.tables import release_memory, table, text_blocks
 from tessera.operators.components import connected_components
-from tessera.operators.joins import left_join_unique
+from tessera.operators.joins import free_prefix, left_join_unique
 from tessera.session import discard, free_shuffles, remove, shared_dir, written
 
 #: The threshold in hundredths, so that it is compared in integers.
@@ -520,29 +520,31 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.component_id, d.doc_
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of docs whose id isn't one of gone (__id); few others of them are shuffled."""
-    gone = written(gone.distinct(), "gone")
+    """The rows of docs whose id isn't one of gone (a column of ids); few others of them are shuffled."""
+    name = f"{free_prefix(*docs.columns)}gone"
+    gone = written(gone.toDF(name).distinct(), "gone")
     hashed = F.xxhash64(F.col("doc_id").cast("long"))
-    maybe, clear = split(docs, hashed, bitmap(gone.select(F.xxhash64("__id").alias("h")), "h"))
-    return clear.union(maybe.join(gone, F.col("doc_id") == F.col("__id"), "left_anti"))
+    maybe, clear = split(docs, hashed, bitmap(gone.select(F.xxhash64(name).alias("h")), "h"))
+    return clear.union(maybe.join(gone, F.col("doc_id") == F.col(name), "left_anti"))
 
 
 def stage_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs of which none of the same component has a smaller id; all columns.
+    """The rows of docs of which none of the same component has a smaller id; all columns, whatever their names.
 
     Of linked rows without ids one stays, if no row of their component has an id; for that, each of their texts gets a
     number from 2**63 - 2 downwards, which no id of docs may reach. Rows of one id stay or go together.
     """
-    unnamed = docs.where("doc_id IS NULL").select(digest_of().alias("__sha")).distinct()
-    unnamed = written(unnamed.withColumn("__own", F.lit(2**63 - 2) - F.monotonically_increasing_id()), "unnamed")
+    p = free_prefix(*docs.columns)
+    unnamed = docs.where("doc_id IS NULL").select(digest_of().alias(f"{p}sha")).distinct()
+    unnamed = written(unnamed.withColumn(f"{p}own", F.lit(2**63 - 2) - F.monotonically_increasing_id()), "unnamed")
     moved = F.col("doc_id") != F.col("component_id")
     if unnamed.isEmpty():
-        return _without(docs, near_duplicates(docs).where(moved).select(F.col("doc_id").alias("__id")))
+        return _without(docs, near_duplicates(docs).where(moved).select("doc_id"))
     named = docs.where("doc_id IS NOT NULL")
-    rest = docs.where("doc_id IS NULL").join(unnamed, digest_of() == F.col("__sha"))
-    both = named.select(F.col("doc_id").cast("long").alias("doc_id"), "text").union(rest.select("__own", "text"))
-    near = written(near_duplicates(both).select(F.col("doc_id").alias("__id"), "linked", moved.alias("moved")).distinct(), "near")
-    rest = rest.join(near.where("NOT moved"), F.col("__own") == F.col("__id"))
+    rest = docs.where("doc_id IS NULL").join(unnamed, digest_of() == F.col(f"{p}sha"))
+    both = named.select(F.col("doc_id").cast("long").alias("doc_id"), "text").union(rest.select(f"{p}own", "text"))
+    near = written(near_duplicates(both).select(F.col("doc_id").alias(f"{p}id"), F.col("linked").alias(f"{p}linked"), moved.alias(f"{p}moved")).distinct(), "near")
+    rest = rest.join(near.where(f"NOT {p}moved"), F.col(f"{p}own") == F.col(f"{p}id"))
     alone = F.lit(-1) - F.monotonically_increasing_id()  # rows that link with nothing, as empty texts do, all stay
-    rest = one_of_each(rest.withColumn("__group", F.when(F.col("linked"), F.col("__own")).otherwise(alone)), docs.columns, F.col("__group"))
-    return _without(named, near.where("moved").select("__id")).union(rest)
+    rest = one_of_each(rest.withColumn(f"{p}group", F.when(F.col(f"{p}linked"), F.col(f"{p}own")).otherwise(alone)), docs.columns, F.col(f"{p}group"))
+    return _without(named, near.where(f"{p}moved").select(f"{p}id")).union(rest)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.tables import table, text_blocks
+from tessera.llm.tables import map_rows, table, text_blocks
 
 KINDS = ["email", "ip", "card", "phone"]
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -425,4 +425,4 @@ def stage_pii(docs: DataFrame) -> DataFrame:
                 columns["n_chars"] = pa.array([old if t is None else len(t) for t, old in zip(new, columns["n_chars"].to_pylist(), strict=True)], batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

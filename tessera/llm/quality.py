@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.shingles import buffers, mix, word_hashes
-from tessera.llm.tables import fold, table, text_blocks
+from tessera.llm.tables import fold, map_rows, table, text_blocks
 
 #: Labelled rows to fit on, at most: those with the smallest hashes of their ids. Also bounds what is broadcast.
 MAX_LABELLED = 4000
@@ -224,4 +224,4 @@ def stage_quality(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataF
         for batch in text_blocks(batches, chars=1_000_000):
             yield batch.filter(pa.array(np.round(shared.value.score(terms(batch.column("text"))), 6) >= cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

@@ -67,3 +67,13 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", chars:
                 start, held = i, 0
             held += int(size)
         yield batch.slice(start)
+
+
+def map_rows(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """rows.mapInArrow(run) with the same columns, whose names may be any (mapInArrow itself takes none with a dot)."""
+    names = rows.columns
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(batch.rename_columns(names) for batch in batches)
+
+    return rows.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(named, rows.schema)

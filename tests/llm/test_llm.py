@@ -110,6 +110,20 @@ def test_rows_without_ids_give_way_to_one_near_duplicate(spark):
     assert len(clean) == 5 and len([r for r in clean if not r.text]) == 1
 
 
+INNER = ["__mask", "__id", "__sha", "__row", "__bit", "__own", "__group", "__rows", "__k", "__w", "__p", "__hk", "__hp", "__key", "__k0", "___id", "row", "mask", "linked", "moved", "fp", "h", "id", "n", "component", "kept", "keep_id", "component_id", "size", "a.b", "__gone"]
+
+
+def test_stages_leave_columns_of_any_name_as_they_are(spark):
+    words = [f"w{k}" for k in range(40)]
+    texts = [(1, "a"), (2, "a"), (None, "a"), (3, " ".join([*words, "x"])), (4, " ".join([*words, "y"])), (None, " ".join([*words, "z"])), (None, "other"), (5, ""), (6, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *(f"{c}:{i}" for c in INNER)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in INNER))
+    for stage, stay in ((exact_dedup.stage_exact_dedup, [0, 0, 2, 3, 4, 6]), (jaccard_join.stage_near_duplicates, [0, 1, 3, 5, 6]), (pii.stage_pii, [0, 0, 0, 1, 2, 3, 4, 5, 6])):
+        out = stage(docs)
+        rows = out.collect()
+        assert out.columns == docs.columns and sorted(r.doc_id or 0 for r in rows) == stay
+        assert all(r[c] == f"{c}:{r.doc_id}" for r in rows for c in INNER)
+
+
 def brute_sets(texts):
     sets = {}
     for i, t in texts.items():
@@ -846,5 +860,5 @@ def test_pipeline(spark, sf):
 
 
 def test_query_names():
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 13))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
