@@ -1,10 +1,14 @@
 """Approximate nearest neighbours by inner product: a forest of random-projection trees, searched through one queue.
 
-Each tree splits at the median along the difference of two random vectors of its node. A query walks all trees at once
-through one priority queue over all trees' open branches, likeliest first: of a branch's planes, each adds the negative
-logarithm of the chance that a neighbour lies on that side, a logistic function of the query's distance to the plane
-whose slope is fitted on the sample. It goes on until the visited leaves hold VISITED * n ** GROWTH vectors (LEAST at
-least), a share that falls as n, the number of distinct vectors, grows.
+Trees see vectors lifted to one length: with M the largest length, a vector x gets the component sqrt(M * M - |x| * |x|),
+a query q becomes q * M / |q| with 0 there. The nearest lifted vectors are those with the largest inner products, so
+lengths take part in the splits. Each tree splits at the median along the difference of two random vectors of its node.
+
+A query walks all trees at once through one priority queue over all trees' open branches, likeliest first: of a branch's
+planes, each adds the negative logarithm of the chance that a neighbour lies on that side, a logistic function of the
+query's distance to the plane whose slope is fitted on the sample. It goes on until the visited leaves hold as many
+vectors as the sample's own queries need for a recall of RECALL. For tables larger than the sample that number grows with the
+power of n that the sample shows in a forest of a quarter of it.
 
 Candidates meet their queries leaf by leaf, within blocks of leaves. Those below the (k + 1)-th best of the sampled
 vectors that the query meets can't be in its answer and end there; so do all but the best of a block. The rest are
@@ -36,8 +40,11 @@ TREES = 16
 SAMPLE, SAMPLE_BYTES = 60_000, 16_000_000
 #: Sampled vectors in a leaf, at most.
 LEAF = 128
-#: Vectors in the leaves that a query visits, counted in each tree: VISITED * n ** GROWTH, or LEAST if that is more.
-VISITED, GROWTH, LEAST = 8.0, 0.72, 8000
+#: The recall that the sample's queries are to have, how many of them are asked, and how often a neighbour is counted in
+#: each tree: vectors in the leaves that any query visits, at least.
+RECALL, ASKED, LEAST = 0.95, 128, 8000
+#: Bounds of the power of n with which visited vectors grow beyond the sample.
+GROWTH = (0.5, 1.0)
 #: Vectors that one block of leaves is to hold; queries that are searched at a time in one.
 BLOCK_VECTORS, BLOCK_QUERIES = 16_384, 20_000
 #: Pairs that a block scores at a time, and gathers before it puts aside all that can't be in an answer.
@@ -108,32 +115,90 @@ def grow_forest(vectors: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed:
     return [Tree.grow(np.asarray(vectors, float), leaf, rng) for _ in range(trees)]
 
 
-def slope(forest: list[Tree], vectors: np.ndarray, k: int, asked: int = 256) -> float:
+def lifted(vectors: np.ndarray, longest: float) -> np.ndarray:
+    """The vectors at one length, `longest`, by one more component."""
+    return np.c_[vectors, np.sqrt(np.maximum(0.0, longest**2 - (vectors * vectors).sum(1)))]
+
+
+def towards(queries: np.ndarray, longest: float) -> np.ndarray:
+    """The points of that length from which the lifted vectors with the largest inner products are the nearest."""
+    unit = queries / np.abs(queries).max(1, keepdims=True)  # first by the largest component: squares may leave the range of doubles
+    return np.c_[unit * (longest / np.sqrt((unit * unit).sum(1)))[:, None], np.zeros(len(queries))]
+
+
+def own_neighbours(vectors: np.ndarray, k: int, asked: int) -> np.ndarray:
+    """The k nearest (all, if fewer) of each of the first `asked` vectors among the others."""
+    n = min(k, len(vectors) - 1)
+    near = []
+    for a in range(0, min(asked, len(vectors)), 16):
+        score = vectors[a : min(a + 16, asked)] @ vectors.T
+        score[np.arange(len(score)), a + np.arange(len(score))] = -np.inf
+        near.append(np.argpartition(-score, n - 1, axis=1)[:, :n])
+    return np.concatenate(near)
+
+
+def slope(forest: list[Tree], points: np.ndarray, queries: np.ndarray, near: np.ndarray) -> float:
     """By how much the log odds that a neighbour lies on its query's side of a plane grow with the query's distance to it.
 
-    Fitted on the planes of the trees' first nodes and the k nearest of the first `asked` vectors among all.
+    Fitted on the planes of the trees' first nodes, and on the queries and their nearest points.
     """
     normals = [t.normals[:31] for t in forest if len(t.offsets)]
-    if not normals or len(vectors) < 2:
+    if not normals:
         return 1.0
     planes, offsets = np.concatenate(normals), np.concatenate([t.offsets[:31] for t in forest if len(t.offsets)])
-    q, n = vectors[:asked], min(k, len(vectors) - 1)
-    margin, same = [], []
-    for a in range(0, len(q), 16):
-        score = q[a : a + 16] @ vectors.T
-        score[np.arange(len(score)), a + np.arange(len(score))] = -np.inf
-        near = np.argpartition(-score, n - 1, axis=1)[:, :n]
-        side = q[a : a + 16] @ planes.T - offsets
-        there = vectors[near.ravel()] @ planes.T - offsets
-        margin.append(np.abs(side))
-        same.append(((there > 0).reshape(len(side), n, -1) == (side > 0)[:, None]).mean(1))
-    margin, same = np.concatenate(margin), np.concatenate(same)
+    side = queries @ planes.T - offsets
+    margin = np.abs(side)
+    same = np.stack([((points[own] @ planes.T > offsets) == (mine > 0)).mean(0) for own, mine in zip(near, side, strict=True)])
     scale = float(margin.mean()) or 1.0
-    grid = np.geomspace(0.05, 200, 60) / scale
+    grid = np.geomspace(0.02, 200, 70) / scale
     loss = [(same * np.logaddexp(0, -g * margin) + (1 - same) * np.logaddexp(0, g * margin)).mean() for g in grid]
     return float(grid[int(np.argmin(loss))])
 
 
+def needed(forest: list[Tree], points: np.ndarray, queries: np.ndarray, near: np.ndarray, rise: float, recall: float = RECALL) -> float:
+    """Vectors in visited leaves after which that share of all queries' neighbours has been met."""
+    leaves = [t.assign(points) for t in forest]
+    sizes = [np.bincount(at, minlength=t.leaves) for at, t in zip(leaves, forest, strict=True)]
+    met = np.full(near.shape, np.inf)
+    for q, found in enumerate(search_forest(forest, queries, np.inf, sizes, rise)):
+        seen = [np.full(t.leaves, np.inf) for t in forest]
+        for (tree, leaf), total in zip(found, np.cumsum([sizes[tree][leaf] for tree, leaf in found]).tolist(), strict=True):
+            seen[tree][leaf] = total
+        met[q] = np.min([s[at[near[q]]] for s, at in zip(seen, leaves, strict=True)], 0)
+    return float(np.sort(met, axis=None)[int(np.ceil(recall * met.size)) - 1])
+
+
+@dataclass
+class Index:
+    """The forest, the length it lifts to, its slope, and the vectors that a query visits."""
+
+    forest: list[Tree]
+    longest: float
+    rise: float
+    visits: float
+
+    @classmethod
+    def fit(cls, known: np.ndarray, n: int, k: int, longest: float, trees: int = TREES) -> Index:
+        """From a sample of a table of n vectors, the longest of which has that length."""
+
+        if len(known) < 2:
+            return cls(grow_forest(lifted(known, longest), trees), longest, 1.0, float(len(known)))
+        points, queries = lifted(known, longest), towards(known[:ASKED], longest)
+
+        def grown(some: int) -> tuple[list[Tree], float, float]:
+            near = own_neighbours(known[:some], k, ASKED)
+            forest = grow_forest(points[:some], trees)
+            rise = slope(forest, points[:some], queries[:some], near)
+            return forest, rise, needed(forest, points[:some], queries[:some], near, rise)
+
+        forest, rise, visits = grown(len(known))
+        if n > len(known) >= 4 * ASKED:  # how much more do the sample's queries need in the forest of its first quarter?
+            few, slow, less = grown(len(known) // 4)
+            power = np.log(needed(few, points, queries, own_neighbours(known, k, ASKED), slow) / less) / np.log(4)
+            visits *= (n / len(known)) ** float(np.clip(power, *GROWTH))
+        return cls(forest, longest, rise, visits)
+
+
 def search_forest(forest: list[Tree], queries: np.ndarray, vectors: float, sizes: list[np.ndarray], rise: float) -> list[list[tuple[int, int]]]:
     """The (tree, leaf) pairs that each query visits, likeliest first, until they hold so many vectors; one at least.
 
@@ -205,9 +270,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
 
     Nearness is the inner product; ties go to the smaller id. queries is a subset of the rows of vectors. Rows without an
     id, and vectors that are null, empty, zero, hold null or non-finite components or differ in length from most, take
-    no part. Rows that repeat id and vector are one row; another vector under a query's id is a row like others. Fewer
-    candidates than k give fewer rows; empty tables give an empty result. Other columns are not looked at. Queries visit
-    leaves with `least` vectors at least; trees * n make the search exact.
+    no part. Rows that repeat id and vector are one row; another vector under a query's id is a row like others, and a query
+    id with several vectors gets the list of each. Fewer candidates than k give fewer rows; empty tables give an empty
+    result. Other columns are not looked at. Queries visit leaves with `least` vectors at least; trees * n make the
+    search exact.
     """
     spark = vectors.sparkSession
     kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
@@ -239,12 +305,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
 
     sample = distinct.orderBy(F.xxhash64("key"), "key").limit(max(2, min(SAMPLE, SAMPLE_BYTES // (4 * width)))).select("vector").toArrow()
     known = _matrix(sample.column("vector").combine_chunks())
-    forest = grow_forest(known, trees)
-    rise = slope(forest, known, k)
-    known_leaves = [t.assign(known).astype(np.int32) for t in forest]
+    squares = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
+    longest = math.sqrt(distinct.agg(F.max(squares)).first()[0])
+    if not 0 < longest < math.inf:  # squares beyond the range of doubles: trees see the vectors as they are, scaled
+        longest = 1.0
+    found = Index.fit(known, n, k, longest, trees)
+    forest, rise = found.forest, found.rise
+    known_leaves = [t.assign(lifted(known, longest)).astype(np.int32) for t in forest]
     held = [np.bincount(at, minlength=t.leaves) * (n / len(known)) for at, t in zip(known_leaves, forest, strict=True)]
     shared = spark.sparkContext.broadcast((forest, known.astype(np.float32), known_leaves, held))
-    to_visit = max(float(least), VISITED * n**GROWTH)
+    to_visit = max(float(least), found.visits)
     per_leaf = n / max(t.leaves for t in forest)
     together = max(1, int(BLOCK_VECTORS / per_leaf))
     salts = max(1, int(np.ceil(per_leaf / BLOCK_VECTORS)))
@@ -253,9 +323,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         trees_ = shared.value[0]
         for batch in batches:
             v = _matrix(batch.column("vector"))
+            at = lifted(v, longest)
             salt = pa.array((np.arange(len(v)) % salts).astype(np.int32))
             for i, t in enumerate(trees_):
-                leaf = t.assign(v)
+                leaf = t.assign(at)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), i, np.int32)), pa.array(leaf // together, pa.int32()), salt, pa.array(leaf, pa.int32()), batch.column("rep"), batch.column("key"), batch.column("vector")], ["tree", "block", "salt", "leaf", "rep", "key", "vector"])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +336,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                 batch = whole.slice(a, 64)
                 q = _matrix(batch.column("vector"))
                 rows, floor = [], np.full(len(q), -np.inf)
-                for i, found in enumerate(search_forest(trees_, q, to_visit, held, rise)):
+                for i, found in enumerate(search_forest(trees_, towards(q, longest), to_visit, held, rise)):
                     met = np.zeros(len(known), bool)
                     by: dict[tuple[int, int], list[int]] = {}
                     open_ = [np.zeros(t.leaves, bool) for t in trees_]
@@ -345,10 +416,11 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The exact answer, which the query gives where its leaves hold all vectors (up to LEAST / TREES of them); products of
 #: floats are exact in doubles and are added here as integers, scaled by 2**100.
 OP8_SQL = """
-WITH v AS (SELECT DISTINCT vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_count(embedding) = len(embedding)
+WITH d AS (SELECT DISTINCT vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_count(embedding) = len(embedding)
            AND len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-p AS (SELECT q.vec_id AS query_id, d.vec_id, unnest(q.embedding)::DOUBLE * unnest(d.embedding)::DOUBLE AS x FROM v q, v d WHERE q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id),
-s AS (SELECT query_id, vec_id, sum((x * pow(2.0, 100))::HUGEINT)::DOUBLE / pow(2.0, 100) AS score FROM p GROUP BY ALL),
-r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s)
+v AS (SELECT row_number() OVER () AS n, vec_id, embedding FROM d),
+p AS (SELECT q.n AS q, c.n AS c, unnest(q.embedding)::DOUBLE * unnest(c.embedding)::DOUBLE AS x FROM v q, v c WHERE q.vec_id % 20 = 0 AND q.n <> c.n),
+s AS (SELECT q, c, sum((x * pow(2.0, 100))::HUGEINT)::DOUBLE / pow(2.0, 100) AS score FROM p GROUP BY ALL),
+r AS (SELECT a.vec_id AS query_id, (row_number() OVER (PARTITION BY q ORDER BY score DESC, b.vec_id))::INT AS rank, b.vec_id, score FROM s JOIN v a ON a.n = q JOIN v b ON b.n = c)
 SELECT * FROM r WHERE rank <= 20
 """
