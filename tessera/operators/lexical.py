@@ -68,10 +68,20 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, model: Bm25 = Bm25(), doc_i
     Only occurrences of query tokens are shuffled. Lengths and N come from one pass over all documents.
     """
     totals = docs.select(F.size(tokens(F.col(text_col))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    wanted = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(text_col))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
+    wanted = query_tokens(queries, query_id, text_col)
     vocabulary = wanted.select("token").distinct()
     tf = doc_tokens(docs, doc_id, text_col).join(vocabulary, "token", "left_semi").groupBy("id", "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    met = meet(written(tf, "occurrences"), wanted).crossJoin(F.broadcast(totals))
+    return occurrence_scores(written(tf, "occurrences"), totals, wanted, model)
+
+
+def query_tokens(queries: DataFrame, query_id: str = "query_id", text_col: str = "text") -> DataFrame:
+    """(query_id, token, qtf): each token of each query once, and how often the query has it."""
+    return queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(text_col))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
+
+
+def occurrence_scores(tf: DataFrame, totals: DataFrame, wanted: DataFrame, model: Bm25 = Bm25()) -> DataFrame:
+    """(query_id, doc_id, score) from tf (id, token, tf, dl), a written table, the row totals (n, avgdl) and query_tokens()."""
+    met = meet(tf, wanted).crossJoin(F.broadcast(totals))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     length = 1 - model.b + model.b * F.col("dl") / F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
     weight = idf * F.col("tf") * (model.k1 + 1) / (F.col("tf") + model.k1 * length)
