@@ -1,25 +1,24 @@
 """Encoding and decoding by a byte-level BPE vocabulary through a table of distinct words.
 
 1. Tasks cut their texts into words, block by block. A word ends only where the vocabulary's own splitting certainly does,
-   so a text's ids are its words' ids, one after the other. A block is one row: its documents, its distinct words in
-   order, and the numbers of the words at all positions. Blocks are written bucketed by their number.
-2. Words and the blocks that hold them are brought together by word and sorted: each distinct word is encoded once, by the
-   tokenizers library, however many blocks have it.
-3. Ids go back to their blocks, where a join from ids to pieces decodes each of the block's words.
-4. Blocks stay where they are (they are bucketed); words meet them and are put in their positions.
-
-What is moved is each block's distinct words, there and back; texts and positions are not.
+   so a text's ids are its words' ids, one after the other. A block is one row: its documents, the numbers of the words at
+   all positions, and its distinct words, dealt to buckets by their hash. Blocks are written bucketed by their number.
+2. Buckets of words are brought together from all blocks and sorted: each distinct word is encoded once, by the tokenizers
+   library, however many blocks have it.
+3. Words' ids go back to their blocks, which stay where they are. A join from ids to pieces decodes the block's words; then
+   both ids and pieces are put in the words' positions.
+
+What is moved is each block's distinct words, there and back, many to a row; texts and positions are not.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +29,9 @@ from tessera.llm.tables import kept, release_memory, table, text_blocks
 from tessera.session import shared_dir
 
 #: Bytes of text in a block (a longer text is a block of its own), and of those that are cut into words at a time.
-BLOCK_BYTES, STEP_BYTES = 32_000_000, 2_000_000
+BLOCK_BYTES, STEP_BYTES = 24_000_000, 2_000_000
+#: Buckets of words to each shuffle partition.
+BUCKETS = 8
 _LETTER, _DIGIT, _MARK = 1, 2, 3
 #: Of each byte the kind of its character; 0 where the byte alone doesn't tell.
 _KIND = np.zeros(256, np.uint8)
@@ -45,6 +46,7 @@ _LAST = {len(e): [x.encode() for x in _SPACES if len(x.encode()) == len(e)] for
 #: Byte-level vocabularies write printable bytes as themselves and the others as the characters from 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_OF = {chr(b): b for b in _SHOWN} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 
 
 class Words:
@@ -125,21 +127,34 @@ def decode_documents(encoded: DataFrame, tokenizer: str | None = None) -> DataFr
     return join_pieces(keyed, ["row"], known).select("row.doc_id", F.expr("make_valid_utf8(cast(decoded AS string))").alias("decoded"))
 
 
-def _packed(codes: np.ndarray) -> bytes:
-    """Numbers below 2 ** 32, byte plane by byte plane, compressed."""
-    return pa.compress(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32, byte plane by byte plane; so they compress well."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def _unpacked(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
+def _of_planes(data: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(data.reshape(4, -1).T).view("<u4").ravel()
+
+
+def _packed(lengths: np.ndarray, values: bytes) -> bytes:
+    """Lists in one compressed string: their lengths, and all values."""
+    return np.array([len(lengths), len(values)], "<u4").tobytes() + pa.compress(_planes(lengths) + values, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each list begins and the last ends, and all values as bytes."""
+    n, size = np.frombuffer(data, "<u4", 2).tolist()
+    body = np.frombuffer(pa.decompress(data[8:], 4 * n + size, codec="zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.r_[0, np.cumsum(_of_planes(body[: 4 * n]), dtype=np.int64)], body[4 * n :]
 
 
 class _Block:
     """The documents of a block so far, its distinct words and their positions."""
 
-    def __init__(self) -> None:
+    def __init__(self, buckets: int) -> None:
+        self.buckets = buckets
         self.codes: dict[bytes, int] = {}
+        self.bucket_of: list[np.ndarray] = []
         self.places: list[np.ndarray] = []
         self.docs: list[pa.Array] = []
         self.counts: list[np.ndarray] = []
@@ -152,48 +167,55 @@ class _Block:
         order = np.argsort(hashes[0], kind="stable")
         some = hashes[:, order]
         fresh = np.r_[True, (some[:, 1:] != some[:, :-1]).any(0)] if len(order) else np.zeros(0, bool)
-        raw, first = data.tobytes(), order[fresh]
+        raw, first, known = data.tobytes(), order[fresh], len(self.codes)
         code = np.fromiter((self.codes.setdefault(raw[a:b], len(self.codes)) for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)), np.uint32, len(first))
-        at = np.empty(len(order), np.uint32)
-        at[order] = code[np.cumsum(fresh) - 1]
-        self.places.append(at)
+        new, at = np.unique(code, return_index=True)
+        self.bucket_of.append((hashes[0, first[at[new >= known]]] % np.uint64(self.buckets)).astype(np.int32))
+        place = np.empty(len(order), np.uint32)
+        place[order] = code[np.cumsum(fresh) - 1]
+        self.places.append(place)
         self.docs.append(batch.column("doc_id"))
         self.counts.append(np.diff(np.searchsorted(starts, offsets)))
         self.bytes += len(data)
 
     def row(self, block: int) -> pa.RecordBatch:
-        words = sorted(self.codes)
-        place = np.empty(len(words), np.uint32)
-        place[np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))] = np.arange(len(words), dtype=np.uint32)
-        one = lambda values, kind: pa.array([values], kind)
+        """Words are numbered by bucket, within it in order."""
+        words, bucket = list(self.codes), np.concatenate(self.bucket_of)
+        order = np.fromiter(sorted(range(len(words)), key=words.__getitem__), np.int64, len(words))
+        order = order[np.argsort(bucket[order], kind="stable")]
+        number = np.empty(len(words), np.uint32)
+        number[order] = np.arange(len(words), dtype=np.uint32)
+        bucket, words = bucket[order], [words[i] for i in order.tolist()]
+        edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(words) else np.zeros(1, np.int64)
+        held = [{"bucket": int(bucket[a]), "words": _packed(np.fromiter(map(len, words[a:b]), np.uint32, b - a), b"".join(words[a:b]))} for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
         docs = pa.concat_arrays(self.docs)
         columns = [
-            one(block, pa.int64()),
+            pa.array([block], pa.int64()),
             pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs),
-            one(np.concatenate(self.counts), pa.list_(pa.int64())),
-            one(_packed(place[np.concatenate(self.places)]), pa.binary()),
-            pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(words, pa.binary()).cast(pa.string())),
+            pa.array([np.concatenate(self.counts)], pa.list_(pa.int64())),
+            pa.array([_packed(np.zeros(0), b"") if not len(words) else _packed(number[np.concatenate(self.places)], b"")], pa.binary()),
+            pa.array([held], pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.binary())]))),
         ]
-        return pa.RecordBatch.from_arrays(columns, ["block", "docs", "counts", "places", "words"])
+        return pa.RecordBatch.from_arrays(columns, ["block", "docs", "counts", "places", "held"])
 
 
-def word_blocks(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """block, docs (ids), counts (words of each), places (numbers of all words, see _packed), words (distinct, sorted)."""
+def word_blocks(docs: DataFrame, path: str, buckets: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """block, docs (ids), counts (words of each), places (numbers of all words), held (bucket, words: its distinct words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, block = kept(Words, path), _Block()
+        words, block = kept(Words, path), _Block(buckets)
         number = TaskContext.get().partitionId() << 32
         for batch in text_blocks(batches, chars=min(STEP_BYTES, block_bytes)):
             block.add(batch, words)
             if block.bytes >= block_bytes:
                 yield block.row(number)
-                block, number = _Block(), number + 1
+                block, number = _Block(buckets), number + 1
         if block.docs:
             yield block.row(number)
         release_memory()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "block long, docs array<long>, counts array<long>, places binary, words array<string>")
+    return rows.mapInArrow(run, "block long, docs array<long>, counts array<long>, places binary, held array<struct<bucket: int, words: binary>>")
 
 
 def _bucketed(blocks: DataFrame) -> DataFrame:
@@ -207,56 +229,64 @@ def _bucketed(blocks: DataFrame) -> DataFrame:
     return out
 
 
-def encoded_words(words: DataFrame, path: str) -> DataFrame:
-    """words (block, code, word) with ids in place of word; rows are brought together by word, and each word is encoded once."""
+def encoded_words(held: DataFrame, path: str) -> DataFrame:
+    """held (block, bucket, words) with ids in place of words.
+
+    A bucket's rows come together and one after the other; what is remembered of a bucket are its distinct words, each of
+    which is encoded once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_, last, known = kept(Words, path), None, None
+        words_, now, known = kept(Words, path), None, {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            column = batch.column("word")
-            fresh = np.r_[column[0].as_py() != last, pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)].astype(bool)
-            ids = words_.encode(column.filter(pa.array(fresh)).to_pylist())
-            if not fresh[0]:
-                ids = [known, *ids]
-                fresh[0] = True
-            which = pa.array(np.cumsum(fresh) - 1)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("code"), pa.array(ids, pa.list_(pa.int32())).take(which)], ["block", "code", "ids"])
-            last, known = column[len(column) - 1].as_py(), ids[-1]
-
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "block long, code int, ids array<int>")
-
-
-def _placed(blocks: pa.Table, words: pa.Table) -> pa.Table:
-    """The documents of a block with the ids and bytes of their words."""
-    docs, ids_out, decoded_out = [], [], []
-    order = np.argsort(words.column("code").to_numpy())
-    ids = words.column("ids").combine_chunks().take(pa.array(order))
-    texts = words.column("decoded").combine_chunks().cast(pa.large_binary()).take(pa.array(order))
-    flat, id_at = ids.values.to_numpy(), ids.offsets.to_numpy().astype(np.int64)
-    raw, text_at = np.frombuffer(texts.buffers()[2] or b"", np.uint8), np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1)
-
-    def gathered(values: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The values of the words in `which`, one after the other, and where each word's begin."""
-        lengths = (at[1:] - at[:-1])[which]
-        upto = np.r_[0, np.cumsum(lengths)]
-        return values[np.repeat(at[:-1][which] - upto[:-1], lengths) + np.arange(upto[-1])], upto
-
-    for row in range(blocks.num_rows):
-        counts = blocks.column("counts")[row].values.to_numpy()
-        places = _unpacked(blocks.column("places")[row].as_py(), int(counts.sum()))
-        docs.append(blocks.column("docs")[row].values)
-        bounds = np.r_[0, np.cumsum(counts)]
-        cuts = np.unique(np.r_[0, np.searchsorted(bounds, np.arange(1 << 19, bounds[-1], 1 << 19)), len(counts)])
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # about so many words at a time
-            which, own = places[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
-            for values, at, kind, size, out in ((flat, id_at, pa.large_binary(), 4, ids_out), (raw, text_at, pa.large_string(), 1, decoded_out)):
-                got, upto = gathered(values, at, which)
-                out.append(pa.Array.from_buffers(kind, int(b - a), [None, pa.py_buffer(size * upto[own].astype(np.int64)), pa.py_buffer(got.astype("<u4") if size == 4 else got)]))
-    if not docs:
-        return pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.binary()), "decoded": pa.array([], pa.string())})
-    return pa.table({"doc_id": pa.chunked_array(docs).cast(pa.int64()), "ids": pa.chunked_array(ids_out).cast(pa.binary()), "decoded": pa.chunked_array(decoded_out).cast(pa.string())}).combine_chunks()
+            out = []
+            for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("words"), strict=True):
+                if bucket != now:
+                    now, known = bucket, {}
+                at, raw = _unpacked(data.as_py())
+                raw, at = raw.tobytes(), at.tolist()
+                words = [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+                new = [w for w in words if w not in known]
+                known.update(zip(new, (np.array(ids, "<u4").tobytes() for ids in words_.encode([w.decode() for w in new])), strict=True))
+                ids = list(map(known.__getitem__, words))
+                out.append(_packed(np.fromiter(map(len, ids), np.uint32, len(ids)) // 4, _planes(np.frombuffer(b"".join(ids), "<u4"))))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(out, pa.binary())], ["block", "bucket", "ids"])
+
+    return held.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "block long, bucket int, ids binary")
+
+
+def _gathered(values: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the items in `which`, one after the other, and where each begins; item i has those from at[i] to at[i + 1]."""
+    lengths = np.diff(at)[which]
+    upto = np.r_[0, np.cumsum(lengths)]
+    return values[np.repeat(at[:-1][which] - upto[:-1], lengths) + np.arange(upto[-1])], upto
+
+
+def _placed(pieces_: tuple[np.ndarray, np.ndarray]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Gives a block's documents the ids of their words, by position, and the pieces of the ids: every id meets its piece."""
+
+    def run(blocks: pa.Table, words: pa.Table) -> pa.Table:
+        release_memory()
+        parts: list[pa.Table] = [_ENCODED.empty_table()]
+        order = np.argsort(words.column("bucket").to_numpy())
+        lists = [_unpacked(words.column("ids")[i].as_py()) for i in order.tolist()]
+        flat = np.concatenate([np.zeros(0, "<u4"), *(_of_planes(values) for _, values in lists)])
+        id_at = np.r_[0, np.cumsum(np.concatenate([np.zeros(0, np.int64), *(np.diff(at) for at, _ in lists)]))]
+        raw, piece_at = _gathered(*pieces_, flat.astype(np.int64))
+        text_at = piece_at[id_at]
+        for row in range(blocks.num_rows):
+            docs, counts = blocks.column("docs")[row].values, blocks.column("counts")[row].values.to_numpy()
+            places = np.diff(_unpacked(blocks.column("places")[row].as_py())[0])
+            bounds = np.r_[0, np.cumsum(counts)]
+            cuts = np.unique(np.r_[0, np.searchsorted(bounds, np.arange(1 << 19, bounds[-1], 1 << 19)), len(counts)])
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):  # about so many words at a time
+                which, own = places[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
+                (some, upto), (text, text_upto) = _gathered(flat, id_at, which), _gathered(raw, text_at, which)
+                packed = [pa.Array.from_buffers(kind, b - a, [None, pa.py_buffer(at[own].astype(np.int32)), pa.py_buffer(values)]) for kind, at, values in ((pa.binary(), 4 * upto, some), (pa.string(), text_upto, text))]
+                parts.append(pa.Table.from_arrays([docs[a:b], *packed], schema=_ENCODED))
+        return pa.concat_tables(parts)
+
+    return run
 
 
 def encode_documents(docs: DataFrame, tokenizer: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -267,11 +297,12 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, block_bytes:
     empty. Rows may repeat, ids may be null; an empty table gives an empty result. Other columns are not looked at.
     """
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
-    blocks = _bucketed(word_blocks(docs, path, block_bytes))
-    words = blocks.select("block", F.posexplode("words").alias("code", "word"))
-    found = encoded_words(words, path).repartition("block")
-    words = join_pieces(found, ["block", "code"], pieces(docs.sparkSession, path))
-    return blocks.select("block", "docs", "counts", "places").groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_placed, "doc_id long, ids binary, decoded string")
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = _bucketed(word_blocks(docs, path, buckets, block_bytes))
+    words = encoded_words(blocks.select("block", F.inline("held")), path)
+    known = [bytes.fromhex(r.piece) for r in pieces(docs.sparkSession, path).orderBy("id").collect()]  # dense: row i is id i
+    table_ = np.frombuffer(b"".join(known), np.uint8), np.r_[0, np.cumsum([len(x) for x in known])]
+    return blocks.select("block", "docs", "counts", "places").groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_placed(table_), "doc_id long, ids binary, decoded string")
 
 
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

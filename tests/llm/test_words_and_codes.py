@@ -59,15 +59,16 @@ def test_bpe_edges(spark, tokenizer, block_bytes):
     assert bpe.encode_documents(docs.where("doc_id = 2")).collect()[0].ids == b""
 
 
-def test_each_distinct_word_is_encoded_once(spark):
-    docs = spark.createDataFrame([(i, "the same few words") for i in range(400)], "doc_id long, text string").repartition(4)
-    blocks = bpe.word_blocks(docs, PATH, block_bytes=200)
-    words = blocks.select("block", F.posexplode("words").alias("code", "word"))
-    assert words.count() >= 40 and words.select("word").distinct().count() == 4
-    found = bpe.encoded_words(words, PATH)
-    assert found.groupBy("ids").count().count() == 4 and found.count() == words.count()
-    plan = found._jdf.queryExecution().toString()
-    assert "hashpartitioning(word" in plan
+def test_a_word_is_in_one_bucket_of_all_blocks_and_comes_back_once(spark):
+    docs = spark.createDataFrame([(i, f"the same few words {i % 7}") for i in range(400)], "doc_id long, text string").repartition(4)
+    held = bpe.word_blocks(docs, PATH, 16, block_bytes=200).select("block", F.inline("held"))
+    unpacked = lambda data: [bytes(v[a:b]) for at, v in [bpe._unpacked(data)] for a, b in zip(at[:-1], at[1:], strict=True)]
+    where = {(w, r.bucket) for r in held.collect() for w in unpacked(r.words)}
+    assert held.select("block").distinct().count() > 20 and len(where) == len({w for w, _ in where}) == 4 + 7
+    out = bpe.encoded_words(held, PATH)
+    assert out.count() == held.count()
+    places = out.withColumn("p", F.spark_partition_id()).groupBy("bucket").agg(F.countDistinct("p").alias("n"))
+    assert places.where("n > 1").isEmpty()
 
 
 def test_decode_joins_pieces(spark, tokenizer):
