@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import dot, entity_key, first_text, jaccard
+from tessera.functions.text import entity_key, first_text, jaccard
 from tessera.operators.lexical import top_k
 from tessera.operators.vector import inner_products
+from tessera.operators.vector_grid import top_products
 
 
 def link(surfaces: DataFrame, entities: DataFrame, threshold: float = 0.82) -> DataFrame:
@@ -37,19 +38,19 @@ def resolve(terms: DataFrame, entities: DataFrame, least: int = 3) -> DataFrame:
     return whole.select("id", "uid").union(rest.join(words, "norm").select("id", "uid")).distinct()
 
 
-def synonyms(phrases: DataFrame, queries: DataFrame, threshold: float = 0.8, most: int = 100, max_queries: int = 10_000) -> DataFrame:
+def synonyms(phrases: DataFrame, queries: DataFrame | None = None, threshold: float = 0.8, most: int = 100) -> DataFrame:
     """(source, target, score): each query phrase's nearest others, by the share of the best score, no self.
 
-    phrases and queries: (id, name, vec); phrases of three letters or digits at least. queries is a stated set in one
-    block; more than max_queries of three letters or digits are refused: run it block by block over all phrases.
+    phrases and queries (all phrases, if None): (id, name, vec); only those of three letters or digits take part. A query's
+    most + 1 best inner products count, itself among them; the share is that of the largest, and where that isn't above
+    zero there are no synonyms. Both sides are dealt to blocks and compared block by block, see top_products.
     """
-    ok = F.length(F.regexp_replace("name", "[^A-Za-z0-9]", "")) > 2
-    if queries.where(ok).limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"more than {max_queries} query phrases in one block")
-    scored = phrases.where(ok).select(F.col("id").alias("doc_id"), F.col("vec").alias("v")).crossJoin(F.broadcast(queries.where(ok).select(F.col("id").alias("query_id"), F.col("vec").alias("q")))).select("query_id", "doc_id", dot(F.col("q"), F.col("v")).alias("score"))
-    best = top_k(scored, most + 1)
+    ok = F.length(F.regexp_replace(F.coalesce("name", F.lit("")), "[^A-Za-z0-9]", "")) > 2
+    sides = [side.where(ok).select("id", F.col("vec").cast("array<double>").alias("vec")) for side in (phrases if queries is None else queries, phrases)]
+    best = top_products(*sides, k=most + 1)
     share = F.col("score") / F.max("score").over(Window.partitionBy("query_id"))
-    return best.withColumn("score", share).where((F.col("score") >= threshold) & (F.col("query_id") != F.col("doc_id"))).select(F.col("query_id").alias("source"), F.col("doc_id").alias("target"), "score")
+    found = best.withColumn("share", F.when(F.max("score").over(Window.partitionBy("query_id")) > 0, share))
+    return found.where((F.col("share") >= threshold) & (F.col("query_id") != F.col("id"))).select(F.col("query_id").alias("source"), F.col("id").alias("target"), F.col("share").alias("score"))
 
 
 def best_chunk(questions: DataFrame, chunks: DataFrame) -> DataFrame:

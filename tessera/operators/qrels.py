@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import normalize_evidence, token_recall, tokens
 from tessera.operators.lexical import meet
+from tessera.operators.vector import query_blocks
 from tessera.session import written
 
 
@@ -35,10 +36,10 @@ def inner_words(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(inner)).alias("token"))
 
 
-def exact_matches(queries: DataFrame, docs: DataFrame, max_short: int = 1000) -> DataFrame:
+def exact_matches(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, doc_id): documents whose normalised text holds the query's, found through its rarest inner word.
 
-    Queries of fewer than three words are looked for in all documents, as a stated set; more than max_short are refused.
+    Queries of fewer than three words are looked for in all documents, as a stated set, in blocks that are broadcast.
     Documents are normalised once for their words, and again for those that share the word.
     """
     q = written(queries.select("query_id", normalize_evidence(F.col("text")).alias("norm")), "queries")
@@ -50,11 +51,12 @@ def exact_matches(queries: DataFrame, docs: DataFrame, max_short: int = 1000) ->
     keyed = rarest.join(q, "query_id").select("query_id", F.col("norm").alias("qn"), "token")
     pairs = words.join(keyed, "token").select("query_id", "doc_id", "qn")
     found = pairs.join(d, "doc_id").where(F.col("norm").contains(F.col("qn"))).select("query_id", "doc_id")
-    short = q.where(F.size(F.split("norm", " ")) < 3).select("query_id", F.col("norm").alias("qn"))
-    n = short.limit(max_short + 1).count()
-    if n > max_short:
-        raise ValueError(f"more than {max_short} queries of fewer than three words")
-    return found.unionByName(d.join(F.broadcast(short), F.col("norm").contains(F.col("qn"))).select("query_id", "doc_id")) if n else found
+    short = written(q.where(F.size(F.split("norm", " ")) < 3).select("query_id", F.col("norm").alias("qn"), F.split("norm", "").alias("letters")), "short")
+    if short.isEmpty():
+        return found
+    for block in query_blocks(short, ["query_id"], "letters"):
+        found = found.union(d.join(F.broadcast(block), F.col("norm").contains(F.col("qn"))).select("query_id", "doc_id"))
+    return found
 
 
 def cascade(queries: DataFrame, docs: DataFrame, exact: DataFrame, gate: float = 0.6, most: int = 5) -> DataFrame:

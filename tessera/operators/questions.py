@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import clean_text, normalize_evidence
-from tessera.operators.qrels import page_overlaps
+from tessera.operators.qrels import exact_matches
+from tessera.operators.vector import BLOCK_BYTES, query_blocks
+from tessera.session import written
 
 #: Fields of a cover page and how they are captured (fixed patterns).
 COVER = {
@@ -146,23 +148,93 @@ def with_ratio(rows: DataFrame, needle: str, hay: str, out: str = "ratio") -> Da
     return rows.mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"{out} double"]))
 
 
+#: Characters of normalised texts.
+_CHARACTERS = "abcdefghijklmnopqrstuvwxyz0123456789$%.()- "
+
+
+def _sized(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds what the bounds need of a normalised text: its length, how often it has each character, its distinct words."""
+    counts = F.array(*(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in _CHARACTERS))
+    return rows.withColumns({f"{name}_chars": F.length(text), f"{name}_counts": counts, f"{name}_words": F.array_distinct(F.split(text, " "))})
+
+
+def _bounds() -> tuple[Column, Column]:
+    """Of a pair of sized needle and hay: the token recall, and what the similarity ratio can't exceed.
+
+    No more characters can match than both have; a window of a long hay holds at least a third of WINDOW_CHARS.
+    """
+    recall = F.size(F.array_intersect("needle_words", "hay_words")) / F.size("needle_words")
+    common = F.aggregate(F.zip_with("needle_counts", "hay_counts", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
+    least = F.when(F.col("hay_chars") > WINDOW_CHARS, F.lit(WINDOW_CHARS // 3)).otherwise(F.col("hay_chars"))
+    most = F.least(F.lit(1.0), 2 * common / (F.col("needle_chars") + least))
+    return recall, most
+
+
+def _scored(pairs: DataFrame) -> DataFrame:
+    """(evidence_id, chunk_id, score) of sized pairs that pass a gate; only those that may pass are compared in full."""
+    recall, most = _bounds()
+    open_ = pairs.where("needle <> ''").withColumns({"recall": recall, "most": most}).where((F.col("recall") >= RECALL_GATE) | (F.col("most") >= RATIO_GATE))
+    scored = with_ratio(open_.select("evidence_id", "chunk_id", "needle", "hay", "recall"), "needle", "hay")
+    scored = scored.where((F.col("recall") >= RECALL_GATE) | (F.col("ratio") >= RATIO_GATE))
+    return scored.select("evidence_id", "chunk_id", F.round(RECALL_WEIGHT * F.col("recall") + RATIO_WEIGHT * F.col("ratio"), 6).alias("score"))
+
+
+def _best(scored: DataFrame) -> DataFrame:
+    order = Window.partitionBy("evidence_id").orderBy(F.desc("score"), "chunk_id")
+    return scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= MOST_FUZZY)
+
+
+def _anywhere(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The best fuzzy matches of sized evidence among all sized chunks.
+
+    Chunks with enough of the words share one of the evidence's rarest ones (all but as many as may be missing, and one).
+    If those give enough matches that score above what a chunk with fewer words can reach, they are the answer. The other
+    evidence is held against all chunks, in blocks that are broadcast, by the bounds first.
+    """
+    words = written(chunks.select("chunk_id", F.explode("hay_words").alias("word")).join(evidence.select(F.explode("needle_words").alias("word")).distinct(), "word", "left_semi"), "words")
+    df = words.groupBy("word").agg(F.count("*").alias("df"))
+    own = evidence.select("evidence_id", F.size("needle_words").alias("n"), F.explode("needle_words").alias("word")).join(df, "word", "left")
+    order = Window.partitionBy("evidence_id").orderBy(F.coalesce("df", F.lit(0)), "word")
+    rare = own.withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * RECALL_GATE) + 1)
+    pairs = rare.select("evidence_id", "word").join(words, "word").select("evidence_id", "chunk_id").distinct()
+    many = pairs.join(evidence, "evidence_id").join(chunks, "chunk_id").where(_bounds()[0] >= RECALL_GATE)
+    first = written(_best(_scored(many)), "likely")
+    enough = first.where((F.col("r") == MOST_FUZZY) & (F.col("score") >= RECALL_WEIGHT * RECALL_GATE + RATIO_WEIGHT)).select("evidence_id")
+    out = first.join(enough, "evidence_id", "left_semi")
+    left = written(evidence.join(enough, "evidence_id", "left_anti"), "open")
+    recall, most = _bounds()
+    for block in query_blocks(left, ["evidence_id"], "needle_counts", BLOCK_BYTES // 16):
+        met = chunks.join(F.broadcast(block), (recall >= RECALL_GATE) | (most >= RATIO_GATE))
+        out = out.union(_best(_scored(met)).select(out.columns))
+    return out
+
+
 def match_evidence(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
     """(evidence_id, chunk_id, method, score): exact matches, else the five best fuzzy ones, else those on the page.
 
     evidence: (evidence_id, doc, text, page from 0); chunks: (chunk_id, doc, text, page_start, page_end). Evidence of a
-    document that has no chunks is held against all chunks.
+    document that has no chunks, or of none, is held against all chunks. Fuzzy matches have RECALL_GATE of the evidence's
+    words or a similarity ratio of RATIO_GATE; ties go to the smaller chunk id. Texts without letters, digits or the marks
+    that are kept match by page alone; nulls in pages match nothing. ids tell rows apart.
     """
-    known = chunks.select("doc").distinct().withColumn("known", F.lit(True))
-    e = evidence.join(known, "doc", "left").select("evidence_id", "doc", "known", (F.col("page") + 1).cast("string").alias("page"), normalize_evidence(F.col("text"), comma=False).alias("needle"))
-    c = chunks.select("chunk_id", F.col("doc").alias("cdoc"), normalize_evidence(F.col("text"), comma=False).alias("hay"), F.col("page_start").cast("string").alias("a"), F.col("page_end").cast("string").alias("b"))
-    pairs = e.where("known").join(c, F.col("doc") == F.col("cdoc")).unionByName(e.where("known IS NULL").join(c, F.lit(True)))
-    exact = pairs.where((F.col("needle") != "") & F.col("hay").contains(F.col("needle"))).select("evidence_id", "chunk_id", F.lit("exact_text").alias("method"), F.lit(1.0).alias("score"))
-    rest = pairs.join(exact.select("evidence_id").distinct(), "evidence_id", "left_anti")
-    words = lambda x: F.array_distinct(F.split(x, " "))
-    scored = with_ratio(rest.where("needle <> ''").withColumn("recall", F.size(F.array_intersect(words(F.col("needle")), words(F.col("hay")))) / F.size(words(F.col("needle")))), "needle", "hay")
-    scored = scored.where((F.col("recall") >= RECALL_GATE) | (F.col("ratio") >= RATIO_GATE)).withColumn("score", F.round(RECALL_WEIGHT * F.col("recall") + RATIO_WEIGHT * F.col("ratio"), 6))
-    order = Window.partitionBy("evidence_id").orderBy(F.desc("score"), "chunk_id")
-    fuzzy = scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= MOST_FUZZY).select("evidence_id", "chunk_id", F.lit("fuzzy_text").alias("method"), "score")
-    rest = rest.join(fuzzy.select("evidence_id").distinct(), "evidence_id", "left_anti")
-    page = rest.where(page_overlaps(F.col("page"), F.col("a"), F.col("b"))).select("evidence_id", "chunk_id", F.lit("page_fallback").alias("method"), F.lit(1.0).alias("score"))
-    return exact.union(fuzzy).union(page)
+    known = chunks.select("doc").where("doc IS NOT NULL").distinct().withColumn("known", F.lit(True))
+    e = evidence.join(known, "doc", "left").select("evidence_id", "doc", "known", (F.col("page") + 1).cast("int").alias("page"), normalize_evidence(F.col("text"), comma=False).alias("needle"))
+    e = written(_sized(e, "needle", "needle"), "evidence")
+    c = chunks.select("chunk_id", F.col("doc").alias("cdoc"), normalize_evidence(F.col("text"), comma=False).alias("hay"), F.col("page_start").try_cast("int").alias("a"), F.col("page_end").try_cast("int").alias("b"))
+    c = written(_sized(c, "hay", "hay"), "chunks")
+    within = e.where("known").join(c, F.col("doc") == F.col("cdoc"))
+    lost = e.where("known IS NULL")
+
+    texts = lost.where("needle <> ''").select(F.col("evidence_id").alias("query_id"), F.col("needle").alias("text"))
+    held = exact_matches(texts, c.select(F.col("chunk_id").alias("doc_id"), F.col("hay").alias("text"))).toDF("evidence_id", "chunk_id")
+    exact = written(within.where((F.col("needle") != "") & F.col("hay").contains(F.col("needle"))).select("evidence_id", "chunk_id").union(held), "exact")
+    done = exact.select("evidence_id").distinct()
+    fuzzy = _best(_scored(within.join(done, "evidence_id", "left_anti"))).select("evidence_id", "chunk_id", "score")
+    open_ = written(lost.where("needle <> ''").join(done, "evidence_id", "left_anti"), "open")
+    if not open_.isEmpty():
+        fuzzy = fuzzy.union(_anywhere(open_, c).select("evidence_id", "chunk_id", "score"))
+    fuzzy = written(fuzzy, "fuzzy")
+    rest = e.join(done.union(fuzzy.select("evidence_id")).distinct(), "evidence_id", "left_anti").where("page IS NOT NULL").select("evidence_id", "doc", "known", "page")
+    pages = c.where("a IS NOT NULL").select("chunk_id", "cdoc", F.explode(F.when(F.coalesce("b", "a") >= F.col("a"), F.sequence("a", F.coalesce("b", "a")))).alias("page"))
+    page = rest.join(pages, "page").where("known IS NULL OR doc = cdoc").select("evidence_id", "chunk_id", F.lit("page_fallback").alias("method"), F.lit(1.0).alias("score"))
+    return exact.select("evidence_id", "chunk_id", F.lit("exact_text").alias("method"), F.lit(1.0).alias("score")).union(fuzzy.select("evidence_id", "chunk_id", F.lit("fuzzy_text").alias("method"), "score")).union(page)

@@ -50,7 +50,7 @@ def test_query_matches_oracle(spark, duck, sf, name):
 
 
 def test_queries_without_an_oracle_are_tested_otherwise():
-    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"semantic_chunks"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"semantic_chunks", "evidence_matches"}
 
 
 def test_grounded_triples_counts(spark, sf):

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
+from tessera.operators import qrels, vector
 from tessera.operators import questions as Q
 
 
@@ -46,3 +50,51 @@ def test_evidence(spark):
     assert [(r.id, r.page) for r in Q.evidence_page(pages, labels).collect()] == [(1, 2)]
     m = Q.multimodal(spark.createDataFrame([("q", "t1", "s"), ("p", "t2", "z")], "query_id string, chunk_id string, source string"), spark.createDataFrame([("x2", "s", "text", 2), ("x1", "s", "text", 1), ("i", "s", "image", 3)], "chunk_id string, source string, modality string, ord int"))
     assert [tuple(r.chunk_ids) for r in m.collect()] == [("x1", "t1", "i")]
+
+
+def unfiltered(evidence, chunks):
+    """The matches without bounds, candidates or joins: every pair in full."""
+    norm = lambda t: re.sub(r"[^a-z0-9$%.()\-]+", " ", (t or "").lower()).strip()
+    docs = {d for _, d, *_ in chunks if d is not None}
+    out = set()
+    for eid, doc, text, page in evidence:
+        needle, own = norm(text), [c for c in chunks if doc not in docs or c[1] == doc]
+        exact = [(eid, c[0], "exact_text", 1.0) for c in own if needle and needle in norm(c[2])]
+        fuzzy = []
+        for c in own if needle and not exact else []:
+            hay = norm(c[2])
+            recall = len(set(needle.split()) & set(hay.split())) / len(set(needle.split()))
+            ratio = Q._ratio(needle, hay)
+            if recall >= 0.6 or ratio >= 0.18:
+                fuzzy.append((-round(0.75 * recall + 0.25 * ratio, 6), c[0]))
+        fuzzy = [(eid, i, "fuzzy_text", -s) for s, i in sorted(fuzzy)[:5]]
+        pages = [(eid, c[0], "page_fallback", 1.0) for c in own if page is not None and c[3] is not None and c[3] <= page + 1 <= (c[3] if c[4] is None else c[4])]
+        out |= set(exact or fuzzy or pages)
+    return out
+
+
+def test_evidence_matches_are_those_without_bounds(spark):
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in ("net", "sale", "cost", "total", "cash", "item") for b in ("", "s", "ing", "1", "$2")]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    chunks = [(i, rng.choice(["a", "b", "c", None]), text(rng.choice([3, 20, 60, 400])), rng.randrange(1, 6), rng.choice([None, 7])) for i in range(120)]
+    chunks += [(200, "a", "long " * 4000 + "needle in the end", 1, 1), (201, "b", None, None, None), (202, "b", "", 9, 9), (203, "c", "?!", 2, 2)]
+    evidence = [(0, "a", None, 3), (1, "b", "", 8), (2, "zz", "?!", 1), (3, None, "qqqq xxxx", 4), (4, "zz", "netting", None), (5, "a", "the needle long in end", 0)]
+    for i in range(10, 50):
+        source = rng.choice([c for c in chunks if c[0] < 120])[2].split()
+        at = rng.randrange(max(1, len(source) - 6))
+        part = source[at : at + rng.choice([2, 5, 12])]
+        rng.random() < 0.6 and rng.shuffle(part)
+        evidence.append((i, rng.choice(["a", "b", "zz", None]), " ".join([*part, *rng.choices(["zzz", "net"], k=rng.randrange(3))]), rng.randrange(5)))
+    frames = spark.createDataFrame(evidence, "evidence_id long, doc string, text string, page int"), spark.createDataFrame(chunks, "chunk_id long, doc string, text string, page_start int, page_end int")
+    got = {tuple(r) for r in Q.match_evidence(*frames).collect()}
+    want = unfiltered(evidence, chunks)
+    assert got == want and {m for _, _, m, _ in want} == {"exact_text", "fuzzy_text", "page_fallback"}
+    assert Q.match_evidence(frames[0].limit(0), frames[1]).count() == 0 == Q.match_evidence(frames[0], frames[1].limit(0)).count()
+
+
+def test_short_queries_are_looked_for_in_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"alpha w{i} beta") for i in range(30)], "doc_id long, text string")
+    asked = spark.createDataFrame([(i, f"w{i}") for i in range(30)] + [(40, "alpha w3"), (41, "nothing")], "query_id long, text string")
+    monkeypatch.setattr(vector, "BLOCK_BYTES", 400)
+    assert {tuple(r) for r in qrels.exact_matches(asked, docs).collect()} == {(i, j) for i in range(30) for j in range(30) if f"w{i}" in f"w{j} "} | {(40, j) for j in range(30) if str(j).startswith("3")}

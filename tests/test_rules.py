@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import extraction, filings, linking, providers
+from tessera.operators import extraction, filings, linking, providers, vector_grid
 from tessera.plans import rules
 
 
@@ -102,14 +103,29 @@ def test_providers(spark):
     assert answer.endswith("1") and docs[0] == ("a", 2.0)
 
 
-def test_synonyms_refuse_more_queries_than_a_block_holds(spark):
-    phrases = spark.createDataFrame([(k, f"phrase {k}", [1.0, 0.0]) for k in range(4)] + [(9, "a", [1.0, 0.0])], "id long, name string, vec array<double>")
-    assert {r.source for r in linking.synonyms(phrases, phrases, max_queries=4).collect()} == {0, 1, 2, 3}
-    with pytest.raises(ValueError, match="more than 3"):
-        linking.synonyms(phrases, phrases, max_queries=3)
-    many = spark.range(10_001).select("id", F.lit("phrase").alias("name"), F.array(F.lit(1.0)).alias("vec"))
-    with pytest.raises(ValueError, match="more than 10000"):
-        linking.synonyms(phrases, many)
+@pytest.mark.parametrize("block", [7, 16, 1000])
+def test_grid_products_are_those_of_all_pairs(spark, block):
+    rng = np.random.default_rng(block)
+    v = np.round(rng.normal(size=(60, 5)), 1) * rng.choice([0.1, 1, 30], (60, 1))
+    v[10:14] = v[10]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    frame = spark.createDataFrame([*rows, (99, None)], "id long, vec array<double>")
+    got = {(r.query_id, r["rank"]): (r.id, r.score) for r in vector_grid.top_products(frame, frame, 6, block).collect()}
+    assert len(got) == 60 * 6
+    for i in range(60):
+        score = np.round(v @ v[i], 9)
+        want = sorted(range(60), key=lambda j: (-score[j], j))[:6]
+        assert [got[i, r + 1][0] for r in range(6)] == want
+    assert vector_grid.top_products(frame.limit(0), frame, 3, block).count() == 0 == vector_grid.top_products(frame, frame.limit(0), 3, block).count()
+    assert vector_grid.top_products(frame.where("id < 2"), frame.where("id < 3"), 9, block).count() == 6
+
+
+def test_synonyms_of_all_phrases(spark):
+    phrases = spark.createDataFrame([(i, name, vec) for i, (name, vec) in enumerate([("alpha", [1.0, 0.0]), ("alphas", [0.9, 0.1]), ("beta", [0.0, 1.0]), ("ab", [1.0, 0.0]), (None, [1.0, 0.0]), ("zero", [0.0, 0.0]), ("gamma", None)])], "id long, name string, vec array<double>")
+    got = {(r.source, r.target): round(r.score, 6) for r in linking.synonyms(phrases).collect()}
+    assert got == {(0, 1): 0.9, (1, 0): 1.0}
+    assert {r.source for r in linking.synonyms(phrases, phrases.where("id = 1")).collect()} == {1}
+
 
 
 def test_grounded_triples_see_whole_passages(spark, tmp_path):
