@@ -35,7 +35,7 @@ CONTAINS = [
     (("telephone", "phone"), "has_phone"), (("address", "office"), "has_address"), (("filed", "report"), "files_report"),
     (("registered", "listed", "exchange"), "listed_on"), (("increase", "grew", "rose", "expanded"), "increased"),
     (("decrease", "declined", "fell", "reduced", "dropped"), "decreased"), (("improved",), "improved"), (("worsened",), "worsened"),
-    (("recorded",), "reported"), (("guidance",), "guidance_for"), (("expect",), "expects"), (("projects", "projected"), "projects"),
+    (("reported", "recorded"), "reported"), (("guidance",), "guidance_for"), (("expects", "expect"), "expects"), (("projects", "projected"), "projects"),
 ]
 #: Relations that edges may have by default (fixed values).
 WHITELIST = [

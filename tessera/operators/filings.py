@@ -53,21 +53,45 @@ def _insensitive(patterns: dict[str, str]) -> dict[str, str]:
     return {k: f"(?i){p}" for k, p in patterns.items()}
 
 
+#: Phrases and patterns by which a chunk's role is told (fixed patterns).
+ROLE_PHRASES = {
+    "signature": "signatures", "exhibits": "exhibit index", "contents": "table of contents", "form": "form 10-k", "file": "commission file number",
+    "commission": "securities and exchange commission", "symbol": "trading symbol", "exchange": "nasdaq",
+}
+ROLE_PATTERNS = {
+    "item": r"\bitem\s+\d+[a-z]?\b", "exhibit": r"\bexhibit\b", "part": r"\bpart\s+(?:i|ii|iii|iv)\b",
+    "statement": r"\b(consolidated statement|balance sheet|statement of cash flows|statement of operations)\b", "risk": r"\brisk factors?\b",
+    "note": r"\bnotes to consolidated financial statements\b|\bnote \d+\b",
+}
+#: Patterns by which the type of evidence is told (fixed patterns).
+EVIDENCE_PATTERNS = {
+    "number": r"[-(]?\$?\d[\d,]*(?:\.\d+)?%?\)?",
+    "cue": r"\b(years ended|three months ended|six months ended|in millions|in thousands|assets|liabilities|net sales|total revenue)\b",
+    "statement": r"\b(consolidated statement|balance sheet|cash flow statement|statement of cash flows)\b", "figure": r"\b(figure|chart|graph)\b",
+}
+#: Patterns of intents, in the order in which they are tried; a question about a metric comes before the last (fixed patterns).
+INTENTS = {
+    "calculate": r"\b(calculate|compute|how much|difference|change|growth|margin)\b", "compare": r"\b(compare|versus|vs\.?|between)\b",
+    "explain": r"\b(explain|why|describe)\b", "summarize": r"\b(summarize|summary)\b", "extract_value": r"\b(what|which|show|find)\b",
+}
+
+
 def chunk_role(text: Column, page: Column) -> Column:
     """A chunk's role by ordered rules; page is a text and counts only where it is a number."""
     low, first = F.lower(F.coalesce(text, F.lit(""))), F.coalesce(page.try_cast("int") == 1, F.lit(False))
     hits = lambda p: F.regexp_count(low, F.lit(p))
-    items = hits(r"\bitem\s+\d+[a-z]?\b")
+    has = {name: low.contains(phrase) for name, phrase in ROLE_PHRASES.items()}
+    items = hits(ROLE_PATTERNS["item"])
     rules = [
-        (low.contains("signatures"), "signature"),
-        (low.contains("exhibit index") | (hits(r"\bexhibit\b") >= 4), "exhibit_list"),
-        (low.contains("table of contents") | ((items >= 5) & (hits(r"\bpart\s+(?:i|ii|iii|iv)\b") >= 2)), "table_of_contents"),
-        (first & low.contains("form 10-k") & low.contains("commission file number"), "cover_page"),
-        (first & low.contains("securities and exchange commission") & (low.contains("trading symbol") | low.contains("nasdaq")), "cover_page"),
-        (low.rlike(r"\b(consolidated statement|balance sheet|statement of cash flows|statement of operations)\b"), "financial_statement"),
-        (low.rlike(r"\brisk factors?\b") & (items < 3), "risk_factor"),
+        (has["signature"], "signature"),
+        (has["exhibits"] | (hits(ROLE_PATTERNS["exhibit"]) >= 4), "exhibit_list"),
+        (has["contents"] | ((items >= 5) & (hits(ROLE_PATTERNS["part"]) >= 2)), "table_of_contents"),
+        (first & has["form"] & has["file"], "cover_page"),
+        (first & has["commission"] & (has["symbol"] | has["exchange"]), "cover_page"),
+        (low.rlike(ROLE_PATTERNS["statement"]), "financial_statement"),
+        (low.rlike(ROLE_PATTERNS["risk"]) & (items < 3), "risk_factor"),
         (low.rlike(SECTIONS["md&a"]), "mdna"),
-        (low.rlike(r"\bnotes to consolidated financial statements\b|\bnote \d+\b"), "footnote"),
+        (low.rlike(ROLE_PATTERNS["note"]), "footnote"),
         (F.trim(low) != "", "section_content"),
     ]
     return reduce(lambda rest, rule: F.when(rule[0], rule[1]).otherwise(rest), reversed(rules), F.lit("unknown"))
@@ -76,24 +100,22 @@ def chunk_role(text: Column, page: Column) -> Column:
 def evidence_type(text: Column, modality: Column, section: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
     both = F.lower(F.concat_ws(" ", F.coalesce(section, F.lit("")), t))
-    numbers = F.regexp_count(t, F.lit(r"[-(]?\$?\d[\d,]*(?:\.\d+)?%?\)?"))
+    numbers = F.regexp_count(t, F.lit(EVIDENCE_PATTERNS["number"]))
     lines = F.size(F.filter(F.split(t, "\n"), lambda x: F.trim(x) != ""))
-    cues = both.rlike(r"\b(years ended|three months ended|six months ended|in millions|in thousands|assets|liabilities|net sales|total revenue)\b")
+    cues = both.rlike(EVIDENCE_PATTERNS["cue"])
     return (
         F.when(F.lower(modality) == "table", "table").when(F.lower(modality) == "image", "figure")
-        .when(both.rlike(r"\b(consolidated statement|balance sheet|cash flow statement|statement of cash flows)\b"), "table")
-        .when(cues & (numbers >= 8) & (lines >= 3), "table").when(both.rlike(r"\b(figure|chart|graph)\b"), "figure")
+        .when(both.rlike(EVIDENCE_PATTERNS["statement"]), "table")
+        .when(cues & (numbers >= 8) & (lines >= 3), "table").when(both.rlike(EVIDENCE_PATTERNS["figure"]), "figure")
         .when(F.trim(t) != "", "text").otherwise("unknown")
     )
 
 
 def intent(question: Column) -> Column:
     low = F.lower(question)
-    return (
-        F.when(low.rlike(r"\b(calculate|compute|how much|difference|change|growth|margin)\b"), "calculate").when(low.rlike(r"\b(compare|versus|vs\.?|between)\b"), "compare")
-        .when(low.rlike(r"\b(explain|why|describe)\b"), "explain").when(low.rlike(r"\b(summarize|summary)\b"), "summarize")
-        .when(low.rlike("|".join(METRICS.values())) | low.rlike(r"\b(what|which|show|find)\b"), "extract_value").otherwise("unknown")
-    )
+    rules = {name: low.rlike(pattern) for name, pattern in INTENTS.items()}
+    rules["extract_value"] = low.rlike("|".join(METRICS.values())) | rules["extract_value"]
+    return reduce(lambda rest, rule: F.when(rule[1], rule[0]).otherwise(rest), reversed(rules.items()), F.lit("unknown"))
 
 
 def chunk_tags(chunks: DataFrame) -> DataFrame:

@@ -135,11 +135,12 @@ def degree_profile(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def relational_spmm(edges: DataFrame, x: DataFrame, rel: DataFrame, add: str = "add", mul: str = "mul") -> DataFrame:
     """(v, dim, y): y[v] = add over edges (u, v, r, w) of w * mul(rel[r], x[u]), a dimension a row; add: add, min or max."""
-    xs = x.select(F.col("id").alias("u"), F.posexplode("vec").alias("dim", "xv"))
-    rs = rel.select(F.col("id").alias("r"), F.posexplode("vec").alias("dim", "rv"))
-    message = F.col("w") * (F.col("rv") * F.col("xv") if mul == "mul" else F.col("rv") + F.col("xv"))
+    xs, rs = x.select(F.col("id").alias("u"), F.col("vec").alias("xv")), rel.select(F.col("id").alias("r"), F.col("vec").alias("rv"))
+    both = F.zip_with("rv", "xv", lambda a, b: a * b if mul == "mul" else a + b)
     fold = {"add": F.sum, "min": F.min, "max": F.max}[add]
-    return edges.join(xs, "u").join(rs, ["r", "dim"]).groupBy("v", "dim").agg(fold(message).alias("y"))
+    # whole vectors are joined, a row an edge; they are taken apart where tasks begin to add up
+    met = edges.join(xs, "u").join(rs, "r").select("v", "w", F.posexplode(both).alias("dim", "m")).where("m IS NOT NULL")
+    return met.groupBy("v", "dim").agg(fold(F.col("w") * F.col("m")).alias("y"))
 
 
 def pna(messages: DataFrame, boundary: DataFrame) -> DataFrame:

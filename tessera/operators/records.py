@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -138,7 +137,3 @@ def caption(paragraphs: Column, back: int = 12) -> Column:
     near = F.transform(F.slice(F.reverse(paragraphs), 1, back), clean_text)
     fits = F.filter(near, lambda p: F.length(p).between(12, 180) & p.rlike("[A-Za-z]") & (F.length(F.regexp_replace(p, r"[^$]", "")) <= 2) & (F.length(F.regexp_replace(p, "[^0-9]", "")) <= 24))
     return F.coalesce(F.get(fits, F.lit(0)), F.lit("the financial table"))
-
-
-def any_of(text: Column, words: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, (text.contains(w) for w in words))

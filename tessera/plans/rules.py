@@ -84,8 +84,9 @@ def late_interaction(spark: SparkSession, sf: str) -> DataFrame:
     """MaxSim between bags of four vectors; every hundredth bag asks."""
     v = table(spark, sf, "embeddings").select((F.col("vec_id") / 4).cast("int").alias("bag"), "vec_id", "embedding")
     bags = v.groupBy("bag").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("e"))
-    q = bags.where("bag % 100 = 0").select(F.col("bag").alias("query_id"), F.col("e").alias("q"))
-    return bags.crossJoin(F.broadcast(q)).select("query_id", F.col("bag").alias("doc_id"), F.round(vector.max_sim(F.col("q"), F.col("e")), 5).alias("score"))
+    q = bags.where("bag % 100 = 0").select(F.col("bag").alias("query_id"), F.col("e").alias("q"), F.flatten("e").alias("all"))
+    parts = [bags.crossJoin(F.broadcast(block)) for block in vector.query_blocks(q, ["query_id"], "all")]
+    return reduce(DataFrame.union, parts).select("query_id", F.col("bag").alias("doc_id"), F.round(vector.max_sim(F.col("q"), F.col("e")), 5).alias("score"))
 
 
 def best_paths(spark: SparkSession, sf: str) -> DataFrame:

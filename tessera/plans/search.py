@@ -211,7 +211,7 @@ def group_sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tag_presence(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents' tags beside those of their first hundred characters' worth of words: the documents of one language."""
+    """All documents' tags beside those of the documents of one language."""
     d = doc_tags(spark, sf)
     asked = d.join(docs(spark, sf).where("lang = 'de'").select("doc_id"), "doc_id", "left_semi")
     out = records.presence(d, asked, ["named_entities", "organizations", "dates"])

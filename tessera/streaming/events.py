@@ -22,6 +22,9 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = None
 
 
 def enrich(chunks: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, late: str = "1 hour") -> StreamingQuery:
-    """Appends work() of each chunk of a stream once (by id, within the watermark) to a table; stops at the stream's end."""
+    """Adds work() of each chunk of a stream once (by id, within the watermark) to a table; stops at the stream's end.
+
+    A batch's rows lie in a folder of its own, path/batch=N, which a batch that is done again replaces.
+    """
     fresh = chunks.withWatermark("ts", late).dropDuplicatesWithinWatermark(["id"])
-    return fresh.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda batch, _: work(batch).write.mode("append").parquet(path)).start()
+    return fresh.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda batch, number: work(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")).start()
