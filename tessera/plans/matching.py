@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import linking, questions
+from tessera.operators.multi_vector import MultiVectorIndex
 from tessera.plans.retrieval import docs, items, vectors
 
 THRESHOLD, MOST = 0.5, 20
@@ -29,10 +30,20 @@ def evidence_matches(spark: SparkSession, sf: str) -> DataFrame:
     return questions.match_evidence(*evidence(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (synonym_edges, evidence_matches)}
+def late_interaction_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best bags of four vectors by MaxSim, over the index; every hundredth bag asks."""
+    v = vectors(spark, sf).select(F.floor(F.col("vec_id") / 4).alias("id"), "vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    bags = v.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "v"))), lambda x: x["v"]).alias("vecs"))
+    found = MultiVectorIndex.build(bags).search(bags.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vecs"), 10)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+QUERIES = {f.__name__: f for f in (synonym_edges, evidence_matches, late_interaction_topk)}
 ORACLES = {
     "synonym_edges": f"""WITH v AS (SELECT vec_id AS id, embedding FROM embeddings WHERE length('p' || vec_id) > 2),
         s AS (SELECT q.id AS query_id, d.id, round(list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 12) AS score FROM v q, v d),
         r AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {MOST + 1})
         SELECT query_id AS source, id AS target, round(score / best, 6) AS score FROM r WHERE best > 0 AND score / best >= {THRESHOLD} AND query_id <> id""",
+    "late_interaction_topk": """WITH v AS (SELECT vec_id // 4 AS bag, vec_id, embedding FROM embeddings), p AS (SELECT q.bag AS query_id, d.bag AS id, q.vec_id, max(list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))) AS s FROM v q, v d WHERE q.bag % 100 = 0 GROUP BY ALL),
+        m AS (SELECT query_id, id, round(sum(s), 12) AS score FROM p GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM m) SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""",
 }

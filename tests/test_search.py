@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import filings, graph_search, metrics, providers, qrels, records
+from tessera.operators.multi_vector import MultiVectorIndex
 
 
 def one(spark, column):
@@ -175,3 +178,24 @@ def test_discovery_of_tagged_questions(spark, tmp_path):
     write(tmp_path / "data" / "c.jsonl", [{"text": "no tags"}])
     got = [(r.path.rsplit("/", 1)[1], r.records, r.score) for r in files.discover(spark, str(tmp_path), ["b", "a"]).collect()]
     assert got == [("a.jsonl", 50, 50 * (3 + 20 + 5 + 5 + 15) + 100), ("b.jsonl", 2, 2 * (3 + 5))]
+
+
+@pytest.mark.parametrize("clusters", [3, 40])
+def test_multi_vector_search_is_exact_and_compares_few_bags(spark, clusters):
+    rng = np.random.default_rng(clusters)
+    centres = rng.normal(size=(clusters, 8)) * 4
+    bags = [(i, (centres[rng.integers(0, clusters, n := int(rng.integers(1, 6)))] + 0.1 * rng.normal(size=(n, 8))).tolist()) for i in range(400)]
+    bags += [(400, bags[7][1]), (401, bags[7][1]), (402, []), (403, None), (404, [[0.0] * 8])]
+    frame = spark.createDataFrame(bags, "id long, vecs array<array<double>>").repartition(3)
+    index = MultiVectorIndex.build(frame, centroids=64)
+    asked = spark.createDataFrame([(i, bags[i][1]) for i in (3, 7, 11)] + [(-1, []), (-2, [[1.0] + [0.0] * 7])], "query_id long, vecs array<array<double>>")
+    got = {(r.query_id, r["rank"]): (r.id, round(r.score, 9)) for r in index.search(asked, 5).collect()}
+    assert len(got) == 4 * 5
+    for q, query in ((3, bags[3][1]), (7, bags[7][1]), (11, bags[11][1]), (-2, [[1.0] + [0.0] * 7])):
+        score = {i: round(float((np.array(query) @ np.array(v).T).max(1).sum()), 12) for i, v in bags if v}
+        want = sorted(score, key=lambda i: (-score[i], i))[:5]
+        assert [got[q, r + 1] for r in range(5)] == [(i, round(score[i], 9)) for i in want]
+    floors = index.search(asked, 5).where("rank = 5").select("query_id", F.col("score").alias("floor"))
+    compared = index._pairs(asked.where("size(vecs) > 0"), 5, floors).count()
+    assert compared < 0.5 * 4 * 403
+    assert MultiVectorIndex.build(frame.limit(0)).search(asked, 5).count() == 0 == index.search(asked.limit(0), 5).count()
