@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.operators import linking, questions
 from tessera.operators.multi_vector import MultiVectorIndex
+from tessera.operators.open_extraction import extracted
 from tessera.plans.retrieval import docs, items, vectors
 
-THRESHOLD, MOST = 0.5, 20
+THRESHOLD, MOST = 0.3, 20
 
 
 def synonym_edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,7 +39,14 @@ def late_interaction_topk(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-QUERIES = {f.__name__: f for f in (synonym_edges, evidence_matches, late_interaction_topk)}
+def open_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each document that gives any: its entities, triples and malformed triples, by the rule that stands in for a model."""
+    rows = extracted(docs(spark, sf).select("doc_id", "text"), "doc_id")
+    counts = [F.count_if(F.col("kind") == kind).alias(name) for kind, name in (("entity", "entities"), ("triple", "triples"), ("error", "errors"))]
+    return rows.groupBy("doc_id").agg(*counts, F.min(F.when(F.col("kind") == "triple", F.concat_ws("|", "s", "r", "o"))).alias("least"))
+
+
+QUERIES = {f.__name__: f for f in (synonym_edges, evidence_matches, late_interaction_topk, open_extraction)}
 ORACLES = {
     "synonym_edges": f"""WITH v AS (SELECT vec_id AS id, embedding FROM embeddings WHERE length('p' || vec_id) > 2),
         s AS (SELECT q.id AS query_id, d.id, round(list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 12) AS score FROM v q, v d),
@@ -46,4 +54,9 @@ ORACLES = {
         SELECT query_id AS source, id AS target, round(score / best, 6) AS score FROM r WHERE best > 0 AND score / best >= {THRESHOLD} AND query_id <> id""",
     "late_interaction_topk": """WITH v AS (SELECT vec_id // 4 AS bag, vec_id, embedding FROM embeddings), p AS (SELECT q.bag AS query_id, d.bag AS id, q.vec_id, max(list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))) AS s FROM v q, v d WHERE q.bag % 100 = 0 GROUP BY ALL),
         m AS (SELECT query_id, id, round(sum(s), 12) AS score FROM p GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM m) SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""",
+    "open_extraction": """WITH e AS (SELECT doc_id, count(DISTINCT n) AS entities FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS n FROM documents) GROUP BY doc_id),
+        s AS (SELECT doc_id, regexp_extract_all(unnest(string_split_regex(text, '[.!?] ')), '[A-Z][a-z]+') AS w FROM documents),
+        p AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || '|stands before|' || w[i + 1])) AS t FROM s),
+        t AS (SELECT doc_id, count(*) AS triples, min(t) AS least FROM p GROUP BY doc_id), x AS (SELECT doc_id, count(*) AS errors FROM s WHERE len(w) = 1 GROUP BY doc_id)
+        SELECT doc_id, entities, coalesce(triples, 0) AS triples, coalesce(errors, 0) AS errors, least FROM e LEFT JOIN t USING (doc_id) LEFT JOIN x USING (doc_id)""",
 }

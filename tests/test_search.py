@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import filings, graph_search, metrics, providers, qrels, records
+from tessera.operators import filings, graph_search, metrics, open_extraction, providers, qrels, records
 from tessera.operators.multi_vector import MultiVectorIndex
 
 
@@ -199,3 +201,29 @@ def test_multi_vector_search_is_exact_and_compares_few_bags(spark, clusters):
     compared = index._pairs(asked.where("size(vecs) > 0"), 5, floors).count()
     assert compared < 0.5 * 4 * 403
     assert MultiVectorIndex.build(frame.limit(0)).search(asked, 5).count() == 0 == index.search(asked.limit(0), 5).count()
+
+
+def test_open_extraction_gives_errors_as_rows(spark):
+    class Odd:
+        """A model that answers as models do."""
+
+        def names(self, text):
+            if "fails" in text:
+                raise OSError("no answer")
+            return {"chat": 'Sure: {"named_entities": ["B", " A ", "B", "", 3]} done', "list": '["A"]'}.get(text, "nothing")
+
+        def triples(self, text, names):
+            rows = [["A", "is", "B"], ["A", "is", "B "], ["A", "is"], "A", ["A", " ", "B"], ["B", "has", 5]]
+            return json.dumps({"triples": rows}) if names == ["A", "B"] else '{"triples": 5}'
+
+    docs = spark.createDataFrame([(1, "chat"), (2, "list"), (3, "other"), (4, None), (5, "  "), (6, "it fails")], "id long, text string")
+    rows = open_extraction.extracted(docs, "id", model=Odd()).collect()
+    of = lambda i, kind: [(r.s, r.r, r.o) if kind != "error" else r.reason for r in sorted(rows, key=lambda r: r.ord) if r.id == i and r.kind == kind]
+    assert of(1, "entity") == [("A", None, None), ("B", None, None)] and of(1, "triple") == [("A", "is", "B"), ("B", "has", "5")]
+    assert of(1, "error") == ["not three parts", "not three parts", "empty part"]
+    assert of(2, "error") == ["no list of named_entities", "no list of triples"] and of(3, "error") == ["no JSON object", "no list of triples"]
+    assert of(6, "error") == ["model failed: OSError", "no list of triples"] and not {4, 5} & {r.id for r in rows}
+    open_extraction.register(spark)
+    sql = spark.sql("SELECT t.s, t.o FROM VALUES ('Red Blue. Green') AS d(text), LATERAL open_extract(d.text) t WHERE t.kind = 'triple'")
+    assert [tuple(r) for r in sql.collect()] == [("Red", "Blue")]
+
