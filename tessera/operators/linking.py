@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import entity_key, first_text, jaccard
+from tessera.functions.text import clean_text, entity_key, first_text, jaccard
 from tessera.operators.lexical import top_k
 from tessera.operators.vector import inner_products
 from tessera.operators.vector_grid import top_products
+from tessera.session import written
 
 
 def link(surfaces: DataFrame, entities: DataFrame, threshold: float = 0.82) -> DataFrame:
@@ -97,3 +98,28 @@ def node_type(uid: Column) -> Column:
 def preview_text(most: int = 512) -> Column:
     """A node's text for baselines and teachers: the first of its preview, chunk id, summary and name, cut to `most`."""
     return F.substring(first_text("text_preview", "chunk_id", "summary", "name"), 1, most)
+
+
+def typed_node_texts(nodes: DataFrame, records: DataFrame, chunks: DataFrame, most: int = 512) -> tuple[DataFrame, dict[str, int]]:
+    """(uid, type, text) of all nodes, and how many there are of each type, fallbacks and empty texts: both from one job.
+
+    nodes: (uid, type or null); records: (uid, type, text), each uid once; chunks: (chunk_id, text), each id once. A node's type
+    is its own, else its record's, else what its id begins with. A chunk's text is that of the chunk with its uid, else with
+    the uid less "chunk:", else its record's; others have their record's text. Texts are cleaned and cut to `most`
+    characters; without one a node is called by its uid ("Node: ..."). Nodes that repeat have a row each; a null uid has
+    the fallback without a name. The counts are gathered while the texts are written.
+    """
+    known = records.select("uid", F.col("type").alias("record_type"), F.col("text").alias("record_text"))
+    named = nodes.select("uid", "type").join(known, "uid", "left").withColumn("type", F.coalesce(F.nullif("type", F.lit("")), F.nullif("record_type", F.lit("")), node_type(F.coalesce("uid", F.lit("")))))
+    whole = chunks.select(F.col("chunk_id").cast("string").alias("whole_id"), F.col("text").alias("whole_text"))
+    bare = chunks.select(F.col("chunk_id").cast("string").alias("bare_id"), F.col("text").alias("bare_text"))
+    is_chunk = F.col("type") == "chunk"
+    met = named.join(whole, is_chunk & (F.col("uid") == F.col("whole_id")), "left")
+    met = met.join(bare, is_chunk & (F.regexp_replace("uid", "^chunk:", "") == F.col("bare_id")), "left")
+    filled = lambda c: F.nullif(clean_text(F.col(c)), F.lit(""))
+    text = F.coalesce(filled("whole_text"), filled("bare_text"), filled("record_text"), F.concat(F.lit("Node: "), F.coalesce("uid", F.lit(""))))
+    out = met.select("uid", "type", F.substring(text, 1, most).alias("text"))
+    counts = Observation("node_texts")
+    of = {"nodes": F.lit(True), **{f"{t}_texts": F.col("type") == t for t in ("entity", "chunk", "document")}, "fallbacks": F.col("text").startswith("Node:"), "empty": F.trim("text") == ""}
+    texts = written(out.observe(counts, *(F.count_if(condition).alias(name) for name, condition in of.items())), "node-texts")
+    return texts, {name: int(n) for name, n in counts.get.items()}

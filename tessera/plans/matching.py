@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import linking, questions
 from tessera.operators.multi_vector import MultiVectorIndex
 from tessera.operators.open_extraction import extracted
-from tessera.plans.retrieval import docs, items, vectors
+from tessera.plans.retrieval import docs, items, table, vectors
 
 THRESHOLD, MOST = 0.3, 20
 
@@ -46,7 +46,18 @@ def open_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(*counts, F.min(F.when(F.col("kind") == "triple", F.concat_ws("|", "s", "r", "o"))).alias("least"))
 
 
-QUERIES = {f.__name__: f for f in (synonym_edges, evidence_matches, late_interaction_topk, open_extraction)}
+def typed_node_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts of suppliers, documents and passages as nodes, some without a type, record or text; beside them the counts of the same job."""
+    supplier, passages, d = table(spark, sf, "supplier"), table(spark, sf, "benchmark"), docs(spark, sf)
+    entities = supplier.select(F.concat(F.lit("entity:"), F.col("s_suppkey").cast("string")).alias("uid"), F.when(F.col("s_suppkey") % 3 == 0, "entity").alias("type"), F.when(F.col("s_suppkey") % 5 != 0, F.col("s_name")).alias("text"))
+    papers = passages.select(F.concat(F.lit("doc:"), F.col("item_id").cast("string")).alias("uid"), F.lit("").alias("type"), "text")
+    chunks = d.select(F.concat(F.lit("chunk:"), F.col("doc_id").cast("string")).alias("uid"), F.lit(None).cast("string").alias("type"))
+    nodes = entities.select("uid", "type").union(papers.select("uid", "type")).union(chunks)
+    texts, counts = linking.typed_node_texts(nodes, entities.where("text IS NOT NULL").union(papers), d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("chunk_id"), "text"))
+    return texts.select("uid", "type", F.md5("text").alias("text"), *(F.lit(n).cast("long").alias(name) for name, n in counts.items()))
+
+
+QUERIES = {f.__name__: f for f in (synonym_edges, evidence_matches, late_interaction_topk, open_extraction, typed_node_texts)}
 ORACLES = {
     "synonym_edges": f"""WITH v AS (SELECT vec_id AS id, embedding FROM embeddings WHERE length('p' || vec_id) > 2),
         s AS (SELECT q.id AS query_id, d.id, round(list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 12) AS score FROM v q, v d),
@@ -59,4 +70,9 @@ ORACLES = {
         p AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || '|stands before|' || w[i + 1])) AS t FROM s),
         t AS (SELECT doc_id, count(*) AS triples, min(t) AS least FROM p GROUP BY doc_id), x AS (SELECT doc_id, count(*) AS errors FROM s WHERE len(w) = 1 GROUP BY doc_id)
         SELECT doc_id, entities, coalesce(triples, 0) AS triples, coalesce(errors, 0) AS errors, least FROM e LEFT JOIN t USING (doc_id) LEFT JOIN x USING (doc_id)""",
+    "typed_node_texts": r"""WITH d AS (SELECT 'entity:' || s_suppkey AS uid, 'entity' AS type, CASE WHEN s_suppkey % 5 <> 0 THEN s_name END AS text FROM supplier UNION ALL SELECT 'doc:' || item_id, 'document', text FROM benchmark
+        UNION ALL SELECT 'chunk:' || doc_id, 'chunk', CASE WHEN doc_id % 2 = 0 THEN text END FROM documents),
+        t AS (SELECT uid, type, left(coalesce(nullif(trim(regexp_replace(translate(text, chr(160) || '−—', ' --'), '[ \t\n\r\f\x0B]+', ' ', 'g')), ''), 'Node: ' || uid), 512) AS text FROM d)
+        SELECT uid, type, md5(text) AS text, count(*) OVER () AS nodes, (count_if(type = 'entity') OVER ())::BIGINT AS entity_texts, (count_if(type = 'chunk') OVER ())::BIGINT AS chunk_texts, (count_if(type = 'document') OVER ())::BIGINT AS document_texts,
+        (count_if(starts_with(text, 'Node:')) OVER ())::BIGINT AS fallbacks, (count_if(trim(text) = '') OVER ())::BIGINT AS empty FROM t""",
 }

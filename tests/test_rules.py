@@ -133,3 +133,14 @@ def test_grounded_triples_see_whole_passages(spark, tmp_path):
     spark.createDataFrame([(1, text, "en", "s", 122)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     n = {r.reason: r.n for r in rules.grounded_triples(spark, str(tmp_path)).collect()}
     assert n["clean"] == 1 and n["entity_not_grounded_in_passage"] == 1
+
+
+def test_typed_node_texts_and_their_counts(spark):
+    nodes = spark.createDataFrame([("chunk:1", None), ("2", "chunk"), ("chunk:3", ""), ("chunk:4", None), ("entity:a", None), ("b", None), ("doc:c", None), ("d", None), (None, None), ("d", None)], "uid string, type string")
+    records = spark.createDataFrame([("chunk:3", "chunk", "record  three"), ("b", "entity", " bee "), ("entity:a", None, "  "), ("d", "document", "x" * 600)], "uid string, type string, text string")
+    chunks = spark.createDataFrame([("1", "one"), ("chunk:1", "whole one"), ("2", "two"), ("4", "")], "chunk_id string, text string")
+    texts, counts = linking.typed_node_texts(nodes, records, chunks)
+    want = [("2", "chunk", "two"), ("b", "entity", "bee"), ("chunk:1", "chunk", "whole one"), ("chunk:3", "chunk", "record three"), ("chunk:4", "chunk", "Node: chunk:4"), ("d", "document", "x" * 512), ("d", "document", "x" * 512), ("doc:c", "document", "Node: doc:c"), ("entity:a", "entity", "Node: entity:a")]
+    assert sorted((r.uid, r.type, r.text) for r in texts.collect() if r.uid) == want
+    assert counts == {"nodes": 10, "entity_texts": 2, "chunk_texts": 4, "document_texts": 3, "fallbacks": 4, "empty": 0}
+    assert linking.typed_node_texts(nodes.limit(0), records, chunks)[1]["nodes"] == 0
