@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
 from tessera.llm.shingles import EXACT, buffers, hashed_words
-from tessera.llm.tables import kept, table, text_blocks
+from tessera.llm.tables import kept, release_memory, table, text_blocks
 
 LENGTH = 4096
 #: Segments of one sequence at most; attention masks are made of them.
@@ -294,6 +294,8 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, limits: Limits
                     held, size = [], 0
         if held:
             yield send()
+        held, encoded = [], None
+        release_memory()
 
     skip = F.col(loss_from).cast("long") if loss_from else F.lit(0).cast("long")
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", skip.alias("skip")).mapInArrow(run, SCHEMA)

@@ -70,10 +70,14 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", chars:
 
 
 def map_rows(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """rows.mapInArrow(run) with the same columns, whose names may be any (mapInArrow itself takes none with a dot)."""
+    """rows.mapInArrow(run) with the same columns, whose names may be any (mapInArrow itself takes none with a dot).
+
+    A task's end gives memory back, as workers go on to other stages.
+    """
     names = rows.columns
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return run(batch.rename_columns(names) for batch in batches)
+        yield from run(batch.rename_columns(names) for batch in batches)
+        release_memory()
 
     return rows.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(named, rows.schema)
