@@ -100,14 +100,24 @@ def grounded(rows: DataFrame, triples: str = "triples", entities: str = "entitie
 
 
 def focus_passage(text: Column, keywords: list[str], most: int = 6000, lead: int = 12) -> Column:
-    """A long text's sentences with a keyword and their neighbours (overlaps repeat), else its first `lead`, cut to `most`."""
-    raw = F.trim(F.regexp_replace(text, _WS, " "))
-    s = F.split(raw, r"(?<=[.!?]) +")
+    """A long text's sentences with a keyword and their neighbours (overlaps repeat), else its first `lead`, cut to `most`.
+
+    Texts are split once: the sentences are the variable of a lambda, as an expression within one is evaluated again for each
+    of its elements.
+    """
+    once = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
     hit = lambda x: F.lower(x).rlike("|".join(keywords))
-    at = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: hit(F.element_at(s, i.cast("int"))))
-    blocks = F.transform(at, lambda i: F.array_join(F.slice(s, F.greatest(i - 1, F.lit(1)).cast("int"), (F.lit(3) - F.when(i == 1, 1).otherwise(0)).cast("int")), " "))
-    picked = F.when(F.size(at) > 0, F.array_join(blocks, " ")).otherwise(F.array_join(F.slice(s, 1, lead), " "))
-    return F.when(F.length(raw) <= most, raw).otherwise(F.substring(F.when(F.size(s) <= 1, raw).otherwise(picked), 1, most))
+
+    def picked(s: Column) -> Column:
+        around = lambda i: F.array_join(F.slice(s, F.greatest(i, F.lit(1)).cast("int"), (F.lit(3) - F.when(i == 0, 1).otherwise(0)).cast("int")), " ")
+        blocks = F.filter(F.transform(s, lambda x, i: F.when(hit(x), around(i))), lambda b: b.isNotNull())
+        return once(blocks, lambda found: F.when(F.size(found) > 0, F.array_join(found, " ")).otherwise(F.array_join(F.slice(s, 1, lead), " ")))
+
+    def cut(raw: Column) -> Column:
+        long_ = once(F.split(raw, r"(?<=[.!?]) +"), lambda s: F.when(F.size(s) <= 1, raw).otherwise(picked(s)))
+        return F.when(F.length(raw) <= most, raw).otherwise(F.substring(long_, 1, most))
+
+    return once(F.trim(F.regexp_replace(text, _WS, " ")), cut)
 
 
 def change_triples(rows: DataFrame, key: str = "chunk_id", passage: str = "passage", entities: str = "entities") -> DataFrame:
