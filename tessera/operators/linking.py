@@ -39,6 +39,25 @@ def resolve(terms: DataFrame, entities: DataFrame, least: int = 3) -> DataFrame:
     return whole.select("id", "uid").union(rest.join(words, "norm").select("id", "uid")).distinct()
 
 
+def resolved_counts(terms: DataFrame, entities: DataFrame, least: int = 3) -> DataFrame:
+    """(id, n): how many entities resolve() finds for each id, of those with any.
+
+    Ids of one term share its count, which is taken once a term, so common words cost no pairs of ids and entities; only
+    ids of several terms are resolved to pairs, as their terms may find the same entity.
+    """
+    t = terms.select("id", entity_key(F.col("term")).alias("norm")).where("id IS NOT NULL AND norm IS NOT NULL").distinct()
+    few = t.groupBy("id").agg(F.first("norm").alias("norm"), F.count("*").alias("terms"))
+    sole = few.where("terms = 1").select("id", "norm")
+    e = entities.select("uid", entity_key(F.col("name")).alias("norm"))
+    whole = e.groupBy("norm").agg(F.count_distinct(F.struct("uid")).alias("n"))
+    part = e.select("uid", F.explode(F.array_distinct(F.split("norm", " "))).alias("norm")).where(F.length("norm") >= least)
+    part = part.join(whole, "norm", "left_anti").groupBy("norm").agg(F.count_distinct(F.struct("uid")).alias("n"))
+    one = sole.join(whole.union(part), "norm").select("id", "n")
+    several = resolve(terms.join(few.where("terms > 1").select("id"), "id", "left_semi"), entities, least)
+    nameless = resolve(terms.where("id IS NULL"), entities, least)
+    return one.union(several.union(nameless).groupBy("id").agg(F.count("*").alias("n")))
+
+
 def synonyms(phrases: DataFrame, queries: DataFrame | None = None, threshold: float = 0.8, most: int = 100) -> DataFrame:
     """(source, target, score): each query phrase's nearest others, by the share of the best score, no self.
 

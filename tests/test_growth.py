@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import extraction
+from tessera.operators import extraction, linking
 
 
 def test_focus_passage_splits_a_text_once(spark):
@@ -17,3 +17,10 @@ def test_focus_passage_splits_a_text_once(spark):
     got = [r.p for r in rows.select(extraction.focus_passage(F.col("text"), ["grew"], most=100, lead=2).alias("p")).collect()]
     assert time.perf_counter() - began < 20  # split again for each sentence it took minutes
     assert got[0] == ("One. Sales grew a lot. Three. " * 4)[:100] and got[1:4] == [None, "Short.", "x" * 100] and got[4] == "grew. b."
+
+
+def test_resolved_counts_are_those_of_the_pairs(spark):
+    ents = spark.createDataFrame([("e1", "Apple"), ("e2", "APPLE"), ("e3", "Tim Cook"), ("e3", "Cook Tim"), (None, "Tim Hill"), ("e5", None)], "uid string, name string")
+    terms = spark.createDataFrame([(1, "apple"), (2, "Cook"), (3, "x"), (4, "cook"), (4, "tim"), (4, "apple"), (None, "tim"), (5, None), (2, "cook"), (6, "to")], "id long, term string")
+    want = {r.id: r["count"] for r in linking.resolve(terms, ents).groupBy("id").count().collect()}
+    assert {r.id: r.n for r in linking.resolved_counts(terms, ents).collect()} == want == {1: 2, 2: 1, 4: 4, None: 2}
