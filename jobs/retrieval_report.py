@@ -50,10 +50,10 @@ class Settings:
             raise ValueError(f"methods are of {METHODS}; top, pool and ks are 1 or more")
 
 
-def overlap_scores(questions: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score): which share of the question's distinct tokens the document has; only pairs that share one."""
+def overlap_scores(questions: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score): which share of the question's distinct tokens the document has; at least the k best of each."""
     size = questions.select("query_id", F.size(F.array_distinct(tokens(F.col("text")))).alias("n"))
-    return qrels.candidates(questions, docs, 1).join(size, "query_id").select("query_id", "doc_id", (F.col("shared") / F.col("n")).alias("score"))
+    return qrels.best_candidates(questions, docs, k).join(size, "query_id").select("query_id", "doc_id", (F.col("shared") / F.col("n")).alias("score"))
 
 
 def run(spark: SparkSession, documents: str, questions: str, output: str, settings: Settings = Settings()) -> dict[str, int]:
@@ -64,9 +64,10 @@ def run(spark: SparkSession, documents: str, questions: str, output: str, settin
     LOG.info("read %d documents of %s, %d questions of %s", counts["documents read"], documents, counts["questions read"], questions)
 
     relevant = written(qrels.exact_matches(asked, docs).distinct(), "relevant")
+    most = settings.pool
     ranked = {
-        "bm25": lambda: lexical.top_k(lexical.bm25_scores(docs, asked), settings.pool),
-        "overlap": lambda: lexical.top_k(overlap_scores(asked, docs), settings.pool),
+        "bm25": lambda: lexical.top_k(lexical.bm25_best(docs, asked, most), most),
+        "overlap": lambda: lexical.top_k(overlap_scores(asked, docs, most), most),
     }
     needed = {m for m in ranked if m in settings.methods or "rrf" in settings.methods}
     runs = {m: written(ranked[m]().select("query_id", "rank", "doc_id", "score"), "run") for m in sorted(needed)}

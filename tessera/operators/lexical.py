@@ -8,13 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
-from tessera.operators.joins import left_join_unique
+from tessera.operators import sparse_grid
 from tessera.session import written
 
-#: Queries of one token that are packed in one row (about 20 bytes each).
-ASKS = 1000
-
-
 @dataclass(frozen=True)
 class Bm25:
     k1: float = 1.5
@@ -38,40 +34,36 @@ def corpus_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return per_token.crossJoin(F.broadcast(n)).select("token", "df", "cf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def meet(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rows (token, ...) with df, and query_id and qtf of each query that has the token; rows of other tokens go.
-
-    wanted: (query_id, token, qtf), each pair once; df: the rows of the token. A token's queries are packed in pieces of
-    ASKS, and the heaviest pieces are broadcast (a fixed number, of a fixed size), so no task gets all rows of a common
-    word. rows are read twice; pass a written table.
-    """
-    df = rows.groupBy("token").agg(F.count("*").alias("df"))
-    asks = F.collect_list(F.struct("query_id", "qtf")).alias("asks")
-    most = wanted.groupBy("token").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if most <= ASKS:
-        packed = written(df.join(wanted.groupBy("token").agg(asks), "token"), "asks")
-        met = left_join_unique(rows, packed, "token", "df", ["df", "asks"])
-    else:
-        pieces = written(wanted.groupBy("token").agg(F.ceil(F.count("*") / ASKS).cast("int").alias("pieces")).join(df, "token"), "pieces")
-        place = F.pmod(F.xxhash64("query_id"), F.col("pieces"))
-        cut = wanted.join(pieces, "token").groupBy(F.concat_ws(" ", "token", place.cast("string")).alias("key"), "df").agg(asks)
-        spread = left_join_unique(rows, pieces, "token", F.col("df"), ["pieces", "df"]).where("pieces IS NOT NULL")
-        spread = spread.withColumn("key", F.explode(F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda i: F.concat_ws(" ", F.col("token"), i.cast("string")))))
-        met = left_join_unique(spread, written(cut, "asks"), "key", "df", ["asks"]).drop("key", "pieces")
-    own = [c for c in rows.columns]
-    return met.select(*own, "df", F.inline("asks"))
-
-
 def bm25_scores(docs: DataFrame, queries: DataFrame, model: Bm25 = Bm25(), doc_id: str = "doc_id", query_id: str = "query_id", text_col: str = "text") -> DataFrame:
     """(query_id, doc_id, score) of each pair that shares a token; repeated query tokens count repeatedly.
 
     Only occurrences of query tokens are shuffled. Lengths and N come from one pass over all documents.
     """
+    return occurrence_scores(*occurrences(docs, queries, doc_id, query_id, text_col), model)
+
+
+def occurrences(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", query_id: str = "query_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What occurrence_scores() takes: occurrences of query tokens, totals (written, as each reading of them would read all
+    texts) and query_tokens()."""
     totals = docs.select(F.size(tokens(F.col(text_col))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     wanted = query_tokens(queries, query_id, text_col)
     vocabulary = wanted.select("token").distinct()
     tf = doc_tokens(docs, doc_id, text_col).join(vocabulary, "token", "left_semi").groupBy("id", "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    return occurrence_scores(written(tf, "occurrences"), totals, wanted, model)
+    return written(tf, "occurrences"), written(totals, "totals"), wanted
+
+
+def bm25_best(docs: DataFrame, queries: DataFrame, k: int, slack: float = 0.0, only: tuple[str, str] | None = None, model: Bm25 = Bm25()) -> DataFrame:
+    """(query_id, doc_id, score): of bm25_scores() at least each query's k best by top_k(), and those within `slack` of them.
+
+    only: a column of docs and one of queries that have to be equal; other pairs are left out before the k best are taken.
+    The search leaves out pairs where they are found, block by block, so that they are neither sorted nor moved.
+    """
+    tf, totals, wanted = occurrences(docs, queries)
+    left, right = weights(tf, totals, wanted, model)
+    if only is not None:
+        left = left.join(docs.select(F.col("doc_id").alias("id"), F.col(only[0]).alias("only")), "id")
+        right = right.join(queries.select("query_id", F.col(only[1]).alias("only")).distinct(), "query_id")
+    return sparse_grid.best(left, right, k, slack)
 
 
 def query_tokens(queries: DataFrame, query_id: str = "query_id", text_col: str = "text") -> DataFrame:
@@ -79,13 +71,19 @@ def query_tokens(queries: DataFrame, query_id: str = "query_id", text_col: str =
     return queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(text_col))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
 
 
+def weights(tf: DataFrame, totals: DataFrame, wanted: DataFrame, model: Bm25 = Bm25()) -> tuple[DataFrame, DataFrame]:
+    """(id, token, x) and (query_id, token, y) whose products add up to BM25, of what occurrence_scores() takes."""
+    length = 1 - model.b + model.b * F.col("dl") / F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
+    left = tf.crossJoin(F.broadcast(totals)).select("id", "token", (F.col("tf") * (model.k1 + 1) / (F.col("tf") + model.k1 * length)).alias("x"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    df = tf.groupBy("token").agg(F.count("*").alias("df"))
+    right = wanted.join(df, "token").crossJoin(F.broadcast(totals)).select("query_id", "token", (idf * F.col("qtf")).alias("y"))
+    return left, written(right, "weights")
+
+
 def occurrence_scores(tf: DataFrame, totals: DataFrame, wanted: DataFrame, model: Bm25 = Bm25()) -> DataFrame:
     """(query_id, doc_id, score) from tf (id, token, tf, dl), a written table, the row totals (n, avgdl) and query_tokens()."""
-    met = meet(tf, wanted).crossJoin(F.broadcast(totals))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    length = 1 - model.b + model.b * F.col("dl") / F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
-    weight = idf * F.col("tf") * (model.k1 + 1) / (F.col("tf") + model.k1 * length)
-    return met.groupBy("query_id", F.col("id").alias("doc_id")).agg(F.sum(weight * F.col("qtf")).alias("score")).where("score > 0")
+    return sparse_grid.products(*weights(tf, totals, wanted, model))
 
 
 def top_k(scores: DataFrame, k: int, by: str | list[str] = "query_id", score: str = "score", tie: str = "doc_id", digits: int = 6) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import normalize_evidence, token_recall, tokens
-from tessera.operators.lexical import meet
+from tessera.operators import sparse_grid
 from tessera.operators.vector import query_blocks
 from tessera.session import written
 
@@ -18,12 +18,22 @@ def page_overlaps(page: Column, start: Column, end: Column) -> Column:
     return F.coalesce((p >= a) & (p <= b), F.lit(False))
 
 
+def _shared(queries: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, token, x) and (query_id, token, y) of distinct tokens, whose products add up to those that a pair shares."""
+    q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).distinct().withColumn("y", F.lit(1.0))
+    d = docs.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).join(q.select("token").distinct(), "token", "left_semi")
+    return written(d.withColumn("x", F.lit(1.0)), "words"), q
+
+
 def candidates(queries: DataFrame, docs: DataFrame, least: int) -> DataFrame:
-    """(query_id, doc_id, shared): pairs that share at least `least` distinct tokens, by a join of distinct tokens."""
-    q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    d = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).join(q.select("token").distinct(), "token", "left_semi")
-    met = meet(written(d, "words"), q.withColumn("qtf", F.lit(1)))
-    return met.groupBy("query_id", "doc_id").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    """(query_id, doc_id, shared): pairs that share at least `least` distinct tokens."""
+    pairs = sparse_grid.products(*_shared(queries, docs))
+    return pairs.select("query_id", "doc_id", F.round("score").cast("long").alias("shared")).where(F.col("shared") >= least)
+
+
+def best_candidates(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, shared): of candidates() of one token or more at least the k that share most with each query."""
+    return sparse_grid.best(*_shared(queries, docs), k).select("query_id", "doc_id", F.round("score").cast("long").alias("shared"))
 
 
 def inner_words(queries: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from tessera.functions.text import dot, tokens
 from tessera.operators import filings, fusion, graph, graph_search, linking, metrics, providers, qrels, ranking, records, vector
 from tessera.operators.lexical import top_k
 from tessera.plans.graphs import _EDGES, _TRIPLES, edges, triples
-from tessera.plans.retrieval import _BM25, _DENSE, _EXACT, _NORM, _RECALL, _TOK, _TOP, _WANT, bm25_topk, dense_scores, docs, exact, home, items, labelled_dense, recall_run, scores, table, vectors
+from tessera.plans.retrieval import _BM25, _DENSE, _EXACT, _NORM, _RECALL, _TOK, _TOP, _WANT, best, bm25_topk, dense_scores, docs, exact, home, items, labelled_dense, recall_run, scores, table, vectors
 from tessera.plans.texts import _TAGS, doc_tags
 
 
@@ -260,12 +260,12 @@ def overfetch_bonus(spark: SparkSession, sf: str) -> DataFrame:
 def tag_aware_bm25(spark: SparkSession, sf: str) -> DataFrame:
     """BM25 in three modes; tags are source and language, and every third passage has none."""
     q = home(spark, sf).select("query_id", "want_source", "want_lang", (F.col("query_id") % 3 != 0).alias("query_has_tags"))
-    out = None
+    found, out = best(spark, sf, 40), None  # one search for all modes: none fetches more than 40
     for mode in ("none", "boost", "filter"):
-        rows = fusion.fetched(scores(spark, sf), 5, 40, mode).join(q, "query_id").join(docs(spark, sf).select("doc_id", "source", "lang"), "doc_id")
+        rows = fusion.fetched(found, 5, 40, mode).join(q, "query_id").join(docs(spark, sf).select("doc_id", "source", "lang"), "doc_id")
         rows = rows.withColumn("overlap", F.when(F.col("query_has_tags"), (F.col("source") == F.col("want_source")).cast("int") + (F.col("lang") == F.col("want_lang")).cast("int")).otherwise(0))
-        best = fusion.tag_aware(rows, 5, mode).select(F.lit(mode).alias("mode"), "query_id", "rank", "doc_id", "score")
-        out = best if out is None else out.union(best)
+        first = fusion.tag_aware(rows, 5, mode).select(F.lit(mode).alias("mode"), "query_id", "rank", "doc_id", "score")
+        out = first if out is None else out.union(first)
     return out
 
 
@@ -273,7 +273,7 @@ def reranked(spark: SparkSession, sf: str) -> DataFrame:
     """BM25's twenty best, reranked by the fallback of a cross-encoder: the share of the passage's tokens."""
     from tessera.functions.text import token_recall
 
-    rows = top_k(scores(spark, sf), 20).drop("rank").join(items(spark, sf), "query_id").join(docs(spark, sf).select("doc_id", F.col("text").alias("hay")), "doc_id")
+    rows = top_k(best(spark, sf, 20), 20).drop("rank").join(items(spark, sf), "query_id").join(docs(spark, sf).select("doc_id", F.col("text").alias("hay")), "doc_id")
     return providers.reranked(rows, 5, "text", "hay", token_recall(tokens(F.col("text")), tokens(F.col("hay"))), weight=10.0).select("query_id", "rank", "doc_id", "score")
 
 

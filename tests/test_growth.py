@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import random
 import time
 
-import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import extraction, linking
+from tessera.operators import extraction, linking, sparse_grid
 
 
 def test_focus_passage_splits_a_text_once(spark):
@@ -24,3 +24,23 @@ def test_resolved_counts_are_those_of_the_pairs(spark):
     terms = spark.createDataFrame([(1, "apple"), (2, "Cook"), (3, "x"), (4, "cook"), (4, "tim"), (4, "apple"), (None, "tim"), (5, None), (2, "cook"), (6, "to")], "id long, term string")
     want = {r.id: r["count"] for r in linking.resolve(terms, ents).groupBy("id").count().collect()}
     assert {r.id: r.n for r in linking.resolved_counts(terms, ents).collect()} == want == {1: 2, 2: 1, 4: 4, None: 2}
+
+
+def test_sparse_products_are_those_of_all_pairs(spark):
+    rng = random.Random(3)
+    d = {(i, f"t{rng.randrange(12)}"): rng.randrange(1, 9) / 4 for i in range(60) for _ in range(4)}
+    q = {(j, f"t{rng.randrange(14)}"): rng.randrange(1, 5) / 2 for j in range(7) for _ in range(3)}
+    left = spark.createDataFrame([(i, t, x, i % 3 if i % 5 else None) for (i, t), x in d.items()], "id long, token string, x double, only long")
+    right = spark.createDataFrame([(j, t, y, j % 3) for (j, t), y in q.items()], "query_id int, token string, y double, only long")
+    want = {(j, i): sum(y * d.get((i, t), 0) for (k, t), y in q.items() if k == j) for j in range(7) for i in range(60)}
+    want = {pair: s for pair, s in want.items() if s > 0}
+    pairs = lambda rows: {(r.query_id, r.doc_id): r.score for r in rows.collect()}
+    assert pairs(sparse_grid.products(left.drop("only"), right.drop("only"), docs=16, queries=3)) == want
+    own = {(j, i): s for (j, i), s in want.items() if i % 5 and i % 3 == j % 3}
+    assert pairs(sparse_grid.products(left, right, docs=16, queries=3)) == own
+    found = pairs(sparse_grid.products(left.drop("only"), right.drop("only"), k=2, slack=0.25, docs=16, queries=3))
+    for j in range(7):
+        scores = sorted((s for (k, _), s in want.items() if k == j), reverse=True)
+        near = {p: s for p, s in want.items() if p[0] == j and s >= scores[1] - 0.25}
+        assert near.items() <= {p: s for p, s in found.items() if p[0] == j}.items() <= want.items()
+    assert len(found) < len(want) and not pairs(sparse_grid.products(left.limit(0), right))
