@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from tessera.functions.text import dot, tokens
 from tessera.operators import filings, fusion, graph, graph_search, linking, metrics, providers, qrels, ranking, records, vector
 from tessera.operators.lexical import top_k
+from tessera.operators.vector_grid import top_members
 from tessera.plans.graphs import _EDGES, _TRIPLES, edges, triples
-from tessera.plans.retrieval import _BM25, _DENSE, _EXACT, _NORM, _RECALL, _TOK, _TOP, _WANT, best, bm25_topk, dense_scores, docs, exact, home, items, labelled_dense, recall_run, scores, table, vectors
+from tessera.plans.retrieval import _BM25, _DENSE, _EXACT, _NORM, _RECALL, _TOK, _TOP, _WANT, best, bm25_topk, dense_scores, docs, exact, home, items, labelled_dense, nearest, recall_run, scores, table, vectors
 from tessera.plans.texts import _TAGS, doc_tags
+from tessera.session import written
 
 
 def _vectors(spark: SparkSession, sf: str, rows: DataFrame, at: Column) -> DataFrame:
@@ -30,10 +32,17 @@ def _facts(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.withColumn("fact_id", F.col("s") * 10_000_000 + F.col("o"))
 
 
-def _fact_scores(spark: SparkSession, sf: str) -> DataFrame:
-    f = _vectors(spark, sf, _facts(spark, sf), F.col("s") * 31 + F.col("o")).select(F.col("fact_id").alias("vec_id"), F.col("vec").alias("embedding"))
-    v = vectors(spark, sf).where("vec_id % 100 = 0").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    return vector.inner_products(f, v).select("query_id", F.col("doc_id").alias("fact_id"), "score")
+def _queries(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Column]:
+    """(id, vec) of the vectors that ask and of all, and how many there are."""
+    v = vectors(spark, sf).select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    return v.where("id % 100 = 0"), v, F.lit(v.count())
+
+
+def _fact_scores(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    """(query_id, fact_id, score) of each query's k best facts: facts share vectors, so these are compared once."""
+    q, v, n = _queries(spark, sf)
+    members = _facts(spark, sf).select(F.col("fact_id").alias("doc_id"), F.pmod(F.col("s") * 31 + F.col("o"), n).alias("vec_id"))
+    return top_members(q, v, members, k).withColumnRenamed("doc_id", "fact_id")
 
 
 def _mentioned(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,11 +51,9 @@ def _mentioned(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("l_suppkey").alias("entity"), F.col("l_orderkey").alias("chunk_id")).union(rows.select(F.col("l_partkey") + 1_000_000, "l_orderkey"))
 
 
-def _chunk_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders by their vectors, for the same queries."""
-    o = _vectors(spark, sf, table(spark, sf, "orders").select("o_orderkey"), F.col("o_orderkey")).select(F.col("o_orderkey").alias("vec_id"), F.col("vec").alias("embedding"))
-    v = vectors(spark, sf).where("vec_id % 100 = 0").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    return vector.inner_products(o, v)
+def _chunks(spark: SparkSession, sf: str, n: Column) -> DataFrame:
+    """(doc_id, vec_id): orders with their vectors."""
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.pmod("o_orderkey", n).alias("vec_id"))
 
 
 _FACTS = f"""{_EDGES}, {_VEC}, f0 AS (SELECT DISTINCT u AS s, v AS o FROM edges), f AS (SELECT s * 10000000 + o AS fact_id, s, o, embedding FROM f0 CROSS JOIN nv JOIN embeddings ON vec_id = (s * 31 + o) % nv),
@@ -58,12 +65,14 @@ _FTOP = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id)"
 
 def fact_search(spark: SparkSession, sf: str) -> DataFrame:
     """Orders by the facts of their suppliers and parts; the ten best of each query."""
-    _, chunks = graph_search.fact_search(_fact_scores(spark, sf), _facts(spark, sf), _mentioned(spark, sf), _chunk_scores(spark, sf).withColumnRenamed("doc_id", "chunk_id"), 10)
-    return top_k(chunks.withColumnRenamed("chunk_id", "doc_id"), 10).select("query_id", "rank", "doc_id", "score")
+    q, v, n = _queries(spark, sf)
+    entities = written(graph_search.fact_entities(_fact_scores(spark, sf, 40), _facts(spark, sf), _mentioned(spark, sf), 10), "entities")
+    best_ = graph_search.fact_top_chunks(entities, _mentioned(spark, sf), _chunks(spark, sf, n), v, q, 10)
+    return best_.select("query_id", "rank", "doc_id", "score")
 
 
 def fact_entities(spark: SparkSession, sf: str) -> DataFrame:
-    found, _ = graph_search.fact_search(_fact_scores(spark, sf), _facts(spark, sf), _mentioned(spark, sf), _chunk_scores(spark, sf).withColumnRenamed("doc_id", "chunk_id"), 10)
+    found = graph_search.fact_entities(_fact_scores(spark, sf, 40), _facts(spark, sf), _mentioned(spark, sf), 10)
     return found.withColumn("score", F.round("score", 8))
 
 
@@ -71,8 +80,9 @@ def linked_names(spark: SparkSession, sf: str) -> DataFrame:
     text = lambda c: F.col(c).cast("string")
     facts = _facts(spark, sf).select("fact_id", text("s").alias("s"), text("o").alias("o"))
     mentions = _mentioned(spark, sf).select(text("entity").alias("entity"), "chunk_id")
-    documents = _chunk_scores(spark, sf).select("query_id", F.concat(F.lit("order:"), text("doc_id")).alias("doc_id"), "score")
-    return graph_search.linked_names(_fact_scores(spark, sf), facts, mentions, documents, 50, 20).select("query_id", "doc_id", F.round("score", 8).alias("score"))
+    q, v, n = _queries(spark, sf)
+    documents = top_members(q, v, _chunks(spark, sf, n).withColumn("doc_id", F.concat(F.lit("order:"), text("doc_id"))), 20)
+    return graph_search.linked_names(_fact_scores(spark, sf, 50), facts, mentions, documents, 50, 20).select("query_id", "doc_id", F.round("score", 8).alias("score"))
 
 
 def fact_texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -279,7 +289,7 @@ def reranked(spark: SparkSession, sf: str) -> DataFrame:
 
 def picked_facts(spark: SparkSession, sf: str) -> DataFrame:
     """Of the ten nearest vectors those that a model picked by their ranks; every second query's picks are unusable."""
-    near = top_k(dense_scores(spark, sf), 10)
+    near = nearest(spark, sf, 10)
     picks = near.select("query_id").distinct().withColumn("picks", F.when(F.col("query_id") % 200 == 0, F.array(F.lit(4), F.lit(2), F.lit(11))).otherwise(F.array(F.lit(0))).cast("array<long>"))
     return providers.picked(near, picks, 3).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 

@@ -7,7 +7,9 @@ import time
 
 from pyspark.sql import functions as F
 
-from tessera.operators import extraction, linking, sparse_grid
+from tessera.functions.text import dot
+from tessera.operators import extraction, graph_search, linking, sparse_grid, vector_grid
+from tessera.operators.lexical import top_k
 
 
 def test_focus_passage_splits_a_text_once(spark):
@@ -44,3 +46,32 @@ def test_sparse_products_are_those_of_all_pairs(spark):
         near = {p: s for p, s in want.items() if p[0] == j and s >= scores[1] - 0.25}
         assert near.items() <= {p: s for p, s in found.items() if p[0] == j}.items() <= want.items()
     assert len(found) < len(want) and not pairs(sparse_grid.products(left.limit(0), right))
+
+
+def test_top_members_are_those_of_all_pairs(spark):
+    rng = random.Random(9)
+    vecs = {i: [rng.randrange(-2, 3) / 2 for _ in range(3)] for i in range(40)}
+    vecs |= {i + 40: vecs[i] for i in range(10)}  # equal vectors
+    members = {1000 - m: rng.randrange(60) for m in range(300)}  # some name no vector
+    v = spark.createDataFrame(list(vecs.items()), "id long, vec array<double>")
+    q = v.where("id % 10 = 0")
+    score = lambda a, b: round(sum(x * y for x, y in zip(vecs[a], vecs[b], strict=True)), 12)
+    found = {(r.query_id, r.doc_id, r.score) for r in vector_grid.top_members(q, v, spark.createDataFrame(list(members.items()), "doc_id long, vec_id long"), 7).collect()}
+    for j in range(0, 50, 10):
+        order = sorted((-score(j, n), m) for m, n in members.items() if n in vecs)[:7]
+        assert {(m, s) for k, m, s in found if k == j} == {(m, -s) for s, m in order}
+
+
+def test_fact_top_chunks_are_those_of_all_chunks(spark):
+    rng = random.Random(4)
+    v = spark.createDataFrame([(i, [rng.uniform(-1, 1) for _ in range(3)]) for i in range(20)], "id long, vec array<double>")
+    q = v.where("id < 4")
+    chunks = spark.createDataFrame([(c, c % 25) for c in range(200)], "doc_id long, vec_id long")
+    mentions = spark.createDataFrame([(rng.randrange(6), rng.randrange(205)) for _ in range(150)], "entity long, chunk_id long")
+    facts = spark.createDataFrame([(f, rng.randrange(6), rng.randrange(6)) for f in range(12)], "fact_id long, s long, o long")
+    scores = spark.createDataFrame([(j, f, rng.uniform(-1, 0.2)) for j in range(4) for f in range(12)], "query_id long, fact_id long, score double")
+    dense = chunks.join(v, F.col("vec_id") == F.col("id")).drop("id").crossJoin(q.select(F.col("id").alias("query_id"), F.col("vec").alias("q"))).select("query_id", F.col("doc_id").alias("chunk_id"), dot(F.col("q"), F.col("vec")).alias("score"))
+    entities, every = graph_search.fact_search(scores, facts, mentions, dense, 2)
+    want = {(r.query_id, r.rank, r.doc_id, r.score) for r in top_k(every.withColumnRenamed("chunk_id", "doc_id"), 5).collect()}
+    got = {(r.query_id, r.rank, r.doc_id, r.score) for r in graph_search.fact_top_chunks(entities, mentions, chunks, v, q, 5).collect()}
+    assert got == want and len(got) == 20
