@@ -134,13 +134,21 @@ def degree_profile(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def relational_spmm(edges: DataFrame, x: DataFrame, rel: DataFrame, add: str = "add", mul: str = "mul") -> DataFrame:
-    """(v, dim, y): y[v] = add over edges (u, v, r, w) of w * mul(rel[r], x[u]), a dimension a row; add: add, min or max."""
-    xs, rs = x.select(F.col("id").alias("u"), F.col("vec").alias("xv")), rel.select(F.col("id").alias("r"), F.col("vec").alias("rv"))
+    """(v, dim, y): y[v] = add over edges (u, v, r, w) of w * mul(rel[r], x[u]), a dimension a row; add: add, min or max.
+
+    Edges are dealt by v while they are single numbers; vectors come to them, x in blocks that are broadcast, so what is
+    added up has no shuffle of its own. With more than one block each gives a row for each v and dimension at most.
+    """
+    xs, rs = x.select(F.col("id").alias("u"), F.col("vec").alias("xv")), written(rel.select(F.col("id").alias("r"), F.col("vec").alias("rv")), "relations")  # its size is known: few are broadcast
     both = F.zip_with("rv", "xv", lambda a, b: a * b if mul == "mul" else a + b)
     fold = {"add": F.sum, "min": F.min, "max": F.max}[add]
-    # whole vectors are joined, a row an edge; they are taken apart where tasks begin to add up
-    met = edges.join(xs, "u").join(rs, "r").select("v", "w", F.posexplode(both).alias("dim", "m")).where("m IS NOT NULL")
-    return met.groupBy("v", "dim").agg(fold(F.col("w") * F.col("m")).alias("y"))
+    dealt = edges.select("u", "v", "r", "w").repartition("v")
+    blocks = query_blocks(xs, ["u"], "xv")
+    parts = []
+    for block in blocks:
+        met = dealt.join(F.broadcast(block), "u").join(rs, "r").select("v", "w", F.posexplode(both).alias("dim", "m")).where("m IS NOT NULL")
+        parts.append(met.groupBy("v", "dim").agg(fold(F.col("w") * F.col("m")).alias("y")))
+    return parts[0] if len(parts) == 1 else reduce(DataFrame.union, parts).groupBy("v", "dim").agg(fold("y").alias("y"))
 
 
 def pna(messages: DataFrame, boundary: DataFrame) -> DataFrame:

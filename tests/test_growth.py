@@ -8,8 +8,9 @@ import time
 from pyspark.sql import functions as F
 
 from tessera.functions.text import dot
-from tessera.operators import extraction, graph_search, linking, sparse_grid, vector_grid
+from tessera.operators import extraction, graph, graph_paths, graph_search, linking, sparse_grid, vector_grid
 from tessera.operators.lexical import top_k
+from tessera.session import written
 
 
 def test_focus_passage_splits_a_text_once(spark):
@@ -75,3 +76,32 @@ def test_fact_top_chunks_are_those_of_all_chunks(spark):
     want = {(r.query_id, r.rank, r.doc_id, r.score) for r in top_k(every.withColumnRenamed("chunk_id", "doc_id"), 5).collect()}
     got = {(r.query_id, r.rank, r.doc_id, r.score) for r in graph_search.fact_top_chunks(entities, mentions, chunks, v, q, 5).collect()}
     assert got == want and len(got) == 20
+
+
+def test_spmm_shuffles_edges_not_their_products(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(rng.randrange(8), rng.randrange(5), rng.randrange(2), float(rng.randrange(1, 4))) for _ in range(60)]
+    xs, rel = {i: [float(i), 1.0 - i] for i in range(8)}, {0: [1.0, 2.0], 1: [-1.0, 0.5]}
+    frames = [spark.createDataFrame(rows, "u long, v long, r int, w double"), spark.createDataFrame(list(xs.items()), "id long, vec array<double>"), spark.createDataFrame(list(rel.items()), "id int, vec array<double>")]
+    out = graph.relational_spmm(*frames)
+    assert ", dim#" not in "".join(line for line in out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")).splitlines(True) if "Exchange" in line)
+    want = {(v, d): sum(w * rel[r][d] * xs[u][d] for u, t, r, w in rows if t == v) for v in range(5) for d in range(2)}
+    assert {(r.v, r.dim): r.y for r in out.collect()} == want
+    monkeypatch.setattr("tessera.operators.vector.BLOCK_BYTES", 200)
+    assert {(r.v, r.dim): r.y for r in graph.relational_spmm(*frames).collect()} == want
+
+
+def test_best_walks_drop_arrivals_that_cannot_end_in_time(spark, monkeypatch):
+    sizes = []
+
+    def counted(df, name):
+        out = written(df, name)
+        sizes.extend([out.count()] if name == "layer" else [])
+        return out
+
+    monkeypatch.setattr(graph_paths, "written", counted)
+    edges = [(0, 1, v, 1.0) for v in range(1, 40)] + [(v, 1, 0, 1.0) for v in range(1, 40)] + [(5, 2, 100, 9.0)]
+    one = spark.createDataFrame([(1, 0)], "query long, id long")
+    got = graph_paths.best_walks(spark.createDataFrame(edges, "u long, r int, v long, w double"), one, one.select("query", F.lit(100).cast("long").alias("id")), 4, 5, 5).collect()
+    assert [(r.length, r.mean) for r in got] == [(2, 5.0), (4, 3.0), (4, 3.0), (4, 3.0), (4, 3.0)]
+    assert sizes == [39, 6, 5, 5]  # the third had five arrivals at each of 39 nodes
