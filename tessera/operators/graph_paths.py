@@ -77,18 +77,25 @@ def best_walks(edges: DataFrame, starts: DataFrame, targets: DataFrame, steps: i
     (u, r, v) that repeats counts once, with its largest weight. Layer by layer, each node keeps its `beam` best arrivals
     with the node, relation and rank they came from; with beam >= k the answer is exact. Of equal sums the arrival with
     the smaller (u, r, rank) is first; of equal means the shorter walk, then the smaller. Walks are read backwards from
-    the targets. A query without a walk has no row; nulls fit nothing.
+    the targets. A query without a walk has no row; nulls fit nothing. The last layer holds only arrivals at the targets, the
+    one before it only those at targets and at nodes with an edge to them: from others a walk can't end in time.
     """
     own = [c for c in ("query", "step") if c in edges.columns]
     kept = edges.groupBy(*own, "u", "r", "v").agg(F.max("w").alias("w"))
     kept = written(kept, "edges")
     ends = targets.select("query", F.col("id").alias("end"))
     front = starts.select("query", "id").distinct().select("query", "id", F.lit(0).alias("rank"), F.lit(0.0).alias("score"))
+    into = lambda rows, at: rows.join(at, [c for c in ("query", "v") if c in rows.columns])
     layers: list[DataFrame] = []
     for step in range(1, steps + 1):
         now = kept.where(F.col("step") == step).drop("step") if "step" in own else kept
         open_ = front.join(ends, "query").where("id <> end").select("query", F.col("id").alias("u"), F.col("rank").alias("from_rank"), "score")
-        on = ["query", "u"] if "query" in own else ["u"]
+        if step >= steps - 1:  # the targets' edges are few beside all arrivals: they come first
+            at = ends.select("query", F.col("end").alias("v")).distinct()
+            if step < steps:
+                at = at.union(into(kept.drop("w", "r"), at).select("query", F.col("u").alias("v"))).distinct()
+            now = into(now, at)
+        on = ["query", "u"] if "query" in now.columns else ["u"]
         arrivals = open_.join(now, on).select("query", F.col("v").alias("id"), "u", "r", "from_rank", (F.col("score") + F.col("w")).alias("score"))
         order = Window.partitionBy("query", "id").orderBy(F.desc("score"), "u", "r", "from_rank")
         front = written(arrivals.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= beam), "layer")
