@@ -11,6 +11,10 @@ from tessera.functions.text import tokens
 from tessera.operators import sparse_grid
 from tessera.session import written
 
+#: Queries of a block that documents meet.
+ASKS = sparse_grid.QUERIES
+
+
 @dataclass(frozen=True)
 class Bm25:
     k1: float = 1.5
@@ -83,7 +87,7 @@ def weights(tf: DataFrame, totals: DataFrame, wanted: DataFrame, model: Bm25 = B
 
 def occurrence_scores(tf: DataFrame, totals: DataFrame, wanted: DataFrame, model: Bm25 = Bm25()) -> DataFrame:
     """(query_id, doc_id, score) from tf (id, token, tf, dl), a written table, the row totals (n, avgdl) and query_tokens()."""
-    return sparse_grid.products(*weights(tf, totals, wanted, model))
+    return sparse_grid.products(*weights(tf, totals, wanted, model), queries=ASKS)
 
 
 def top_k(scores: DataFrame, k: int, by: str | list[str] = "query_id", score: str = "score", tie: str = "doc_id", digits: int = 6) -> DataFrame:
