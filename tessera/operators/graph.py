@@ -197,10 +197,15 @@ def node_update(states: DataFrame, messages: DataFrame, weights: list[list[float
     return out.select("id", F.transform("y", lambda x: F.greatest((x - F.col("mean")) / F.col("std"), F.lit(0.0))).alias("vec"))
 
 
+def distmult_queries(heads: DataFrame, rel: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, r, q): h * r of each stated (u, r), whose inner products with tails are the scores."""
+    hr = heads.join(nodes.select(F.col("id").alias("u"), F.col("vec").alias("h")), "u").join(rel.select(F.col("id").alias("r"), F.col("vec").alias("w")), "r")
+    return hr.select("u", "r", F.zip_with("h", "w", lambda a, b: a * b).alias("q"))
+
+
 def distmult_scores(heads: DataFrame, rel: DataFrame, nodes: DataFrame) -> DataFrame:
     """(u, r, v, score): sum of h * r * t of each stated (u, r) against all nodes (id, vec), in blocks of (u, r)."""
-    hr = heads.join(nodes.select(F.col("id").alias("u"), F.col("vec").alias("h")), "u").join(rel.select(F.col("id").alias("r"), F.col("vec").alias("w")), "r")
-    hr = hr.select("u", "r", F.zip_with("h", "w", lambda a, b: a * b).alias("q"))
+    hr = distmult_queries(heads, rel, nodes)
     score = F.aggregate(F.zip_with("q", "t", lambda a, b: a * b), F.lit(0.0), lambda s, z: s + z)
     tails = nodes.select(F.col("id").alias("v"), F.col("vec").alias("t"))
     return reduce(DataFrame.union, [tails.crossJoin(F.broadcast(block)).select("u", "r", "v", score.alias("score")) for block in query_blocks(hr, ["u", "r"], "q")])

@@ -95,7 +95,12 @@ def filtered_ranks(scored: DataFrame, by: str = "query_id", score: str = "score"
 
 def filtered_rank_metrics(scored: DataFrame, ks: tuple[int, ...] = (1, 10), by: str = "query_id") -> DataFrame:
     """One row: mrr and hits@k averaged over positives, then queries; recall@k by unfiltered rank."""
-    per = filtered_ranks(scored, by).groupBy(by).agg(F.avg(1 / F.col("filtered")).alias("mrr"), *(F.avg((F.col("filtered") <= k).cast("double")).alias(f"hits_{k}") for k in ks), *(F.avg((F.col("rank_all") <= k).cast("double")).alias(f"recall_{k}") for k in ks))
+    return filtered_means(filtered_ranks(scored, by), ks, by)
+
+
+def filtered_means(ranks: DataFrame, ks: tuple[int, ...] = (1, 10), by: str = "query_id") -> DataFrame:
+    """What filtered_rank_metrics() gives, from rows (by, rank_all, filtered) of the positives."""
+    per = ranks.groupBy(by).agg(F.avg(1 / F.col("filtered")).alias("mrr"), *(F.avg((F.col("filtered") <= k).cast("double")).alias(f"hits_{k}") for k in ks), *(F.avg((F.col("rank_all") <= k).cast("double")).alias(f"recall_{k}") for k in ks))
     names = ["mrr", *(f"{m}_{k}" for k in ks for m in ("hits", "recall"))]
     return per.agg(*(F.avg(c).alias(c) for c in names), F.count("*").alias("queries"))
 

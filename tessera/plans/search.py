@@ -10,7 +10,7 @@ from tessera.operators import filings, fusion, graph, graph_search, linking, met
 from tessera.operators.lexical import top_k
 from tessera.operators.vector_grid import top_members
 from tessera.plans.graphs import _EDGES, _TRIPLES, edges, triples
-from tessera.plans.retrieval import _BM25, _DENSE, _EXACT, _NORM, _RECALL, _TOK, _TOP, _WANT, best, bm25_topk, dense_scores, docs, exact, home, items, labelled_dense, nearest, recall_run, scores, table, vectors
+from tessera.plans.retrieval import _BM25, _DENSE, _EXACT, _NORM, _RECALL, _TOK, _TOP, _WANT, best, bm25_topk, dense_scores, docs, exact, home, items, labelled_ranks, nearest, recall_run, scores, table, vectors, whole_vectors
 from tessera.plans.texts import _TAGS, doc_tags
 from tessera.session import written
 
@@ -109,7 +109,7 @@ def typed_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 def tail_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Tails of every hundredth vector under two relations, among all vectors and among those of one type."""
-    nodes = vectors(spark, sf).select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), F.when(F.col("label") % 2 == 0, "entity").otherwise("chunk").alias("type"))
+    nodes = whole_vectors(spark, sf).select("id", "vec", F.when(F.col("label") % 2 == 0, "entity").otherwise("chunk").alias("type"))
     relations = nodes.where("id IN (1, 2)").select("id", "vec")
     heads = nodes.where("id % 100 = 0").select(F.col("id").alias("u"), F.explode(F.array(F.lit(1), F.lit(2)).cast("array<bigint>")).alias("r"))
     one = lambda scope, types: graph_search.tail_predictions(heads, relations, nodes, 5, types).select(F.lit(scope).alias("scope"), "u", "r", "rank", "v", F.round("score", 6).alias("score"))
