@@ -9,7 +9,7 @@ from tessera.functions.text import tokens
 from tessera.operators import graph, losses, ranking
 from tessera.operators.components import connected_components
 from tessera.operators.lexical import doc_tokens
-from tessera.plans.retrieval import _TOK, dense_scores, docs, table
+from tessera.plans.retrieval import _TOK, docs, table, whole_vectors
 
 
 def triples(spark: SparkSession, sf: str) -> DataFrame:
@@ -201,10 +201,8 @@ def message_passing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def training_losses(spark: SparkSession, sf: str) -> DataFrame:
-    v = table(spark, sf, "embeddings").select("vec_id", "label")
-    s = dense_scores(spark, sf).join(v.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id").join(v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql")), "query_id")
-    rows = s.select(F.col("query_id").alias("row"), (F.col("label") == F.col("ql")).cast("double").alias("y"), (F.col("score") * 4).alias("logit"), F.col("score").alias("t"))
-    out = losses.bce(rows).crossJoin(losses.list_ce(rows)).crossJoin(losses.kl(rows)).crossJoin(losses.mse(rows))
+    v = whole_vectors(spark, sf)
+    out = losses.of_products(v.where("id % 100 = 0"), v, 4)
     return out.select(*(F.round(c, 6).alias(c) for c in ("bce", "list_ce", "kl", "mse")))
 
 
