@@ -140,10 +140,10 @@ def answer_scores(rows: DataFrame, key: str, predicted: str, gold: str) -> DataF
 
 
 def unbiased_hits(rank: Column, negatives: Column, k: int, sample: int) -> Column:
-    """The chance to rank within k among `sample` drawn negatives: a binomial sum at f = (rank - 1) / negatives."""
+    """The chance to rank within k among `sample` drawn negatives: a binomial sum at f = (rank - 1) / negatives; without any it isn't a number."""
     from math import comb
 
-    f = (rank - 1) / negatives
+    f = F.when(negatives != 0, (rank - 1) / negatives).otherwise(float("nan"))
     terms = [F.lit(float(comb(sample - 1, i))) * F.pow(f, F.lit(i)) * F.pow(1 - f, F.lit(sample - 1 - i)) for i in range(k)]
     out = terms[0]
     for t in terms[1:]:

@@ -14,7 +14,7 @@ from test_queries import rows
 from tessera.operators import graph_search, losses, pair_grid
 from tessera.plans import catalog
 
-ASKING = ("tail_predictions", "filtered_rank_metrics", "training_losses")
+ASKING = ("tail_predictions", "filtered_rank_metrics", "training_losses", "unbiased_hits")
 
 
 @pytest.fixture(scope="module")
