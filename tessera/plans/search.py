@@ -171,7 +171,7 @@ def sample_masks(spark: SparkSession, sf: str) -> DataFrame:
 
 def hard_ranks(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors of the query's label are answers; those with an odd id are hard."""
-    return metrics.hard_ranks(labelled_dense(spark, sf).withColumn("hard", F.col("doc_id") % 2 == 1))
+    return labelled_ranks(spark, sf).where("doc_id % 2 = 1").select("query_id", "doc_id", (F.col("before") + 1).cast("int").alias("rank"))
 
 
 def type_means(spark: SparkSession, sf: str) -> DataFrame:
