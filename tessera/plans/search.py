@@ -99,12 +99,9 @@ def entity_edges(spark: SparkSession, sf: str) -> DataFrame:
     return graph_search.entity_types_only(edges(spark, sf), nodes, ["entity"]).groupBy("r").agg(F.count("*").alias("n"), F.sum("w").alias("w"))
 
 
-def _typed(spark: SparkSession, sf: str) -> DataFrame:
-    return dense_scores(spark, sf).join(vectors(spark, sf).select(F.col("vec_id").alias("doc_id"), F.concat(F.lit("t"), F.col("label").cast("string")).alias("type")), "doc_id")
-
-
 def typed_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return graph_search.typed_top_k(_typed(spark, sf), 3).select("query_id", "type", "rank", "doc_id", F.round("score", 6).alias("score"), F.round("norm", 6).alias("norm"))
+    v = whole_vectors(spark, sf).withColumn("type", F.concat(F.lit("t"), F.col("label").cast("string")))
+    return graph_search.typed_nearest(v.where("id % 100 = 0"), v, 3).select("query_id", "type", "rank", "doc_id", F.round("score", 6).alias("score"), F.round("norm", 6).alias("norm"))
 
 
 def tail_predictions(spark: SparkSession, sf: str) -> DataFrame:
