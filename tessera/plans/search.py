@@ -168,7 +168,7 @@ def sample_masks(spark: SparkSession, sf: str) -> DataFrame:
 
 def hard_ranks(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors of the query's label are answers; those with an odd id are hard."""
-    return labelled_ranks(spark, sf).where("doc_id % 2 = 1").select("query_id", "doc_id", (F.col("before") + 1).cast("int").alias("rank"))
+    return labelled_ranks(spark, sf, "before").where("doc_id % 2 = 1").select("query_id", "doc_id", (F.col("before") + 1).cast("int").alias("rank"))
 
 
 def type_means(spark: SparkSession, sf: str) -> DataFrame:
@@ -358,7 +358,7 @@ def graph_partitions(spark: SparkSession, sf: str) -> DataFrame:
 
 def typed_ranks(spark: SparkSession, sf: str) -> DataFrame:
     """Pessimistic ranks among candidates of the answer's own type (its number modulo 3)."""
-    return labelled_ranks(spark, sf, F.col("id") % 3).select("query_id", "type", "doc_id", (F.col("as_high") + 1).alias("rank"))
+    return labelled_ranks(spark, sf, "as_high", kind=F.col("id") % 3).select("query_id", "type", "doc_id", (F.col("as_high") + 1).alias("rank"))
 
 
 def padded_topk(spark: SparkSession, sf: str) -> DataFrame:
