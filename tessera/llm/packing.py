@@ -36,7 +36,9 @@ LOSS_TOKENS = LENGTH
 END = 2
 #: Tokens that a task gathers before it packs them.
 GROUP_TOKENS = 1 << 20
-#: Words whose ids a worker remembers (about 50 bytes each); it begins anew when they are more.
+#: Characters of text whose words are looked up at once.
+BLOCK_CHARS = 400_000
+#: Words whose ids a task remembers (about 50 bytes each); it begins anew when they are more.
 MEMORY = 1_000_000
 #: Words that lower-casing and composing treat letter by letter, so that Python's str.lower will do.
 _LATIN = re.compile("[!-~\xa1-\xac\xae-\xb4\xb6-\xff]+")
@@ -70,10 +72,11 @@ class WordEncoder:
         self.bare = Tokenizer(self.tokenizer.model)
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.mark = self.bare.encode(_BYTE_LETTERS[10], add_special_tokens=False).ids
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
-        self.size = 1 << (2 * max(self.memory, 8) - 1).bit_length()
+    def forget(self) -> None:
+        """Drops all words; the tokenizer stays."""
+        self.size = 1024
         self.keys, self.places = np.zeros((2, self.size), np.uint64), np.zeros(self.size, np.int32)
         self.starts, self.lengths, self.words = np.zeros(1024, np.int64), np.zeros(1024, np.int32), 0
         self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
@@ -100,17 +103,27 @@ class WordEncoder:
         self.ids[self.used : self.used + len(ids)] = ids
         self.lengths[self.words : self.words + n] = lengths
         self.starts[self.words : self.words + n] = self.used + np.cumsum(lengths) - lengths
-        open_, at = np.arange(n), (hashes[0] & np.uint64(self.size - 1)).astype(np.int64)
+        if 2 * (self.words + n) > self.size:  # at most half of the places are taken
+            taken = np.flatnonzero(self.keys[0])
+            keys, places = self.keys[:, taken], self.places[taken]
+            self.size = 1 << (2 * (self.words + n) - 1).bit_length()
+            self.keys, self.places = np.zeros((2, self.size), np.uint64), np.zeros(self.size, np.int32)
+            self._place(keys, places)
+        self._place(hashes, np.arange(self.words, self.words + n, dtype=np.int32))
+        self.words += n
+        self.used += len(ids)
+
+    def _place(self, hashes: np.ndarray, words: np.ndarray) -> None:
+        """Puts numbers of words that the table doesn't have into it."""
+        open_, at = np.arange(len(words)), (hashes[0] & np.uint64(self.size - 1)).astype(np.int64)
         while len(open_):
             free = np.flatnonzero(self.keys[0, at] == 0)
             free = free[np.unique(at[free], return_index=True)[1]]  # of words that want one place the first gets it
             won = np.zeros(len(open_), bool)
             won[free] = True
             self.keys[:, at[free]] = hashes[:, open_[free]]
-            self.places[at[free]] = self.words + open_[free]
+            self.places[at[free]] = words[open_[free]]
             open_, at = open_[~won], (at[~won] + 1) & (self.size - 1)
-        self.words += n
-        self.used += len(ids)
 
     def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
         """Ids of the words, one after the other, their numbers of ids, and in which order the words come."""
@@ -151,7 +164,7 @@ class WordEncoder:
             if self.words + len(first) > self.memory:
                 missing, first = np.arange(hashes.shape[1]), _firsts(hashes)
                 self.memory = max(self.memory, len(first))
-                self._forget()
+                self.forget()
             raw = data.tobytes()
             ids, lengths, order = self._learn([raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
             self._insert(hashes[:, first[order]], ids, lengths)
@@ -281,7 +294,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, limits: Limits
             return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "piece_ids"])
 
         end = np.array([END], "<u4").tobytes()
-        for batch in text_blocks(batches, chars=1_000_000):
+        for batch in text_blocks(batches, chars=BLOCK_CHARS):
             skips = batch.column("skip").to_pylist()
             encoded, bounds = encoder.encode(batch.column("text"))
             bounds = bounds.tolist()
@@ -295,6 +308,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, limits: Limits
         if held:
             yield send()
         held, encoded = [], None
+        encoder.forget()  # the worker goes on to other stages
         release_memory()
 
     skip = F.col(loss_from).cast("long") if loss_from else F.lit(0).cast("long")

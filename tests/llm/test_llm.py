@@ -366,6 +366,25 @@ def test_packing_edges(spark):
     assert all(len(r.piece_ids) == 4 * r.length for r in rows)
 
 
+def test_workers_forget_words_after_packing(spark, sf):
+    enc = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    for n in (1, 3000):  # the table grows with the words and finds them all again
+        words = [f"w{i}" for i in range(n)]
+        got, bounds = enc.encode(pa.array(words))
+        assert [got[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [e.ids for e in enc.tokenizer.encode_batch(words, add_special_tokens=False)]
+        assert enc.words == n and 2 * n <= enc.size <= max(1024, 4 * n)
+    packing.pack_documents(spark.read.parquet(f"{sf}/documents.parquet")).count()
+
+    def held(batches):
+        from tessera.llm import tables
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"words": pa.array([m.words for k, m in tables._KEPT.items() if k[0].__name__ == "WordEncoder"], pa.int64())})
+
+    found = [r.words for r in spark.range(0, 8, 1, 8).mapInArrow(held, "words long").collect()]
+    assert found and not any(found)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_pack_keeps_all_limits(seed):
     rng = np.random.default_rng(seed)
