@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import dot, tokens
-from tessera.operators import filings, fusion, graph, graph_search, linking, metrics, providers, qrels, ranking, records, vector
+from tessera.operators import filings, fusion, graph, graph_search, linking, metrics, pair_grid, providers, qrels, ranking, records, vector
 from tessera.operators.lexical import top_k
 from tessera.operators.vector_grid import top_members
 from tessera.plans.graphs import _EDGES, _TRIPLES, edges, triples
-from tessera.plans.retrieval import _BM25, _DENSE, _EXACT, _NORM, _RECALL, _TOK, _TOP, _WANT, best, bm25_topk, dense_scores, docs, exact, home, items, labelled_ranks, nearest, recall_run, scores, table, vectors, whole_vectors
+from tessera.plans.retrieval import _BM25, _DENSE, _EXACT, _NORM, _RECALL, _TOK, _TOP, _WANT, best, bm25_topk, docs, exact, filled_vectors, home, items, labelled_ranks, nearest, recall_run, scores, table, vectors, whole_vectors
 from tessera.plans.texts import _TAGS, doc_tags
 from tessera.session import written
 
@@ -258,9 +258,9 @@ def document_recall(spark: SparkSession, sf: str) -> DataFrame:
 
 def overfetch_bonus(spark: SparkSession, sf: str) -> DataFrame:
     """Dense search, 30 times over-fetched: vectors of the query's label, with a bonus for ids that end alike."""
-    v = vectors(spark, sf)
-    s = dense_scores(spark, sf).join(v.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id").join(v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("qlabel")), "query_id")
-    rows = fusion.overfetched(s, 5, F.col("label") == F.col("qlabel"), F.when(F.col("doc_id") % 10 == 0, 0.06).otherwise(0.0))
+    v = filled_vectors(spark, sf).withColumn("type", F.lit(0))
+    s = pair_grid.best_products(v.where("id % 100 = 0"), v, fusion.OVERFETCH * 5, block=pair_grid.MANY, match="label").withColumnRenamed("id", "doc_id").drop("type", "rank")
+    rows = fusion.overfetched(s, 5, F.col("same"), F.when(F.col("doc_id") % 10 == 0, 0.06).otherwise(0.0))
     return top_k(rows, 5).select("query_id", "rank", "doc_id", "score")
 
 

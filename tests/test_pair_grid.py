@@ -191,3 +191,18 @@ def test_integers_in_steps_are_the_sorted_integers():
             own = found[1] == n
             want = np.concatenate([np.sort(values[n, a:b]) for a, b in spans])
             assert found[0].dtype == np.uint16 and (pair_grid._stepped(found[0][n], found[2][own], found[3][own]) == want).all()
+
+
+@pytest.mark.parametrize("table", ["odd", "ragged"])
+def test_overfetched_rows_are_the_best_of_blocks(spark, table, request):
+    plan = compared(spark, request.getfixturevalue(table), "overfetch_bonus")
+    assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan  # no pair of a query with a vector is a row of a join
+
+
+def test_best_of_many_are_scored_in_parts_and_told_if_labels_match(spark):
+    rng = random.Random(10)
+    v = spark.createDataFrame([(i, [rng.randrange(-9, 10) / 8 for _ in range(3)] if i % 50 else None, 0, rng.choice("abc") if i % 7 else None) for i in range(3000)], "id long, vec array<double>, type int, label string")
+    found = [{(r.query_id, r.rank): (r.id, r.score, r.same) for r in pair_grid.best_products(v.where("id % 3 = 0"), v, 5, block=block, match="label").collect()} for block in (3000, 300)]
+    assert 1000 * 3000 > pair_grid.SCORED > 1000 * 300 and found[0] == found[1] and len(found[0]) == 5000
+    label = {r.id: r.label for r in v.collect()}
+    assert all(same == (label[j] is not None and label[j] == label[i]) for (j, _), (i, _, same) in found[0].items())
