@@ -145,12 +145,13 @@ def test_spearman_ranks_packed_scores_not_rows(spark, odd):
 
 @pytest.fixture(scope="module")
 def ragged(spark, tmp_path_factory):
-    """Vectors of several widths, with nulls inside, empty, null, of large numbers, infinite and not numbers; ids below zero, one null."""
+    """Vectors of several widths, with nulls inside, empty, null, of large numbers, infinite and not numbers; ids below zero, one null, some twice."""
     rng = random.Random(12)
     folder = tmp_path_factory.mktemp("ragged")
     vecs = {i: [None if rng.random() < 0.1 and j else rng.randrange(-8, 9) / 16 for j in range(rng.choice((3, 5, 5, 5)))] for i in range(-150, 350)}
     vecs |= {0: [0.5, None, 0.25], 11: [], 12: None, 13: [None, None, None], 14: [3e9, 1.0], 15: [float("inf"), 1.0, 0.0, 0.0, 0.0], 16: [float("nan"), 1.0], None: [0.5, 0.25, 0.5, 0.0, 0.0], 200: [1.0, 2e7, -3.0, 1.0, 1.0], 300: []}
-    spark.createDataFrame([(i, v, i and i % 3) for i, v in vecs.items()], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    twice = [(i, [rng.randrange(-8, 9) / 16 for _ in range(5)], 1) for i in (5, 6, 100)]
+    spark.createDataFrame([(i, v, i and i % 3) for i, v in vecs.items()] + twice, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
     return str(folder), con
